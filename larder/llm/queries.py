@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import packing, token_file
+from larder.llm import exact_dedup, mixing, near_dup, packing, token_file
 from larder.llm.workspace import Workspace
 
 
@@ -24,8 +24,32 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), Workspace(spark, "packing"))
 
 
+def op4_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = mixing.shares(table(spark, sf_dir, "documents"), Workspace(spark, "mixing"))
+    return shared.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def op7_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.find_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "exact_dedup"))
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.find_near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "near_dup"), words=4)
+
+
 QUERIES = {
     "op2_huffman_tokens": op2_huffman_tokens,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op4_fair_queue_mix": op4_fair_queue_mix,
+    "op7_content_sort_dedup": op7_content_sort_dedup,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op7_content_sort_dedup": """
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS x FROM documents),
+     s AS (SELECT doc_id, n, sha256(x) AS text_sha256 FROM t)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER w = 1 AS kept, text_sha256
+FROM s WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
+""",
 }
-ORACLES: dict[str, str] = {}
