@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, exact_dedup, license_scan, mixing, near_dup, packing, token_file, topk, url_filter
+from larder.llm import chat, exact_dedup, license_scan, mixing, near_dup, packing, quality, token_file, topk, url_filter
 from larder.llm.workspace import Workspace
 
 
@@ -24,6 +24,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), Workspace(spark, "packing"))
 
 
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    return labels.select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+
+
+def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, ratings(spark, sf_dir)).drop("text")
+
+
 def op4_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = mixing.shares(table(spark, sf_dir, "documents"), Workspace(spark, "mixing"))
     return shared.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
@@ -63,6 +73,7 @@ QUERIES = {
     "op1_branch_and_bound_topk": op1_branch_and_bound_topk,
     "op2_huffman_tokens": op2_huffman_tokens,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op3_ordinal_quality": op3_ordinal_quality,
     "op4_fair_queue_mix": op4_fair_queue_mix,
     "op7_content_sort_dedup": op7_content_sort_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
