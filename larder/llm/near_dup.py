@@ -4,10 +4,10 @@
    over a bin chosen by a fixed hash sequence (optimal densification), and each band of bins makes a bucket key.
 2. Texts with the same set are one class, so copies never meet one another in buckets.
 3. In a bucket every member is paired with the bucket's smallest member alone (a star). All pairs are confirmed
-   on the full sets. A star may part two texts whose centre is like neither; so buckets that still hold more
-   than one component go on: centres that have met every member leave, and the next round takes four times as
-   many of them. Rounds end when every bucket is one component or all of its members have been centres. No
-   bucket, member or pair is dropped.
+   on the full sets. A star may part two texts whose centre is like neither; so buckets whose other members
+   still are in several components are settled exactly: blocks of their members, bounded in members and
+   shingles, meet one another, and only links that join two components come out. No bucket, member or pair is
+   dropped, and no step gives more rows than a bucket has members (times its blocks).
 4. Links make components, whose smallest document stays.
 
 Two sets at similarity 0.8 share no band with a chance of about 2e-6 for the default 56 bands of 7 bins.
@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,10 @@ from larder.llm.words import mixed, utf8, words_by_text
 from larder.llm.workspace import Workspace
 
 BANDS, ROWS = 56, 7
+#: Shingles and members that a block of a bucket holds at most (one longer text is a block of its own).
+BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 20, 512
+#: Parts that the copies of one set are dealt to.
+SALTS = 64
 #: Donor bins that are tried in turn for an empty bin; beyond, the next filled bin around the circle.
 ATTEMPTS = 256
 
@@ -151,18 +156,75 @@ def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("s") + F.size("t") - shared)).select("center", "doc")
 
 
+def _links_between(component: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Positions of alike sets that join different components; ``left`` marks the first block, if there are two.
+
+    Shingles that occur twice or more are counted in slices of a 0/1 matrix, so that memory is bounded."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], dtype=np.float64)
+    values, of = np.concatenate(sets), np.repeat(np.arange(n), sizes.astype(np.int64))
+    _, column, often = np.unique(values, return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    column, of = (np.cumsum(often > 1) - 1)[column[shared]], of[shared]
+    order = np.argsort(column, kind="stable")
+    column, of = column[order], of[order]
+    common, width = np.zeros((n, n)), 4096
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [start, start + width])
+        grid = np.zeros((n, width), dtype=np.float32)
+        grid[of[a:b], column[a:b] - start] = 1
+        common += grid @ grid.T
+    alike = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    alike &= component[:, None] != component[None, :]
+    if not left.all():
+        alike &= left[:, None] & ~left[None, :]
+    root = {int(c): int(c) for c in component}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    links = []
+    for i, j in np.argwhere(alike).tolist():
+        x, y = find(int(component[i])), find(int(component[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            links.append((i, j))
+    return links
+
+
+def _settled(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components within the buckets of ``rest`` (key, doc, n, component)."""
+    order = Window.partitionBy("key").orderBy("doc")
+    weight = F.col("n") + BLOCK_SHINGLES // BLOCK_MEMBERS
+    blocks = rest.withColumn("block", F.floor((F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, 0)) - weight) / BLOCK_SHINGLES).cast("int"))
+    blocks = blocks.withColumn("_last", F.max("block").over(Window.partitionBy("key")))
+    dealt = blocks.withColumn("_with", F.explode(F.sequence(F.lit(0), "_last")))
+    dealt = dealt.select("key", F.least("block", "_with").alias("i"), F.greatest("block", "_with").alias("j"), "block", "doc", "component")
+    filled = dealt.join(sets, F.col("doc") == F.col("doc_id")).drop("doc_id")
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        ids = group["doc"].to_numpy()
+        left = (group["block"] == group["i"]).to_numpy()
+        found = _links_between(group["component"].to_numpy(), list(group["shingles"]), left, percent)
+        return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype="int64")
+
+    return filled.groupBy("key", "i", "j").applyInPandas(settle, "a long, b long")
+
+
 def find_near_duplicates(
     docs: DataFrame, space: Workspace, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
     features = space.write(_features(docs, words, bands, rows), "features")
     same = ["n_shingles", "print_a", "print_b"]
-    named = features.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = named.groupBy(*same).agg(F.min("doc_id").alias("class_id"))
-    classed = space.write(named.select("doc_id", *same).join(classes, same).select("doc_id", "class_id", "n_shingles"), "classed")
+    named = features.filter("doc_id IS NOT NULL AND n_shingles > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    parts = named.groupBy(*same, "salt").agg(F.min("doc_id").alias("_least"))  # at most SALTS rows of a set go on
+    classes = parts.withColumn("class_id", F.min("_least").over(Window.partitionBy(*same))).drop("_least")
+    classed = space.write(named.select("doc_id", *same, "salt").join(classes, [*same, "salt"]).select("doc_id", "class_id", "n_shingles"), "classed")
 
     # one row for each class, band and bucket that holds more than one class
-    first = named.join(classes.select("class_id").distinct(), F.col("doc_id") == F.col("class_id"), "left_semi")
+    first = named.join(classed.select("class_id").distinct(), F.col("doc_id") == F.col("class_id"), "left_semi").dropDuplicates(["doc_id"])
     rows_of = first.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key")
     members = rows_of.withColumn("_least", F.min("doc").over(bucket)).withColumn("_most", F.max("doc").over(bucket))
@@ -171,31 +233,29 @@ def find_near_duplicates(
     named_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
     sets = space.write(_sets(named_docs, words).dropDuplicates(["doc_id"]), "sets")
 
-    links = labels = None
-    centers, turn = 1, 0
-    while True:
-        # the first `centers` members of each bucket meet all later ones that aren't connected to them yet
-        order = Window.partitionBy("key").orderBy("doc")
-        ranked = live.withColumn("_nth", F.row_number().over(order))
-        if labels is None:
-            ranked = ranked.withColumn("component", F.col("doc"))
-        heads = ranked.filter(F.col("_nth") <= centers).select("key", F.col("doc").alias("center"), F.col("n").alias("m"), F.col("component").alias("other"))
-        fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("center") < F.col("doc")) & (F.col("component") != F.col("other"))
-        pairs = ranked.join(heads, "key").filter(fits).select("center", "doc").distinct()
-        found = space.write(_alike(pairs, sets, percent), f"alike-{turn}")
-        links = found if links is None else links.unionByName(found)
-        if not found.isEmpty():
-            labels = components(links.select(F.col("center").alias("a"), F.col("doc").alias("b")), space, f"round-{turn}")
-        rest = ranked.filter(F.col("_nth") > centers).select("key", "doc", "n")
-        if labels is not None:
-            rest = rest.join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
-        else:
-            rest = rest.withColumn("component", F.col("doc"))
-        apart = rest.withColumn("_least", F.min("component").over(bucket)).withColumn("_most", F.max("component").over(bucket))
-        live = space.write(apart.filter("_least < _most").drop("_least", "_most"), f"live-{turn}")
-        turn, centers = turn + 1, centers * 4
-        if live.isEmpty():
-            break
+    # a star in each bucket: its smallest member meets all others
+    heads = live.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("head")).select("key", F.col("head.doc").alias("center"), F.col("head.n").alias("m"))
+    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("center") < F.col("doc"))
+    pairs = live.join(heads, "key").filter(fits).select("center", "doc").distinct()
+    links = space.write(_alike(pairs, sets, percent).select(F.col("center").alias("a"), F.col("doc").alias("b")), "star-links")
+    labels = None if links.isEmpty() else components(links, space, "stars")
+
+    # buckets that still hold several components are settled on full sets, in blocks of bounded size
+    rest = live.join(heads, "key").filter("doc <> center").select("key", "doc", "n")
+    if labels is not None:
+        rest = rest.join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
+    else:
+        rest = rest.withColumn("component", F.col("doc"))
+    open_buckets = rest.groupBy("key").agg(
+        F.min("component").alias("_least"), F.max("component").alias("_most"), F.count(F.lit(1)).alias("_n"), F.sum(F.shiftright(F.xxhash64("doc"), 16)).alias("_sum"), F.bit_xor(F.xxhash64("doc")).alias("_xor")
+    )
+    # many bands make the same bucket; one of them is enough
+    open_buckets = open_buckets.filter("_least < _most").groupBy("_n", "_sum", "_xor").agg(F.min("key").alias("key"))
+    rest = space.write(rest.join(open_buckets.select("key"), "key", "left_semi"), "open")
+    if not rest.isEmpty():
+        more = space.write(_settled(rest, sets, percent), "settled-links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more), space, "all")
 
     named_rows = classed
     if labels is not None:
