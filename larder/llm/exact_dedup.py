@@ -1,7 +1,8 @@
 """Exact duplicates of whole normalised texts by a distributed content sort.
 
-Sampled splitters range-partition the normalised texts, each partition is sorted, and neighbours are compared
-in full (a window over equal texts). Rows are dealt by (text, salt) so that a text which a third of all rows
+Sampled splitters range-partition the normalised texts by their first characters and then their SHA-256, each
+partition is sorted, and neighbours are compared in full (a window over equal texts). Rows are dealt by
+(text, salt) so that a text which a third of all rows
 hold is spread over many partitions; what each part retains, one narrow row, is then brought together by
 the SHA-256 of the normalised text.
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from larder.llm.workspace import Workspace, partitions_for
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
+#: Characters of a normalised text that splitters are sampled from.
+HEAD = 32
 #: Parts that the rows of one text are dealt to.
 SALTS = 64
 
@@ -31,20 +34,23 @@ def _parts(docs: DataFrame, space: Workspace) -> DataFrame:
     """A narrow row for each document: its rank in its part, and the part's best row and size."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.length(text).alias("n_points"), normalised(F.col("text")).alias("content"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    dealt = rows.repartitionByRange(partitions_for(docs.sparkSession), "content", "salt")
-    same = Window.partitionBy("content", "salt")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).withColumn("text_sha256", F.sha2("content", 256))
+    # splitters are sampled from the first characters, and from the digest where many texts begin alike
+    key = [F.substring("content", 1, HEAD).alias("head"), "text_sha256", "salt"]
+    dealt = rows.select("doc_id", "n_points", "content", *key).repartitionByRange(partitions_for(docs.sparkSession), "head", "text_sha256", "salt")
+    same = Window.partitionBy("head", "text_sha256", "salt", "content")
     best_first = same.orderBy(F.desc("n_points"), F.asc_nulls_last("doc_id"))
     ranked = dealt.withColumn("nth", F.row_number().over(best_first)).withColumn("part_size", F.count(F.lit(1)).over(same))
-    return space.write(ranked.select("doc_id", "salt", "n_points", "nth", "part_size", F.sha2("content", 256).alias("text_sha256")), "parts")
+    return space.write(ranked.select("doc_id", "salt", "n_points", "nth", "part_size", "text_sha256"), "parts")
 
 
 def find_duplicates(docs: DataFrame, space: Workspace) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs`` (doc_id, text)."""
     parts = _parts(docs, space)
     best = F.min(F.struct((-F.col("n_points")).alias("fewer"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "salt"))
-    groups = parts.filter("nth = 1").groupBy("text_sha256").agg(best.alias("best"), F.sum("part_size").alias("group_size"))
-    joined = parts.join(groups, "text_sha256")
+    group = Window.partitionBy("text_sha256")  # of the best rows of its parts, SALTS at most
+    groups = parts.filter("nth = 1").select("text_sha256", "salt", best.over(group).alias("best"), F.sum("part_size").over(group).alias("group_size"))
+    joined = parts.join(groups, ["text_sha256", "salt"])
     kept = (F.col("nth") == 1) & (F.col("salt") == F.col("best.salt"))
     return joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
 
