@@ -23,9 +23,9 @@ def upsert_items(stored: DataFrame, incoming: DataFrame, text: list[str], number
 
 
 def merge_saved_at(versions: DataFrame, key: str) -> DataFrame:
-    """Of all versions (key, saved_at, source, batch_ord) the best provenance, the earliest batch of equals."""
+    """Of all versions (key, saved_at, source, batch_ord) the best provenance, of equals the earliest batch, then the latest time."""
     rank = F.create_map(*[F.lit(x) for kv in SAVED_AT_RANK.items() for x in kv])[F.col("source")]
-    best = F.max_by(F.struct("saved_at", "source"), F.struct(rank.alias("r"), (-F.col("batch_ord")).alias("b")))
+    best = F.max_by(F.struct("saved_at", "source"), F.struct(rank.alias("r"), (-F.col("batch_ord")).alias("b"), "saved_at"))
     return versions.groupBy(key).agg(best.alias("best")).select(key, "best.saved_at", "best.source")
 
 
