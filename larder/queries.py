@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.functions.text import host, https_url, normalized_tags, path, tokens
-from larder.operators import changes, index, ingest, match, rank
+from larder.operators import changes, index, ingest, match, query, rank
 from larder.sources import tables
 from larder.streaming import chains
 
@@ -145,6 +145,71 @@ def d36_evaluate_retrieval(spark, d):
     return rank.retrieval_quality(found, labelled.unionByName(good))
 
 
+def d1_normalize_chips(spark, d):
+    chip = query.cleaned_chip(F.left("text", F.lit(70)))
+    return tables.read(spark, d, "documents").select("doc_id", chip.alias("chip"), query.chip_reason(chip).alias("reason"))
+
+
+def d2_split_pasted(spark, d):
+    return query.split_pasted(tables.read(spark, d, "benchmark"), "item_id", "text").select("item_id", F.col("ord").cast("long").alias("ord"), "part")
+
+
+def _lexicon(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Categories are the first words of part types, their terms the last words; brands are aliases of categories."""
+    words = tables.read(spark, d, "part").select("p_brand", F.split(F.lower("p_type"), " ").alias("w"))
+    pairs = words.select(F.get("w", F.lit(0)).alias("category"), F.element_at("w", -1).alias("term")).distinct()
+    categories = pairs.withColumn("ord", F.row_number().over(Window.partitionBy("category").orderBy("term")))
+    aliases = words.groupBy(F.lower("p_brand").alias("alias")).agg(F.min(F.get("w", F.lit(0))).alias("category"))
+    return categories, aliases
+
+
+def d6_expand_terms(spark, d):
+    words = tables.read(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.lit(0).alias("chip"), F.when(F.col("p_partkey") % 2 == 0, F.lower("p_brand")).otherwise(F.concat(F.lower(F.split_part("p_type", F.lit(" "), F.lit(1))), F.lit("s"))).alias("term"))
+    return query.expand_terms(words, *_lexicon(spark, d)).select("query_id", F.col("ord").cast("long").alias("ord"), "term")
+
+
+def d7_share_term_budget(spark, d):
+    counts = tables.read(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("n"))
+    return counts.select("conv_id", query.term_budget(F.col("n")).cast("long").alias("budget"))
+
+
+def d24_parse_cursors(spark, d):
+    cursor = F.concat_ws(":", F.when(F.col("o_orderkey") % 3 == 0, "d").otherwise("r"), F.col("o_orderkey"), F.col("o_custkey"))
+    offset, total = query.offset_cursor(cursor)
+    return tables.read(spark, d, "orders").select("o_orderkey", offset.alias("at"), total.alias("total"))
+
+
+def d28_suggest_chips(spark, d):
+    best = rank.ranked(_scores(spark, d).withColumn("score", F.round("score", 6)), 300)
+    found = rank.facets(best, tables.items(spark, d), "external_id", "author_handle", 3)
+    size = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
+    return found.join(size, "query_id").filter(F.col("n") >= F.when(F.col("candidates") >= 20, 2).otherwise(1)).select("query_id", "value", "n")
+
+
+def d31_did_you_mean(spark, d):
+    names = tables.read(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
+    typed = names.select(F.concat(F.left("word", F.lit(1)), F.substring("word", 3, 99)).alias("word")).distinct().join(names, "word", "left_anti")
+    return query.did_you_mean(typed, names)
+
+
+def d35_append_pages(spark, d):
+    pages = tables.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("external_id"), F.col("l_linenumber").alias("nth"))
+    return pages.groupBy("external_id").agg(F.min(F.struct("page", "nth")).alias("first")).select("external_id", "first.page", "first.nth")
+
+
+def c10_match_accounts(spark, d):
+    c = tables.read(spark, d, "customer")
+    given = F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey") + F.when(F.col("c_custkey") % 7 == 0, 1).otherwise(0))
+    bound = F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey"))
+    handle = F.when(F.col("c_custkey") % 5 == 0, F.concat("c_name", F.lit("x"))).otherwise(F.upper("c_name"))
+    return c.select("c_custkey", query.match_account(given, handle, bound, F.col("c_name")).alias("match"))
+
+
+def f12_absorb_collections(spark, d):
+    rows = tables.read(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderpriority").alias("id"), F.col("o_orderkey").alias("arrival"), F.col("o_orderstatus").alias("name"))
+    return rows.groupBy("run", "id").agg(F.max_by("name", "arrival").alias("name"), F.min("arrival").alias("first"))
+
+
 def a8_list_collections(spark, d):
     return tables.list_collections(tables.collections(spark, d), tables.memberships(spark, d))
 
@@ -325,6 +390,20 @@ ORACLES = {
     "d30_vocabulary": "SELECT unnest(string_split(lower(p_type), ' ')) AS word FROM part UNION SELECT lower(p_brand) FROM part UNION SELECT lower(o_orderpriority) FROM orders",
     "d34_narrowest_chip": f"WITH {_CHIPS}, k AS (SELECT query_id, chip, count(id) AS n FROM chips LEFT JOIN hits USING (query_id, chip) GROUP BY ALL) SELECT query_id, chip FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n, chip) AS r FROM k) WHERE r = 1",
     "d36_evaluate_retrieval": f"WITH {_CHIPS} SELECT query_id, count(l.doc_id) AS hits, count(*) AS found, count(l.doc_id) AS wanted FROM anyhit LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON id = l.doc_id GROUP BY query_id",
+    "d1_normalize_chips": r"WITH t AS (SELECT doc_id, lower(trim(regexp_replace(trim(regexp_replace(left(text, 70), '\s+', ' ', 'g')), '^[#@]+', ''))) AS chip FROM documents) SELECT doc_id, chip, CASE WHEN chip = '' THEN 'empty' WHEN length(chip) > 64 THEN 'too_long' WHEN NOT regexp_matches(chip, '[\p{L}\p{N}]') THEN 'no_text' END AS reason FROM t",
+    "d2_split_pasted": r"WITH s AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[,\n\r;]+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM benchmark) SELECT item_id, unnest(p) AS part, generate_subscripts(p, 1) - 1 AS ord FROM s",
+    "d6_expand_terms": """WITH w AS (SELECT p_partkey, lower(p_brand) AS brand, string_split(lower(p_type), ' ') AS w FROM part), pairs AS (SELECT DISTINCT w[1] AS category, w[-1] AS term FROM w),
+cats AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY term) AS ord FROM pairs), al AS (SELECT brand, min(w[1]) AS category FROM w GROUP BY brand),
+q AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 2 = 0 THEN al.category ELSE w[1] END AS category, CASE WHEN p_partkey % 2 = 0 THEN w.brand ELSE w[1] || 's' END AS own FROM w JOIN al USING (brand))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS ord, term FROM q JOIN cats USING (category) WHERE term <> own""",
+    "d7_share_term_budget": "SELECT conv_id, CASE WHEN n <= 1 THEN 30 ELSE greatest(8, least(30, floor(60 / n))) END::BIGINT AS budget FROM (SELECT conv_id, count(*) FILTER (role = 'user') AS n FROM conversations GROUP BY conv_id)",
+    "d24_parse_cursors": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN least(o_orderkey, 1000) END AS at, CASE WHEN o_orderkey % 3 <> 0 THEN least(o_custkey, 10001) END AS total FROM orders",
+    "d28_suggest_chips": f"WITH {_CHIPS}, f AS (SELECT query_id, source AS value, count(*) AS n FROM ranked JOIN documents ON id = doc_id WHERE rank <= 300 GROUP BY ALL), k AS (SELECT query_id, least(count(*), 300) AS c FROM ranked GROUP BY query_id) SELECT query_id, value, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, value) AS k FROM f) JOIN k USING (query_id) WHERE k <= 3 AND n >= CASE WHEN c >= 20 THEN 2 ELSE 1 END",
+    "d31_did_you_mean": "WITH v AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS m FROM part), t AS (SELECT DISTINCT left(m, 1) || substring(m, 3) AS word FROM v), d AS (SELECT word, m, damerau_levenshtein(word, m) AS d FROM t, v WHERE word NOT IN (SELECT m FROM v) AND length(word) >= 3 AND length(m) >= 3) SELECT word, m AS meant FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, left(word, 1) <> left(m, 1), m) AS r FROM d WHERE d <= CASE WHEN length(word) <= 4 THEN 1 ELSE 2 END) WHERE r = 1",
+    "d35_append_pages": "SELECT external_id, page, nth FROM (SELECT l_partkey AS external_id, l_orderkey AS page, l_linenumber AS nth, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1",
+    "c10_match_accounts": """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey + (c_custkey % 7 = 0)::INT END AS a, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS b, c_custkey % 5 <> 0 AS same FROM customer)
+SELECT c_custkey, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN a <> b THEN 'different' WHEN same THEN 'same' ELSE 'renamed' END WHEN same THEN CASE WHEN b IS NULL AND a IS NOT NULL THEN 'upgraded' ELSE 'same' END ELSE 'different' END AS match FROM c""",
+    "f12_absorb_collections": "SELECT o_custkey AS run, o_orderpriority AS id, arg_max(o_orderstatus, o_orderkey) AS name, min(o_orderkey) AS first FROM orders GROUP BY ALL",
     "a8_list_collections": f"WITH {_MEMBERS} SELECT o_orderkey AS collection_id, o_orderpriority AS name, count(external_id) AS held FROM orders LEFT JOIN m ON o_orderkey = collection_id GROUP BY ALL",
     "a9_library_stats": f"WITH {_MEMBERS} SELECT (SELECT count(*) FROM part) AS items, (SELECT count(*) FROM orders) AS collections, (SELECT count(*) FROM m) AS memberships, (SELECT count(DISTINCT t) FROM (SELECT unnest(string_split(lower(p_type), ' ')) AS t FROM part)) AS hashtags",
     "b1_validate_captures": "SELECT event_id AS arrival_ord, CASE WHEN coalesce(props, '') = '' THEN 'malformed' WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'unknown_kind' WHEN abs((epoch_us(ts) // 1000) - (SELECT max((epoch_us(ts) // 1000)) FROM events)) > 15 * 86400000 THEN 'stale' WHEN length(props) > 9 THEN 'too_large' ELSE 'pass' END AS reason FROM events",

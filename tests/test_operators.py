@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.functions.text import nfkc, normalized_tags, tolerant_long
-from larder.operators import changes, match
-from larder.streaming import chains
+from larder.operators import changes, match, query
+from larder.streaming import chains, ingest
 
 
 def test_tags_lose_hash_case_and_repeats(spark):
@@ -46,3 +46,30 @@ def test_chain_needs_each_request_to_follow(spark, requests, gap):
     start = F.col("request").isNull()
     got = chains.chain_gaps(chains.page_segments(pages, ["list"], ["ord"], start), ["list"], ["ord"], start, "request", "response").collect()
     assert [(r["segment"], r["pages"], r["gap"]) for r in got] == [(1, 3, gap)]
+
+
+def test_alignment_distance_counts_a_swap_once():
+    assert [query.osa(a, b) for a, b in (("food", "fodo"), ("", "ab"), ("kitten", "sitting"), ("ca", "abc"))] == [1, 2, 3, 3]
+
+
+def test_cursor_of_another_kind_is_refused(spark):
+    df = spark.createDataFrame([("r:5:20000",), ("d:5:7",), (None,), ("r:x:1",)], "c string")
+    assert [tuple(r) for r in df.select(*query.offset_cursor(F.col("c"))).collect()] == [(5, 10001), (None, None), (None, None), (None, None)]
+
+
+def test_expansion_takes_the_first_known_form(spark):
+    chips = spark.createDataFrame([(1, 0, "berries"), (1, 1, "cooking"), (2, 0, "none")], "query_id int, chip int, term string")
+    categories = spark.createDataFrame([("berry", 1, "fruit"), ("berry", 2, "berry"), ("food", 1, "meal")], "category string, ord int, term string")
+    aliases = spark.createDataFrame([("cook", "food")], "alias string, category string")
+    assert sorted(map(tuple, query.expand_terms(chips, categories, aliases).collect())) == [(1, 0, 1, "fruit"), (1, 0, 2, "berry"), (1, 1, 1, "meal")]
+
+
+def test_stream_of_captures_is_applied_once(spark, tmp_path):
+    kind = "batch string, external_id long, caption string, views long, captured_at long"
+    for n, rows in enumerate([[("a", 1, "one", 1, 10), ("a", 2, "two", 1, 10), ("a", 9, "late", 1, -9)], [("b", 2, "new two", 3, 20), ("b", 2, None, 4, 21)], [("b", 2, None, 4, 21)]]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").json(str(tmp_path / "in" / str(n)))
+        stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
+        ingest.run(stream, str(tmp_path / "out"), F.col("captured_at") >= 0).awaitTermination(120)
+    state = ingest.current(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, state.select("external_id", "caption", "views").collect())) == [(1, "one", 1), (2, "new two", 4)]
+    assert [r["external_id"] for r in spark.read.parquet(str(tmp_path / "out" / "rejected")).collect()] == [9]
