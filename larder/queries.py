@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.functions.text import host, https_url, normalized_tags, path, tokens
-from larder.operators import changes, index, ingest, match, query, rank
+from larder.operators import changes, enrich, index, ingest, match, query, rank
+from larder.plans.search import search
 from larder.sources import tables
 from larder.streaming import chains
 
@@ -132,6 +133,19 @@ def d30_vocabulary(spark, d):
     return tags.unionByName(items.select(F.lower("author_handle").alias("word"))).unionByName(tables.collections(spark, d).select(F.lower("name").alias("word"))).distinct()
 
 
+def d32_explain_matches(spark, d):
+    chips, _, post = _index(spark, d)
+    best = rank.ranked(_scores(spark, d).withColumn("score", F.round("score", 6)), 30)
+    return enrich.explain(chips, post, best).withColumn("chip", F.col("chip").cast("long"))
+
+
+def d33_highlight(spark, d):
+    chips, _, _ = _index(spark, d)
+    best = rank.ranked(_scores(spark, d).withColumn("score", F.round("score", 6)), 30)
+    shown = enrich.highlight(best, chips, tables.items(spark, d), "external_id", "caption")
+    return shown.select("query_id", "id", F.size(F.filter("segments", lambda x: x["hit"])).alias("hits"), F.length(F.array_join(F.transform("segments", lambda x: x["text"]), "")).alias("chars"))
+
+
 def d34_narrowest_chip(spark, d):
     chips, _, post = _index(spark, d)
     return match.narrowest_chip(match.chip_counts(match.term_hits(chips, post), chips)).select("query_id", F.col("chip").cast("long").alias("chip"))
@@ -210,6 +224,14 @@ def f12_absorb_collections(spark, d):
     return rows.groupBy("run", "id").agg(F.max_by("name", "arrival").alias("name"), F.min("arrival").alias("first"))
 
 
+def d38_search(spark, d):
+    chips = match.query_chips(tables.read(spark, d, "benchmark"), "item_id", "text", 1, CHIPS)
+    items = tables.items(spark, d)
+    found = search(chips, items, {"caption": "caption"}, mode="all")
+    shown = found.results.join(items.select(F.col("external_id").alias("id"), "author_handle", "language"), "id").join(found.totals, "query_id")
+    return shown.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "author_handle", "language", "total")
+
+
 def a8_list_collections(spark, d):
     return tables.list_collections(tables.collections(spark, d), tables.memberships(spark, d))
 
@@ -388,6 +410,8 @@ ORACLES = {
     "d27_facet_counts": f"WITH {_CHIPS}, f AS (SELECT query_id, source AS value, count(*) AS n FROM ranked JOIN documents ON id = doc_id WHERE rank <= 300 GROUP BY ALL) SELECT query_id, value, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, value) AS k FROM f) WHERE k <= 8",
     "d29_chip_counts": f"WITH {_CHIPS} SELECT query_id, chip, term, count(id) AS n FROM chips LEFT JOIN hits USING (query_id, chip) GROUP BY ALL",
     "d30_vocabulary": "SELECT unnest(string_split(lower(p_type), ' ')) AS word FROM part UNION SELECT lower(p_brand) FROM part UNION SELECT lower(o_orderpriority) FROM orders",
+    "d32_explain_matches": f"WITH {_CHIPS} SELECT r.query_id, r.id, c.chip, count(p.pos) AS places, CASE WHEN count(p.pos) > 0 THEN 'caption' ELSE '' END AS fields FROM ranked r JOIN chips c USING (query_id) LEFT JOIN post p ON p.id = r.id AND p.term = c.term WHERE rank <= 30 GROUP BY ALL",
+    "d38_search": f"WITH {_CHIPS}, m AS (SELECT query_id, id FROM (SELECT query_id, id, count(*) AS k FROM hits GROUP BY ALL) JOIN sizes USING (query_id) WHERE k = n), t AS (SELECT query_id, count(*) AS total FROM m GROUP BY query_id) SELECT query_id, rank, id, source AS author_handle, lang AS language, total FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM m JOIN scores USING (query_id, id)) JOIN documents ON id = doc_id JOIN t USING (query_id) WHERE rank <= 30",
     "d34_narrowest_chip": f"WITH {_CHIPS}, k AS (SELECT query_id, chip, count(id) AS n FROM chips LEFT JOIN hits USING (query_id, chip) GROUP BY ALL) SELECT query_id, chip FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n, chip) AS r FROM k) WHERE r = 1",
     "d36_evaluate_retrieval": f"WITH {_CHIPS} SELECT query_id, count(l.doc_id) AS hits, count(*) AS found, count(l.doc_id) AS wanted FROM anyhit LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON id = l.doc_id GROUP BY query_id",
     "d1_normalize_chips": r"WITH t AS (SELECT doc_id, lower(trim(regexp_replace(trim(regexp_replace(left(text, 70), '\s+', ' ', 'g')), '^[#@]+', ''))) AS chip FROM documents) SELECT doc_id, chip, CASE WHEN chip = '' THEN 'empty' WHEN length(chip) > 64 THEN 'too_long' WHEN NOT regexp_matches(chip, '[\p{L}\p{N}]') THEN 'no_text' END AS reason FROM t",
@@ -432,4 +456,5 @@ FROM st FULL JOIN i USING (external_id)""",
     "f8_detect_stalls": f"WITH {_EVENTS} SELECT * FROM (SELECT viewer_id, arrival_ord, lead(captured_at) OVER (PARTITION BY viewer_id ORDER BY arrival_ord) - captured_at AS gap_ms FROM p) WHERE gap_ms > 120000",
     "f11_run_totals": f"WITH {_EVENTS} SELECT viewer_id, arrival_ord, count(*) OVER w AS pages_so_far, (sum(items) OVER w)::BIGINT AS items_so_far, (sum(inserted) OVER w)::BIGINT AS inserted_so_far FROM p WINDOW w AS (PARTITION BY viewer_id ORDER BY arrival_ord)",
 }
-QUERIES = {name: globals()[name] for name in ORACLES}
+#: A highlight has no SQL form; tests check its parts.
+QUERIES = {name: globals()[name] for name in [*ORACLES, "d33_highlight"]}

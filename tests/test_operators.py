@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.functions.text import nfkc, normalized_tags, tolerant_long
-from larder.operators import changes, match, query
+from larder.operators import changes, enrich, match, query
 from larder.streaming import chains, ingest
 
 
@@ -73,3 +73,15 @@ def test_stream_of_captures_is_applied_once(spark, tmp_path):
     state = ingest.current(spark, str(tmp_path / "out"))
     assert sorted(map(tuple, state.select("external_id", "caption", "views").collect())) == [(1, "one", 1), (2, "new two", 4)]
     assert [r["external_id"] for r in spark.read.parquet(str(tmp_path / "out" / "rejected")).collect()] == [9]
+
+
+@pytest.mark.parametrize("caption", ["Cooking a meal, cook!", "", None, "nothing", "cook " * 10])
+def test_highlight_keeps_the_caption(caption):
+    parts = enrich.segments_of(caption, ["cook"])
+    assert "".join(t for t, _ in parts) == (caption or "")
+    assert [t.lower()[:4] for t, hit in parts if hit] == ["cook"] * (caption or "").lower().count("cook")
+
+
+def test_long_captions_are_cut_around_the_first_hit():
+    parts = enrich.segments_of("x " * 300 + "cook" + " y" * 300, ["cook"])
+    assert parts[0] == parts[-1] == ("…", False) and ("cook", True) in parts and sum(len(t) for t, _ in parts) == enrich.WINDOW_CHARS + 2

@@ -23,7 +23,7 @@ def rows(df: pd.DataFrame) -> list:
     return sorted(tuple("NULL" if pd.isna(x) else f"{x:.6g}" if isinstance(x, float) else str(x) for x in r) for r in df.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", list(library.QUERIES))
+@pytest.mark.parametrize("name", list(library.ORACLES))
 def test_query_equals_sql(spark, duck, name):
     found, wanted = library.QUERIES[name](spark, FOLDER).toPandas(), duck.execute(library.ORACLES[name]).df()
     assert sorted(found.columns) == sorted(wanted.columns)
