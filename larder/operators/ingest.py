@@ -40,3 +40,33 @@ def content_hash(columns: list[str]) -> Column:
 
 def capture_metrics(captures: DataFrame, by: list[str]) -> DataFrame:
     return captures.groupBy(*by).agg(F.count(F.lit(1)).alias("pages"), F.min("captured_at").alias("first_at"), F.max("captured_at").alias("last_at"), F.max_by("arrival_ord", F.struct("captured_at", "arrival_ord")).alias("last_page"))
+
+
+def identity_reason(viewer: Column, page_owner: Column, payload_owner: Column) -> Column:
+    """Why a capture isn't of the viewer's own data, or null. Handles are compared without case; a payload may name nobody."""
+    same = lambda a, b: F.coalesce(F.lower(a) == F.lower(b), F.lit(False))
+    return (
+        F.when(F.coalesce(viewer, F.lit("")) == "", "no_viewer")
+        .when(~same(viewer, page_owner), "not_own_page")
+        .when(payload_owner.isNotNull() & ~same(viewer, payload_owner), "not_own_data")
+    )
+
+
+def valid_account(handle: Column, identifier: Column) -> Column:
+    """Well-formed handle, and no identifier or a well-formed one."""
+    return F.coalesce(handle.rlike(r"^[A-Za-z0-9._]{1,64}$"), F.lit(False)) & F.coalesce(identifier.rlike(r"^\d{1,30}$"), F.lit(True))
+
+
+def search_docs(items: DataFrame, names: DataFrame, key: str, sound: tuple[str, ...] = ()) -> DataFrame:
+    """key and five texts of each item: caption, hashtags, author, sound, and its collections' names (key, name) in order."""
+    named = names.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("_names"))
+    words = lambda *columns: F.concat_ws(" ", *columns)
+    return items.join(named, key, "left").select(
+        key, F.coalesce("caption", F.lit("")).alias("caption_text"), words("hashtags").alias("hashtags_text"), words("author_handle").alias("author_text"),
+        (words(*sound) if sound else F.lit("")).alias("sound_text"), F.coalesce("_names", F.lit("")).alias("collections_text"),
+    )
+
+
+def canonical_url(base: str, handle: Column, media_type: Column, external_id: Column) -> Column:
+    """A link back to the post; null without a handle or id."""
+    return F.concat(F.lit(f"{base}/@"), F.nullif(handle, F.lit("")), F.lit("/"), F.coalesce(media_type, F.lit("video")), F.lit("/"), external_id)
