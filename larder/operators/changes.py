@@ -46,3 +46,83 @@ def guard_reconcile(stored: DataFrame, seen: DataFrame, scope: str, least: int =
 def flag_repeats(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     """The first row of each ``by``."""
     return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy(order))).filter("_nth = 1").drop("_nth")
+
+
+def refresh_stats(stored: DataFrame, incoming: DataFrame, numbers: list[str], key: str = "external_id") -> DataFrame:
+    """Stored rows with given numbers taken, ``is_ad`` always replaced and seen rows available again."""
+    i = incoming.select(key, *[F.col(c).alias(f"_i_{c}") for c in numbers], F.col("is_ad").alias("_ad"), F.lit(True).alias("_seen"))
+    seen = F.col("_seen").isNotNull()
+    return stored.join(i, key, "left").select(
+        key, *[F.coalesce(f"_i_{c}", c).alias(c) for c in numbers], F.when(seen, F.coalesce("_ad", F.lit(False))).otherwise(F.col("is_ad")).alias("is_ad"), (seen | F.col("available")).alias("available")
+    )
+
+
+def date_new_saves(new_items: DataFrame, established: DataFrame, by: str, order: str) -> DataFrame:
+    """New items with saved_at and source: on the head page of a list whose library (``established``: by) already has an
+    order they are dated one second apart before ``synced_at``, in page order; others keep what they came with."""
+    marked = new_items.join(established.select(by).distinct().withColumn("_old", F.lit(True)), by, "left")
+    head = F.col("head_of_list") & F.col("_old").isNotNull()
+    nth = F.row_number().over(Window.partitionBy(by, "batch_id").orderBy(order))
+    given = F.coalesce("saved_at", "synced_at")
+    source = F.when(F.col("saved_at").isNull(), "first_seen").otherwise(F.coalesce("saved_at_source", F.lit("unknown")))
+    dated = marked.withColumn("_nth", nth)
+    return dated.withColumns({"saved_at_source": F.when(head, "first_seen").otherwise(source), "saved_at": F.when(head, F.col("synced_at") - F.col("_nth") * 1000).otherwise(given)}).drop("_old", "_nth")
+
+
+def upsert_collections(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """collection_id, name, declared_total, action: kept, inserted, renamed or touched; a missing total keeps the stored one."""
+    s = stored.select("collection_id", F.col("name").alias("_n"), F.col("declared_total").alias("_t"), F.lit(True).alias("_s"))
+    i = incoming.select("collection_id", "name", "declared_total", F.lit(True).alias("_i"))
+    action = F.when(F.col("_i").isNull(), "kept").when(F.col("_s").isNull(), "inserted").when(~F.col("name").eqNullSafe(F.col("_n")), "renamed").otherwise("touched")
+    return s.join(i, "collection_id", "full_outer").select("collection_id", F.coalesce("name", "_n").alias("name"), F.coalesce("declared_total", "_t").alias("declared_total"), action.alias("action"))
+
+
+def split_memberships(incoming: DataFrame, items: DataFrame, collections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Memberships that can be applied, and those whose item or collection is unknown."""
+    marked = incoming.join(items.select("external_id").distinct().withColumn("_item", F.lit(True)), "external_id", "left").join(collections.select("collection_id").distinct().withColumn("_coll", F.lit(True)), "collection_id", "left")
+    known = F.col("_item").isNotNull() & F.col("_coll").isNotNull()
+    return marked.filter(known).select(incoming.columns), marked.filter(~known).select(incoming.columns)
+
+
+def upsert_memberships(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """external_id, collection_id, position, action: kept, inserted, moved or same."""
+    key = ["external_id", "collection_id"]
+    s, i = stored.select(*key, F.col("position").alias("_s")), incoming.select(*key, F.col("position").alias("_i"))
+    action = F.when(F.col("_i").isNull(), "kept").when(F.col("_s").isNull(), "inserted").when(F.col("_i") != F.col("_s"), "moved").otherwise("same")
+    return s.join(i, key, "full_outer").select(*key, F.coalesce("_i", "_s").alias("position"), action.alias("action"))
+
+
+def replace_hashtags(stored: DataFrame, incoming: DataFrame, key: str = "external_id") -> DataFrame:
+    """key, hashtags: given tags (an empty list too) replace the stored ones, null keeps them."""
+    return stored.select(key, F.col("hashtags").alias("_s")).join(incoming.select(key, F.col("hashtags").alias("_i")), key, "full_outer").select(key, F.coalesce("_i", "_s").alias("hashtags"))
+
+
+def affected_docs(items: DataFrame, members: DataFrame, collections: DataFrame) -> DataFrame:
+    """external_id of search documents to rebuild, from the results of the upserts: new or changed text, a new
+    membership, or a member of a renamed collection."""
+    text = items.filter(F.col("action").isin("inserted", "reindexed")).select("external_id")
+    joined = members.filter("action = 'inserted'").select("external_id")
+    renamed = members.join(collections.filter("action = 'renamed'").select("collection_id"), "collection_id", "left_semi").select("external_id")
+    return text.unionByName(joined).unionByName(renamed).distinct()
+
+
+def bind_accounts(batches: DataFrame, bound: DataFrame, match) -> DataFrame:
+    """platform, batch_id, match, accepted. A platform that isn't bound is bound by its first batch; a batch of a
+    different account is refused whole. ``match`` (id, handle, bound id, bound handle) says how two accounts stand."""
+    first = batches.groupBy("platform").agg(F.min_by(F.struct("id", "handle"), "batch_id").alias("_first"))
+    owner = first.join(bound.select("platform", F.struct("id", "handle").alias("_bound")), "platform", "left").select("platform", F.coalesce("_bound", "_first").alias("_owner"))
+    out = batches.join(owner, "platform").withColumn("match", match(F.col("id"), F.col("handle"), F.col("_owner.id"), F.col("_owner.handle")))
+    return out.select("platform", "batch_id", "match", (F.col("match") != "different").alias("accepted"))
+
+
+def reconcile_collections(stored: DataFrame, seen: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Memberships with ``dropped``: in collections that were read completely (``allowed``: collection_id), those not seen."""
+    scope = allowed.select("collection_id").distinct().withColumn("_read", F.lit(True))
+    marks = seen.select("collection_id", "external_id").distinct().withColumn("_seen", F.lit(True))
+    both = stored.join(scope, "collection_id", "left").join(marks, ["collection_id", "external_id"], "left")
+    return both.withColumn("dropped", F.col("_read").isNotNull() & F.col("_seen").isNull()).drop("_read", "_seen")
+
+
+def flag_duplicate_pages(rows: DataFrame, page: str) -> DataFrame:
+    """page, duplicate: the page held items but inserted none (``action`` of its items)."""
+    return rows.groupBy(page).agg((F.count_if(F.col("action") == "inserted") == 0).alias("duplicate"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larder.functions.text import host, https_url, normalized_tags, path, tokens
 from larder.operators import changes, enrich, index, ingest, match, query, rank
 from larder.plans.search import search
-from larder.registered import payloads
+from larder.registered import library, payloads
 from larder.sources import tables
 from larder.streaming import chains
 
@@ -311,10 +311,6 @@ def c3_merge_saved_at(spark, d):
     return changes.merge_saved_at(rows, "l_orderkey")
 
 
-def c6_upsert_memberships(spark, d):
-    return tables.memberships(spark, d)
-
-
 def c8_recount_collections(spark, d):
     return tables.memberships(spark, d).groupBy("collection_id").agg(F.count(F.lit(1)).alias("held"))
 
@@ -447,7 +443,6 @@ SELECT external_id, coalesce(i.caption, st.caption) AS caption, st.author_handle
 CASE WHEN i.external_id IS NULL THEN 'kept' WHEN st.external_id IS NULL THEN 'inserted' WHEN i.caption IS NOT NULL AND i.caption IS DISTINCT FROM st.caption THEN 'reindexed' ELSE 'touched' END AS action
 FROM st FULL JOIN i USING (external_id)""",
     "c3_merge_saved_at": "SELECT l_orderkey, strftime(l_shipdate, '%Y-%m-%d') AS saved_at, source FROM (SELECT l_orderkey, l_shipdate, ['exact', 'first_seen', 'interpolated', 'unknown'][l_linenumber % 4 + 1] AS source, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 4, l_linenumber, l_shipdate DESC) AS r FROM lineitem) WHERE r = 1",
-    "c6_upsert_memberships": f"WITH {_MEMBERS} SELECT * FROM m",
     "c8_recount_collections": f"WITH {_MEMBERS} SELECT collection_id, count(*) AS held FROM m GROUP BY collection_id",
     "c12_reconcile_saved": f"WITH {_MEMBERS} SELECT collection_id, count(*) FILTER (external_id % 5 <> 0) AS available, count(*) FILTER (external_id % 5 = 0) AS gone FROM m GROUP BY collection_id",
     "c14_guard_reconcile": f"WITH {_MEMBERS}, g AS (SELECT collection_id, count(*) AS stored, count(*) FILTER (external_id % 3 = 0) AS seen FROM m GROUP BY collection_id) SELECT *, seen > 0 AND (stored < 3 OR 2 * seen >= stored) AS allowed FROM g",
@@ -459,6 +454,6 @@ FROM st FULL JOIN i USING (external_id)""",
 }
 #: A highlight has no SQL form; tests check its parts.
 QUERIES = {name: globals()[name] for name in [*ORACLES, "d33_highlight"]}
-for _subject in (payloads,):
+for _subject in (payloads, library):
     QUERIES |= _subject.QUERIES
     ORACLES |= _subject.ORACLES
