@@ -104,3 +104,31 @@ def match_account(id_new: Column, handle_new: Column, id_old: Column, handle_old
         .when(same_handle, F.when(id_old.isNull() & id_new.isNotNull(), "upgraded").otherwise("same"))
         .otherwise("different")
     )
+
+
+SORTS, MODES = ("relevance", "recently_saved", "newest", "most_viewed"), ("all", "any")
+SORT_LETTERS = {"recently_saved": "s", "newest": "n", "most_viewed": "v"}
+_OFFSET, _KEYSET = r"^r:\d{1,6}:\d{1,6}$", r"^([kd]):([snv]):(-?\d{1,16}):(\d{1,16}):(\d{1,6})$"
+
+
+def checked_requests(requests: DataFrame) -> DataFrame:
+    """Requests (mode, sort, limit, cursor, n_chips; null takes the default) with defaults filled in and ``reason`` if refused."""
+    mode, limit = F.coalesce("mode", F.lit("all")), F.coalesce("limit", F.lit(30))
+    asked = F.coalesce("sort", F.when(F.col("n_chips") > 0, "relevance").otherwise("recently_saved"))
+    sort = F.when((F.col("n_chips") == 0) & (asked == "relevance"), "recently_saved").otherwise(asked)
+    letter = F.create_map(*[F.lit(x) for kv in SORT_LETTERS.items() for x in kv])[sort]
+    cursor, keyset = F.col("cursor"), F.col("cursor").rlike(_KEYSET)
+    offset = cursor.rlike(_OFFSET)
+    wrong = F.when(sort == "relevance", keyset & (F.regexp_extract("cursor", _KEYSET, 2) != "s")).otherwise(offset | (F.regexp_extract("cursor", _KEYSET, 1) == "d") | (F.regexp_extract("cursor", _KEYSET, 2) != letter))
+    reason = (
+        F.when(~mode.isin(*MODES), "mode").when(~asked.isin(*SORTS), "sort").when((limit < 1) | (limit > 100), "limit")
+        .when(cursor.isNotNull() & ~keyset & ~offset, "malformed_cursor").when(F.col("n_chips") > 20, "too_many_chips").when(cursor.isNotNull() & wrong, "other_cursor")
+    )
+    return requests.withColumns({"mode": mode, "sort": sort, "limit": limit, "reason": reason})
+
+
+def keyset_cursor(cursor: Column, most: int = 10_001) -> Column:
+    """direct, sort, value, id, total of a ``k`` or ``d`` cursor, the total clamped; null if it isn't one."""
+    part = lambda i: F.regexp_extract(cursor, _KEYSET, i)
+    fields = F.struct((part(1) == "d").alias("direct"), part(2).alias("sort"), part(3).try_cast("long").alias("value"), part(4).try_cast("long").alias("id"), F.least(part(5).try_cast("long"), F.lit(most)).alias("total"))
+    return F.when(cursor.rlike(_KEYSET), fields)

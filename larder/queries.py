@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larder.functions.text import host, https_url, normalized_tags, path, tokens
 from larder.operators import changes, enrich, index, ingest, match, query, rank
 from larder.plans.search import search
-from larder.registered import library, payloads
+from larder.registered import library, lists, payloads, searches
 from larder.sources import tables
 from larder.streaming import chains
 
@@ -454,6 +454,6 @@ FROM st FULL JOIN i USING (external_id)""",
 }
 #: A highlight has no SQL form; tests check its parts.
 QUERIES = {name: globals()[name] for name in [*ORACLES, "d33_highlight"]}
-for _subject in (payloads, library):
+for _subject in (payloads, library, searches, lists):
     QUERIES |= _subject.QUERIES
     ORACLES |= _subject.ORACLES
