@@ -70,3 +70,12 @@ def search_docs(items: DataFrame, names: DataFrame, key: str, sound: tuple[str,
 def canonical_url(base: str, handle: Column, media_type: Column, external_id: Column) -> Column:
     """A link back to the post; null without a handle or id."""
     return F.concat(F.lit(f"{base}/@"), F.nullif(handle, F.lit("")), F.lit("/"), F.coalesce(media_type, F.lit("video")), F.lit("/"), external_id)
+
+
+def inconsistent_docs(stored: DataFrame, computed: DataFrame, key: str) -> DataFrame:
+    """key, problem: search documents that are missing, left over or different from what the items give now."""
+    columns = [c for c in computed.columns if c != key]
+    pack = lambda df, name: df.select(key, F.struct(*columns).alias(name))
+    both = pack(stored, "_s").join(pack(computed, "_c"), key, "full_outer")
+    problem = F.when(F.col("_s").isNull(), "missing").when(F.col("_c").isNull(), "left_over").when(~F.col("_s").eqNullSafe(F.col("_c")), "different")
+    return both.select(key, problem.alias("problem")).filter("problem IS NOT NULL")

@@ -1,4 +1,4 @@
-"""Search for a table of queries: matches, totals, ranked results and facets."""
+"""Search for a table of queries: matches, totals, ranked results and facets, with or without related terms."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators import index, match, rank
+from larder.operators import index, match, rank, terms
 
 
 @dataclass
@@ -28,3 +28,21 @@ def search(chips: DataFrame, items: DataFrame, fields: dict[str, str], mode: str
     leading = rank.ranked(scores, 300)
     facets = rank.facets(leading, items, id_column, facet, 8)
     return Search(matches, rank.totals(matches), leading.filter(F.col("rank") <= page), facets)
+
+
+def search_related(chips: DataFrame, related: DataFrame, items: DataFrame, fields: dict[str, str], saved_at: str, mode: str = "all", page: int = 30, facet: str = "author_handle", too_broad: int = rank.TOTAL_CAP - 1, id_column: str = "external_id") -> Search:
+    """Chips (query_id, chip, text) and their related terms (query_id, chip, ord, term) over ``items``.
+
+    Queries with too many matches are listed newest saved first; the others are ranked in two tiers. ``results`` has
+    query_id, id, rank, mode; ``totals`` query_id, total, mode."""
+    post = index.postings(items, fields, id_column)
+    found = terms.places(terms.own_terms(chips).unionByName(terms.related_terms(related)), post)
+    sizes = chips.groupBy("query_id").agg(F.count_distinct("chip").alias("n_chips"))
+    matches = terms.query_matches(terms.chip_matches(found), sizes, mode)
+    modes = terms.list_modes(matches, too_broad)
+    narrow = matches.join(modes.filter("mode = 'relevance'").select("query_id"), "query_id", "left_semi")
+    ranked = terms.rank_tiers(terms.scores(found, narrow, index.document_stats(post)), 300).select("query_id", "id", "rank")
+    listed = terms.listed(matches, modes, items.select(F.col(id_column).alias("id"), F.col(saved_at).alias("saved_at")), 300)
+    leading = ranked.unionByName(listed)
+    results = leading.filter(F.col("rank") <= page).join(modes.select("query_id", "mode"), "query_id")
+    return Search(matches, modes, results, rank.facets(leading, items, id_column, facet, 8))

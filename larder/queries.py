@@ -153,11 +153,9 @@ def d34_narrowest_chip(spark, d):
 
 
 def d36_evaluate_retrieval(spark, d):
-    labels = tables.read(spark, d, "labels").filter("quality = 1").select("doc_id")
-    labelled = tables.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).crossJoin(labels.limit(0)).select("query_id", F.col("doc_id").alias("id"))
-    found = _matches(spark, d, "any")
-    good = found.join(labels, F.col("id") == F.col("doc_id"), "left_semi")
-    return rank.retrieval_quality(found, labelled.unionByName(good))
+    """How well the toxic mark finds what is labelled as of low quality, by language."""
+    labels = tables.read(spark, d, "labels").join(tables.read(spark, d, "documents").select("doc_id", "lang"), "doc_id").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("id"), "quality", "toxic")
+    return rank.retrieval_quality(labels.filter("toxic = 1"), labels.filter("quality = 0"))
 
 
 def d1_normalize_chips(spark, d):
@@ -327,9 +325,13 @@ def c14_guard_reconcile(spark, d):
 
 
 def c17_check_index_consistency(spark, d):
-    items = tables.items(spark, d)
-    counted = index.document_stats(index.postings(items, {"caption": "caption"}))
-    return items.join(counted, F.col("external_id") == F.col("id"), "left").select("external_id", (F.coalesce("n_tokens", F.lit(0)) == F.size(tokens(F.coalesce("caption", F.lit(""))))).alias("consistent"))
+    """A stored index that lacks every eleventh document, has an old text of every thirteenth and one more of every seventeenth."""
+    items = tables.short_items(spark, d)
+    names = tables.memberships(spark, d).join(tables.collections(spark, d), "collection_id").select("external_id", "name")
+    computed = ingest.search_docs(items.filter("external_id % 17 <> 0"), names, "external_id")
+    stored = ingest.search_docs(items.filter("external_id % 11 <> 0"), names, "external_id")
+    stored = stored.withColumn("caption_text", F.when(F.col("external_id") % 13 == 0, "old").otherwise(F.col("caption_text")))
+    return ingest.inconsistent_docs(stored, computed, "external_id")
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -410,7 +412,7 @@ ORACLES = {
     "d32_explain_matches": f"WITH {_CHIPS} SELECT r.query_id, r.id, c.chip, count(p.pos) AS places, CASE WHEN count(p.pos) > 0 THEN 'caption' ELSE '' END AS fields FROM ranked r JOIN chips c USING (query_id) LEFT JOIN post p ON p.id = r.id AND p.term = c.term WHERE rank <= 30 GROUP BY ALL",
     "d38_search": f"WITH {_CHIPS}, m AS (SELECT query_id, id FROM (SELECT query_id, id, count(*) AS k FROM hits GROUP BY ALL) JOIN sizes USING (query_id) WHERE k = n), t AS (SELECT query_id, count(*) AS total FROM m GROUP BY query_id) SELECT query_id, rank, id, source AS author_handle, lang AS language, total FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM m JOIN scores USING (query_id, id)) JOIN documents ON id = doc_id JOIN t USING (query_id) WHERE rank <= 30",
     "d34_narrowest_chip": f"WITH {_CHIPS}, k AS (SELECT query_id, chip, count(id) AS n FROM chips LEFT JOIN hits USING (query_id, chip) GROUP BY ALL) SELECT query_id, chip FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n, chip) AS r FROM k) WHERE r = 1",
-    "d36_evaluate_retrieval": f"WITH {_CHIPS} SELECT query_id, count(l.doc_id) AS hits, count(*) AS found, count(l.doc_id) AS wanted FROM anyhit LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON id = l.doc_id GROUP BY query_id",
+    "d36_evaluate_retrieval": "SELECT lang AS query_id, count(*) FILTER (toxic = 1 AND quality = 0) AS hits, count(*) FILTER (toxic = 1) AS found, count(*) FILTER (quality = 0) AS wanted FROM labels JOIN documents USING (doc_id) WHERE toxic = 1 OR quality = 0 GROUP BY lang",
     "d1_normalize_chips": r"WITH t AS (SELECT doc_id, lower(trim(regexp_replace(trim(regexp_replace(left(text, 70), '\s+', ' ', 'g')), '^[#@]+', ''))) AS chip FROM documents) SELECT doc_id, chip, CASE WHEN chip = '' THEN 'empty' WHEN length(chip) > 64 THEN 'too_long' WHEN NOT regexp_matches(chip, '[\p{L}\p{N}]') THEN 'no_text' END AS reason FROM t",
     "d2_split_pasted": r"WITH s AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[,\n\r;]+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM benchmark) SELECT item_id, unnest(p) AS part, generate_subscripts(p, 1) - 1 AS ord FROM s",
     "d6_expand_terms": """WITH w AS (SELECT p_partkey, lower(p_brand) AS brand, string_split(lower(p_type), ' ') AS w FROM part), pairs AS (SELECT DISTINCT w[1] AS category, w[-1] AS term FROM w),
@@ -446,7 +448,7 @@ FROM st FULL JOIN i USING (external_id)""",
     "c8_recount_collections": f"WITH {_MEMBERS} SELECT collection_id, count(*) AS held FROM m GROUP BY collection_id",
     "c12_reconcile_saved": f"WITH {_MEMBERS} SELECT collection_id, count(*) FILTER (external_id % 5 <> 0) AS available, count(*) FILTER (external_id % 5 = 0) AS gone FROM m GROUP BY collection_id",
     "c14_guard_reconcile": f"WITH {_MEMBERS}, g AS (SELECT collection_id, count(*) AS stored, count(*) FILTER (external_id % 3 = 0) AS seen FROM m GROUP BY collection_id) SELECT *, seen > 0 AND (stored < 3 OR 2 * seen >= stored) AS allowed FROM g",
-    "c17_check_index_consistency": "SELECT doc_id AS external_id, true AS consistent FROM documents",
+    "c17_check_index_consistency": "SELECT p_partkey AS external_id, CASE WHEN p_partkey % 17 = 0 THEN 'left_over' WHEN p_partkey % 11 = 0 THEN 'missing' ELSE 'different' END AS problem FROM part WHERE (p_partkey % 17 = 0 AND p_partkey % 11 <> 0) OR (p_partkey % 17 <> 0 AND (p_partkey % 11 = 0 OR p_partkey % 13 = 0))",
     "f3_track_page_chain": f"WITH {_EVENTS}, s AS (SELECT *, sum(start::INT) OVER w AS segment, lag(response) OVER w AS before FROM p WINDOW w AS (PARTITION BY viewer_id ORDER BY arrival_ord)) SELECT viewer_id, segment::BIGINT AS segment, count(*) AS pages, bool_or((NOT start AND request IS DISTINCT FROM before) OR segment = 0) AS gap FROM s GROUP BY viewer_id, segment",
     "f5_incremental_stop": f"WITH {_EVENTS}, k AS (SELECT *, inserted > 0 OR items = 0 AS resets FROM p), i AS (SELECT *, sum(resets::INT) OVER (PARTITION BY viewer_id ORDER BY arrival_ord) AS island FROM k), t AS (SELECT *, sum((NOT resets)::INT) OVER (PARTITION BY viewer_id, island ORDER BY arrival_ord) AS streak FROM i) SELECT viewer_id, min(arrival_ord) AS stop_at FROM t WHERE streak = 2 GROUP BY viewer_id",
     "f8_detect_stalls": f"WITH {_EVENTS} SELECT * FROM (SELECT viewer_id, arrival_ord, lead(captured_at) OVER (PARTITION BY viewer_id ORDER BY arrival_ord) - captured_at AS gap_ms FROM p) WHERE gap_ms > 120000",

@@ -11,15 +11,22 @@ from pyspark.sql import functions as F
 
 from larder.functions.text import tokens
 from larder.operators import index, match, query, terms
+from larder.plans.search import search_related
 from larder.sources import tables
 
 
-def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _chips(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Chips (query_id, chip, text) and related terms (query_id, chip, ord, term)."""
     w = tokens(F.col("text"))
     rows = tables.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), w.alias("w"))
     words = lambda a, n: F.array_join(F.slice("w", a, n), " ")
     chips = rows.select("query_id", F.posexplode(F.array(words(1, 1), words(2, 2))).alias("chip", "text"))
     related = rows.select("query_id", F.lit(0).alias("chip"), F.posexplode(F.array(words(5, 1), words(6, 2))).alias("ord", "term"))
+    return chips, related
+
+
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    chips, related = _chips(spark, d)
     return terms.own_terms(chips), terms.related_terms(related)
 
 
@@ -98,6 +105,11 @@ def d37_check_requests(spark, d):
     return query.checked_requests(o).select("request", "mode", "sort", F.col("limit").cast("long").alias("limit"), "reason")
 
 
+def d38_search_related(spark, d):
+    found = search_related(*_chips(spark, d), tables.items(spark, d), {"caption": "caption", "author": "author_handle"}, "views", "all", too_broad=20)
+    return found.results.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "mode")
+
+
 _T = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
 _Q = f"""
 q AS (SELECT item_id AS query_id, {_T.format("text")} AS w FROM benchmark),
@@ -141,6 +153,9 @@ ORACLES = {
     "d20_too_broad": f"WITH {_Q} SELECT query_id, total, mode FROM modes",
     "d20_listed": f"WITH {_Q} SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(n_chars, 0) DESC, id DESC) AS rank FROM m_any JOIN modes USING (query_id) JOIN documents ON doc_id = id WHERE mode = 'full' OR (mode = 'direct' AND direct)) WHERE rank <= 30",
     "d23_offset_page": f"WITH {_Q}, r AS (SELECT * FROM ranked WHERE rank <= 1000), t AS (SELECT query_id, count(*) AS total FROM r GROUP BY query_id) SELECT query_id, id, rank, CASE WHEN 8 < least(total, 1000) THEN 'r:8:' || total END AS next_cursor FROM r JOIN t USING (query_id) WHERE rank > 3 AND rank <= 8",
+    "d38_search_related": f"""WITH {_Q}, mo AS (SELECT query_id, CASE WHEN count(*) > count(*) FILTER (direct) AND count(*) FILTER (direct) > 20 THEN 'direct' WHEN count(*) > 20 THEN 'full' ELSE 'relevance' END AS mode FROM m_all GROUP BY query_id),
+li AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(n_chars, 0) DESC, id DESC) AS rank, mode FROM m_all JOIN mo USING (query_id) JOIN documents ON doc_id = id WHERE mode = 'full' OR (mode = 'direct' AND direct))
+SELECT query_id, id, rank, mode FROM ranked JOIN mo USING (query_id) WHERE mode = 'relevance' AND rank <= 30 UNION ALL SELECT query_id, id, rank, mode FROM li WHERE rank <= 30""",
     "d24_keyset_cursors": "SELECT o_orderkey, CASE WHEN ok THEN o_orderkey % 2 = 0 END AS direct, CASE WHEN ok THEN 's' END AS sort, CASE WHEN ok THEN -o_orderkey END AS value, CASE WHEN ok THEN o_custkey END AS id, CASE WHEN ok THEN least(o_orderkey * 7 % 100000, 10001) END AS total FROM (SELECT *, lower(o_orderstatus) IN ('f', 'o') AS ok FROM orders)",
     "d37_check_requests": """WITH r AS (SELECT o_orderkey AS k, CASE WHEN k % 5 = 0 THEN 'any' WHEN k % 37 = 0 THEN 'none' ELSE 'all' END AS mode, k % 23 AS n,
  CASE WHEN k % 3 = 0 THEN 'newest' WHEN k % 41 = 0 THEN 'oldest' WHEN k % 23 > 0 THEN 'relevance' ELSE 'recently_saved' END AS sort, CASE WHEN k % 4 = 0 THEN k % 120 ELSE 30 END AS "limit", k % 7 AS c FROM orders)
