@@ -32,3 +32,11 @@ def document_stats(post: DataFrame) -> DataFrame:
 
 def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count_distinct("id").alias("n_docs"), F.count(F.lit(1)).alias("n_places"))
+
+
+def save_postings(post: DataFrame, table: str, buckets: int) -> DataFrame:
+    """Write postings as a table bucketed and sorted by term; searches of it shuffle their own terms only.
+
+    Postings of one document field are written from the task that tokenised it, so nothing is gathered by document."""
+    post.repartition(buckets, "term").write.bucketBy(buckets, "term").sortBy("term").mode("overwrite").saveAsTable(table)
+    return post.sparkSession.table(table)

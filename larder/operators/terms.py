@@ -54,9 +54,12 @@ def related_terms(related: DataFrame) -> DataFrame:
 
 
 def places(terms: DataFrame, post: DataFrame) -> DataFrame:
-    """query_id, chip, grp, part, parts, id, field: one row for each place of a term; a phrase is one part.
+    """query_id, chip, grp, part, parts, id, f: the weighted number of a term's places in a document; a phrase is one part.
 
-    Prefixes are looked up in the vocabulary by their first letters, so that postings are joined on whole terms only."""
+    Prefixes are looked up in the vocabulary by their first letters, so that postings are joined on whole terms only.
+    Places are summed up before they are shuffled; matches and scores all start from this one aggregate, which Spark
+    computes once for a query that uses it several times."""
+    weight = F.coalesce(F.create_map(*[F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv])[F.col("field")], F.lit(1.0))
     lead = F.explode(F.array_distinct(F.array(F.left("term", F.lit(2)), F.left("term", F.lit(3)))))
     vocabulary = post.select("term").distinct().select("term", lead.alias("lead"))
     asked = terms.filter("kind = 'prefix'").withColumnRenamed("term", "prefix").withColumn("lead", F.left("prefix", F.lit(3)))
@@ -64,34 +67,34 @@ def places(terms: DataFrame, post: DataFrame) -> DataFrame:
     placed = terms.filter("kind <> 'prefix'").unionByName(found).join(post, "term")
     single = placed.filter("kind <> 'phrase'").select("query_id", "chip", "grp", "part", "parts", "id", "field")
     runs = placed.filter("kind = 'phrase'").groupBy("query_id", "chip", "grp", "parts", "id", "field", (F.col("pos") - F.col("part")).alias("_begin")).agg(F.count_distinct("part").alias("_held"))
-    return single.unionByName(runs.filter("_held = parts").select("query_id", "chip", "grp", F.lit(0).alias("part"), F.lit(1).alias("parts"), "id", "field"))
+    every = single.unionByName(runs.filter("_held = parts").select("query_id", "chip", "grp", F.lit(0).alias("part"), F.lit(1).alias("parts"), "id", "field"))
+    return every.groupBy("query_id", "chip", "grp", "part", "parts", "id").agg(F.sum(weight).alias("f"))
 
 
 def chip_matches(found: DataFrame) -> DataFrame:
     """query_id, chip, id, own: documents in which one of the chip's groups is complete; own = a group of its own words."""
-    whole = found.groupBy("query_id", "chip", "grp", "parts", "id").agg(F.count_distinct("part").alias("_held")).filter("_held = parts")
+    whole = found.groupBy("query_id", "chip", "grp", "parts", "id").agg(F.count_if(F.col("f") > 0).alias("_held")).filter("_held = parts")
     return whole.groupBy("query_id", "chip", "id").agg(F.max(F.col("grp") < RELATED).alias("own"))
 
 
 def query_matches(hits: DataFrame, sizes: DataFrame, mode: str) -> DataFrame:
     """query_id, id, direct: documents that every chip (``all``) or one (``any``) matches; direct = by own words alone.
 
-    ``hits`` (query_id, chip, id, own) may come from ``chip_matches`` and from substring chips; ``sizes``: query_id, n_chips."""
-    held = hits.groupBy("query_id", "id").agg(F.count_distinct("chip").alias("_n"), F.count_distinct(F.when(F.col("own"), F.col("chip"))).alias("_own"))
+    ``hits`` (query_id, chip, id, own; each chip and id once) may come from ``chip_matches`` and from substring chips;
+    ``sizes``: query_id, n_chips."""
+    held = hits.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("_n"), F.count_if("own").alias("_own"))
     need = F.col("n_chips") if mode == "all" else F.lit(1)
     return held.join(sizes, "query_id").filter(F.col("_n") >= need).select("query_id", "id", (F.col("_own") >= need).alias("direct"))
 
 
 def scores(found: DataFrame, matches: DataFrame, doc_stats: DataFrame) -> DataFrame:
     """query_id, id, tier, score: weighted BM25 of own words for direct matches (tier 1), of all terms at a discount for others."""
-    weight = F.coalesce(F.create_map(*[F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv])[F.col("field")], F.lit(1.0))
     part = ["query_id", "chip", "grp", "part"]
-    freq = found.groupBy(*part, "id").agg(F.sum(weight).alias("f"))
-    spread = freq.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
+    spread = found.groupBy(*part).agg(F.count_if(F.col("f") > 0).alias("n"))
     corpus = doc_stats.agg(F.count(F.lit(1)).alias("n_all"), F.avg("n_tokens").alias("mean"))
     idf = F.greatest(F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     value = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean")))
-    rows = freq.join(matches, ["query_id", "id"]).filter(~F.col("direct") | (F.col("grp") < RELATED))
+    rows = found.join(matches, ["query_id", "id"]).filter(~F.col("direct") | (F.col("grp") < RELATED))
     scored = rows.join(spread, part).join(doc_stats, "id").crossJoin(F.broadcast(corpus))  # one row
     total = scored.groupBy("query_id", "id", "direct").agg(F.sum(value).alias("_s"))
     return total.select("query_id", "id", F.when(F.col("direct"), 1).otherwise(2).alias("tier"), F.round(F.when(F.col("direct"), F.col("_s")).otherwise(F.col("_s") * RELATED_DISCOUNT), 6).alias("score"))

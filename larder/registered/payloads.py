@@ -161,7 +161,7 @@ ORACLES = {
     "b8_envelope_check": "SELECT l_orderkey AS page, l_orderkey % 11 <> 0 OR l_orderkey % 2 = 0 AS ok, CASE WHEN l_orderkey % 11 <> 0 THEN count(*) ELSE 0 END AS delivered, l_orderkey % 2 = 1 AS has_more FROM lineitem GROUP BY l_orderkey",
     "b9_extract_hashtags": f"WITH {_LINES}, t AS (SELECT page, external_id, unnest({_TAGS}) AS tag, generate_subscripts({_TAGS}, 1) AS k FROM r), u AS (SELECT page, external_id, tag, min(k) AS k FROM t WHERE tag <> '' GROUP BY ALL), v AS (SELECT page, external_id, string_agg(tag, ',' ORDER BY k) AS tags FROM u GROUP BY ALL) SELECT page, external_id, coalesce(tags, '') AS tags FROM r LEFT JOIN v USING (page, external_id)",
     "b12_first_available": f"WITH {_LINES} SELECT page, external_id, CASE WHEN p_partkey % 7 <> 0 THEN p_name ELSE p_type END AS caption, CASE WHEN p_partkey % 4 <> 0 THEN floor(p_retailprice)::BIGINT ELSE p_size END AS views, 'https://b' AS thumbnail_url FROM r",
-    "b15_derive_media_fields": f"WITH {_LINES} SELECT page, external_id, CASE WHEN p_partkey % 5 = 0 THEN 'photo' ELSE 'video' END AS media_type, CASE WHEN p_partkey % 5 <> 0 AND p_size > 0 THEN p_size END AS duration_sec, CASE WHEN p_partkey % 10 <> 0 THEN (p_partkey + {EPOCH}) * 1000 END AS posted_at FROM r",
+    "b15_derive_media_fields": f"WITH {_LINES} SELECT page, external_id, CASE WHEN p_partkey % 5 = 0 THEN 'photo' ELSE 'video' END AS media_type, CASE WHEN p_partkey % 5 <> 0 AND p_size > 0 THEN p_size::BIGINT END AS duration_sec, CASE WHEN p_partkey % 10 <> 0 THEN (p_partkey + {EPOCH}) * 1000 END AS posted_at FROM r",
     "b16_estimate_saved_at": f"WITH {_LINES}, b AS (SELECT *, CASE WHEN page % 9 <> 0 THEN page + {EPOCH} ELSE {EPOCH + 100_000_000} END * 1000 AS hi, CASE WHEN page % 4 <> 0 THEN (page + {EPOCH} - 600) * 1000 END AS lo FROM r) SELECT page, external_id, coalesce(floor(lo + ((n - 1 - i)::DOUBLE / n) * (hi - lo) + 0.5)::BIGINT, hi - (i + 1) * 1000) AS saved_at, CASE WHEN lo IS NULL THEN 'unknown' ELSE 'interpolated' END AS saved_at_source FROM b",
     "b17_assign_positions": f"WITH {_LINES} SELECT page::VARCHAR AS collection_id, external_id, CASE WHEN page % 9 <> 0 THEN page + {EPOCH} ELSE 0 END + i AS position FROM r WHERE page % 3 = 0",
     "b18_head_of_list": "SELECT DISTINCT l_orderkey AS page, l_orderkey % 9 = 0 AS head_of_list FROM lineitem",

@@ -71,7 +71,7 @@ def d16_match_mixed(spark, d):
 
 
 def d18_rank_tiers(spark, d):
-    return _ranked(spark, d).select("query_id", F.col("rank").cast("long").alias("rank"), F.col("tier").cast("long").alias("tier"), "id")
+    return _ranked(spark, d).select("query_id", F.col("rank").cast("long").alias("rank"), "tier", "id")
 
 
 def d20_too_broad(spark, d):

@@ -99,4 +99,4 @@ def import_bundle(spark: SparkSession, folder: str, valid_account: Column) -> Li
         raise ValueError(f"bundle of a newer version ({header['version']})")
     t = {name: spark.read.schema(schema).json(f"{folder}/{name}") for name, schema in SCHEMAS.items()}
     known = t["memberships"].join(t["items"].select("external_id"), "external_id", "left_semi").join(t["collections"].select("collection_id"), "collection_id", "left_semi")
-    return Library(t["items"], t["collections"], known.dropDuplicates(["external_id", "collection_id"]), t["accounts"].filter(valid_account))
+    return Library(t["items"], t["collections"], known.dropDuplicates(["external_id", "collection_id"]).select(t["memberships"].columns), t["accounts"].filter(valid_account))
