@@ -14,7 +14,7 @@ from larder.llm.workspace import Workspace
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose chance of the best grade is at least one half."""
+    """Documents whose chance of the best grade is at least ``quality.KEEP_FROM``."""
     return quality.select_quality(docs, ratings(spark, sf_dir))
 
 

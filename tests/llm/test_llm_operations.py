@@ -270,6 +270,18 @@ def test_classifier_on_held_out_rows(spark, empty):
     assert quality.classify(empty, rated).count() == 0
 
 
+def test_classifier_finds_rare_toxic_words():
+    """Toxic texts differ from good ones by one of twenty words, each in about 15 of 3000 fitted documents."""
+    r = random.Random(11)
+    usual = [f"word{i}" for i in range(400)]
+    make = lambda grade: " ".join(r.choices(usual if grade else ["junk", "spam", "click"], k=60) + ([f"slur{r.randrange(20)}"] if grade == 1 else []))
+    grades = np.array([0 if i % 10 == 0 else 1 if i % 10 == 1 else 2 for i in range(6000)])
+    docs = [make(g).encode() for g in grades]
+    model = quality.fit_model(*quality.features(docs[:3000]), grades[:3000])
+    kept = model.score(docs[3000:], 2)[1] >= quality.KEEP_FROM
+    assert kept[grades[3000:] == 1].mean() < 0.1 and kept[grades[3000:] == 2].mean() > 0.98 and kept[grades[3000:] == 0].mean() < 0.01
+
+
 # search
 
 
