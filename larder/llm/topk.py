@@ -7,8 +7,9 @@ product of both remaining norms, so candidates that can't reach the k-th best lo
 A group returns its k best for each query, and a window over those makes the final ranks.
 
 Vectors that are null or hold null or non-finite components take no part. Vectors meet only vectors of the
-same length. Equal scores rank by smaller ``vec_id``; a candidate of the query's own ``vec_id`` is skipped, and
-repeated rows of another ``vec_id`` are candidates each. Rows with a null ``vec_id`` take no part. Scores must
+same length. Equal scores rank by smaller ``vec_id``; all candidates of the query's own ``vec_id`` are skipped, and
+repeated rows of another ``vec_id`` are candidates each. Repeated rows of a query are answered each, with ranks of
+their own. Rows with a null ``vec_id`` take no part. Scores must
 fit a 64-bit integer: components beyond 2**31 after scaling are refused with an error. Empty tables give
 empty results; other columns aren't read.
 """
@@ -58,21 +59,20 @@ def best_of_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarra
         part = asked[start : start + 256]
         opening = part[:, :DIMENSIONS] @ columns[:DIMENSIONS]  # nothing is pruned before the first block
         for q in range(len(part)):
-            scores, alive = opening[q], None
+            own = ids == query_ids[start + q]
+            scores, alive = (opening[q], None) if not own.any() else (opening[q][~own], np.flatnonzero(~own))
             for n, s in enumerate(steps):
                 if n:
                     block = columns[s : s + DIMENSIONS]
                     scores = scores + part[q, s : s + DIMENSIONS] @ (block if alive is None else block[:, alive])
-                if exact_floats and n + 1 < len(steps) and len(scores) > k + 1:
+                if exact_floats and n + 1 < len(steps) and len(scores) > k:
                     slack = rest_of_queries[n][start + q] * (rest_of_vectors[n] if alive is None else rest_of_vectors[n][alive]) * (1 + 1e-9) + 1e-6
                     low = scores - slack
-                    bar = np.partition(low, len(low) - k - 1)[len(low) - k - 1]  # one more than k: the query's own row may be among them
+                    bar = np.partition(low, len(low) - k)[len(low) - k]
                     keep = np.flatnonzero(scores + slack >= bar)
                     if len(keep) < 0.7 * len(scores):
                         scores, alive = scores[keep], keep if alive is None else alive[keep]
             at = np.arange(len(ids)) if alive is None else alive
-            other = ids[at] != query_ids[start + q]
-            at, scores = at[other], scores[other]
             if len(scores) > k:
                 bar = np.partition(scores, len(scores) - k)[len(scores) - k]
                 near = scores >= bar
@@ -92,17 +92,18 @@ def search(vectors: DataFrame, is_query: Column, k: int, scale: int = 64, id_col
     mine = lambda blocks: F.pmod(spread, F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     candidates = rows.select("vec_id", "v", "_dims", mine(candidate_blocks).alias("_c")).select("*", every(query_blocks).alias("_q"))
-    queries = rows.filter("_asks").select("vec_id", "v", "_dims", mine(query_blocks).alias("_q")).select("*", every(candidate_blocks).alias("_c"))
+    numbered = rows.filter("_asks").withColumn("_row", F.row_number().over(Window.partitionBy("vec_id").orderBy("v")))
+    queries = numbered.select("vec_id", "v", "_dims", "_row", mine(query_blocks).alias("_q")).select("*", every(candidate_blocks).alias("_c"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("query_id", "vec_id", "score")})
+            return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("query_id", "_row", "vec_id", "score")})
         query_ids, ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
         asked, there = (np.stack(list(x["v"])).astype(np.int64).reshape(len(x), -1) for x in (left, right))
         q, c, score = best_of_block(asked, query_ids, there, ids, k)
-        return pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[c], "score": score})
+        return pd.DataFrame({"query_id": query_ids[q], "_row": left["_row"].to_numpy()[q], "vec_id": ids[c], "score": score})
 
     keys = ["_dims", "_c", "_q"]
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(meet, "query_id long, _row int, vec_id long, score long")
+    order = Window.partitionBy("query_id", "_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -354,6 +354,26 @@ def test_license_scan_equals_full_comparison(spark, empty):
     assert license_scan.scan(empty, Workspace(spark, "t")).count() == 0
 
 
+def test_topk_of_repeated_query_rows(spark):
+    """Repeated rows of a query's vec_id, alike and different, over several rounds of pruning."""
+    g = np.random.default_rng(8)
+    rows = [(i, (g.normal(0, 0.2, 40) * np.where(np.arange(40) < 16, 4, 0.1)).tolist()) for i in range(1, 300)]
+    first = rows[19][1]
+    rows += [(20, first)] * 15 + [(20, (2 * np.array(first)).tolist())] * 15
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows]
+    wanted = []
+    for i, v in q:
+        if i % 20 == 0:
+            best = sorted((-int(v @ w), j) for j, w in q if j != i)[:20]
+            wanted += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert as_rows(topk.search(vectors, F.col("vec_id") % 20 == 0, 20), "query_id", "rank", "vec_id", "score") == sorted(wanted, key=str)
+    # one block alone: the own rows don't take up places among the best
+    v, ids = np.array([x for _, x in q]), np.array([i for i, _ in q])
+    at = int(np.flatnonzero(ids == 20)[0])
+    assert len(topk.best_of_block(v[at : at + 1], ids[at : at + 1], v, ids, 20)[0]) == 20
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
