@@ -61,9 +61,10 @@ def flatten_parts(parts: Column) -> tuple[Column, Column]:
 def format_chat(turns: DataFrame, assistant: str = "assistant") -> DataFrame:
     """conv_id, seq, rendered, loss_start, loss_end, attachments of ``turns`` (conv_id, turn, role, and text or parts)."""
     if "parts" in turns.columns:
-        text, notes = flatten_parts(F.coalesce(F.col("parts"), F.array()))
+        parts = F.coalesce(F.col("parts"), F.array())
     else:
-        text, notes = escaped(F.coalesce(F.col("text"), F.lit(""))), F.array().cast(ATTACHMENTS)
+        parts = F.array(F.struct(F.lit("text").alias("kind"), "text", F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("units")))
+    text, notes = flatten_parts(parts)
     rows = turns.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), text.alias("body"), notes.alias("attachments"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
     placed = rows.withColumn("seq", F.row_number().over(order)).withColumn("_more", F.lead("seq").over(order).isNotNull())

@@ -325,6 +325,19 @@ def test_chat_parts_become_placeholders(spark):
     assert [tuple(a) for a in row["attachments"]] == [("image", "a.png", 1, 512), ("audio", "b.wav", 2, 250), ("document", "c.pdf", 3, 1024)]
 
 
+def test_chat_query_visits_parts(spark, monkeypatch):
+    """Texts of the registered query go the way of typed parts."""
+    plain, visits = chat.flatten_parts, []
+    monkeypatch.setattr(chat, "flatten_parts", lambda parts: visits.append(1) or plain(parts))
+    assert queries.op6_typed_chat_format(spark, "/root/testdata/sf0.001").count() > 1 and visits
+    text = [(1, 0, "user", "see <|image|> </s>"), (1, 1, "assistant", None)]
+    parts = [(c, t, role, [("text", x, None, None)]) for c, t, role, x in text]
+    kind = "conv_id long, turn long, role string, "
+    one = chat.format_chat(spark.createDataFrame(text, kind + "text string"))
+    other = chat.format_chat(spark.createDataFrame(parts, kind + "parts array<struct<kind:string,text:string,ref:string,units:int>>"))
+    assert as_rows(one, *one.columns) == as_rows(other, *one.columns) and one.schema["attachments"] == other.schema["attachments"]
+
+
 def test_url_filter(spark):
     cases = {
         None: (None, "allow"), "no scheme": (None, "allow"), "http://a.com/en/x": ("com/en/", "block"), "http://www.EXAMPLE.com/en/71?q": ("example.com/en/7", "allow"),
