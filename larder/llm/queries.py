@@ -48,7 +48,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_branch_and_bound_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20, Workspace(spark, "topk"))
 
 
 def op6_typed_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

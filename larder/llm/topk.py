@@ -1,17 +1,21 @@
 """Exact top-k inner-product search by columnar branch and bound.
 
 Vectors are quantised to whole numbers, so scores are exact. Blocks of queries meet blocks of candidates, one
-group for each pair of blocks, each of bounded size. In a group the candidates lie column by column; a query's
-scores build up one block of dimensions at a time. What the remaining dimensions can still add is at most the
-product of both remaining norms, so candidates that can't reach the k-th best lower bound are compacted away.
-A group returns its k best for each query, and a window over those makes the final ranks.
-
-Vectors that are null or hold null or non-finite components take no part. Vectors meet only vectors of the
-same length. Equal scores rank by smaller ``vec_id``; all candidates of the query's own ``vec_id`` are skipped, and
-repeated rows of another ``vec_id`` are candidates each. Repeated rows of a query are answered each, with ranks of
-their own. Rows with a null ``vec_id`` take no part. Scores must
-fit a 64-bit integer: components beyond 2**31 after scaling are refused with an error. Empty tables give
-empty results; other columns aren't read.
+group for each pair of blocks, each of bounded size. In a group the candidates lie column by column; a query takes
+the columns in order of its own largest components, so that most of its mass is spent first, and scores build up one
+block of dimensions at a time. What the remaining dimensions can still add is at most the product of both remaining
+norms, so candidates that can't reach the query's bar are compacted away.
+
+The bar is a score that k candidates are known to reach: a first pass over one block of candidates gives each query
+its bar, which goes with the query to all other blocks and rises within each. A group returns what reaches the bar,
+``k`` rows for each query at most, and a window over those makes the final ranks.
+
+Vectors that are null, hold null or non-finite components, or overflow when scaled take no part. Vectors meet only
+vectors of the same length, whatever it is. Equal scores rank by smaller ``vec_id``; all candidates of the query's own
+``vec_id`` are skipped, and repeated rows of another ``vec_id`` are candidates each (equal rows are searched once and
+counted). Repeated rows of a query are answered each, with ranks of their own. Rows with a null ``vec_id`` take no
+part. Scores beyond 64 bits count as the end of the range. Empty tables give empty results; other columns aren't
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,89 +25,128 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.llm.workspace import Workspace
+
 CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 2048
-#: Dimensions added between two rounds of pruning.
-DIMENSIONS = 16
-LARGEST = 2**31
+#: Dimensions added between two rounds of pruning, after an opening of twice as many.
+DIMENSIONS = 8
+#: Doubles hold all whole numbers below this.
+EXACT = 2**53
+LONGEST = 2**63 - 1
 
 
 def quantised(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of each component; null for vectors that take no part."""
-    usable = vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    scaled = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
-    too_large = F.exists(scaled, lambda x: F.abs(x) > LARGEST)
-    return F.when(usable, F.when(too_large, F.raise_error("a vector component is too large for exact scores")).otherwise(scaled))
+    """floor(scale * x) of each component as a double; null for vectors that take no part."""
+    def whole(x: Column) -> Column:
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)  # larger doubles are whole
+
+    infinite = lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double") * scale) == float("inf"))
+    return F.when(vector.isNotNull() & ~F.exists(vector, infinite), F.transform(vector, whole))
+
+
+def _whole_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Scores in whole numbers of any size, cut to 64 bits."""
+    q = [int(x) for x in query]
+    exact = [sum(a * int(b) for a, b in zip(q, row)) for row in vectors]
+    return np.array([max(-LONGEST - 1, min(LONGEST, s)) for s in exact], dtype=np.int64)
+
 
+def best_of_block(
+    queries: np.ndarray, query_ids: np.ndarray, bars: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, survivors: list | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, candidate position, score) of the candidates among the k best of each query that reach its bar.
 
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, candidate position, score) of the k best candidates of each query."""
+    ``survivors`` takes up, for each query, how many candidates are left after each block of dimensions."""
     dims = vectors.shape[1]
-    largest = [int(np.abs(a).max(initial=0)) for a in (queries, vectors)]
-    exact_floats = largest[0] * largest[1] * max(dims, 1) < 2**52
-    if largest[0] * largest[1] * max(dims, 1) >= 2**63:
-        raise OverflowError("scores don't fit 64-bit integers")
-    heavy = np.argsort(-(vectors.astype(np.float64) ** 2).sum(axis=0), kind="stable")  # most mass first
-    kind = np.float64 if exact_floats else np.int64
-    columns = np.ascontiguousarray(vectors[:, heavy].T.astype(kind))
-    asked = np.ascontiguousarray(queries[:, heavy].astype(kind))
-    steps = list(range(0, dims, DIMENSIONS)) or [0]
-
-    def norms_from(a: np.ndarray, axis: int) -> list[np.ndarray]:
-        squares = a.astype(np.float64) ** 2
-        return [np.sqrt(squares.take(range(s + DIMENSIONS, dims), axis=axis).sum(axis=axis)) if s + DIMENSIONS < dims else 0 for s in steps]
-
-    rest_of_vectors, rest_of_queries = norms_from(columns, 0), norms_from(asked, 1)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for start in range(0, len(asked), 256):
-        part = asked[start : start + 256]
-        opening = part[:, :DIMENSIONS] @ columns[:DIMENSIONS]  # nothing is pruned before the first block
-        for q in range(len(part)):
-            own = ids == query_ids[start + q]
-            scores, alive = (opening[q], None) if not own.any() else (opening[q][~own], np.flatnonzero(~own))
-            for n, s in enumerate(steps):
-                if n:
-                    block = columns[s : s + DIMENSIONS]
-                    scores = scores + part[q, s : s + DIMENSIONS] @ (block if alive is None else block[:, alive])
-                if exact_floats and n + 1 < len(steps) and len(scores) > k:
-                    slack = rest_of_queries[n][start + q] * (rest_of_vectors[n] if alive is None else rest_of_vectors[n][alive]) * (1 + 1e-9) + 1e-6
-                    low = scores - slack
-                    bar = np.partition(low, len(low) - k)[len(low) - k]
-                    keep = np.flatnonzero(scores + slack >= bar)
-                    if len(keep) < 0.7 * len(scores):
-                        scores, alive = scores[keep], keep if alive is None else alive[keep]
-            at = np.arange(len(ids)) if alive is None else alive
-            if len(scores) > k:
-                bar = np.partition(scores, len(scores) - k)[len(scores) - k]
-                near = scores >= bar
-                at, scores = at[near], scores[near]
-            best = np.lexsort((ids[at], -scores))[:k]
-            out.append((np.full(len(best), start + q), at[best], scores[best].astype(np.int64)))
-    return tuple(np.concatenate(c) if out else np.zeros(0, dtype=np.int64) for c in zip(*out)) if out else (np.zeros(0, dtype=np.int64),) * 3
-
-
-def search(vectors: DataFrame, is_query: Column, k: int, scale: int = 64, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    largest = [float(np.abs(a).max(initial=0)) for a in (queries, vectors)]
+    exact = largest[0] * largest[1] * max(dims, 1) < EXACT
+    # bounds are taken in doubles near 1 where the numbers themselves would lose digits or overflow
+    shrink = [1.0 if exact else 2.0 ** -np.frexp(x)[1] for x in largest]
+    columns, asked = np.ascontiguousarray(vectors.T * shrink[1]), queries * shrink[0]
+    unit = shrink[0] * shrink[1]
+    norms = np.sqrt((columns**2).sum(axis=0))
+    ends = [*range(2 * DIMENSIONS, dims, DIMENSIONS), dims] if dims else [0]
+    positions = np.arange(len(ids))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for q in range(len(asked)):
+        order = np.argsort(-np.abs(asked[q]), kind="stable")
+        mine = asked[q][order]
+        mass = np.sqrt(np.append(np.cumsum((mine**2)[::-1])[::-1], 0.0))
+        alive = positions[ids != query_ids[q]]
+        given = float(bars[q])
+        bar = (given - 1e-12 * abs(given)) * unit - 1e-290 if given > -LONGEST else -np.inf
+        scores, seen, start, left = np.zeros(len(alive)), np.zeros(len(alive)), 0, []
+        for end in ends:
+            block = columns[order[start:end]]
+            block = block if len(alive) == len(ids) else block[:, alive]
+            scores += mine[start:end] @ block
+            seen += np.einsum("ij,ij->j", block, block)
+            start = end
+            if end < dims:
+                rest = np.sqrt(np.maximum(norms[alive] ** 2 * (1 + 1e-9) - seen, 0)) * (mass[end] * (1 + 1e-9)) + (1e-12 * mass[0]) * norms[alive] + 1e-290
+                if len(alive) > k:
+                    low = np.partition(scores - rest, len(alive) - k)[len(alive) - k]
+                    if not exact:  # scores beyond 64 bits are ties
+                        low = min(low, (1 - 1e-9) * LONGEST * unit) if low > -(1 - 1e-9) * LONGEST * unit else -np.inf
+                    bar = max(bar, low)
+                keep = np.flatnonzero(scores + rest >= bar)
+                scores, seen, alive = scores[keep], seen[keep], alive[keep]
+                left.append(len(keep))
+        if survivors is not None:
+            survivors.append(left)
+        values = scores.astype(np.int64) if exact else _whole_scores(queries[q], vectors[alive])
+        reach = np.flatnonzero(values >= bars[q]) if exact else np.arange(len(values))
+        best = reach[np.lexsort((ids[alive[reach]], -values[reach].astype(object) if not exact else -values[reach]))[:k]]
+        found.append((np.full(len(best), q), alive[best], values[best]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 3
+
+
+def search(vectors: DataFrame, is_query: Column, k: int, space: Workspace, scale: int = 64, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` highest scores of each row that ``is_query``, against all rows."""
-    rows = vectors.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("vec_id"), is_query.alias("_asks"), quantised(F.col(vector_column), scale).alias("v"))
-    rows = rows.filter("v IS NOT NULL").withColumn("_dims", F.size("v"))
-    n, asks = rows.agg(F.count(F.lit(1)), F.count_if("_asks")).first()
+    rows = vectors.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("vec_id"), is_query.alias("asks"), quantised(F.col(vector_column), scale).alias("v"))
+    rows = rows.filter("v IS NOT NULL").groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies"), F.count_if("asks").alias("asked"))
+    spread = F.xxhash64("vec_id", "v")
+    rows = space.write(rows.select("*", F.size("v").alias("dims"), F.xxhash64("v").alias("print"), spread.alias("spread")), "vectors")
+    n, asks = rows.agg(F.count(F.lit(1)), F.count_if(F.col("asked") > 0)).first()
     candidate_blocks, query_blocks = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-asks // QUERY_BLOCK))
-    spread = F.xxhash64("vec_id")
-    mine = lambda blocks: F.pmod(spread, F.lit(blocks)).cast("int")
+    mine = lambda blocks: F.pmod("spread", F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    candidates = rows.select("vec_id", "v", "_dims", mine(candidate_blocks).alias("_c")).select("*", every(query_blocks).alias("_q"))
-    numbered = rows.filter("_asks").withColumn("_row", F.row_number().over(Window.partitionBy("vec_id").orderBy("v")))
-    queries = numbered.select("vec_id", "v", "_dims", "_row", mine(query_blocks).alias("_q")).select("*", every(candidate_blocks).alias("_c"))
+    # columns with names of their own: Spark takes equal columns of both sides of a cogroup for one
+    candidates = rows.select(F.col("vec_id").alias("id"), F.col("v").alias("w"), F.col("copies").alias("n"), F.size("v").alias("dims"), mine(candidate_blocks).alias("c"))
+    candidates = candidates.select("*", every(query_blocks).alias("q"))
+    queries = rows.filter("asked > 0").select("vec_id", "v", "print", "asked", "dims", mine(query_blocks).alias("q"))
+    lowest = -LONGEST - 1
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("query_id", "_row", "vec_id", "score")})
-        query_ids, ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        asked, there = (np.stack(list(x["v"])).astype(np.int64).reshape(len(x), -1) for x in (left, right))
-        q, c, score = best_of_block(asked, query_ids, there, ids, k)
-        return pd.DataFrame({"query_id": query_ids[q], "_row": left["_row"].to_numpy()[q], "vec_id": ids[c], "score": score})
-
-    keys = ["_dims", "_c", "_q"]
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(meet, "query_id long, _row int, vec_id long, score long")
-    order = Window.partitionBy("query_id", "_row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("query_id", "print", "asked", "vec_id", "score", "copies")})
+        query_ids, ids = left["vec_id"].to_numpy(), right["id"].to_numpy()
+        asked, there = (np.stack(list(x)).astype(np.float64).reshape(len(x), -1) for x in (left["v"], right["w"]))
+        q, c, score = best_of_block(asked, query_ids, left["bar"].to_numpy(), there, ids, k)
+        names = left.iloc[q]
+        return pd.DataFrame({
+            "query_id": query_ids[q], "print": names["print"].to_numpy(), "asked": names["asked"].to_numpy(),
+            "vec_id": ids[c], "score": score, "copies": right["n"].to_numpy()[c],
+        })
+
+    kinds = "query_id long, print long, asked long, vec_id long, score long, copies long"
+
+    def met(asking: DataFrame, those: DataFrame, keys: list[str]) -> DataFrame:
+        return asking.groupBy(*keys).cogroup(those.groupBy(*keys)).applyInPandas(meet, kinds)
+
+    # first pass: one block of candidates, whose k-th score is a bar for all others
+    opening = met(queries.withColumn("bar", F.lit(lowest)), candidates.filter("c = 0").drop("c"), ["dims", "q"])
+    bars = opening.groupBy("query_id", "print").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("bar")).filter(F.col("n") >= k)
+    bars = space.write(bars.select(F.col("query_id").alias("vec_id"), "print", "bar"), "bars")
+    armed = queries.join(bars, ["vec_id", "print"], "left").withColumn("bar", F.coalesce("bar", F.lit(lowest)))
+    found = met(armed.select("*", every(candidate_blocks).alias("c")), candidates, ["dims", "c", "q"])
+
+    # at most k rows of a query and block come here; equal rows count each
+    order = Window.partitionBy("query_id", "print").orderBy(F.desc("score"), "vec_id")
+    before = F.coalesce(F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).withColumn("before", before).filter(F.col("before") < k)
+    ranks = F.sequence((F.col("before") + 1).cast("int"), F.least(F.col("before") + F.col("copies"), F.lit(k)).cast("int"))
+    ranked = near.select("query_id", F.explode(ranks).alias("rank"), "vec_id", "score", "asked")
+    return ranked.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "asked"))).select("query_id", "rank", "vec_id", "score")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -296,8 +297,8 @@ def test_topk_equals_brute_force(spark):
         if i % 20 == 0:
             scores = sorted(((-int(v @ w), j) for j, w in q if j != i and len(w) == len(v)))[:20]
             wanted += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scores)]
-    assert as_rows(topk.search(vectors, F.col("vec_id") % 20 == 0, 20), "query_id", "rank", "vec_id", "score") == sorted(wanted, key=str)
-    assert topk.search(vectors.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
+    assert as_rows(topk.search(vectors, F.col("vec_id") % 20 == 0, 20, Workspace(spark, "t")), "query_id", "rank", "vec_id", "score") == sorted(wanted, key=str)
+    assert topk.search(vectors.limit(0), F.col("vec_id") % 20 == 0, 20, Workspace(spark, "t")).count() == 0
 
 
 # chat, URLs, licenses
@@ -380,11 +381,43 @@ def test_topk_of_repeated_query_rows(spark):
         if i % 20 == 0:
             best = sorted((-int(v @ w), j) for j, w in q if j != i)[:20]
             wanted += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
-    assert as_rows(topk.search(vectors, F.col("vec_id") % 20 == 0, 20), "query_id", "rank", "vec_id", "score") == sorted(wanted, key=str)
+    assert as_rows(topk.search(vectors, F.col("vec_id") % 20 == 0, 20, Workspace(spark, "t")), "query_id", "rank", "vec_id", "score") == sorted(wanted, key=str)
     # one block alone: the own rows don't take up places among the best
     v, ids = np.array([x for _, x in q]), np.array([i for i, _ in q])
     at = int(np.flatnonzero(ids == 20)[0])
-    assert len(topk.best_of_block(v[at : at + 1], ids[at : at + 1], v, ids, 20)[0]) == 20
+    assert len(topk.best_of_block(v[at : at + 1], ids[at : at + 1], np.array([-(2**63)]), v, ids, 20)[0]) == 20
+
+
+def test_topk_of_large_wide_and_clashing(spark):
+    """Components of any size, very wide vectors, several blocks, and columns named like the search's own."""
+    g = np.random.default_rng(9)
+    rows = [(i, (g.normal(0, 1, 300) * 10.0 ** int(g.integers(-3, 12))).tolist()) for i in range(90)]
+    rows += [(100 + i, [1e300, -1e300 if i % 2 else 1e300, 3.0]) for i in range(45)] + [(150, [1e308] * 3), (160, []), (161, [])]
+    vectors = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, spread string, c int")
+    found = defaultdict(list)
+    for r in topk.search(vectors, F.col("vec_id") % 20 == 0, 20, Workspace(spark, "t")).collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows if i != 150}
+    cut = lambda s: max(-(2**63), min(2**63 - 1, s))
+    for i, v in whole.items():
+        if i % 20 == 0:
+            best = sorted((-cut(sum(a * b for a, b in zip(v, w))), j) for j, w in whole.items() if j != i and len(w) == len(v))[:20]
+            assert sorted(found[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert 150 not in found and {160, 161} >= {x[1] for x in found[160]}
+
+
+def test_topk_compacts_most_candidates():
+    """On the given vectors bounds leave few candidates for the last dimensions, and pruning loses none."""
+    v = np.floor(64 * np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist()))
+    ids, asked = np.arange(len(v)), np.arange(0, len(v), 20)
+    opening = topk.best_of_block(v[asked], ids[asked], np.full(len(asked), -(2**63)), v[:1000], ids[:1000], 20)
+    bars, left = opening[2][19::20], []
+    q, c, score = topk.best_of_block(v[asked], ids[asked], bars, v, ids, 20, left)
+    share = np.mean(np.array(left) / len(v), axis=0)
+    assert share[2] < 0.4 and share[-1] < 0.05
+    for n, i in enumerate(asked):
+        best = sorted((-int(x), j) for j, x in enumerate(v @ v[i]) if j != i)[:20]
+        assert [(-s, j) for s, j in zip(score[q == n], c[q == n])] == best
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLES))
