@@ -352,19 +352,45 @@ def test_url_filter(spark):
     assert [tuple(r) for r in url_filter.judge_urls(pages.filter("page_id = 3")).select("host", "path").collect()] == [("www.example.com", "/en/71")]
 
 
+def plain_blocks(text, templates, threshold, stretch):
+    """Labels and best containment of all runs of words, one by one."""
+    words, labels, best = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER)), set(), 0.0
+    for label, names, template in templates:
+        whole = set(template.split())
+        reach = max(1, int(stretch * len(template.split())))
+        for i in range(len(words)):
+            block = set(words[i : i + reach])
+            if 10 * len(block & whole) >= 10 * threshold * len(whole) - 1e-6 and set(names.split()) <= block:
+                labels.add(label)
+                best = max(best, len(block & whole) / len(whole))
+    return labels, best
+
+
 def test_license_scan_equals_full_comparison(spark, empty):
     r = random.Random(9)
-    filler = ["the", "under", "by", "apache", "version", "word", "mit", "license", "x1", "nc"]
-    texts = [None, "", "MIT License, mit-license! Apache\nLicense", "K license mIt LICENSE", "general public license " * 3]
-    texts += [" ".join(r.choices(filler, k=r.randint(0, 90)) + (license_scan.TEMPLATES[i % 8][1].split()[i % 3 :] if i % 2 else []) + r.choices(filler, k=r.randint(0, 200))) for i in range(40)]
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    filler = ["the", "under", "by", "apache", "version", "word", "mit", "license", "x1", "nc", "İ", "K"]
+    long_notice = "own " + " ".join(f"clause{i}" for i in range(150))
+    templates = (*license_scan.TEMPLATES, ("own", "own", long_notice), ("one", "", "solitary"))
+    texts = [None, "", "MIT License, mit-license! Apache\nLicense", "K license mIt LICENSE", "general public license " * 3, "a solitary word", long_notice]
+    texts += [" \n# ".join(w for w in long_notice.split() if r.random() < keep) for keep in (0.75, 0.85, 0.95)]
+    texts += ["released under the Apache license", "licensed under CC BY 4.0", "Licensed under CC-BY-SA 4.0", license_scan.TEMPLATES[0][2].upper(), "the license " * 30_000]
+    texts += [" ".join(r.choices(filler, k=r.randint(0, 90)) + (templates[i % 24][2].split()[i % 3 :] if i % 2 else []) + r.choices(filler, k=r.randint(0, 200))) for i in range(60)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(3, texts[3], "en", "s", 0), (None, texts[4], "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("hits", F.lit(1)).withColumn("row", F.lit(2))
     duck = duckdb.connect()
     documents = docs.toPandas()  # noqa: F841
     duck.execute("CREATE TABLE documents AS SELECT * FROM documents")
     columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    found = license_scan.scan(docs, Workspace(spark, "t")).select(*columns).collect()
-    wanted = duck.execute(f"SELECT {', '.join(columns)} FROM ({license_scan.oracle_sql()})").fetchall()
-    assert sorted(map(tuple, found)) == sorted(wanted, key=lambda x: x[0])
+    found = license_scan.scan(docs, Workspace(spark, "t"), templates=templates).select(*columns).collect()
+    wanted = duck.execute(f"SELECT {', '.join(columns)} FROM ({license_scan.oracle_sql(templates=templates)})").fetchall()
+    assert sorted(map(tuple, found), key=str) == sorted(wanted, key=str)
+    by_id = {x["doc_id"]: x for x in found}
+    for i, t in enumerate(texts):
+        if len(t or "") < 100_000:
+            labels, best = plain_blocks(t, templates, license_scan.THRESHOLD, license_scan.STRETCH)
+            assert set(filter(None, by_id[i]["labels"].split(","))) == labels | set(filter(None, by_id[i]["base_labels"].split(",")))
+            assert by_id[i]["score"] == (1.0 if by_id[i]["n_base"] else best)
+    assert [by_id[i]["labels"] for i in (6, 7, 8, 9, 10, 11, 12, 13)] == ["own", "", "own", "own", "apache", "", "cc-by-sa", "mit"]
     assert license_scan.scan(empty, Workspace(spark, "t")).count() == 0
 
 
