@@ -1,15 +1,15 @@
 """Exact duplicates of whole normalised texts by a distributed content sort.
 
-Sampled splitters range-partition the normalised texts by their first characters and then their SHA-256, each
-partition is sorted, and neighbours are compared in full (a window over equal texts). Rows are dealt by
-(text, salt) so that a text which a third of all rows
-hold is spread over many partitions; what each part retains, one narrow row, is then brought together by
-the SHA-256 of the normalised text.
-
-Normalised: without space and the characters 9 to 13. A null text counts as empty. Of equal texts the row
-with the most code points in the original text stays, then the smallest ``doc_id`` (nulls last). Repeated
-rows are told apart by a running number, so exactly one of them stays. Empty tables give empty results; other
-columns pass through ``drop_duplicates`` untouched.
+Sampled splitters range-partition the texts by the first characters of their normalised content, and by its digest where
+many texts begin alike. Each partition is sorted by the whole content, which places equals side by side, and neighbours
+are compared in full. Texts that very many rows hold are found first, by counts of digests, and dealt to ``SALTS`` parts,
+each sorted for itself; what a part retains is then sorted and compared in full with what the other parts retain. All
+other texts are settled within one sort.
+
+Normalised: without space and the characters 9 to 13. A null text counts as empty. Of equal texts the row with the most
+code points in the original text stays, then the smallest ``doc_id`` (nulls last). Repeated rows are told apart by their
+place in the sort, so exactly one of them stays. Very long texts are compared to their end. Empty tables give empty
+results; columns of any name pass through ``drop_duplicates`` untouched.
 """
 
 from __future__ import annotations
@@ -19,46 +19,76 @@ from pyspark.sql import functions as F
 
 from larder.llm.workspace import Workspace, partitions_for
 
-WHITE_SPACE = r"[\x20\x09-\x0D]+"
+#: The characters that are deleted.
+WHITE_SPACE = " \t\n\x0b\x0c\r"
 #: Characters of a normalised text that splitters are sampled from.
-HEAD = 32
-#: Parts that the rows of one text are dealt to.
+HEAD = 64
+#: Parts that the rows of one frequent text are dealt to.
 SALTS = 64
+#: A text is dealt to parts if its rows come to more than a shuffle partition's share over this.
+SHARE = 8
 
 
 def normalised(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
+    out = F.coalesce(text, F.lit(""))
+    for c in WHITE_SPACE:
+        out = F.replace(out, F.lit(c), F.lit(""))
+    return out
+
+
+def _frequent(digests: DataFrame, space: Workspace) -> DataFrame:
+    """Digests of the texts that are to be dealt: SHARE times the number of shuffle partitions at most."""
+    counts = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    counts = space.write(counts, "counts")
+    n_rows = digests.count()
+    return counts.filter(F.col("n") * (SHARE * partitions_for(space.spark)) > n_rows).select("digest")
+
+
+def _ranked(docs: DataFrame, space: Workspace, whole: bool) -> DataFrame:
+    """Every row with the digest of its content, its rank among equals, their number, and who stays of them.
+
+    With ``whole`` the rows themselves go along as ``row``, and only the first of equals come out."""
+    digest = F.unhex(F.sha2(normalised(F.col("text")), 256))
+    frequent = _frequent(space.write(docs.select(digest.alias("digest")), "digests"), space)
+    content = normalised(F.col("text"))
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole else content.alias("content")
+    rows = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("points"), carried, F.substring(content, 1, HEAD).alias("head"), digest.alias("digest"))
+    # frequent texts are few; rows of one are told apart by id and input partition
+    rows = rows.withColumn("part", F.spark_partition_id()).join(F.broadcast(frequent.withColumn("dealt", F.lit(True))), "digest", "left")
+    salt = F.when(F.col("dealt"), F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS))).otherwise(-1).cast("int")
+    dealt = rows.withColumn("salt", salt).drop("part", "dealt").repartitionByRange(partitions_for(docs.sparkSession), "head", "digest", "salt")
+    if whole:
+        dealt = dealt.withColumn("content", normalised(F.col("row.text")))
+    same = Window.partitionBy("head", "digest", "salt", "content")
+    order = same.orderBy(F.desc("points"), F.asc_nulls_last("doc_id"))
+    ranked = dealt.withColumn("nth", F.row_number().over(order)).withColumn("size", F.count(F.lit(1)).over(same)).withColumn("keep_id", F.first("doc_id").over(order))
+    # only the retained rows of dealt texts need their content again
+    content = F.when((F.col("nth") == 1) & (F.col("salt") >= 0), F.col("content"))
+    out = ranked.select("doc_id", "points", "digest", "salt", "nth", "size", "keep_id", content.alias("content"), "row" if whole else F.lit(None).cast("boolean").alias("row"))
+    return space.write(out.filter("nth = 1") if whole else out, "ranked")
 
 
-def _parts(docs: DataFrame, space: Workspace) -> DataFrame:
-    """A narrow row for each document: its rank in its part, and the part's best row and size."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.length(text).alias("n_points"), normalised(F.col("text")).alias("content"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).withColumn("text_sha256", F.sha2("content", 256))
-    # splitters are sampled from the first characters, and from the digest where many texts begin alike
-    key = [F.substring("content", 1, HEAD).alias("head"), "text_sha256", "salt"]
-    dealt = rows.select("doc_id", "n_points", "content", *key).repartitionByRange(partitions_for(docs.sparkSession), "head", "text_sha256", "salt")
-    same = Window.partitionBy("head", "text_sha256", "salt", "content")
-    best_first = same.orderBy(F.desc("n_points"), F.asc_nulls_last("doc_id"))
-    ranked = dealt.withColumn("nth", F.row_number().over(best_first)).withColumn("part_size", F.count(F.lit(1)).over(same))
-    return space.write(ranked.select("doc_id", "salt", "n_points", "nth", "part_size", "text_sha256"), "parts")
+def _settled(docs: DataFrame, space: Workspace, whole: bool) -> DataFrame:
+    """row, doc_id, keep_id, group_size, kept, digest of what ``_ranked`` gives."""
+    ranked = _ranked(docs, space, whole)
+    within = ranked.filter("salt < 0").select("row", "doc_id", "keep_id", F.col("size").alias("group_size"), (F.col("nth") == 1).alias("kept"), "digest")
+    # the retained rows of the parts of one text: SALTS at most, compared by their whole content
+    retained = ranked.filter("salt >= 0 AND nth = 1").select("doc_id", "points", "digest", "salt", "size", "content")
+    equal = Window.partitionBy("digest", "content")
+    first = F.min(F.struct((-F.col("points")).alias("fewer"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "salt")).over(equal)
+    parts = retained.select("digest", "salt", first.alias("first"), F.sum("size").over(equal).alias("group_size"))
+    parts = parts.select("digest", "salt", F.col("first.doc_id").alias("first_id"), (F.col("first.salt") == F.col("salt")).alias("wins"), "group_size")
+    across = ranked.filter("salt >= 0").select("row", "doc_id", "digest", "salt", "nth").join(parts, ["digest", "salt"])
+    across = across.select("row", "doc_id", F.col("first_id").alias("keep_id"), "group_size", ((F.col("nth") == 1) & F.col("wins")).alias("kept"), "digest")
+    return within.unionByName(across)
 
 
 def find_duplicates(docs: DataFrame, space: Workspace) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs`` (doc_id, text)."""
-    parts = _parts(docs, space)
-    best = F.min(F.struct((-F.col("n_points")).alias("fewer"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "salt"))
-    group = Window.partitionBy("text_sha256")  # of the best rows of its parts, SALTS at most
-    groups = parts.filter("nth = 1").select("text_sha256", "salt", best.over(group).alias("best"), F.sum("part_size").over(group).alias("group_size"))
-    joined = parts.join(groups, ["text_sha256", "salt"])
-    kept = (F.col("nth") == 1) & (F.col("salt") == F.col("best.salt"))
-    return joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
+    found = _settled(docs.select("doc_id", "text"), space, whole=False)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame, space: Workspace) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = find_duplicates(docs, space).filter("kept").select(F.col("doc_id").alias("_doc_id"), F.col("text_sha256").alias("_sha256"))
-    rows = docs.withColumn("_sha256", F.sha2(normalised(F.col("text")), 256)).withColumn("_points", F.length("text"))
-    found = rows.join(kept.withColumnRenamed("_sha256", "_kept_sha256"), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_sha256") == F.col("_kept_sha256")), "left_semi")
-    once = Window.partitionBy("doc_id", "_sha256").orderBy(F.desc("_points"))
-    return found.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").select(*docs.columns)
+    return _settled(docs, space, whole=True).filter("kept").select("row.*")

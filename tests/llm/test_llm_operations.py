@@ -163,6 +163,20 @@ def test_exact_dedup(spark, docs, empty):
     assert exact_dedup.find_duplicates(empty, Workspace(spark, "t")).count() == 0
 
 
+def test_exact_dedup_of_hot_null_and_clashing(spark):
+    """A text that most rows hold, null ids, repeated rows, small groups of copies, and columns of the operator's own names."""
+    rows = [(i if i % 5 else None, "hot  text" if i % 3 else "hot text", "en", "s", i) for i in range(300)]
+    rows += [(1000 + i, f"pair {i // 2}" + " " * (i % 2), "en", "s", i) for i in range(60)] + [(1000, "pair 0", "en", "s", 0)] * 2
+    docs = spark.createDataFrame(rows, DOCS).withColumn("_sha256", F.lit("mine")).withColumn("_doc_id", F.col("n_chars")).withColumn("salt", F.lit("x")).withColumn("row", F.lit(1))
+    kept = exact_dedup.drop_duplicates(docs.repartition(3), Workspace(spark, "t"))
+    assert kept.columns == docs.columns
+    best = min((-len(t), i is None, i) for i, t, *_ in rows[:300])
+    assert sorted((r["doc_id"], r["text"], r["_sha256"]) for r in kept.collect()) == sorted([(best[2], "hot  text", "mine")] + [(1001 + 2 * i, f"pair {i} ", "mine") for i in range(30)])
+    found = exact_dedup.find_duplicates(docs.repartition(3), Workspace(spark, "t")).collect()
+    assert len(found) == len(rows) and Counter(r["group_size"] for r in found) == {300: 300, 2: 58, 4: 4} and sum(r["kept"] for r in found) == 31
+    assert {r["keep_id"] for r in found if r["group_size"] == 300} == {best[2]}
+
+
 def brute_components(rows, words, percent):
     sets = {}
     for i, t in rows:
