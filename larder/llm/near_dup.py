@@ -2,24 +2,28 @@
 
 1. Each text's set of word shingles is hashed once; one permutation fills ``bands * rows`` bins, empty bins take
    over a bin chosen by a fixed hash sequence (optimal densification), and each band of bins makes a bucket key.
-2. Texts with the same set are one class, so copies never meet one another in buckets.
+2. Texts with the same set (all its shingles in order, by a 128-bit digest) are one class, so copies never meet one
+   another in buckets. The class is the node that links join; rows get their component by it.
 3. In a bucket every member is paired with the bucket's smallest member alone (a star). All pairs are confirmed
    on the full sets. A star may part two texts whose centre is like neither; so buckets whose other members
-   still are in several components are settled exactly: blocks of their members, bounded in members and
-   shingles, meet one another, and only links that join two components come out. No bucket, member or pair is
-   dropped, and no step gives more rows than a bucket has members (times its blocks).
+   still are in several components are settled exactly: their members are dealt to blocks, bounded in members and
+   shingles, one large component to blocks of its own, and blocks meet unless both hold the same component alone. Only
+   links that join two components come out. No bucket, member or pair is dropped.
 4. Links make components, whose smallest document stays.
 
-Two sets at similarity 0.8 share no band with a chance of about 2e-6 for the default 56 bands of 7 bins.
+Keys that very many rows share (buckets, centres, classes, hubs) are found first and dealt to salted parts. Two sets at
+similarity 0.8 share no band with a chance of about 2e-6 for the default 56 bands of 7 bins.
 
 Words are runs of characters other than space and 9 to 13, with A-Z lower-cased; a text of fewer words than a
-shingle is one shingle; a text without words (or null) has an empty set and is linked with nothing. Rows
-with a null ``doc_id`` can't be named and are linked with nothing (component null, kept). Rows of equal
-``doc_id`` count as one document. Empty tables give empty results; other columns pass through untouched.
+shingle is one shingle; a text without words (or null) has an empty set and is linked with nothing. Very long texts
+are taken whole. Rows with a null ``doc_id`` can't be named and are linked with nothing (component null, kept). Rows of
+equal ``doc_id`` are judged each by its own text. Empty tables give empty results; other columns, whatever their names,
+pass through untouched.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +33,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.components import components
+from larder.llm.skew import SHARE, lookup
 from larder.llm.tokenizing import batches_by_bytes
 from larder.llm.words import mixed, utf8, words_by_text
-from larder.llm.workspace import Workspace
+from larder.llm.workspace import Workspace, partitions_for
 
 BANDS, ROWS = 56, 7
 #: Shingles and members that a block of a bucket holds at most (one longer text is a block of its own).
 BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 20, 512
-#: Parts that the copies of one set are dealt to.
-SALTS = 64
+#: One row in so many is looked at to find buckets that are dealt to parts; the buckets themselves take all rows.
+LOOK_AT = 32
 #: Donor bins that are tried in turn for an empty bin; beyond, the next filled bin around the circle.
 ATTEMPTS = 256
 
@@ -101,8 +106,12 @@ class OnePermutation:
         return keys.view(np.int64)
 
 
+def _digests(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary())
+
+
 def _features(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, two halves of a fingerprint of the set, and the bucket keys."""
+    """doc_id, n_shingles, the digest of the set, and the bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = OnePermutation(bands, rows)
@@ -114,25 +123,23 @@ def _features(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 some, keys = np.flatnonzero(sizes), []
                 for i in range(0, len(some), 256):
                     keys.append(hasher.band_keys([sets[k] for k in some[i : i + 256]]).ravel())
-                with np.errstate(over="ignore"):
-                    sums = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
-                    tops = np.array([np.bitwise_xor.reduce(mixed(s)) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
                 at = np.concatenate(([0], np.cumsum((sizes > 0) * bands)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(part.start, len(part)),
                         pa.array(sizes),
-                        pa.array(sums),
-                        pa.array(tops),
+                        _digests(sets),
                         pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64))),
                     ],
-                    names=["doc_id", "n_shingles", "print_a", "print_b", "keys"],
+                    names=["doc_id", "n_shingles", "print", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, print_a long, print_b long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, keys array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, the digest of its set, and the set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch.column(1))
@@ -140,18 +147,48 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets([texts[i] for i in part], words)
                 at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.start, len(part)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))],
-                    names=["doc_id", "shingles"],
+                    [batch.column(0).slice(part.start, len(part)), _digests(sets), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))],
+                    names=["doc_id", "print", "shingles"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.mapInArrow(run, "doc_id long, print binary, shingles array<long>")
+
 
+def _classes(features: DataFrame, space: Workspace) -> DataFrame:
+    """One row for each distinct set: print, node, doc (its smallest id), n, keys.
+
+    The node is the smallest id; sets beyond the first of one id get numbers above all ids."""
+    named = features.filter("doc_id IS NOT NULL AND n_shingles > 0")
+    classes = named.groupBy("print").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    classes = space.write(classes, "classes")
+    above = (classes.agg(F.max("doc")).first()[0] or 0) + 1
+    several = classes.groupBy("doc").agg(F.count(F.lit(1)).alias("_c"), F.min("print").alias("_first")).filter("_c > 1").drop("_c")
+    node = F.when(F.col("_first").isNull() | (F.col("_first") == F.col("print")), F.col("doc")).otherwise(F.lit(above) + F.monotonically_increasing_id())
+    return space.write(classes.join(several, "doc", "left").select("print", node.alias("node"), "doc", "n", "keys"), "nodes")  # written, so that numbers stand
+
+
+def _buckets(nodes: DataFrame, space: Workspace) -> DataFrame:
+    """key, doc, n, and the bucket's smallest member (center, m) of all buckets of two members or more."""
+    rows = nodes.select(F.col("node").alias("doc"), "n", F.explode("keys").alias("key"))
+    seen = rows.filter(F.pmod(F.xxhash64("doc"), F.lit(LOOK_AT)) == 0)
+    n_seen, share = seen.count(), SHARE * partitions_for(space.spark)
+    large = seen.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) & (F.col("_n") * share > n_seen)).select("key")
+    large = space.write(large, "large-buckets")  # at most ``share`` rows
+    bucket = Window.partitionBy("key")
+    head = F.min(F.struct("doc", "n"))
+    small = rows.join(F.broadcast(large), "key", "left_anti").withColumn("head", head.over(bucket)).withColumn("last", F.max("doc").over(bucket))
+    dealt = rows.join(F.broadcast(large), "key", "left_semi")
+    heads = dealt.groupBy("key").agg(head.alias("head"), F.max("doc").alias("last"))
+    members = small.unionByName(dealt.join(F.broadcast(heads), "key").select(small.columns))
+    live = members.filter(F.col("head.doc") < F.col("last"))
+    return space.write(live.select("key", "doc", "n", F.col("head.doc").alias("center"), F.col("head.n").alias("m")), "buckets")
 
-def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int, space: Workspace) -> DataFrame:
     """The (center, doc) pairs whose full sets reach the similarity."""
-    member = sets.select(F.col("doc_id").alias("doc"), F.col("shingles").alias("s"))
-    center = sets.select(F.col("doc_id").alias("center"), F.col("shingles").alias("t"))
-    both = pairs.join(member, "doc").join(center, "center")
+    member = sets.select(F.col("node").alias("doc"), F.col("shingles").alias("s"))
+    center = sets.select(F.col("node").alias("center"), F.col("shingles").alias("t"))
+    both = lookup(space.write(pairs, "pairs"), center, "center", "doc").join(member, "doc")
     shared = F.size(F.array_intersect("s", "t"))
     return both.filter(100 * shared >= percent * (F.size("s") + F.size("t") - shared)).select("center", "doc")
 
@@ -193,15 +230,27 @@ def _links_between(component: np.ndarray, sets: list[np.ndarray], left: np.ndarr
     return links
 
 
-def _settled(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components within the buckets of ``rest`` (key, doc, n, component)."""
-    order = Window.partitionBy("key").orderBy("doc")
+def _blocks(rest: DataFrame) -> DataFrame:
+    """``rest`` (key, doc, n, component) with its block. A component that fills a block has blocks of its own."""
     weight = F.col("n") + BLOCK_SHINGLES // BLOCK_MEMBERS
-    blocks = rest.withColumn("block", F.floor((F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, 0)) - weight) / BLOCK_SHINGLES).cast("int"))
-    blocks = blocks.withColumn("_last", F.max("block").over(Window.partitionBy("key")))
-    dealt = blocks.withColumn("_with", F.explode(F.sequence(F.lit(0), "_last")))
-    dealt = dealt.select("key", F.least("block", "_with").alias("i"), F.greatest("block", "_with").alias("j"), "block", "doc", "component")
-    filled = dealt.join(sets, F.col("doc") == F.col("doc_id")).drop("doc_id")
+    sizes = rest.groupBy("key", "component").agg(F.sum(weight).alias("_w"))
+    small = F.sum(F.when(F.col("_w") < BLOCK_SHINGLES, F.col("_w")))
+    sums = sizes.groupBy("key").agg(F.ceil(2 * F.coalesce(small, F.lit(0)) / BLOCK_SHINGLES).alias("_small"))
+    parts = sizes.join(sums, "key").select("key", "component", F.when(F.col("_w") >= BLOCK_SHINGLES, F.ceil(F.col("_w") / BLOCK_SHINGLES)).alias("_own"), "_small")
+    own = F.xxhash64("component", F.pmod(F.xxhash64("doc"), F.col("_own")))
+    shared = F.pmod(F.xxhash64("component"), F.greatest("_small", F.lit(1)))
+    return rest.join(parts, ["key", "component"]).withColumn("block", F.when(F.col("_own").isNotNull(), own).otherwise(shared)).drop("_own", "_small")
+
+
+def _settled(rest: DataFrame, sets: DataFrame, percent: int, space: Workspace) -> DataFrame:
+    """Links (a, b) between different components within the buckets of ``rest`` (key, doc, n, component)."""
+    rows = space.write(_blocks(rest), "blocks")
+    blocks = rows.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    left, right = (blocks.select("key", F.col("block").alias(x), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high")) for x in "ij")
+    alone = (F.col("i_low") == F.col("i_high")) & (F.col("j_low") == F.col("j_high")) & (F.col("i_low") == F.col("j_low"))
+    meet = left.join(right, "key").filter(F.col("i") <= F.col("j")).filter(~alone)
+    sides = meet.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    filled = rows.join(sides, ["key", "block"]).select("key", "i", "j", "block", "doc", "component").join(sets, F.col("doc") == F.col("node")).drop("node")
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         ids = group["doc"].to_numpy()
@@ -212,36 +261,25 @@ def _settled(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return filled.groupBy("key", "i", "j").applyInPandas(settle, "a long, b long")
 
 
-def find_near_duplicates(
-    docs: DataFrame, space: Workspace, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
+def _grouped(docs: DataFrame, space: Workspace, words: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, n_shingles, print, component_id of every row of ``docs`` (doc_id, text)."""
     features = space.write(_features(docs, words, bands, rows), "features")
-    same = ["n_shingles", "print_a", "print_b"]
-    named = features.filter("doc_id IS NOT NULL AND n_shingles > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    parts = named.groupBy(*same, "salt").agg(F.min("doc_id").alias("_least"))  # at most SALTS rows of a set go on
-    classes = parts.withColumn("class_id", F.min("_least").over(Window.partitionBy(*same))).drop("_least")
-    classed = space.write(named.select("doc_id", *same, "salt").join(classes, [*same, "salt"]).select("doc_id", "class_id", "n_shingles"), "classed")
-
-    # one row for each class, band and bucket that holds more than one class
-    first = named.join(classed.select("class_id").distinct(), F.col("doc_id") == F.col("class_id"), "left_semi").dropDuplicates(["doc_id"])
-    rows_of = first.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key")
-    members = rows_of.withColumn("_least", F.min("doc").over(bucket)).withColumn("_most", F.max("doc").over(bucket))
-    live = space.write(members.filter("_least < _most").drop("_least", "_most"), "buckets")
-    wanted = live.select(F.col("doc").alias("doc_id")).distinct()
-    named_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = space.write(_sets(named_docs, words).dropDuplicates(["doc_id"]), "sets")
+    nodes = _classes(features, space)
+    live = _buckets(nodes, space)
+    wanted = nodes.join(live.select(F.col("doc").alias("node")).distinct(), "node", "left_semi").select("print", "node", "doc")
+    ids = wanted.select(F.col("doc").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    sets = _sets(texts, words).select("print", "shingles").dropDuplicates(["print"]).join(wanted.select("print", "node"), "print").select("node", "shingles")
+    sets = space.write(sets, "sets")
 
     # a star in each bucket: its smallest member meets all others
-    heads = live.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("head")).select("key", F.col("head.doc").alias("center"), F.col("head.n").alias("m"))
     fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("center") < F.col("doc"))
-    pairs = live.join(heads, "key").filter(fits).select("center", "doc").distinct()
-    links = space.write(_alike(pairs, sets, percent).select(F.col("center").alias("a"), F.col("doc").alias("b")), "star-links")
+    pairs = live.filter(fits).select("center", "doc").distinct()
+    links = space.write(_alike(pairs, sets, percent, space).select(F.col("center").alias("a"), F.col("doc").alias("b")), "star-links")
     labels = None if links.isEmpty() else components(links, space, "stars")
 
     # buckets that still hold several components are settled on full sets, in blocks of bounded size
-    rest = live.join(heads, "key").filter("doc <> center").select("key", "doc", "n")
+    rest = live.filter("doc <> center").select("key", "doc", "n")
     if labels is not None:
         rest = rest.join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
     else:
@@ -253,21 +291,55 @@ def find_near_duplicates(
     open_buckets = open_buckets.filter("_least < _most").groupBy("_n", "_sum", "_xor").agg(F.min("key").alias("key"))
     rest = space.write(rest.join(open_buckets.select("key"), "key", "left_semi"), "open")
     if not rest.isEmpty():
-        more = space.write(_settled(rest, sets, percent), "settled-links")
+        more = space.write(_settled(rest, sets, percent, space), "settled-links")
         if not more.isEmpty():
             labels = components(links.unionByName(more), space, "all")
 
-    named_rows = classed
+    # classes get their component, named by its smallest id, and rows by their class
+    component = nodes.select("print", "node", "doc").withColumn("component", F.col("node"))
     if labels is not None:
-        named_rows = classed.join(labels, F.col("class_id") == F.col("node"), "left")
-    component = F.coalesce("component", "class_id") if labels is not None else F.col("class_id")
-    linked = named_rows.select("doc_id", "n_shingles", component.alias("component_id"))
-    alone = features.filter("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        component = nodes.select("print", "node", "doc").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if not nodes.filter("node <> doc").isEmpty():  # numbers above the ids don't name a component
+            component = space.write(component, "named")
+            least = component.groupBy("component").agg(F.min("doc").alias("least"))
+            component = lookup(component, least, "component", "print").withColumn("component", F.col("least"))
+    else:
+        component = component.withColumn("component", F.col("doc"))
+    component = space.write(component.select("print", F.col("component").alias("component_id")), "components")
+    named = features.filter("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "n_shingles", "print")
+    linked = lookup(named, component, "print", "doc_id").select("doc_id", "n_shingles", "print", "component_id")
+    alone = features.filter("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", "print", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone)
 
 
-def drop_near_duplicates(docs: DataFrame, space: Workspace, words: int = 5, percent: int = 80) -> DataFrame:
+def find_near_duplicates(
+    docs: DataFrame, space: Workspace, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
+    found = _grouped(docs, space, words, percent, bands, rows)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, space: Workspace, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each component, with all their columns."""
-    found = find_near_duplicates(docs, space, words, percent)
-    gone = found.filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = _grouped(docs.select("doc_id", "text"), space, words, percent, bands, rows)
+    own = F.col("doc_id") == F.col("component_id")
+    ids = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_if(own).alias("stay"), F.count_if(~own).alias("go"))
+    gone = space.write(ids.filter("go > 0"), "gone")
+    kept = docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    if gone.filter("stay > 0").isEmpty():
+        return kept
+    # an id whose texts differ, some of which stay: told apart by their sets
+    staying = found.filter(own).join(gone.filter("stay > 0").select("doc_id"), "doc_id", "left_semi").select("doc_id", "print").distinct()
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = whole.join(gone.filter("stay > 0").select("doc_id"), "doc_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, prints = utf8(batch.column(1)), []
+            for part in batches_by_bytes(texts, 4 << 20):
+                prints += _digests(shingle_sets([texts[i] for i in part], words)).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), batch.column(2)], names=["doc_id", "print", "row"])
+
+    told = rows.mapInArrow(run, f"doc_id long, print binary, row {whole.schema['row'].dataType.simpleString()}")
+    return kept.unionByName(told.join(staying, ["doc_id", "print"], "left_semi").select("row.*"))

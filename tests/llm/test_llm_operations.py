@@ -221,6 +221,38 @@ def test_chain_of_texts_around_an_unlike_centre(spark):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dup.find_near_duplicates(docs, Workspace(spark, "t"), words=4).collect()} == wanted
 
 
+def brute_rows(texts, words, percent):
+    """Smallest id of each text's component, text by text."""
+    return [(n, c) for _, (n, c) in sorted(brute_components(list(enumerate(texts)), words, percent).items())]
+
+
+def test_near_duplicates_of_hot_null_and_repeated_ids(spark, monkeypatch):
+    """A hot group of near copies, ids that several texts share, null ids, and settling over several blocks."""
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", 8)
+    r, base = random.Random(12), [f"b{i}" for i in range(60)]
+    other = [f"o{i}" for i in range(60)]
+    texts = [" ".join(w if r.random() > 0.01 else f"x{i}" for w in base) for i in range(70)] + [" ".join(base)] * 30
+    texts += [" ".join(base[: 30 + i % 8] + other[i % 12 :]) for i in range(40)] + [" ".join(other)] * 3 + ["lone text of its own here", "", None]
+    ids = [*range(100), *[7] * 20, *range(200, 200 + len(texts) - 120)]
+    rows = list(zip(ids, texts)) + [(None, texts[0]), (None, texts[100])]
+    groups = [c for _, c in brute_rows(texts, 4, 80)]
+    smallest = {g: min(ids[i] for i in range(len(texts)) if groups[i] == g) for g in groups}
+    wanted = sorted([(ids[i], smallest[g]) for i, g in enumerate(groups)] + [(None, None)] * 2, key=str)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).withColumn("print", F.lit("mine")).withColumn("node", F.lit(1)).repartition(6)
+    found = near_dup.find_near_duplicates(docs, Workspace(spark, "t"), words=4).collect()
+    assert sorted(((x["doc_id"], x["component_id"]) for x in found), key=str) == wanted
+    kept = near_dup.drop_near_duplicates(docs, Workspace(spark, "t"), words=4)
+    assert kept.columns == docs.columns
+    assert sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=str) == sorted([(ids[i], t) for i, t in enumerate(texts) if smallest[groups[i]] == ids[i]] + rows[-2:], key=str)
+
+
+def test_near_duplicates_of_a_given_table(spark):
+    rows = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    wanted = brute_components([(r["doc_id"], r["text"]) for r in rows], 4, 80)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in queries.op9_minhash_near_dedup(spark, "/root/testdata/sf0.001").collect()} == wanted
+
+
 def test_blocks_meet_each_other():
     r = random.Random(2)
     sets = [np.unique(np.array([r.randrange(60) for _ in range(40)], dtype=np.int64)) for _ in range(30)]
