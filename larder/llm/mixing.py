@@ -7,11 +7,12 @@ used up. So at any point each source has got its share.
 
 Running sums never gather a source in one task: the order is cut into ranges of the hash (or of finish time),
 ranges are summed, and only rows of one range stand in one window. Ranges are themselves summed in coarser
-ones. Rows that are the same in all of (doc_id, source, size) are interchangeable.
+ones. Sources are ranked and filled up in sorted ranges, too, so there may be very many. The hash is of id, source and
+text; rows that are the same in all three are interchangeable and stand in one range.
 
 Size: the number of words ``[^\\x20\\x09-\\x0D]+``, 0 for a null text. A null source is a source of its own, last
-in order. A null ``doc_id`` is kept. Sources of size 0 have target 0. Reruns give the same result. Extra columns
-pass through ``mix`` as they are.
+in order. A null ``doc_id`` is kept; repeated rows are taken each. Sources of size 0 have target 0. Very long texts count
+whole. Reruns give the same result. An empty table gives an empty mix. Columns of any name pass through ``mix``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.workspace import Workspace
+from larder.llm.workspace import Workspace, partitions_for
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A document is taken this often at most.
@@ -40,28 +41,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
-    """source, source_size, target from (source, source_size).
-
-    Targets fill up like water: min(cap, level x weight) with the level at which they add up to all words.
-    Sources that reach their cap come first by cap / weight, so one running sum over the sources finds it."""
-    spark_order = Window.orderBy(F.asc_nulls_last("source"))
-    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.pmod(F.row_number().over(spark_order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    caps = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most_times)
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.asc_nulls_last("source"))
-    everything = Window.partitionBy()
-    caps = (
-        caps.withColumn("_left", F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(*_BEFORE)), F.lit(0)))
-        .withColumn("_weights", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(by_ratio.rowsBetween(*_BEFORE)), F.lit(0)))
-        .withColumn("_nth", F.row_number().over(by_ratio))
-        .withColumn("_fits", F.col("cap") * F.col("_weights") >= F.col("_left") * F.col("weight"))
-    )
-    level = F.min(F.when(F.col("_fits"), F.struct("_nth", "_left", "_weights"))).over(everything)
-    shared = (F.col("weight") * F.col("_level._left")).cast("double") / F.col("_level._weights").cast("double")
-    target = F.when(F.col("_level").isNull() | (F.col("_nth") < F.col("_level._nth")), F.col("cap").cast("double")).otherwise(shared)
-    return caps.withColumn("_level", level).select("source", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(target).alias("target"))
-
-
 def _with_targets(rows: DataFrame, stats: DataFrame) -> DataFrame:
     """Join by source: a broadcast when the counted number of sources allows it, else in salted groups."""
     on = F.col("source").eqNullSafe(F.col("_source"))
@@ -86,18 +65,58 @@ def _running(ranges: DataFrame, group: list[str], n: str) -> DataFrame:
     return joined.select(*[F.col(f"l.{c}") for c in ranges.columns], (F.col("_inner_before") + F.col("_coarse_before")).alias("_before"))
 
 
+def _sorted(df: DataFrame, space: Workspace, name: str, *order: Column) -> DataFrame:
+    """``df`` written in ranges of the order, numbered by ``_range``."""
+    return space.write(df.repartitionByRange(partitions_for(df.sparkSession), *order).withColumn("_range", F.spark_partition_id().cast("long")), name)
+
+
+def _sum_before(rows: DataFrame, n: Column, *order: Column) -> DataFrame:
+    """``rows`` of ``_sorted`` with ``_before``: the sum of ``n`` over all earlier rows in the order."""
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(*_BEFORE)
+    ranges = _running(rows.groupBy("_range").agg(F.sum(n).alias("_n")), [], "_n").select("_range", F.col("_before").alias("_of_range"))
+    here = rows.withColumn("_of_row", F.coalesce(F.sum(n).over(within), F.lit(0)))
+    return here.join(ranges, "_range").withColumn("_before", F.col("_of_row") + F.col("_of_range")).drop("_of_row", "_of_range")
+
+
+def targets(sizes: DataFrame, space: Workspace, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
+    """source, source_size, target from (source, source_size).
+
+    Targets fill up like water: min(cap, level x weight) with the level at which they add up to all words.
+    Sources that reach their cap come first by cap / weight, so running sums over the sources find it."""
+    by_name = F.asc_nulls_last("source")
+    ranked = _sum_before(_sorted(sizes, space, "by-name", by_name), F.lit(1).cast("long"), by_name)
+    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.pmod("_before", F.lit(len(weights))) + 1).cast("int"))
+    caps = ranked.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most_times).alias("cap"))
+    caps = caps.withColumn("ratio", F.col("cap") / F.col("weight"))
+    by_ratio = [F.col("ratio"), by_name]
+    caps = _sorted(caps, space, "by-ratio", *by_ratio)
+    total, all_weights = caps.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    filled = _sum_before(caps, F.col("cap"), *by_ratio).withColumnRenamed("_before", "_caps")
+    filled = _sum_before(filled, F.col("weight"), *by_ratio).withColumn("_left", F.lit(total) - F.col("_caps")).withColumn("_weights", F.lit(all_weights) - F.col("_before"))
+    place = F.struct("ratio", F.col("source").isNull().alias("a"), "source")
+    fits = filled.filter(F.col("cap") * F.col("_weights") >= F.col("_left") * F.col("weight"))
+    level = fits.agg(F.min(F.struct(place.alias("place"), "_left", "_weights")).alias("level")).first()["level"]  # the first source below its cap
+    cap = F.col("cap").cast("double")
+    if level is not None:
+        shared = (F.col("weight") * F.lit(level["_left"])).cast("double") / F.lit(level["_weights"]).cast("double")
+        kinds = (("ratio", "double"), ("a", "boolean"), ("source", sizes.schema["source"].dataType))
+        first = F.struct(*[F.lit(level["place"][k]).cast(t).alias(k) for k, t in kinds])
+        cap = F.when(place < first, cap).otherwise(shared)
+    return caps.select("source", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(cap).alias("target"))
+
+
 def shares(docs: DataFrame, space: Workspace, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES, payload: list[str] | None = None) -> DataFrame:
     """doc_id, size, source_size, target and ``times`` (how often the mix takes it) of every row of ``docs``
     (doc_id, text, source), with the ``payload`` columns beside them."""
     payload = payload or []
     kept = [F.col(c).alias(f"_payload_{i}") for i, c in enumerate(payload)]
-    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source"), 1)
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source", "text"), 1)
     rows = space.write(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"), *kept), "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     sizes = space.write(sizes, "sources")
     n_rows, budget = sizes.agg(F.sum("_rows"), F.sum("source_size")).first()
     bits = max(0, ((n_rows or 0) // RANGE_ROWS).bit_length())
-    stats = space.write(targets(sizes.drop("_rows"), weights, most_times), "targets")
+    stats = space.write(targets(sizes.drop("_rows"), space, weights, most_times), "targets")
     rows = _with_targets(rows, stats).withColumn("_range", F.shiftright("_key", 63 - bits))
 
     # words of the source up to and including each document, in the shuffled order

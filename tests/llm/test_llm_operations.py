@@ -300,6 +300,51 @@ def test_mix_reaches_targets(spark, docs, empty):
     assert mixed.columns == [*docs.columns, "size"]
 
 
+def plain_queue(rows, targets, budget):
+    """How often each row is taken, one document after another: (key, doc_id, size, source) rows."""
+    queue = []
+    for source in {r[3] for r in rows}:
+        words = sum(r[2] for r in rows if r[3] == source)
+        done = 0
+        for r in sorted((r for r in rows if r[3] == source), key=lambda r: (r[0], (r[1] is not None, r[1] or 0), r[2])):
+            done += r[2]
+            for k in range(min(3, int(targets[source] // words) + 1) if words and targets[source] else 0):
+                queue.append(((done + k * words) / targets[source], source is None, source or "", r[1] is None, r[1] or 0, done, r))
+    taken, used = Counter(), 0
+    for *_, r in sorted((q for q in queue if q[-1][2]), key=lambda q: q[:-1]):
+        used += r[2]
+        if used > budget:
+            break
+        taken[r] += 1
+    return taken
+
+
+@pytest.mark.parametrize("broadcast", [0, 10_000])
+def test_mix_equals_plain_queue(spark, monkeypatch, broadcast):
+    """Null and repeated ids, repeated rows, a hot source, an empty one, and columns of the operator's own names."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 16)
+    r = random.Random(3)
+    rows = [(i if i % 7 else None, "w " * r.randint(0, 12), "en", r.choice(["a", "a", "a", "b", "Z", None]), 0) for i in range(700)]
+    rows += [(5, "same row", "en", "b", 0)] * 4 + [(5, "other text", "en", "b", 0), (9001, None, "en", "empty", 0), (9002, "x " * 50_000, "en", "long", 0)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("size", F.lit("mine")).withColumn("_key", F.lit("mine"))
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id", "source", "text"), 1)
+    plain = [(k, i, len(WORD.findall(t or "")), s) for k, i, t, s in docs.select(key, "doc_id", "text", "source").collect()]
+    found = mixing.shares(docs.repartition(5), Workspace(spark, "t"), payload=["source"]).collect()
+    taken = plain_queue(plain, {x["source"]: x["target"] for x in found}, sum(x[2] for x in plain))
+    wanted = Counter()
+    for row, n in Counter(plain).items():
+        for _ in range(n):
+            wanted[(row[1], row[2], row[3])] += 0
+        wanted[(row[1], row[2], row[3])] += taken[row]
+    got = Counter()
+    for x in found:
+        got[(x["doc_id"], x["size"], x["source"])] += x["times"]
+    assert dict(got) == dict(wanted) and len(found) == len(rows)
+    mixed = mixing.mix(docs, Workspace(spark, "t"))
+    assert mixed.columns == docs.columns and mixed.count() == sum(got.values())
+
+
 # quality
 
 
