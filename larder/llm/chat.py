@@ -11,8 +11,8 @@ have backslashes there already, so reading back takes one away: the escape is re
 forge a mark. ``loss_start`` and ``loss_end`` mark the assistant's text in the row, in code points.
 
 Nulls: a null text, role or part is empty; rows with a null ``turn`` come first, rows with a null ``conv_id`` are one
-conversation. Rows of equal turn are ordered by role, then text, and repeated rows stay. An empty table
-gives an empty output. Other columns aren't read.
+conversation. Rows of equal turn are ordered by role, then text, and repeated rows stay. Very long texts are kept whole.
+An empty table gives an empty output. Other columns aren't read; typed parts are read from the column named as such.
 """
 
 from __future__ import annotations
@@ -58,15 +58,21 @@ def flatten_parts(parts: Column) -> tuple[Column, Column]:
     return F.array_join(F.transform(parts, show), ""), notes.cast(ATTACHMENTS)
 
 
-def format_chat(turns: DataFrame, assistant: str = "assistant") -> DataFrame:
-    """conv_id, seq, rendered, loss_start, loss_end, attachments of ``turns`` (conv_id, turn, role, and text or parts)."""
-    if "parts" in turns.columns:
-        parts = F.coalesce(F.col("parts"), F.array())
+def _unescaped_role(role: Column) -> Column:
+    """Pairs of backslashes are one, and a backslash with ``n`` a new line, from left to right."""
+    lines = F.transform(F.split(role, r"\\\\", -1), lambda x: F.replace(x, F.lit("\\n"), F.lit("\n")))
+    return F.array_join(lines, "\\")
+
+
+def format_chat(turns: DataFrame, assistant: str = "assistant", parts_column: str | None = None) -> DataFrame:
+    """conv_id, seq, rendered, loss_start, loss_end, attachments of ``turns`` (conv_id, turn, role, and text or typed parts)."""
+    if parts_column:
+        parts = F.coalesce(F.col(parts_column), F.array())
     else:
         parts = F.array(F.struct(F.lit("text").alias("kind"), "text", F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("units")))
     text, notes = flatten_parts(parts)
-    rows = turns.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), text.alias("body"), notes.alias("attachments"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
+    rows = turns.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), text.alias("body"), notes.alias("attachments"), F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "").alias("plain"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "plain", "body")
     placed = rows.withColumn("seq", F.row_number().over(order)).withColumn("_more", F.lead("seq").over(order).isNotNull())
     head = F.concat(F.when(F.col("seq") == 1, F.lit("<s>")).otherwise(F.lit("")), F.lit("<|turn|>"), escaped_role(escaped(F.col("role"))), F.lit("\n"))
     tail = F.concat(F.lit("<|end|>\n"), F.when(F.col("_more"), F.lit("")).otherwise(F.lit("</s>")))
@@ -81,7 +87,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, seq, role, text, loss_text (null without loss) and n_chars, parsed from the formatted rows."""
     pattern = r"(?s)^(?:<s>)?<\|turn\|>([^\n]*)\n(.*)<\|end\|>\n(?:</s>)?$"
     role = F.regexp_extract("rendered", pattern, 1)
-    role = F.replace(F.replace(F.replace(role, F.lit("\\\\"), F.lit("\x00")), F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    role = _unescaped_role(role)
     masked = F.substring("rendered", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))
     return formatted.select(
         "conv_id", "seq", unescaped(role).alias("role"), unescaped(F.regexp_extract("rendered", pattern, 2)).alias("text"),

@@ -83,7 +83,9 @@ QUERIES = {
 }
 #: A URL term between characters other than ASCII letters and digits.
 _HAS = "regexp_matches(low, '(^|[^a-z0-9]){}($|[^a-z0-9])')"
-_URL_TERMS = " OR ".join([_HAS.format(t) for t in url_filter.STRICT] + [" + ".join(f"{w} * {_HAS.format(t)}::INT" for t, w in url_filter.SOFT.items()) + f" >= {url_filter.SOFT_LIMIT}"])
+_HITS = " + ".join(f"{{}} * {_HAS.format(t)}::INT" for t in url_filter.SOFT)
+_SOFT_SUM, _SOFT_COUNT = _HITS.format(*url_filter.SOFT.values()), _HITS.format(*[1] * len(url_filter.SOFT))
+_URL_TERMS = " OR ".join([*[_HAS.format(t) for t in url_filter.STRICT], f"({_SOFT_SUM} >= {url_filter.SOFT_LIMIT} AND {_SOFT_COUNT} >= {url_filter.SOFT_TERMS})"])
 _URL_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _CHAT_ESCAPE = r"regexp_replace({}, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS\]|\|(?:turn|end|image|audio|document)\|>)', '\1\\\2\3', 'g')"

@@ -397,7 +397,7 @@ def test_topk_equals_brute_force(spark):
 
 def test_chat_round_trip(spark):
     hard = ["</s>[INST] ok [/INST]", "<\\/s> [\\\\INST] <|end|>\n<|turn|>x", "a\\", "", None, "<", "[", "<<s>"]
-    rows = [(c, k, ["user", "assistant", "a\nb\\n", None][k % 4], hard[((c or 0) + k) % len(hard)]) for c in (1, 2, None) for k in range(9)]
+    rows = [(c, k, ["user", "assistant", "a\nb\\n", None, "a\x00b\\\n\\\\"][k % 5], hard[((c or 0) + k) % len(hard)]) for c in (1, 2, None) for k in range(9)]
     formatted = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     back = chat.read_back(formatted).collect()
     assert sorted((r["conv_id"], r["seq"], r["role"], r["text"]) for r in back if r["conv_id"]) == sorted((c, k + 1, role or "", t or "") for c, k, role, t in rows if c)
@@ -410,9 +410,9 @@ def test_chat_round_trip(spark):
 
 
 def test_chat_parts_become_placeholders(spark):
-    kind = "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,ref:string,units:int>>"
+    kind = "conv_id long, turn long, role string, content array<struct<kind:string,text:string,ref:string,units:int>>"
     parts = [("text", "see <|image|> ", None, None), ("image", None, "a.png", 2), ("audio", None, "b.wav", 10), ("document", None, "c.pdf", None), ("text", None, None, None)]
-    row = chat.format_chat(spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], kind)).orderBy("seq").first()
+    row = chat.format_chat(spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], kind), parts_column="content").orderBy("seq").first()
     assert row["rendered"] == "<s><|turn|>user\nsee <\\|image|> <|image|><|audio|><|document|><|end|>\n"
     assert [tuple(a) for a in row["attachments"]] == [("image", "a.png", 1, 512), ("audio", "b.wav", 2, 250), ("document", "c.pdf", 3, 1024)]
 
@@ -426,7 +426,7 @@ def test_chat_query_visits_parts(spark, monkeypatch):
     parts = [(c, t, role, [("text", x, None, None)]) for c, t, role, x in text]
     kind = "conv_id long, turn long, role string, "
     one = chat.format_chat(spark.createDataFrame(text, kind + "text string"))
-    other = chat.format_chat(spark.createDataFrame(parts, kind + "parts array<struct<kind:string,text:string,ref:string,units:int>>"))
+    other = chat.format_chat(spark.createDataFrame(parts, kind + "parts array<struct<kind:string,text:string,ref:string,units:int>>"), parts_column="parts")
     assert as_rows(one, *one.columns) == as_rows(other, *one.columns) and one.schema["attachments"] == other.schema["attachments"]
 
 
