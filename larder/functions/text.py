@@ -1,41 +1,89 @@
-"""Text columns: tokens, hashtags, trimmed values."""
+"""Text columns: normal form, tokens, index words, hashtags, tolerant numbers, URLs."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
+
+from larder.functions.stem import stem
 
 TOKEN = r"[\p{L}\p{N}]+"
+#: A decimal number, with or without an exponent.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_WORD = re.compile(r"[^\W_]+")
 
 
 @F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode normal form KC, for which Spark has no function."""
-    return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    return texts.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x))
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits, in order."""
+    """Lower-case runs of letters and digits, in order, of a text in normal form."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+@lru_cache(1 << 17)
+def _without_marks(word: str) -> str:
+    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
+@lru_cache(1 << 17)
+def _stemmed(word: str) -> str:
+    return stem(_without_marks(word))
+
+
+def _words(text: str | None, of_word) -> list[str]:
+    if not text:
+        return []
+    plain = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    return [of_word(w) for w in _WORD.findall(plain.lower())]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def folded_words(texts: pd.Series) -> pd.Series:
+    """Index words: tokens of the normal form, lower case, without diacritics."""
+    return texts.map(lambda x: _words(x, _without_marks))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def stemmed_words(texts: pd.Series) -> pd.Series:
+    """As ``folded_words``, each reduced to its stem."""
+    return texts.map(lambda x: _words(x, _stemmed))
+
+
 def cleaned(text: Column, most: int) -> Column:
     """Trimmed and cut; empty is null."""
     return F.nullif(F.left(F.trim(text), F.lit(most)), F.lit(""))
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def tolerant_number(text: Column) -> Column:
+    """A number out of a number or a numeric string, decimals and exponents too; null otherwise."""
+    bare = stripped(text.cast("string"))
+    return F.when(bare.rlike(NUMBER), bare.try_cast("double"))
+
+
 def tolerant_long(text: Column) -> Column:
-    """A whole number out of a number or a numeric string; null otherwise."""
-    return F.try_to_number(F.trim(text), F.lit("S999999999999999999")).cast("long")
+    """As ``tolerant_number``, cut to a whole number towards zero. Whole numbers beyond doubles keep their digits."""
+    bare = stripped(text.cast("string"))
+    return F.when(bare.rlike(r"^[+-]?\d+$"), bare.try_cast("long")).otherwise(tolerant_number(text).cast("long"))
 
 
 def normalized_tags(tags: Column) -> Column:
-    """Lower-case tags without a leading #, empties and repeats; the first of equals stays."""
-    bare = F.transform(tags, lambda t: F.lower(F.regexp_replace(F.trim(t), "^#+", "")))
+    """Lower-case tags in normal form without a leading #, empties and repeats; the first of equals stays."""
+    plain = F.split(nfkc(F.array_join(tags, "\u0001")), "\u0001")
+    bare = F.transform(plain, lambda t: F.lower(F.regexp_replace(F.trim(t), "^#+", "")))
     return F.array_distinct(F.filter(bare, lambda t: t != ""))
 
 
@@ -49,3 +97,8 @@ def host(url: Column) -> Column:
 
 def path(url: Column) -> Column:
     return F.try_parse_url(url, F.lit("PATH"))
+
+
+def origin(url: Column) -> Column:
+    """Scheme and host of an http or https URL, in lower case; null with a port or user, or for anything else."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^([Hh][Tt][Tt][Pp][Ss]?://[^/?#:@\\]+)(?:[/?#].*)?$", 1)), F.lit(""))

@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 SAVED_AT_RANK = {"exact": 3, "first_seen": 2, "interpolated": 1, "unknown": 0}
 
 
-def upsert_items(stored: DataFrame, incoming: DataFrame, text: list[str], numbers: list[str], key: str = "external_id") -> DataFrame:
+def folded(batch: DataFrame, columns: list[str], order: str, key: str = "external_id") -> DataFrame:
+    """One row for each ``key`` of a batch: of each column the last value that was given, in ``order``."""
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
+    return batch.groupBy(key).agg(*[last(c) for c in columns])
+
+
+def upsert_items(stored: DataFrame, incoming: DataFrame, text: list[str], numbers: list[str], key: str = "external_id", order: str | None = None) -> DataFrame:
     """The new state of all items, with ``action``: inserted, reindexed (text changed), touched or kept.
 
-    A null incoming value keeps the stored one; an empty text replaces it."""
+    A null incoming value keeps the stored one; an empty text replaces it. An id that comes several times is applied in
+    ``order`` (without one, ids must be unique): the last value given of each column counts."""
+    if order:
+        incoming = folded(incoming, text + numbers, order, key)
     s = stored.select(key, *[F.col(c).alias(f"_s_{c}") for c in text + numbers], F.lit(True).alias("_stored"))
     i = incoming.select(key, *[F.col(c).alias(f"_i_{c}") for c in text + numbers], F.lit(True).alias("_incoming"))
     changed = F.lit(False)
@@ -30,17 +39,37 @@ def merge_saved_at(versions: DataFrame, key: str) -> DataFrame:
 
 
 def reconcile(stored: DataFrame, seen: DataFrame, scope: list[str], key: str) -> DataFrame:
-    """After a complete pass over ``scope``: every stored row with available = it was seen."""
+    """After a complete pass over ``scope``: every stored row (scope, key, available) with available = it was seen, and
+    ``revived`` or ``newly_gone`` where that is a change. Nothing is deleted."""
     marks = seen.select(*scope, key).distinct().withColumn("_seen", F.lit(True))
-    return stored.join(marks, [*scope, key], "left").withColumn("available", F.col("_seen").isNotNull()).drop("_seen")
+    now, before = F.col("_seen").isNotNull(), F.coalesce("available", F.lit(True))
+    both = stored.join(marks, [*scope, key], "left").withColumn("revived", now & ~before).withColumn("newly_gone", ~now & before)
+    return both.withColumn("available", now).drop("_seen")
+
 
+def guard_reconcile(stored: DataFrame, seen: DataFrame, scope: str, least: int = 20, declared: DataFrame | None = None) -> DataFrame:
+    """scope, stored, seen, allowed: refuse an empty pass, and one with under half of ``least`` or more stored rows.
 
-def guard_reconcile(stored: DataFrame, seen: DataFrame, scope: str, least: int = 20) -> DataFrame:
-    """scope, stored, seen, allowed: refuse an empty pass, and one with under half of ``least`` or more stored rows."""
+    With ``declared`` (scope, total), collections are meant: one that is empty may have been emptied, unless it is said to
+    hold something."""
     s = stored.groupBy(scope).agg(F.count(F.lit(1)).alias("stored"))
     n = seen.groupBy(scope).agg(F.count(F.lit(1)).alias("seen"))
-    both = s.join(n, scope, "left").select(scope, "stored", F.coalesce("seen", F.lit(0)).alias("seen"))
-    return both.withColumn("allowed", (F.col("seen") > 0) & ((F.col("stored") < least) | (2 * F.col("seen") >= F.col("stored"))))
+    some = F.col("seen") > 0
+    if declared is None:
+        both = s.join(n, scope, "left").select(scope, "stored", F.coalesce("seen", F.lit(0)).alias("seen"))
+    else:
+        both = declared.select(scope, "total").join(s, scope, "left").join(n, scope, "left").select(scope, F.coalesce("stored", F.lit(0)).alias("stored"), F.coalesce("seen", F.lit(0)).alias("seen"), "total")
+        some = some | (F.coalesce("total", F.lit(0)) == 0)
+    allowed = some & ((F.col("stored") < least) | (2 * F.col("seen") >= F.col("stored")))
+    return both.select(scope, "stored", "seen", allowed.alias("allowed"))
+
+
+def capped(rows: DataFrame, by: list[str], order: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``most`` rows of each page, and the pages that have more (by, delivered, excess)."""
+    first = Window.partitionBy(*by).orderBy(*order)
+    kept = rows.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= most).drop("_nth")
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("delivered")).filter(F.col("delivered") > most)
+    return kept, sizes.withColumn("excess", F.col("delivered") - most)
 
 
 def flag_repeats(rows: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -92,9 +121,29 @@ def upsert_memberships(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return s.join(i, key, "full_outer").select(*key, F.coalesce("_i", "_s").alias("position"), action.alias("action"))
 
 
-def replace_hashtags(stored: DataFrame, incoming: DataFrame, key: str = "external_id") -> DataFrame:
-    """key, hashtags: given tags (an empty list too) replace the stored ones, null keeps them."""
-    return stored.select(key, F.col("hashtags").alias("_s")).join(incoming.select(key, F.col("hashtags").alias("_i")), key, "full_outer").select(key, F.coalesce("_i", "_s").alias("hashtags"))
+def replace_hashtags(stored: DataFrame, incoming: DataFrame, changed: DataFrame, key: str = "external_id") -> DataFrame:
+    """key, hashtags: where the searchable text is new or ``changed`` (key), given tags (an empty list too) replace the stored
+    ones; null, or an unchanged text, keeps them."""
+    marks = changed.select(key).distinct().withColumn("_changed", F.lit(True))
+    both = stored.select(key, F.col("hashtags").alias("_s"), F.lit(True).alias("_stored")).join(incoming.select(key, F.col("hashtags").alias("_i")), key, "full_outer").join(marks, key, "left")
+    taken = F.when(F.col("_changed").isNotNull() | F.col("_stored").isNull(), F.coalesce("_i", "_s")).otherwise(F.col("_s"))
+    return both.select(key, taken.alias("hashtags"))
+
+
+def grown_tags(known: DataFrame, tags: DataFrame) -> DataFrame:
+    """tag: all tags that are known or used now (``tags``: hashtags); none is ever taken away."""
+    return known.select("tag").unionByName(tags.select(F.explode("hashtags").alias("tag"))).filter("tag IS NOT NULL").distinct()
+
+
+def recount_collections(collections: DataFrame, members: DataFrame, touched: DataFrame, synced_at: Column | None = None) -> DataFrame:
+    """``collections`` (collection_id, held, last_synced) with ``held`` counted anew where ``touched`` (collection_id), 0 if nothing is
+    left, and the time of this sync if one is given."""
+    scope = touched.select("collection_id").distinct()
+    counts = members.join(scope, "collection_id", "left_semi").groupBy("collection_id").agg(F.count(F.lit(1)).alias("_n"))
+    both = collections.join(scope.withColumn("_touched", F.lit(True)), "collection_id", "left").join(counts, "collection_id", "left")
+    mark = F.col("_touched").isNotNull()
+    at = F.col("last_synced") if synced_at is None else F.when(mark, F.coalesce(synced_at, "last_synced")).otherwise(F.col("last_synced"))
+    return both.select("collection_id", F.when(mark, F.coalesce("_n", F.lit(0))).otherwise(F.col("held")).alias("held"), at.alias("last_synced"))
 
 
 def affected_docs(items: DataFrame, members: DataFrame, collections: DataFrame) -> DataFrame:
@@ -107,11 +156,27 @@ def affected_docs(items: DataFrame, members: DataFrame, collections: DataFrame)
 
 
 def bind_accounts(batches: DataFrame, bound: DataFrame, match) -> DataFrame:
-    """platform, batch_id, match, accepted. A platform that isn't bound is bound by its first batch; a batch of a
-    different account is refused whole. ``match`` (id, handle, bound id, bound handle) says how two accounts stand."""
-    first = batches.groupBy("platform").agg(F.min_by(F.struct("id", "handle"), "batch_id").alias("_first"))
-    owner = first.join(bound.select("platform", F.struct("id", "handle").alias("_bound")), "platform", "left").select("platform", F.coalesce("_bound", "_first").alias("_owner"))
-    out = batches.join(owner, "platform").withColumn("match", match(F.col("id"), F.col("handle"), F.col("_owner.id"), F.col("_owner.handle")))
+    """platform, batch_id, match, accepted of batches (platform, batch_id, id, handle), applied one after another.
+
+    A platform that isn't ``bound`` (platform, id, handle) is bound by its first batch. A batch of a different account is refused
+    whole; a new id of the same handle, and a new handle of the same id, are taken over and hold for the batches after it.
+    ``match`` (id, handle, bound id, bound handle) says how two accounts stand. One platform is one window, read in order."""
+    upto = Window.partitionBy("platform").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("platform")
+    owner = F.struct("id", "handle")
+    first = batches.groupBy("platform").agg(F.min_by(owner, "batch_id").alias("_first"))
+    start = first.join(bound.select("platform", owner.alias("_bound")), "platform", "left").select("platform", F.coalesce("_bound", "_first").alias("_own"))
+    rows = batches.join(start, "platform")
+    # without an id the handle can't change, until the first batch of that handle brings one
+    same = F.lower("handle") == F.lower("_own.handle")
+    brings = F.col("_own.id").isNull() & F.col("id").isNotNull() & same
+    rows = rows.withColumn("_since", F.min(F.when(brings, F.col("batch_id"))).over(whole)).withColumn("_brought", F.min_by("id", F.when(brings, F.col("batch_id"))).over(whole))
+    known = F.when(F.col("_own.id").isNotNull(), F.col("_own.id")).when(F.col("batch_id") > F.col("_since"), F.col("_brought"))
+    rows = rows.withColumn("_id", known)
+    # with an id, the handle is that of the last batch of the id
+    renames = F.last(F.when(F.col("_id").isNotNull() & (F.col("id") == F.col("_id")), F.col("handle")), ignorenulls=True).over(upto)
+    rows = rows.withColumn("_handle", F.coalesce(renames, "_own.handle"))
+    out = rows.withColumn("match", match(F.col("id"), F.col("handle"), F.col("_id"), F.col("_handle")))
     return out.select("platform", "batch_id", "match", (F.col("match") != "different").alias("accepted"))
 
 

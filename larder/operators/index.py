@@ -1,31 +1,45 @@
-"""The inverted index: postings, document and term statistics."""
+"""The inverted index: postings, document and term statistics, built once and read by every search."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.functions.text import tokens
+from larder.functions.text import stemmed_words
 
 #: Weights of the fields in a document's score.
 FIELD_WEIGHTS = {"caption": 2.0, "hashtags": 4.0, "author": 1.5, "sound": 1.0, "collections": 0.5}
 
 
-def postings(docs: DataFrame, fields: dict[str, str], id_column: str = "external_id") -> DataFrame:
-    """term, id, field, pos of every token. ``fields``: field name to text column."""
+@dataclass
+class Index:
+    """postings: term, id, field, pos; documents: id, n_tokens; terms: term, n_docs, n_places.
+
+    ``words`` is the analysis of texts that the index was built with; queries go through the same."""
+
+    postings: DataFrame
+    documents: DataFrame
+    terms: DataFrame
+    words: Callable[[Column], Column] = stemmed_words
+
+
+def weight_of(field: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv])[field], F.lit(1.0))
+
+
+def postings(docs: DataFrame, fields: dict[str, str], id_column: str = "external_id", words: Callable[[Column], Column] = stemmed_words) -> DataFrame:
+    """term, id, field, pos of every word. ``fields``: field name to text column. Each document is read once."""
+    parsed = docs.select(F.col(id_column).alias("id"), *[words(F.col(column)).alias(field) for field, column in fields.items()])
     rows = None
-    for field, column in fields.items():
-        one = docs.select(F.col(id_column).alias("id"), F.lit(field).alias("field"), F.posexplode(tokens(F.coalesce(F.col(column), F.lit("")))).alias("pos", "term"))
+    for field in fields:
+        one = parsed.select("id", F.lit(field).alias("field"), F.posexplode(F.col(field)).alias("pos", "term"))
         rows = one if rows is None else rows.unionByName(one)
     return rows.select("term", "id", "field", "pos")
 
 
-def frequencies(post: DataFrame) -> DataFrame:
-    """term, id, and f: the sum of the weights of the term's places in the document."""
-    weight = F.coalesce(F.create_map(*[F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv])[F.col("field")], F.lit(1.0))
-    return post.groupBy("term", "id").agg(F.sum(weight).alias("f"))
-
-
 def document_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("id").agg(F.count(F.lit(1)).alias("n_tokens"))
 
@@ -34,6 +48,33 @@ def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count_distinct("id").alias("n_docs"), F.count(F.lit(1)).alias("n_places"))
 
 
+def in_memory(docs: DataFrame, fields: dict[str, str], id_column: str = "external_id", words: Callable[[Column], Column] = stemmed_words) -> Index:
+    """An index that isn't written: for a handful of documents."""
+    post = postings(docs, fields, id_column, words)
+    return Index(post, document_stats(post), term_stats(post), words)
+
+
+def build(docs: DataFrame, fields: dict[str, str], folder: str, id_column: str = "external_id", words: Callable[[Column], Column] = stemmed_words) -> Index:
+    """Write the index of ``docs`` below ``folder`` and open it.
+
+    Texts are analysed once. Postings lie in ranges of (term, id), sorted, so that scans for terms skip most files and
+    groups, and a word that most documents hold is spread over several files."""
+    spark = docs.sparkSession
+    post = postings(docs, fields, id_column, words)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    post.write.option("compression", "zstd").parquet(f"{folder}/unsorted")
+    read = spark.read.schema(post.schema).parquet(f"{folder}/unsorted")
+    read.repartitionByRange(parts, "term", "id").sortWithinPartitions("term", "id", "field", "pos").write.option("compression", "zstd").parquet(f"{folder}/postings")
+    read = spark.read.schema(post.schema).parquet(f"{folder}/postings")
+    document_stats(read).write.parquet(f"{folder}/documents")
+    term_stats(read).write.parquet(f"{folder}/terms")
+    return opened(spark, folder, words)
+
+
+def opened(spark: SparkSession, folder: str, words: Callable[[Column], Column] = stemmed_words) -> Index:
+    return Index(*[spark.read.parquet(f"{folder}/{name}") for name in ("postings", "documents", "terms")], words)
+
+
 def save_postings(post: DataFrame, table: str, buckets: int) -> DataFrame:
     """Write postings as a table bucketed and sorted by term; searches of it shuffle their own terms only.
 

@@ -5,29 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.text import tokens
+from larder.operators.index import Index
+from larder.operators.query import MOST_CHIPS
 
-#: Distinct chips of a query.
-MOST_CHIPS = 20
 
-
-def query_chips(texts: DataFrame, id_column: str, text_column: str, first: int, n: int) -> DataFrame:
-    """query_id, chip, term: ``n`` one-word chips from the ``first`` token on; repeated words are one chip."""
-    words = F.array_distinct(F.slice(tokens(F.col(text_column)), first, n))
-    return texts.select(F.col(id_column).alias("query_id"), F.posexplode(words).alias("chip", "term"))
+def query_chips(texts: DataFrame, id_column: str, text_column: str, words) -> DataFrame:
+    """query_id, chip, term: the distinct words of a text as chips of one word, as many as a query may have. ``words`` is the
+    analysis of the index."""
+    terms = F.slice(F.array_distinct(words(F.col(text_column))), 1, MOST_CHIPS)
+    return texts.select(F.col(id_column).alias("query_id"), F.posexplode(terms).alias("chip", "term"))
 
 
 def term_hits(chips: DataFrame, post: DataFrame) -> DataFrame:
-    """query_id, chip, id: documents that hold the chip's word in any field."""
-    return chips.join(post.select("term", "id"), "term").select("query_id", "chip", "id").distinct()
+    """query_id, chip, id: documents that hold the chip's word in any field. A word is looked up once for all its chips."""
+    held = post.join(chips.select("term").distinct(), "term", "left_semi").select("term", "id").distinct()
+    hits = chips.select("query_id", "chip", "term").join(held, "term").select("query_id", "chip", "id")
+    return hits.distinct() if "prefix" in chips.columns else hits
 
 
-def prefix_hits(chips: DataFrame, post: DataFrame) -> DataFrame:
+def prefix_hits(chips: DataFrame, idx: Index) -> DataFrame:
     """As ``term_hits``, with the word as a prefix: the vocabulary is searched first, by its leading letters."""
-    vocabulary = post.select("term").distinct().withColumn("lead", F.left("term", F.lit(3)))
+    vocabulary = idx.terms.select("term", F.left("term", F.lit(3)).alias("lead"))
     asked = chips.filter(F.length("term") >= 3).withColumnRenamed("term", "prefix").withColumn("lead", F.left("prefix", F.lit(3)))
-    found = asked.join(vocabulary, "lead").filter(F.col("term").startswith(F.col("prefix"))).select("query_id", "chip", "term")
-    return term_hits(found, post)
+    found = asked.join(vocabulary, "lead").filter(F.col("term").startswith(F.col("prefix"))).select("query_id", "chip", "term", "prefix")
+    return term_hits(found, idx.postings)
 
 
 def phrase_hits(chips: DataFrame, post: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def phrase_hits(chips: DataFrame, post: DataFrame) -> DataFrame:
 
 def combine(hits: DataFrame, chips: DataFrame, mode: str) -> DataFrame:
     """query_id, id: documents hit by every chip (``all``) or by one at least (``any``)."""
-    held = hits.groupBy("query_id", "id").agg(F.count_distinct("chip").alias("held"))
+    held = hits.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("held"))  # each chip and document once
     if mode == "any":
         return held.select("query_id", "id")
     sizes = chips.groupBy("query_id").agg(F.count_distinct("chip").alias("n"))
@@ -48,14 +49,18 @@ def combine(hits: DataFrame, chips: DataFrame, mode: str) -> DataFrame:
 
 
 def substring_hits(words: DataFrame, docs: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
-    """query_id, id: documents with every word of the query as a literal substring of one of ``columns``.
+    """query_id, id: documents with every word of the query as a literal substring of one of ``columns`` (texts of the item, its
+    tags and its collections' names).
 
-    A theta join: the words of a query table are few; Spark broadcasts them if their size allows."""
+    A theta join: the words of a query table are few; Spark broadcasts them if their size allows. Words of several queries
+    are looked for once."""
     inside = F.lit(False)
     for c in columns:
-        inside = inside | F.contains(F.lower(F.col(c)), F.lower(F.col("word")))
-    found = docs.join(words, inside).groupBy("query_id", F.col(id_column).alias("id")).agg(F.count_distinct("word").alias("held"))
-    sizes = words.groupBy("query_id").agg(F.count_distinct("word").alias("n"))
+        inside = inside | F.contains(F.lower(F.col(c)), F.col("word"))
+    distinct = words.select("query_id", F.lower("word").alias("word")).distinct()
+    held = docs.join(distinct.select("word").distinct(), inside).select(F.col(id_column).alias("id"), "word").distinct()
+    found = held.join(distinct, "word").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("held"))
+    sizes = distinct.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     return found.join(sizes, "query_id").filter("held = n").select("query_id", "id")
 
 

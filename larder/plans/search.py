@@ -1,4 +1,4 @@
-"""Search for a table of queries: matches, totals, ranked results and facets, with or without related terms."""
+"""The whole search for a table of queries: chips, related terms, matches, ranked or listed pages, facets, suggestions, spelling."""
 
 from __future__ import annotations
 
@@ -7,42 +7,86 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators import index, match, rank, terms
+from larder.operators import match, query, rank, terms
+from larder.operators.index import Index
+from larder.sources.snapshots import stored
 
 
 @dataclass
 class Search:
-    """Frames of one search; each is computed only when an action asks for it."""
+    """Frames of one search; each is computed only when an action asks for it.
 
+    chips: as ``query.deduped_chips`` gives them, refused ones too; matches: query_id, id, direct; totals: query_id, total, mode; results:
+    query_id, id, rank, mode and the item's columns; facets, suggestions: query_id, source, text, n; chip_info: query_id, chip, n,
+    capped, expanded, meant; explanations: query_id, id, chip, via, fields, term."""
+
+    chips: DataFrame
     matches: DataFrame
     totals: DataFrame
     results: DataFrame
     facets: DataFrame
+    suggestions: DataFrame
+    chip_info: DataFrame
+    explanations: DataFrame
+
+
+@dataclass
+class Library:
+    """What is searched: the index, items (external_id, author_handle, hashtags, saved_at ..), names of their collections (id, key,
+    text), texts for substrings (external_id and text columns), and the lexicon."""
+
+    idx: Index
+    items: DataFrame
+    names: DataFrame
+    texts: DataFrame
+    categories: DataFrame
+    aliases: DataFrame
+
+
+def search(sent: DataFrame, library: Library, mode: str = "all", page: int = 30, too_broad: int = rank.TOTAL_CAP - 1) -> Search:
+    """Chips sent (query_id, ord, text, expand) over a library. Queries with a refused chip have no matches.
+
+    Queries with too many matches are listed newest saved first; the others are ranked in two tiers, own words before related
+    terms. The index is read, not made; places of terms are written once, and matches, scores and counts all start there."""
+    idx = library.idx
+    checked = query.deduped_chips(sent)
+    refused = checked.filter("reason IS NOT NULL").select("query_id").distinct()
+    chips = checked.join(refused, "query_id", "left_anti").withColumn("substring", query.needs_substring(F.col("text")))
+    chips = stored(chips, "chips")
+    worded = chips.filter("NOT substring")
+    related = query.expand_terms(worded.filter("expand").select("query_id", "chip", F.col("key").alias("term")), library.categories, library.aliases)
+    related = stored(query.budgeted(related), "related")
+    asked = stored(terms.own_terms(worded, idx.words).unionByName(terms.related_terms(related, idx.words)), "terms")
+    found = stored(terms.places(asked, idx), "places")
+
+    parts = chips.filter("substring").select(F.struct("query_id", "chip").alias("query_id"), F.explode(F.split("text", " ")).alias("word"))
+    by_part = match.substring_hits(parts, library.texts, "external_id", [c for c in library.texts.columns if c != "external_id"])
+    hits = terms.chip_matches(found).unionByName(by_part.select("query_id.query_id", "query_id.chip", "id", F.lit(True).alias("own")))
+    hits = stored(hits, "hits")
+    sizes = chips.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chips"))
+    matches = terms.query_matches(hits, sizes, mode)
+    totals = stored(terms.list_modes(matches, too_broad), "totals")
+
+    narrow = matches.join(totals.filter("mode = 'relevance'").select("query_id"), "query_id", "left_semi")
+    ranked = terms.rank_tiers(terms.scores(found, narrow, idx.documents), rank.CANDIDATES).select("query_id", "id", "rank")
+    # what only a substring matches has no score and comes after all that has one
+    unscored = narrow.join(ranked.groupBy("query_id").agg(F.max("rank").alias("_last")), "query_id", "left").join(ranked.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    unscored = terms.after(unscored.filter(F.coalesce("_last", F.lit(0)) < rank.CANDIDATES), rank.CANDIDATES)
+    saved = library.items.select(F.col("external_id").alias("id"), "saved_at")
+    leading = stored(ranked.unionByName(unscored).unionByName(terms.listed(matches, totals, saved, rank.CANDIDATES)), "leading")
+    shown = leading.filter(F.col("rank") <= page)
+    results = rank.hydrated(shown.join(totals.select("query_id", "mode"), "query_id"), library.items, library.names)
 
+    tags = library.items.select(F.col("external_id").alias("id"), F.explode(F.array_distinct("hashtags")).alias("text"))
+    authors = library.items.select(F.col("external_id").alias("id"), F.col("author_handle").alias("text"))
+    facets = stored(rank.all_facets(leading, tags, library.names, authors), "facets")
+    suggestions = rank.suggestions(facets, chips, leading)
 
-def search(chips: DataFrame, items: DataFrame, fields: dict[str, str], mode: str = "all", page: int = 30, facet: str = "author_handle", id_column: str = "external_id") -> Search:
-    """Documents of ``items`` that every chip (or any) matches, ranked by BM25 with ties by id."""
-    post = index.postings(items, fields, id_column)
-    matches = match.combine(match.term_hits(chips, post), chips, mode)
-    scores = rank.bm25(matches, chips, index.frequencies(post), index.document_stats(post)).withColumn("score", F.round("score", 6))
-    leading = rank.ranked(scores, 300)
-    facets = rank.facets(leading, items, id_column, facet, 8)
-    return Search(matches, rank.totals(matches), leading.filter(F.col("rank") <= page), facets)
-
-
-def search_related(chips: DataFrame, related: DataFrame, items: DataFrame, fields: dict[str, str], saved_at: str, mode: str = "all", page: int = 30, facet: str = "author_handle", too_broad: int = rank.TOTAL_CAP - 1, id_column: str = "external_id") -> Search:
-    """Chips (query_id, chip, text) and their related terms (query_id, chip, ord, term) over ``items``.
-
-    Queries with too many matches are listed newest saved first; the others are ranked in two tiers. ``results`` has
-    query_id, id, rank, mode; ``totals`` query_id, total, mode."""
-    post = index.postings(items, fields, id_column)
-    found = terms.places(terms.own_terms(chips).unionByName(terms.related_terms(related)), post)
-    sizes = chips.groupBy("query_id").agg(F.count_distinct("chip").alias("n_chips"))
-    matches = terms.query_matches(terms.chip_matches(found), sizes, mode)
-    modes = terms.list_modes(matches, too_broad)
-    narrow = matches.join(modes.filter("mode = 'relevance'").select("query_id"), "query_id", "left_semi")
-    ranked = terms.rank_tiers(terms.scores(found, narrow, index.document_stats(post)), 300).select("query_id", "id", "rank")
-    listed = terms.listed(matches, modes, items.select(F.col(id_column).alias("id"), F.col(saved_at).alias("saved_at")), 300)
-    leading = ranked.unionByName(listed)
-    results = leading.filter(F.col("rank") <= page).join(modes.select("query_id", "mode"), "query_id")
-    return Search(matches, modes, results, rank.facets(leading, items, id_column, facet, 8))
+    counted = match.chip_counts(hits, chips.withColumnRenamed("key", "term"))
+    unknown = counted.filter("n = 0").filter(~F.col("term").contains(" ")).select(F.col("term").alias("word")).distinct()
+    words = rank.vocabulary(tags, authors, library.names, library.categories, library.aliases)
+    expanded = related.groupBy("query_id", "chip").agg(F.count(F.lit(1)).alias("expanded"))
+    info = counted.join(expanded, ["query_id", "chip"], "left").join(query.did_you_mean(unknown, words).withColumnRenamed("word", "term"), "term", "left")
+    info = info.select("query_id", "chip", "n", (F.col("n") >= rank.TOTAL_CAP).alias("capped"), F.coalesce("expanded", F.lit(0)).alias("expanded"), F.when(F.col("n") == 0, F.col("meant")).alias("meant"))
+    explanations = terms.explain(asked, shown, related, worded, idx)
+    return Search(checked, matches, totals, results, facets, suggestions, info, explanations)

@@ -1,461 +1,13 @@
-"""Registered queries of the library over the given tables, and their SQL for DuckDB.
-
-Chips come from ``benchmark`` (its texts' leading words), items from ``documents`` or ``part``; see
-``larder.sources.tables`` for all roles.
-"""
+"""All registered queries of the library over the given tables, and their SQL for DuckDB; see ``larder.sources.tables`` for the roles
+that the tables play."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from larder.functions.text import host, https_url, normalized_tags, path, tokens
-from larder.operators import changes, enrich, index, ingest, match, query, rank
-from larder.plans.search import search
-from larder.registered import library, lists, payloads, searches
-from larder.sources import tables
-from larder.streaming import chains
-
-CHIPS = 2
-
-
-def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Chips, items, postings of captions."""
-    chips = match.query_chips(tables.read(spark, d, "benchmark"), "item_id", "text", 1, CHIPS)
-    items = tables.items(spark, d)
-    return chips, items, index.postings(items, {"caption": "caption"})
-
-
-def _matches(spark: SparkSession, d: str, mode: str) -> DataFrame:
-    chips, _, post = _index(spark, d)
-    return match.combine(match.term_hits(chips, post), chips, mode)
-
-
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    chips, _, post = _index(spark, d)
-    found = match.combine(match.term_hits(chips, post), chips, "any")
-    return rank.bm25(found, chips, index.frequencies(post), index.document_stats(post))
-
-
-def entry(spark: SparkSession, d: str) -> DataFrame:
-    """The ten best documents of every query, by BM25."""
-    return rank.ranked(_scores(spark, d), 10).select("query_id", "rank", "id", F.round("score", 3).alias("score"))
-
-
-def d3_tokenize(spark, d):
-    docs = tables.items(spark, d)
-    return docs.select("external_id", F.size(tokens(F.col("caption"))).alias("n_tokens"), F.get(tokens(F.col("caption")), F.lit(0)).alias("first_token"))
-
-
-def d5_dedupe_chips(spark, d):
-    return match.query_chips(tables.read(spark, d, "benchmark"), "item_id", "text", 1, CHIPS).select("query_id", F.col("chip").cast("long").alias("chip"), "term")
-
-
-def d9_build_postings(spark, d):
-    _, _, post = _index(spark, d)
-    return index.term_stats(post)
-
-
-def d10_match_terms(spark, d):
-    chips, _, post = _index(spark, d)
-    return match.term_hits(chips, post).select("query_id", F.col("chip").cast("long").alias("chip"), "id")
-
-
-def d11_match_prefixes(spark, d):
-    chips, _, post = _index(spark, d)
-    return match.prefix_hits(chips, post).select("query_id", F.col("chip").cast("long").alias("chip"), "id")
-
-
-def d12_match_phrases(spark, d):
-    chips, _, post = _index(spark, d)
-    return match.phrase_hits(chips, post)
-
-
-def d14_combine_chips_all(spark, d):
-    return _matches(spark, d, "all")
-
-
-def d14_combine_chips_any(spark, d):
-    return _matches(spark, d, "any")
-
-
-def d15_match_substrings(spark, d):
-    words = tables.read(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.right("n_name", F.lit(1)).alias("word"))
-    return match.substring_hits(words, tables.short_items(spark, d), "external_id", ["caption", "author_handle"])
-
-
-def d17_score_bm25(spark, d):
-    return _scores(spark, d).select("query_id", "id", F.round("score", 3).alias("score"))
-
-
-def d18_rank(spark, d):
-    return rank.ranked(_scores(spark, d).withColumn("score", F.round("score", 6)), 30).select("query_id", F.col("rank").cast("long").alias("rank"), "id")
-
-
-def d19_capped_totals(spark, d):
-    return rank.totals(_matches(spark, d, "any"))
-
-
-def d21_sort_by_column(spark, d):
-    items = tables.items(spark, d).select(F.col("external_id").alias("id"), "views")
-    page = rank.sorted_page(_matches(spark, d, "any").join(items, "id"), F.col("views"), 30)
-    return page.select("query_id", F.col("rank").cast("long").alias("rank"), "id")
-
-
-def d22_keyset_page(spark, d):
-    items = tables.items(spark, d).select(F.lit(0).alias("query_id"), F.col("external_id").alias("id"), "views")
-    return rank.sorted_page(items, F.col("views"), 30, after=(2000, 500)).select("id", F.col("rank").cast("long").alias("rank"))
-
-
-def d25_browse_all(spark, d):
-    items = tables.items(spark, d)
-    return items.orderBy(F.desc("views"), F.desc("external_id")).limit(30).select("external_id", "views")
-
-
-def d26_hydrate_results(spark, d):
-    names = tables.memberships(spark, d).join(tables.collections(spark, d), "collection_id").groupBy("external_id").agg(F.array_join(F.array_sort(F.collect_set("name")), "|").alias("collections"))
-    items = tables.short_items(spark, d).select("external_id", "caption", F.array_join(F.array_sort(F.array_distinct("hashtags")), ",").alias("tags"))
-    return items.join(names, "external_id", "left").select("external_id", "caption", "tags", F.coalesce("collections", F.lit("")).alias("collections"))
-
-
-def d27_facet_counts(spark, d):
-    best = rank.ranked(_scores(spark, d).withColumn("score", F.round("score", 6)), 300)
-    return rank.facets(best, tables.items(spark, d), "external_id", "author_handle", 8)
-
-
-def d29_chip_counts(spark, d):
-    chips, _, post = _index(spark, d)
-    return match.chip_counts(match.term_hits(chips, post), chips).select("query_id", F.col("chip").cast("long").alias("chip"), "term", "n")
-
-
-def d30_vocabulary(spark, d):
-    items = tables.short_items(spark, d)
-    tags = items.select(F.explode("hashtags").alias("word"))
-    return tags.unionByName(items.select(F.lower("author_handle").alias("word"))).unionByName(tables.collections(spark, d).select(F.lower("name").alias("word"))).distinct()
-
-
-def d32_explain_matches(spark, d):
-    chips, _, post = _index(spark, d)
-    best = rank.ranked(_scores(spark, d).withColumn("score", F.round("score", 6)), 30)
-    return enrich.explain(chips, post, best).withColumn("chip", F.col("chip").cast("long"))
-
-
-def d33_highlight(spark, d):
-    chips, _, _ = _index(spark, d)
-    best = rank.ranked(_scores(spark, d).withColumn("score", F.round("score", 6)), 30)
-    shown = enrich.highlight(best, chips, tables.items(spark, d), "external_id", "caption")
-    return shown.select("query_id", "id", F.size(F.filter("segments", lambda x: x["hit"])).alias("hits"), F.length(F.array_join(F.transform("segments", lambda x: x["text"]), "")).alias("chars"))
-
-
-def d34_narrowest_chip(spark, d):
-    chips, _, post = _index(spark, d)
-    return match.narrowest_chip(match.chip_counts(match.term_hits(chips, post), chips)).select("query_id", F.col("chip").cast("long").alias("chip"))
-
-
-def d36_evaluate_retrieval(spark, d):
-    """How well the toxic mark finds what is labelled as of low quality, by language."""
-    labels = tables.read(spark, d, "labels").join(tables.read(spark, d, "documents").select("doc_id", "lang"), "doc_id").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("id"), "quality", "toxic")
-    return rank.retrieval_quality(labels.filter("toxic = 1"), labels.filter("quality = 0"))
-
-
-def d1_normalize_chips(spark, d):
-    chip = query.cleaned_chip(F.left("text", F.lit(70)))
-    return tables.read(spark, d, "documents").select("doc_id", chip.alias("chip"), query.chip_reason(chip).alias("reason"))
-
-
-def d2_split_pasted(spark, d):
-    return query.split_pasted(tables.read(spark, d, "benchmark"), "item_id", "text").select("item_id", F.col("ord").cast("long").alias("ord"), "part")
-
-
-def _lexicon(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Categories are the first words of part types, their terms the last words; brands are aliases of categories."""
-    words = tables.read(spark, d, "part").select("p_brand", F.split(F.lower("p_type"), " ").alias("w"))
-    pairs = words.select(F.get("w", F.lit(0)).alias("category"), F.element_at("w", -1).alias("term")).distinct()
-    categories = pairs.withColumn("ord", F.row_number().over(Window.partitionBy("category").orderBy("term")))
-    aliases = words.groupBy(F.lower("p_brand").alias("alias")).agg(F.min(F.get("w", F.lit(0))).alias("category"))
-    return categories, aliases
-
-
-def d6_expand_terms(spark, d):
-    words = tables.read(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.lit(0).alias("chip"), F.when(F.col("p_partkey") % 2 == 0, F.lower("p_brand")).otherwise(F.concat(F.lower(F.split_part("p_type", F.lit(" "), F.lit(1))), F.lit("s"))).alias("term"))
-    return query.expand_terms(words, *_lexicon(spark, d)).select("query_id", F.col("ord").cast("long").alias("ord"), "term")
-
-
-def d7_share_term_budget(spark, d):
-    counts = tables.read(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("n"))
-    return counts.select("conv_id", query.term_budget(F.col("n")).cast("long").alias("budget"))
-
-
-def d24_parse_cursors(spark, d):
-    cursor = F.concat_ws(":", F.when(F.col("o_orderkey") % 3 == 0, "d").otherwise("r"), F.col("o_orderkey"), F.col("o_custkey"))
-    offset, total = query.offset_cursor(cursor)
-    return tables.read(spark, d, "orders").select("o_orderkey", offset.alias("at"), total.alias("total"))
-
-
-def d28_suggest_chips(spark, d):
-    best = rank.ranked(_scores(spark, d).withColumn("score", F.round("score", 6)), 300)
-    found = rank.facets(best, tables.items(spark, d), "external_id", "author_handle", 3)
-    size = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
-    return found.join(size, "query_id").filter(F.col("n") >= F.when(F.col("candidates") >= 20, 2).otherwise(1)).select("query_id", "value", "n")
-
-
-def d31_did_you_mean(spark, d):
-    names = tables.read(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
-    typed = names.select(F.concat(F.left("word", F.lit(1)), F.substring("word", 3, 99)).alias("word")).distinct().join(names, "word", "left_anti")
-    return query.did_you_mean(typed, names)
-
-
-def d35_append_pages(spark, d):
-    pages = tables.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("external_id"), F.col("l_linenumber").alias("nth"))
-    return pages.groupBy("external_id").agg(F.min(F.struct("page", "nth")).alias("first")).select("external_id", "first.page", "first.nth")
-
-
-def c10_match_accounts(spark, d):
-    c = tables.read(spark, d, "customer")
-    given = F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey") + F.when(F.col("c_custkey") % 7 == 0, 1).otherwise(0))
-    bound = F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey"))
-    handle = F.when(F.col("c_custkey") % 5 == 0, F.concat("c_name", F.lit("x"))).otherwise(F.upper("c_name"))
-    return c.select("c_custkey", query.match_account(given, handle, bound, F.col("c_name")).alias("match"))
-
-
-def f12_absorb_collections(spark, d):
-    rows = tables.read(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderpriority").alias("id"), F.col("o_orderkey").alias("arrival"), F.col("o_orderstatus").alias("name"))
-    return rows.groupBy("run", "id").agg(F.max_by("name", "arrival").alias("name"), F.min("arrival").alias("first"))
-
-
-def d38_search(spark, d):
-    chips = match.query_chips(tables.read(spark, d, "benchmark"), "item_id", "text", 1, CHIPS)
-    items = tables.items(spark, d)
-    found = search(chips, items, {"caption": "caption"}, mode="all")
-    shown = found.results.join(items.select(F.col("external_id").alias("id"), "author_handle", "language"), "id").join(found.totals, "query_id")
-    return shown.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "author_handle", "language", "total")
-
-
-def a8_list_collections(spark, d):
-    return tables.list_collections(tables.collections(spark, d), tables.memberships(spark, d))
-
-
-def a9_library_stats(spark, d):
-    short = tables.short_items(spark, d)
-    return tables.library_stats(short, tables.collections(spark, d), tables.memberships(spark, d), short.select(F.explode("hashtags")).distinct())
-
-
-def b1_validate_captures(spark, d):
-    rows = tables.captures(spark, d)
-    now = rows.agg(F.max("captured_at").alias("now"))
-    reason = ingest.reject_reason(("click", "view", "purchase"), 15 * 86_400_000, F.col("now"), 9)
-    return rows.crossJoin(F.broadcast(now)).select("arrival_ord", F.coalesce(reason, F.lit("pass")).alias("reason"))  # one row is broadcast
-
-
-def b2_filter_origins(spark, d):
-    return ingest.filter_origins(tables.read(spark, d, "pages"), "url", ["*.example.org", "ththsh.example.net"]).select("page_id")
-
-
-def b4_classify_requests(spark, d):
-    url = F.col("url")
-    return tables.read(spark, d, "pages").select("page_id", host(url).alias("host"), path(url).alias("path"), https_url(url).isNotNull().alias("secure"))
-
-
-def b10_normalize_hashtags(spark, d):
-    items = tables.short_items(spark, d)
-    return items.select("external_id", F.array_join(normalized_tags(F.col("hashtags")), ",").alias("tags"))
-
-
-def b13_dedupe_within_page(spark, d):
-    lines = tables.read(spark, d, "lineitem")
-    return changes.flag_repeats(lines.select("l_orderkey", "l_partkey", "l_linenumber"), ["l_orderkey", "l_partkey"], "l_linenumber")
-
-
-def b14_cap_page_rows(spark, d):
-    lines = tables.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
-    return lines.filter("l_linenumber <= 3")
-
-
-def b19_drift_report(spark, d):
-    return tables.captures(spark, d).select(F.explode(F.json_object_keys("body")).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
-
-
-def b21_content_hash(spark, d):
-    hashed = tables.short_items(spark, d).withColumn("h", ingest.content_hash(["caption", "author_handle"]))
-    return hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("external_id").alias("first_id")).drop("h")
-
-
-def b24_classify_page_urls(spark, d):
-    return tables.read(spark, d, "pages").groupBy(ingest.classify_page(F.col("url")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def b26_capture_metrics(spark, d):
-    return ingest.capture_metrics(tables.captures(spark, d), ["kind"])
-
-
-def _batch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Stored and incoming short items: every tenth is new, others come with other views, some with a new caption."""
-    short = tables.short_items(spark, d).select("external_id", "caption", "author_handle", "views")
-    stored = short.filter("external_id % 10 <> 0")
-    incoming = short.filter("external_id % 3 = 0").select(
-        "external_id", F.when(F.col("external_id") % 2 == 0, F.concat("caption", F.lit(" new"))).alias("caption"), F.lit(None).cast("string").alias("author_handle"), (F.col("views") + 1).alias("views")
-    )
-    return stored, incoming
-
-
-def c1_upsert_items(spark, d):
-    stored, incoming = _batch(spark, d)
-    return changes.upsert_items(stored, incoming, ["caption", "author_handle"], ["views"])
-
-
-def c3_merge_saved_at(spark, d):
-    kinds = F.element_at(F.array(*map(F.lit, changes.SAVED_AT_RANK)), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    rows = tables.read(spark, d, "lineitem").select("l_orderkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("saved_at"), kinds.alias("source"), F.col("l_linenumber").alias("batch_ord"))
-    return changes.merge_saved_at(rows, "l_orderkey")
-
-
-def c8_recount_collections(spark, d):
-    return tables.memberships(spark, d).groupBy("collection_id").agg(F.count(F.lit(1)).alias("held"))
-
-
-def c12_reconcile_saved(spark, d):
-    members = tables.memberships(spark, d).select("collection_id", "external_id")
-    seen = members.filter("external_id % 5 <> 0")
-    return changes.reconcile(members, seen, ["collection_id"], "external_id").groupBy("collection_id").agg(F.count_if("available").alias("available"), F.count_if(~F.col("available")).alias("gone"))
-
-
-def c14_guard_reconcile(spark, d):
-    members = tables.memberships(spark, d).select("collection_id", "external_id")
-    return changes.guard_reconcile(members, members.filter("external_id % 3 = 0"), "collection_id", least=3)
-
-
-def c17_check_index_consistency(spark, d):
-    """A stored index that lacks every eleventh document, has an old text of every thirteenth and one more of every seventeenth."""
-    items = tables.short_items(spark, d)
-    names = tables.memberships(spark, d).join(tables.collections(spark, d), "collection_id").select("external_id", "name")
-    computed = ingest.search_docs(items.filter("external_id % 17 <> 0"), names, "external_id")
-    stored = ingest.search_docs(items.filter("external_id % 11 <> 0"), names, "external_id")
-    stored = stored.withColumn("caption_text", F.when(F.col("external_id") % 13 == 0, "old").otherwise(F.col("caption_text")))
-    return ingest.inconsistent_docs(stored, computed, "external_id")
-
-
-def _pages(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("viewer_id").orderBy("arrival_ord")
-    rows = tables.captures(spark, d)
-    return rows.select(
-        "viewer_id", "arrival_ord", "captured_at", (F.col("kind") == "click").alias("start"), F.col("arrival_ord").alias("response"),
-        F.when(F.col("arrival_ord") % 7 != 0, F.lag("arrival_ord").over(w)).alias("request"), (F.col("arrival_ord") % 3).alias("items"), F.when(F.col("arrival_ord") % 5 == 0, 1).otherwise(0).alias("inserted"),
-    )
-
-
-def f3_track_page_chain(spark, d):
-    by, order = ["viewer_id"], ["arrival_ord"]
-    segments = chains.page_segments(_pages(spark, d), by, order, F.col("start"))
-    return chains.chain_gaps(segments, by, order, F.col("start"), "request", "response")
-
-
-def f5_incremental_stop(spark, d):
-    return chains.stop_after_known(_pages(spark, d), ["viewer_id"], ["arrival_ord"], "items", "inserted")
-
-
-def f8_detect_stalls(spark, d):
-    return chains.stalls(_pages(spark, d), ["viewer_id"], ["arrival_ord"], "captured_at", 120_000).select("viewer_id", "arrival_ord", "gap_ms")
-
-
-def f11_run_totals(spark, d):
-    totals = chains.running_totals(_pages(spark, d), ["viewer_id"], ["arrival_ord"], ["items", "inserted"])
-    return totals.select("viewer_id", "arrival_ord", "pages_so_far", "items_so_far", "inserted_so_far")
-
-
-_TOKENS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
-_CHIPS = f"""
-c0 AS (SELECT item_id AS query_id, {_TOKENS.format("text")}[1:{CHIPS}] AS w FROM benchmark),
-c1 AS (SELECT query_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM c0),
-chips AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(i)) - 1 AS chip FROM c1 GROUP BY query_id, term),
-p0 AS (SELECT doc_id AS id, {_TOKENS.format("text")} AS w FROM documents),
-post AS (SELECT id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM p0),
-hits AS (SELECT DISTINCT query_id, chip, id FROM chips JOIN post USING (term)),
-sizes AS (SELECT query_id, count(*) AS n FROM chips GROUP BY query_id),
-anyhit AS (SELECT DISTINCT query_id, id FROM hits),
-tf AS (SELECT term, id, 2.0 * count(*) AS f FROM post GROUP BY term, id),
-dl AS (SELECT id, count(*) AS n_tokens FROM post GROUP BY id),
-corpus AS (SELECT count(*) AS n_all, avg(n_tokens) AS mean FROM dl),
-df AS (SELECT term, count(*) AS n FROM tf GROUP BY term),
-scores AS (SELECT query_id, id, sum(greatest(ln((n_all - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n_tokens / mean))) AS score
-           FROM chips JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (id), corpus GROUP BY query_id, id),
-ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM scores)
-"""
-_EVENTS = """
-p AS (SELECT user_id AS viewer_id, event_id AS arrival_ord, (epoch_us(ts) // 1000) AS captured_at, event_type = 'click' AS start, event_id AS response,
-             CASE WHEN event_id % 7 <> 0 THEN lag(event_id) OVER w END AS request, event_id % 3 AS items, (event_id % 5 = 0)::INT AS inserted
-      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-"""
-_MEMBERS = "m AS (SELECT l_partkey AS external_id, l_orderkey AS collection_id, min(l_linenumber) AS position FROM lineitem GROUP BY ALL)"
-_HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1))"
-_PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+from larder.registered import captures, library, lists, payloads, searches
 
-ORACLES = {
-    "d3_tokenize": f"SELECT doc_id AS external_id, len({_TOKENS.format('text')}) AS n_tokens, {_TOKENS.format('text')}[1] AS first_token FROM documents",
-    "d5_dedupe_chips": f"WITH {_CHIPS} SELECT query_id, chip, term FROM chips",
-    "d9_build_postings": f"WITH {_CHIPS} SELECT term, count(DISTINCT id) AS n_docs, count(*) AS n_places FROM post GROUP BY term",
-    "d10_match_terms": f"WITH {_CHIPS} SELECT * FROM hits",
-    "d11_match_prefixes": f"WITH {_CHIPS} SELECT DISTINCT query_id, chip, id FROM chips c JOIN (SELECT DISTINCT term AS t, id FROM post) p ON starts_with(t, c.term) WHERE length(c.term) >= 3",
-    "d12_match_phrases": f"WITH {_CHIPS} SELECT DISTINCT query_id, id FROM (SELECT query_id, id, pos - chip AS s, count(*) AS k FROM chips JOIN post USING (term) GROUP BY ALL) JOIN sizes USING (query_id) WHERE k = n",
-    "d14_combine_chips_all": f"WITH {_CHIPS} SELECT query_id, id FROM (SELECT query_id, id, count(*) AS k FROM hits GROUP BY ALL) JOIN sizes USING (query_id) WHERE k = n",
-    "d14_combine_chips_any": f"WITH {_CHIPS} SELECT query_id, id FROM anyhit",
-    "d15_match_substrings": "SELECT n_nationkey AS query_id, p_partkey AS id FROM nation JOIN part ON contains(lower(p_name), lower(right(n_name, 1))) OR contains(lower(p_brand), lower(right(n_name, 1)))",
-    "d17_score_bm25": f"WITH {_CHIPS} SELECT query_id, id, round(score, 3) AS score FROM scores",
-    "d18_rank": f"WITH {_CHIPS} SELECT query_id, rank, id FROM ranked WHERE rank <= 30",
-    "d19_capped_totals": f"WITH {_CHIPS} SELECT query_id, least(count(*), 10001) AS total, count(*) >= 10001 AS capped FROM anyhit GROUP BY query_id",
-    "d21_sort_by_column": f"WITH {_CHIPS} SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(n_chars, 0) DESC, id DESC) AS rank, id FROM anyhit JOIN documents ON id = doc_id) WHERE rank <= 30",
-    "d22_keyset_page": "SELECT id, rank FROM (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id DESC) AS rank FROM documents WHERE n_chars < 2000 OR (n_chars = 2000 AND doc_id < 500)) WHERE rank <= 30",
-    "d25_browse_all": "SELECT doc_id AS external_id, n_chars AS views FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 30",
-    "d26_hydrate_results": f"WITH {_MEMBERS}, n AS (SELECT external_id, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS c FROM m JOIN orders ON o_orderkey = collection_id GROUP BY external_id) SELECT p_partkey AS external_id, p_name AS caption, array_to_string(list_sort(list_distinct(string_split(lower(p_type), ' '))), ',') AS tags, coalesce(c, '') AS collections FROM part LEFT JOIN n ON external_id = p_partkey",
-    "d27_facet_counts": f"WITH {_CHIPS}, f AS (SELECT query_id, source AS value, count(*) AS n FROM ranked JOIN documents ON id = doc_id WHERE rank <= 300 GROUP BY ALL) SELECT query_id, value, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, value) AS k FROM f) WHERE k <= 8",
-    "d29_chip_counts": f"WITH {_CHIPS} SELECT query_id, chip, term, count(id) AS n FROM chips LEFT JOIN hits USING (query_id, chip) GROUP BY ALL",
-    "d30_vocabulary": "SELECT unnest(string_split(lower(p_type), ' ')) AS word FROM part UNION SELECT lower(p_brand) FROM part UNION SELECT lower(o_orderpriority) FROM orders",
-    "d32_explain_matches": f"WITH {_CHIPS} SELECT r.query_id, r.id, c.chip, count(p.pos) AS places, CASE WHEN count(p.pos) > 0 THEN 'caption' ELSE '' END AS fields FROM ranked r JOIN chips c USING (query_id) LEFT JOIN post p ON p.id = r.id AND p.term = c.term WHERE rank <= 30 GROUP BY ALL",
-    "d38_search": f"WITH {_CHIPS}, m AS (SELECT query_id, id FROM (SELECT query_id, id, count(*) AS k FROM hits GROUP BY ALL) JOIN sizes USING (query_id) WHERE k = n), t AS (SELECT query_id, count(*) AS total FROM m GROUP BY query_id) SELECT query_id, rank, id, source AS author_handle, lang AS language, total FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM m JOIN scores USING (query_id, id)) JOIN documents ON id = doc_id JOIN t USING (query_id) WHERE rank <= 30",
-    "d34_narrowest_chip": f"WITH {_CHIPS}, k AS (SELECT query_id, chip, count(id) AS n FROM chips LEFT JOIN hits USING (query_id, chip) GROUP BY ALL) SELECT query_id, chip FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n, chip) AS r FROM k) WHERE r = 1",
-    "d36_evaluate_retrieval": "SELECT lang AS query_id, count(*) FILTER (toxic = 1 AND quality = 0) AS hits, count(*) FILTER (toxic = 1) AS found, count(*) FILTER (quality = 0) AS wanted FROM labels JOIN documents USING (doc_id) WHERE toxic = 1 OR quality = 0 GROUP BY lang",
-    "d1_normalize_chips": r"WITH t AS (SELECT doc_id, lower(trim(regexp_replace(trim(regexp_replace(left(text, 70), '\s+', ' ', 'g')), '^[#@]+', ''))) AS chip FROM documents) SELECT doc_id, chip, CASE WHEN chip = '' THEN 'empty' WHEN length(chip) > 64 THEN 'too_long' WHEN NOT regexp_matches(chip, '[\p{L}\p{N}]') THEN 'no_text' END AS reason FROM t",
-    "d2_split_pasted": r"WITH s AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[,\n\r;]+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM benchmark) SELECT item_id, unnest(p) AS part, generate_subscripts(p, 1) - 1 AS ord FROM s",
-    "d6_expand_terms": """WITH w AS (SELECT p_partkey, lower(p_brand) AS brand, string_split(lower(p_type), ' ') AS w FROM part), pairs AS (SELECT DISTINCT w[1] AS category, w[-1] AS term FROM w),
-cats AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY term) AS ord FROM pairs), al AS (SELECT brand, min(w[1]) AS category FROM w GROUP BY brand),
-q AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 2 = 0 THEN al.category ELSE w[1] END AS category, CASE WHEN p_partkey % 2 = 0 THEN w.brand ELSE w[1] || 's' END AS own FROM w JOIN al USING (brand))
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS ord, term FROM q JOIN cats USING (category) WHERE term <> own""",
-    "d7_share_term_budget": "SELECT conv_id, CASE WHEN n <= 1 THEN 30 ELSE greatest(8, least(30, floor(60 / n))) END::BIGINT AS budget FROM (SELECT conv_id, count(*) FILTER (role = 'user') AS n FROM conversations GROUP BY conv_id)",
-    "d24_parse_cursors": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN least(o_orderkey, 1000) END AS at, CASE WHEN o_orderkey % 3 <> 0 THEN least(o_custkey, 10001) END AS total FROM orders",
-    "d28_suggest_chips": f"WITH {_CHIPS}, f AS (SELECT query_id, source AS value, count(*) AS n FROM ranked JOIN documents ON id = doc_id WHERE rank <= 300 GROUP BY ALL), k AS (SELECT query_id, least(count(*), 300) AS c FROM ranked GROUP BY query_id) SELECT query_id, value, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, value) AS k FROM f) JOIN k USING (query_id) WHERE k <= 3 AND n >= CASE WHEN c >= 20 THEN 2 ELSE 1 END",
-    "d31_did_you_mean": "WITH v AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS m FROM part), t AS (SELECT DISTINCT left(m, 1) || substring(m, 3) AS word FROM v), d AS (SELECT word, m, damerau_levenshtein(word, m) AS d FROM t, v WHERE word NOT IN (SELECT m FROM v) AND length(word) >= 3 AND length(m) >= 3) SELECT word, m AS meant FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, left(word, 1) <> left(m, 1), m) AS r FROM d WHERE d <= CASE WHEN length(word) <= 4 THEN 1 ELSE 2 END) WHERE r = 1",
-    "d35_append_pages": "SELECT external_id, page, nth FROM (SELECT l_partkey AS external_id, l_orderkey AS page, l_linenumber AS nth, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1",
-    "c10_match_accounts": """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey + (c_custkey % 7 = 0)::INT END AS a, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS b, c_custkey % 5 <> 0 AS same FROM customer)
-SELECT c_custkey, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN a <> b THEN 'different' WHEN same THEN 'same' ELSE 'renamed' END WHEN same THEN CASE WHEN b IS NULL AND a IS NOT NULL THEN 'upgraded' ELSE 'same' END ELSE 'different' END AS match FROM c""",
-    "f12_absorb_collections": "SELECT o_custkey AS run, o_orderpriority AS id, arg_max(o_orderstatus, o_orderkey) AS name, min(o_orderkey) AS first FROM orders GROUP BY ALL",
-    "a8_list_collections": f"WITH {_MEMBERS} SELECT o_orderkey AS collection_id, o_orderpriority AS name, count(external_id) AS held FROM orders LEFT JOIN m ON o_orderkey = collection_id GROUP BY ALL",
-    "a9_library_stats": f"WITH {_MEMBERS} SELECT (SELECT count(*) FROM part) AS items, (SELECT count(*) FROM orders) AS collections, (SELECT count(*) FROM m) AS memberships, (SELECT count(DISTINCT t) FROM (SELECT unnest(string_split(lower(p_type), ' ')) AS t FROM part)) AS hashtags",
-    "b1_validate_captures": "SELECT event_id AS arrival_ord, CASE WHEN coalesce(props, '') = '' THEN 'malformed' WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'unknown_kind' WHEN abs((epoch_us(ts) // 1000) - (SELECT max((epoch_us(ts) // 1000)) FROM events)) > 15 * 86400000 THEN 'stale' WHEN length(props) > 9 THEN 'too_large' ELSE 'pass' END AS reason FROM events",
-    "b2_filter_origins": f"SELECT page_id FROM pages WHERE ({_HOST} LIKE '%.example.org' OR {_HOST} = 'ththsh.example.net') AND NOT regexp_matches(url, '://[^/?#]*:[0-9]')",
-    "b4_classify_requests": f"SELECT page_id, {_HOST} AS host, {_PATH} AS path, starts_with(url, 'https://') AND length(url) <= 2048 AS secure FROM pages",
-    "b10_normalize_hashtags": "WITH t AS (SELECT p_partkey, unnest(string_split(lower(p_type), ' ')) AS tag, generate_subscripts(string_split(lower(p_type), ' '), 1) AS i FROM part), u AS (SELECT p_partkey, tag, min(i) AS i FROM t WHERE tag <> '' GROUP BY ALL) SELECT p_partkey AS external_id, string_agg(tag, ',' ORDER BY i) AS tags FROM u GROUP BY p_partkey",
-    "b13_dedupe_within_page": "SELECT l_orderkey, l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY l_orderkey, l_partkey",
-    "b14_cap_page_rows": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <= 3",
-    "b19_drift_report": "SELECT field, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS field FROM events) GROUP BY field",
-    "b21_content_hash": "SELECT count(*) AS n, min(p_partkey) AS first_id FROM part GROUP BY p_name, p_brand",
-    "b24_classify_page_urls": f"SELECT CASE WHEN regexp_matches({_PATH}, '^/[a-z][a-z]/[0-9]+') THEN 'item' WHEN regexp_matches({_PATH}, '^/[a-z][a-z]/') THEN 'section' WHEN {_PATH} IN ('', '/') THEN 'home' ELSE 'other' END AS kind, count(*) AS n FROM pages GROUP BY kind",
-    "b26_capture_metrics": "SELECT event_type AS kind, count(*) AS pages, min((epoch_us(ts) // 1000)) AS first_at, max((epoch_us(ts) // 1000)) AS last_at, arg_max(event_id, ((epoch_us(ts) // 1000), event_id)) AS last_page FROM events GROUP BY event_type",
-    "c1_upsert_items": """WITH s AS (SELECT p_partkey AS external_id, p_name AS caption, p_brand AS author_handle, floor(p_retailprice)::BIGINT AS views FROM part),
-st AS (SELECT * FROM s WHERE external_id % 10 <> 0), i AS (SELECT external_id, CASE WHEN external_id % 2 = 0 THEN caption || ' new' END AS caption, views + 1 AS views FROM s WHERE external_id % 3 = 0)
-SELECT external_id, coalesce(i.caption, st.caption) AS caption, st.author_handle, coalesce(i.views, st.views) AS views,
-CASE WHEN i.external_id IS NULL THEN 'kept' WHEN st.external_id IS NULL THEN 'inserted' WHEN i.caption IS NOT NULL AND i.caption IS DISTINCT FROM st.caption THEN 'reindexed' ELSE 'touched' END AS action
-FROM st FULL JOIN i USING (external_id)""",
-    "c3_merge_saved_at": "SELECT l_orderkey, strftime(l_shipdate, '%Y-%m-%d') AS saved_at, source FROM (SELECT l_orderkey, l_shipdate, ['exact', 'first_seen', 'interpolated', 'unknown'][l_linenumber % 4 + 1] AS source, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 4, l_linenumber, l_shipdate DESC) AS r FROM lineitem) WHERE r = 1",
-    "c8_recount_collections": f"WITH {_MEMBERS} SELECT collection_id, count(*) AS held FROM m GROUP BY collection_id",
-    "c12_reconcile_saved": f"WITH {_MEMBERS} SELECT collection_id, count(*) FILTER (external_id % 5 <> 0) AS available, count(*) FILTER (external_id % 5 = 0) AS gone FROM m GROUP BY collection_id",
-    "c14_guard_reconcile": f"WITH {_MEMBERS}, g AS (SELECT collection_id, count(*) AS stored, count(*) FILTER (external_id % 3 = 0) AS seen FROM m GROUP BY collection_id) SELECT *, seen > 0 AND (stored < 3 OR 2 * seen >= stored) AS allowed FROM g",
-    "c17_check_index_consistency": "SELECT p_partkey AS external_id, CASE WHEN p_partkey % 17 = 0 THEN 'left_over' WHEN p_partkey % 11 = 0 THEN 'missing' ELSE 'different' END AS problem FROM part WHERE (p_partkey % 17 = 0 AND p_partkey % 11 <> 0) OR (p_partkey % 17 <> 0 AND (p_partkey % 11 = 0 OR p_partkey % 13 = 0))",
-    "f3_track_page_chain": f"WITH {_EVENTS}, s AS (SELECT *, sum(start::INT) OVER w AS segment, lag(response) OVER w AS before FROM p WINDOW w AS (PARTITION BY viewer_id ORDER BY arrival_ord)) SELECT viewer_id, segment::BIGINT AS segment, count(*) AS pages, bool_or((NOT start AND request IS DISTINCT FROM before) OR segment = 0) AS gap FROM s GROUP BY viewer_id, segment",
-    "f5_incremental_stop": f"WITH {_EVENTS}, k AS (SELECT *, inserted > 0 OR items = 0 AS resets FROM p), i AS (SELECT *, sum(resets::INT) OVER (PARTITION BY viewer_id ORDER BY arrival_ord) AS island FROM k), t AS (SELECT *, sum((NOT resets)::INT) OVER (PARTITION BY viewer_id, island ORDER BY arrival_ord) AS streak FROM i) SELECT viewer_id, min(arrival_ord) AS stop_at FROM t WHERE streak = 2 GROUP BY viewer_id",
-    "f8_detect_stalls": f"WITH {_EVENTS} SELECT * FROM (SELECT viewer_id, arrival_ord, lead(captured_at) OVER (PARTITION BY viewer_id ORDER BY arrival_ord) - captured_at AS gap_ms FROM p) WHERE gap_ms > 120000",
-    "f11_run_totals": f"WITH {_EVENTS} SELECT viewer_id, arrival_ord, count(*) OVER w AS pages_so_far, (sum(items) OVER w)::BIGINT AS items_so_far, (sum(inserted) OVER w)::BIGINT AS inserted_so_far FROM p WINDOW w AS (PARTITION BY viewer_id ORDER BY arrival_ord)",
-}
-#: A highlight has no SQL form; tests check its parts.
-QUERIES = {name: globals()[name] for name in [*ORACLES, "d33_highlight"]}
-for _subject in (payloads, library, searches, lists):
+entry = searches.entry
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+for _subject in (searches, captures, payloads, library, lists):
     QUERIES |= _subject.QUERIES
     ORACLES |= _subject.ORACLES

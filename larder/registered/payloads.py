@@ -1,4 +1,4 @@
-"""Payload parsing over bodies that Spark writes from the given tables: one page an order, one item a line."""
+"""Payload parsing over bodies of the given tables, written once in an application: one page an order, one item a line."""
 
 from __future__ import annotations
 
@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from larder.functions.text import cleaned, https_url, tolerant_long
 from larder.operators import ingest
 from larder.sources import payloads, tables
+from larder.sources.snapshots import stored
 
 EPOCH = 1_700_000_000
 
 
 def item_pages(spark: SparkSession, d: str) -> DataFrame:
+    return tables.once(spark, d, "item-pages", lambda: stored(_item_bodies(spark, d), "item-pages"))
+
+
+def _item_bodies(spark: SparkSession, d: str) -> DataFrame:
     """page, body, request_cursor, collection_id, captured_at. Every eleventh order has no list, fourth lines no usable id."""
     part = F.col("l_partkey")
     item = F.struct(
@@ -103,31 +108,37 @@ def b6_list_owners(spark, d):
     return payloads.parse_collections(_collection_pages(spark, d))[1]
 
 
-def b7_parse_collection_details(spark, d):
+def detail_pages(spark: SparkSession, d: str) -> DataFrame:
+    """page, body of an order's details; every thirteenth lacks a name."""
     o = tables.read(spark, d, "orders")
     info = F.struct(F.col("o_orderkey").alias("collectionId"), F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderpriority")).alias("name"), F.col("o_custkey").alias("total"), F.col("o_orderstatus").alias("userName"))
-    return payloads.parse_collection_details(o.select(F.col("o_orderkey").alias("page"), F.to_json(F.struct(info.alias("collectionInfo"))).alias("body")))
+    return o.select(F.col("o_orderkey").alias("page"), F.to_json(F.struct(info.alias("collectionInfo"))).alias("body"))
+
+
+def b7_parse_collection_details(spark, d):
+    return payloads.parse_collection_details(detail_pages(spark, d))
 
 
 def b25_extract_viewer(spark, d):
+    """Customers in debt have ill-formed handles, rich ones ids that are too long."""
     c = tables.read(spark, d, "customer")
-    user = F.struct(F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey")).alias("uid"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")).alias("uniqueId"))
+    uid = F.when(F.col("c_acctbal") > 5000, F.lpad(F.col("c_custkey").cast("string"), 28, "1")).otherwise(F.col("c_custkey").cast("string"))
+    name = F.when(F.col("c_acctbal") > 0, F.regexp_replace("c_name", "#", ".")).otherwise(F.col("c_name"))
+    user = F.struct(F.when(F.col("c_custkey") % 5 != 0, uid).alias("uid"), F.when(F.col("c_custkey") % 7 != 0, name).alias("uniqueId"))
     scoped = F.to_json(F.struct(F.struct(F.struct(user.alias("user")).alias("webapp.app-context")).alias("__DEFAULT_SCOPE__")))
     bare = F.to_json(F.struct(F.struct(user.alias("user")).alias("webapp.app-context")))
     blobs = c.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, scoped).otherwise(bare).alias("blob"))
     return payloads.viewer(blobs, "blob").drop("blob")
 
 
-def b3_identity_guard(spark, d):
-    c = tables.read(spark, d, "customer")
-    k = F.col("c_custkey")
-    reason = ingest.identity_reason(F.when(k % 5 != 0, F.col("c_name")), F.when(k % 3 == 0, F.upper("c_name")).otherwise(F.concat(F.when(k % 4 == 0, "other").otherwise(""), "c_name")), F.when(k % 7 == 0, F.lit("x")))
-    return c.select("c_custkey", F.coalesce(reason, F.lit("pass")).alias("reason"))
-
-
 def b11_coerce_fields(spark, d):
-    raw = F.regexp_extract("text", r"^(\s*\S*)", 1)
-    return tables.read(spark, d, "documents").select("doc_id", cleaned(F.col("source"), 5).alias("source"), tolerant_long(F.col("n_chars").cast("string")).alias("n"), https_url(F.concat(F.when(F.col("doc_id") % 2 == 0, "https://").otherwise("http://"), F.coalesce("lang", F.lit("")))).alias("url"), tolerant_long(raw).isNull().alias("no_number"))
+    """Whole numbers, decimals and exponents as texts, and the first word of each text."""
+    n, raw = F.col("n_chars").cast("string"), F.regexp_extract("text", r"^(\s*\S*)", 1)
+    url = F.concat(F.when(F.col("doc_id") % 2 == 0, "https://").otherwise("http://"), F.coalesce("lang", F.lit("")))
+    return tables.read(spark, d, "documents").select(
+        "doc_id", cleaned(F.col("source"), 5).alias("source"), tolerant_long(n).alias("n"), tolerant_long(F.concat(F.lit(" -"), n, F.lit(".7 "))).alias("decimal"),
+        tolerant_long(F.concat(n, F.lit("e3"))).alias("exponent"), tolerant_long(F.concat(F.lit("x"), n)).alias("none"), https_url(url).alias("url"), tolerant_long(raw).isNull().alias("no_number"),
+    )
 
 
 def b22_build_search_docs(spark, d):
@@ -142,9 +153,11 @@ def b23_canonical_urls(spark, d):
 
 def b27_validate_accounts(spark, d):
     c = tables.read(spark, d, "customer")
-    handle = F.when(F.col("c_custkey") % 4 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name"))
-    ident = F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey").cast("string")).when(F.col("c_custkey") % 3 == 1, "a b")
-    return c.filter(ingest.valid_account(handle, ident)).select("c_custkey")
+    k = F.col("c_custkey")
+    handle = F.when(k % 4 == 0, F.col("c_mktsegment")).when(k % 4 == 1, F.col("c_name")).otherwise(F.regexp_replace("c_name", "#", "_"))
+    ident = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, F.when(F.col("c_acctbal") > 0, "a b").otherwise(F.lpad(k.cast("string"), 28, "1")))
+    platform = F.when(k % 5 == 0, F.col("c_mktsegment")).otherwise(F.lower("c_mktsegment"))
+    return c.filter(ingest.valid_account(handle, ident, platform)).select("c_custkey")
 
 
 _LINES = """
@@ -171,11 +184,10 @@ ORACLES = {
     "b6_parse_collection_lists": f"WITH {_LISTS} SELECT page, o_orderkey::VARCHAR AS collection_id, o_orderpriority AS name, total AS declared_total FROM c",
     "b6_list_owners": f"WITH {_LISTS} SELECT page, 'u' || min(o_orderkey) FILTER (o_orderkey % 3 = 0) AS owner FROM c GROUP BY page",
     "b7_parse_collection_details": "SELECT o_orderkey AS page, o_orderkey::VARCHAR AS collection_id, o_orderpriority AS name, o_custkey AS declared_total, o_orderstatus AS owner FROM orders WHERE o_orderkey % 13 <> 0",
-    "b25_extract_viewer": "SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS viewer_handle, CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 THEN c_custkey::VARCHAR END AS viewer_id FROM customer",
-    "b3_identity_guard": "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'no_viewer' WHEN c_custkey % 3 <> 0 AND c_custkey % 4 = 0 THEN 'not_own_page' WHEN c_custkey % 7 = 0 THEN 'not_own_data' ELSE 'pass' END AS reason FROM customer",
-    "b11_coerce_fields": r"SELECT doc_id, nullif(left(trim(source), 5), '') AS source, n_chars AS n, CASE WHEN doc_id % 2 = 0 THEN 'https://' || coalesce(lang, '') END AS url, NOT regexp_matches(coalesce(text, ''), '^\s*[+-]?[0-9]+(\s|$)') AS no_number FROM documents",
+    "b25_extract_viewer": "SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 AND c_acctbal > 0 THEN replace(c_name, '#', '.') END AS viewer_handle, CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 AND c_acctbal > 0 AND c_acctbal <= 5000 THEN c_custkey::VARCHAR END AS viewer_id FROM customer",
+    "b11_coerce_fields": r"SELECT doc_id, nullif(left(trim(source), 5), '') AS source, n_chars AS n, -n_chars AS decimal, n_chars * 1000 AS exponent, NULL::BIGINT AS none, CASE WHEN doc_id % 2 = 0 THEN 'https://' || coalesce(lang, '') END AS url, NOT regexp_matches(coalesce(text, ''), '^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?(\s|$)') AS no_number FROM documents",
     "b22_build_search_docs": "WITH m AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem), n AS (SELECT l_partkey, string_agg(o_orderpriority, ' ' ORDER BY o_orderpriority) AS c FROM m JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL) SELECT p_partkey AS external_id, p_name AS caption_text, array_to_string(string_split(lower(p_type), ' '), ' ') AS hashtags_text, coalesce(c, '') AS collections_text FROM part LEFT JOIN n ON l_partkey = p_partkey",
     "b23_canonical_urls": "SELECT p_partkey AS external_id, CASE WHEN h <> 'brand' THEN 'https://example.org/@' || h || '/' || CASE WHEN p_partkey % 5 = 0 THEN 'photo' ELSE 'video' END || '/' || p_partkey END AS url FROM (SELECT p_partkey, lower(regexp_replace(p_brand, '#1.', '', 'g')) AS h FROM part)",
-    "b27_validate_accounts": r"SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 1 AND regexp_matches(CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE c_name END, '^[A-Za-z0-9._]{1,64}$')",
+    "b27_validate_accounts": r"SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 1 AND c_custkey % 4 <> 1 AND c_custkey % 5 <> 0 AND length(c_custkey::VARCHAR) <= 24",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}

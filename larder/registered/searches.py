@@ -1,7 +1,7 @@
-"""Two-tier searches with related terms: chips and related terms come from ``benchmark``, items from ``documents``.
+"""Searches over indexes that are built once (``roles``), and what goes before and after them, with SQL that knows no index.
 
-The first chip of a query is its text's first word, with two related terms (the fifth word; the sixth and seventh as a
-phrase); the second chip is its second and third words.
+Chips come from whole ``benchmark`` texts, items are ``documents``; searches with related terms, tags and collections ask order
+lines for the names of parts.
 """
 
 from __future__ import annotations
@@ -9,85 +9,216 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.functions.text import tokens
-from larder.operators import index, match, query, terms
-from larder.plans.search import search_related
+from larder.functions.text import folded_words, nfkc, stemmed_words, tokens
+from larder.operators import enrich, index, match, query, rank, terms
+from larder.operators.query import SUBSTRING_SCRIPTS
+from larder.plans import search as plan
+from larder.registered import roles
 from larder.sources import tables
 
 
-def _chips(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Chips (query_id, chip, text) and related terms (query_id, chip, ord, term)."""
-    w = tokens(F.col("text"))
-    rows = tables.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), w.alias("w"))
-    words = lambda a, n: F.array_join(F.slice("w", a, n), " ")
-    chips = rows.select("query_id", F.posexplode(F.array(words(1, 1), words(2, 2))).alias("chip", "text"))
-    related = rows.select("query_id", F.lit(0).alias("chip"), F.posexplode(F.array(words(5, 1), words(6, 2))).alias("ord", "term"))
-    return chips, related
+def _matches(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    chips = roles.chips(spark, d)
+    return match.combine(match.term_hits(chips, roles.documents(spark, d).postings), chips, mode)
 
 
-def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    chips, related = _chips(spark, d)
-    return terms.own_terms(chips), terms.related_terms(related)
+def _ranked(spark: SparkSession, d: str, depth: int) -> DataFrame:
+    scores = rank.bm25(roles.chips(spark, d), roles.documents(spark, d))
+    return rank.ranked(scores.withColumn("score", F.round("score", 6)), depth)
 
 
-def _found(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    own, related = _asked(spark, d)
-    post = index.postings(tables.items(spark, d), {"caption": "caption", "author": "author_handle"})
-    return terms.places(own.unionByName(related), post), post
+def _long(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
 
 
-def _matches(spark: SparkSession, d: str, found: DataFrame, mode: str) -> DataFrame:
-    sizes = tables.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(2).alias("n_chips"))
-    return terms.query_matches(terms.chip_matches(found), sizes, mode)
+def entry(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best documents of every query, by BM25."""
+    return _ranked(spark, d, 10).select("query_id", "rank", "id", F.round("score", 3).alias("score"))
+
+
+def d1_normalize_chips(spark, d):
+    chip = query.cleaned_chip(F.col("text"))
+    return tables.read(spark, d, "documents").select("doc_id", chip.alias("chip")).select("doc_id", "chip", query.chip_reason(F.col("chip")).alias("reason"))
+
 
+def d2_split_pasted(spark, d):
+    return _long(query.split_pasted(tables.read(spark, d, "benchmark"), "item_id", "text").select("item_id", "ord", "part"), "ord")
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    found, post = _found(spark, d)
-    return terms.rank_tiers(terms.scores(found, _matches(spark, d, found, "all"), index.document_stats(post)))
+
+def d3_tokenize(spark, d):
+    docs = tables.items(spark, d).select("external_id", tokens(nfkc("caption")).alias("w"))
+    return docs.select("external_id", F.size("w").alias("n_tokens"), F.get("w", F.lit(0)).alias("first_token"), F.element_at("w", -1).alias("last_token"))
 
 
 def d4_route_substring(spark, d):
-    return tables.read(spark, d, "documents").select("doc_id", terms.needs_substring(F.col("text")).alias("substring"))
+    return tables.read(spark, d, "documents").select("doc_id", query.needs_substring(nfkc("text")).alias("substring"))
+
+
+def d5_dedupe_chips(spark, d):
+    """Every word of a text is sent as a chip; words of one letter aren't expanded. Texts of many words are refused."""
+    words = tables.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(F.split("text", " ")).alias("ord", "text"))
+    sent = words.withColumn("expand", F.length("text") > 1)
+    return _long(query.deduped_chips(sent).select("query_id", "chip", "key", "expand", "reason"), "chip")
+
+
+def d6_expand_terms(spark, d):
+    """Brands (aliases) and category words in four spellings."""
+    p = tables.read(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.lower("p_brand").alias("brand"), F.element_at(F.split(F.lower("p_name"), " "), -1).alias("w"))
+    k = F.col("query_id") % 5
+    word = F.when(k == 0, F.col("brand")).when(k == 1, F.concat("w", F.lit("s"))).when(k == 2, F.concat("w", F.lit("es"))).when(k == 3, F.concat("w", F.lit("ing"))).otherwise(F.regexp_replace("w", "y$", "ies"))
+    return _long(query.expand_terms(p.select("query_id", F.lit(0).alias("chip"), word.alias("term")), *roles.lexicon(spark, d)).select("query_id", "ord", "term"), "ord")
+
+
+def d7_share_term_budget(spark, d):
+    counts = tables.read(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("n"))
+    return counts.select("conv_id", query.term_budget(F.col("n")).cast("long").alias("budget"))
 
 
 def d8_query_terms(spark, d):
-    own, related = _asked(spark, d)
-    return own.unionByName(related)
+    return roles.related_terms(spark, d)
+
+
+def d9_build_postings(spark, d):
+    """Builds the index anew."""
+    made = index.build(tables.items(spark, d), {"caption": "caption", "author": "author_handle"}, roles.scratch(spark, "index"), words=folded_words)
+    return made.terms
+
+
+def d9_stemmed_terms(spark, d):
+    """The vocabulary of an index with stems."""
+    return index.in_memory(tables.items(spark, d), {"caption": "caption"}, words=stemmed_words).terms
+
+
+def d10_match_terms(spark, d):
+    return _long(match.term_hits(roles.chips(spark, d), roles.documents(spark, d).postings), "chip")
+
+
+def d11_match_prefixes(spark, d):
+    return _long(match.prefix_hits(roles.chips(spark, d), roles.documents(spark, d)), "chip")
+
+
+def d12_match_phrases(spark, d):
+    return match.phrase_hits(roles.chips(spark, d), roles.documents(spark, d).postings)
 
 
 def d13_match_chips(spark, d):
-    return terms.chip_matches(_found(spark, d)[0])
+    return terms.chip_matches(roles.related_places(spark, d))
 
 
-def d16_match_mixed(spark, d):
-    """Queries of one word chip (0) and one substring chip (1): the first and last letters of a nation's name."""
-    short = tables.short_items(spark, d)
-    rows = tables.read(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.lower(F.left("n_name", F.lit(3))).alias("text"), F.lower(F.right("n_name", F.lit(2))).alias("word"))
-    post = index.postings(short.withColumn("tags", F.array_join("hashtags", " ")), {"caption": "caption", "hashtags": "tags"})
-    by_word = terms.chip_matches(terms.places(terms.own_terms(rows.select("query_id", F.lit(0).alias("chip"), "text")), post))
-    by_part = match.substring_hits(rows.select("query_id", "word"), short, "external_id", ["caption"])
+def d14_combine_chips_all(spark, d):
+    return _matches(spark, d, "all")
+
+
+def d14_combine_chips_any(spark, d):
+    return _matches(spark, d, "any")
+
+
+TEXTS = ["caption_text", "hashtags_text", "author_text", "sound_text", "collections_text"]
+
+
+def d15_match_substrings(spark, d):
+    """The first two and the last three letters of a nation's name, in any text of a part."""
+    parts = F.explode(F.array(F.left("n_name", F.lit(2)), F.right("n_name", F.lit(3))))
+    words = tables.read(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), parts.alias("word"))
+    return match.substring_hits(words, roles.short_texts(spark, d), "external_id", TEXTS)
+
+
+def _mixed(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    """Chip 0 is a word of a part's name, chip 1 a substring: a size's first part, and a nation's first two letters."""
+    n = tables.read(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.lower(F.left("n_name", F.lit(2))).alias("word"))
+    rows = roles.asked(spark, d).filter("ord = 0").select("query_id", "text").join(n, "query_id")
+    short = tables.short_items(spark, d).withColumn("tags", F.array_join("hashtags", " "))
+    idx = index.in_memory(short, {"caption": "caption", "hashtags": "tags"}, words=folded_words)
+    by_word = terms.chip_matches(terms.places(terms.own_terms(rows.select("query_id", F.lit(0).alias("chip"), "text"), folded_words), idx))
+    by_part = match.substring_hits(rows.select("query_id", "word"), short, "external_id", ["caption", "tags", "author_handle"])
     hits = by_word.unionByName(by_part.select("query_id", F.lit(1).alias("chip"), "id", F.lit(True).alias("own")))
-    return terms.query_matches(hits, rows.select("query_id", F.lit(2).alias("n_chips")), "any").select("query_id", "id")
+    return terms.query_matches(hits, rows.select("query_id", F.lit(2).alias("n_chips")), mode).select("query_id", "id")
+
+
+def d16_match_mixed(spark, d):
+    return _mixed(spark, d, "any")
+
+
+def d16_match_mixed_all(spark, d):
+    return _mixed(spark, d, "all")
+
+
+def d17_score_bm25(spark, d):
+    return rank.bm25(roles.chips(spark, d), roles.documents(spark, d)).select("query_id", "id", F.round("score", 3).alias("score"))
+
+
+def d18_rank(spark, d):
+    return _long(_ranked(spark, d, 30).select("query_id", "rank", "id"), "rank")
+
+
+def _related_matches(spark: SparkSession, d: str, found: DataFrame, mode: str) -> DataFrame:
+    sizes = roles.related_chips(spark, d)[0].groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chips"))
+    return terms.query_matches(terms.chip_matches(found), sizes, mode)
+
+
+def _tiers(spark: SparkSession, d: str) -> DataFrame:
+    found = roles.related_places(spark, d)
+    return terms.rank_tiers(terms.scores(found, _related_matches(spark, d, found, "all"), roles.documents(spark, d).documents))
 
 
 def d18_rank_tiers(spark, d):
-    return _ranked(spark, d).select("query_id", F.col("rank").cast("long").alias("rank"), "tier", "id")
+    return _long(_tiers(spark, d).select("query_id", "rank", "tier", "id"), "rank")
+
+
+def d19_capped_totals(spark, d):
+    return rank.totals(_matches(spark, d, "any"))
+
+
+def _sold_matches(spark: SparkSession, d: str) -> DataFrame:
+    library = roles.sold(spark, d)
+    chips = query.deduped_chips(roles.asked(spark, d)).filter("reason IS NULL")
+    related = query.expand_terms(chips.select("query_id", "chip", F.col("key").alias("term")), library.categories, library.aliases)
+    found = terms.places(terms.own_terms(chips, folded_words).unionByName(terms.related_terms(related, folded_words)), library.idx)
+    return plan.stored(terms.query_matches(terms.chip_matches(found), chips.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chips")), "any"), "matches")
 
 
 def d20_too_broad(spark, d):
-    return terms.list_modes(_matches(spark, d, _found(spark, d)[0], "any"), most=100)
+    return terms.list_modes(_sold_matches(spark, d))
 
 
 def d20_listed(spark, d):
-    matches = _matches(spark, d, _found(spark, d)[0], "any")
-    saved = tables.items(spark, d).select(F.col("external_id").alias("id"), F.col("views").alias("saved_at"))
-    return terms.listed(matches, terms.list_modes(matches, most=100), saved, 30).withColumn("rank", F.col("rank").cast("long"))
+    matches = _sold_matches(spark, d)
+    saved = roles.sold(spark, d).items.select(F.col("external_id").alias("id"), "saved_at")
+    return _long(terms.listed(matches, terms.list_modes(matches), saved, 30), "rank")
+
+
+def _sorted(spark: SparkSession, d: str, column: str) -> DataFrame:
+    items = tables.items(spark, d).select(F.col("external_id").alias("id"), "views", F.length("language").alias("newest"), F.col("external_id").alias("saved"))
+    return _long(rank.sorted_page(_matches(spark, d, "any").join(items, "id"), F.col(column), 30).select("query_id", "rank", "id"), "rank")
+
+
+def d21_sort_by_column(spark, d):
+    return _sorted(spark, d, "views")
+
+
+def d21_sort_by_saved(spark, d):
+    return _sorted(spark, d, "saved")
+
+
+def d21_sort_by_newest(spark, d):
+    return _sorted(spark, d, "newest")
+
+
+def d22_keyset_page(spark, d):
+    items = tables.items(spark, d).select(F.lit(0).alias("query_id"), F.col("external_id").alias("id"), "views")
+    return _long(rank.sorted_page(items, F.col("views"), 30, after=(2000, 500)).select("id", "rank"), "rank")
 
 
 def d23_offset_page(spark, d):
-    ranked = _ranked(spark, d)
+    ranked = plan.stored(_tiers(spark, d), "ranked")
     asked = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("total")).select("query_id", "total", F.lit(3).alias("at"), F.lit(5).alias("page"))
-    return terms.offset_page(ranked, asked).withColumn("rank", F.col("rank").cast("long"))
+    return _long(terms.offset_page(ranked, asked), "rank")
+
+
+def d24_parse_cursors(spark, d):
+    cursor = F.concat_ws(":", F.when(F.col("o_orderkey") % 3 == 0, "d").otherwise("r"), F.col("o_orderkey"), F.col("o_custkey"))
+    offset, total = query.offset_cursor(cursor)
+    return tables.read(spark, d, "orders").select("o_orderkey", offset.alias("at"), total.alias("total"))
 
 
 def d24_keyset_cursors(spark, d):
@@ -96,70 +227,308 @@ def d24_keyset_cursors(spark, d):
     return o.withColumn("c", F.regexp_replace(cursor, ":[fo]:", ":s:")).select("o_orderkey", query.keyset_cursor(F.col("c")).alias("k")).select("o_orderkey", "k.direct", "k.sort", "k.value", "k.id", "k.total")
 
 
+def d25_browse_all(spark, d):
+    return tables.items(spark, d).orderBy(F.desc("views"), F.desc("external_id")).limit(30).select("external_id", "views")
+
+
+def d26_hydrate_results(spark, d):
+    """Every part as a result."""
+    items = tables.short_items(spark, d)
+    names = tables.memberships(spark, d).join(tables.collections(spark, d), "collection_id").select(F.col("external_id").alias("id"), F.col("name").alias("text"))
+    shown = rank.hydrated(items.select(F.lit(0).alias("query_id"), F.col("external_id").alias("id")), items, names)
+    return shown.select(F.col("id").alias("external_id"), "caption", F.array_join("hashtags", ",").alias("tags"), F.array_join("collections", "|").alias("collections"))
+
+
+def _searched(spark: SparkSession, d: str, mode: str = "all") -> plan.Search:
+    return plan.search(roles.asked(spark, d), roles.sold(spark, d), mode)
+
+
+def d27_facet_counts(spark, d):
+    return _searched(spark, d).facets.select("query_id", "source", "text", "n")
+
+
+def d28_suggest_chips(spark, d):
+    return _searched(spark, d).suggestions
+
+
+def d29_chip_counts(spark, d):
+    chips = roles.chips(spark, d)
+    return _long(match.chip_counts(match.term_hits(chips, roles.documents(spark, d).postings), chips), "chip")
+
+
+def d30_vocabulary(spark, d):
+    items = tables.short_items(spark, d)
+    text = lambda df, column: df.select(F.col(column).alias("text"))
+    return rank.vocabulary(items.select(F.explode("hashtags").alias("text")), text(items, "author_handle"), text(tables.collections(spark, d), "name"), *roles.lexicon(spark, d))
+
+
+def d31_did_you_mean(spark, d):
+    """Words of part names, types and brands without their second letter, against those words."""
+    p = tables.read(spark, d, "part")
+    names = p.select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), " ")).alias("word")).distinct()
+    typed = names.select(F.concat(F.left("word", F.lit(1)), F.substring("word", 3, 99)).alias("word")).distinct().join(names, "word", "left_anti")
+    return query.did_you_mean(typed, names)
+
+
+def d32_explain_matches(spark, d):
+    chips, related = roles.related_chips(spark, d)
+    best = plan.stored(_tiers(spark, d).filter("rank <= 30").select("query_id", "id"), "page")
+    told = terms.explain(roles.related_terms(spark, d), best, related, chips, roles.documents(spark, d))
+    return _long(told, "chip")
+
+
+def d33_highlight(spark, d):
+    """Marked parts and length of what is shown of each result's caption."""
+    words = tables.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("prefix").alias("kind"), F.explode(F.slice(F.array_distinct(tokens(nfkc("text"))), 1, query.MOST_CHIPS)).alias("term"))
+    shown = enrich.highlight(_ranked(spark, d, 30), words, tables.items(spark, d), "external_id", "caption")
+    return shown.select("query_id", "id", F.size(F.filter("segments", lambda x: x["hit"])).alias("hits"), F.length(F.array_join(F.transform("segments", lambda x: x["text"]), "")).alias("chars"))
+
+
+def d34_narrowest_chip(spark, d):
+    return _long(match.narrowest_chip(d29_chip_counts(spark, d)), "chip")
+
+
+def d35_append_pages(spark, d):
+    """Parts of open orders are shown; those of all orders follow."""
+    rows = tables.read(spark, d, "lineitem").join(tables.read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey")
+    pages = rows.select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("external_id"), F.col("l_linenumber").alias("nth"), "o_orderstatus")
+    return rank.appended(pages.filter("o_orderstatus = 'O'"), pages, "external_id", ["page", "nth"]).select("external_id", "page", "nth")
+
+
+def d36_evaluate_retrieval(spark, d):
+    """How well a search for a benchmark text's words (all of them) finds the documents that hold the text's first sentence."""
+    found = _matches(spark, d, "all")
+    sentence = F.regexp_extract("text", r"^[^.]*\.?", 0)
+    wanted = tables.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array(F.lower(sentence))).alias("word"))
+    labelled = match.substring_hits(wanted, tables.items(spark, d).select("external_id", "caption"), "external_id", ["caption"])
+    return rank.retrieval_quality(found, labelled)
+
+
 def d37_check_requests(spark, d):
     k = F.col("o_orderkey")
     o = tables.read(spark, d, "orders").select(
         k.alias("request"), F.when(k % 5 == 0, "any").when(k % 37 == 0, "none").alias("mode"), F.when(k % 3 == 0, "newest").when(k % 41 == 0, "oldest").alias("sort"), F.when(k % 4 == 0, (k % 120).cast("int")).alias("limit"),
         F.when(k % 7 == 0, "r:30:100").when(k % 7 == 1, "k:n:5:6:7").when(k % 7 == 2, "x").alias("cursor"), (k % 23).cast("int").alias("n_chips"),
     )
-    return query.checked_requests(o).select("request", "mode", "sort", F.col("limit").cast("long").alias("limit"), "reason")
+    return _long(query.checked_requests(o).select("request", "mode", "sort", "limit", "reason"), "limit")
+
+
+def d38_search(spark, d):
+    found = _searched(spark, d).results
+    return _long(found.select("query_id", "id", "rank", "mode", "caption", "author_handle", F.array_join("collections", "|").alias("collections")), "rank")
+
+
+def d38_search_any(spark, d):
+    return _long(_searched(spark, d, "any").results.select("query_id", "id", "rank", "mode"), "rank")
 
 
 def d38_search_related(spark, d):
-    found = search_related(*_chips(spark, d), tables.items(spark, d), {"caption": "caption", "author": "author_handle"}, "views", "all", too_broad=20)
-    return found.results.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "mode")
+    """A page of each ``benchmark`` text's results by its own words and its related terms."""
+    found = roles.related_places(spark, d)
+    matches = plan.stored(_related_matches(spark, d, found, "all"), "matches")
+    modes = terms.list_modes(matches)
+    narrow = matches.join(modes.filter("mode = 'relevance'").select("query_id"), "query_id", "left_semi")
+    ranked = terms.rank_tiers(terms.scores(found, narrow, roles.documents(spark, d).documents), 30).select("query_id", "id", "rank")
+    saved = tables.items(spark, d).select(F.col("external_id").alias("id"), F.col("views").alias("saved_at"))
+    leading = ranked.unionByName(terms.listed(matches, modes, saved, 30))
+    return _long(leading.join(modes.select("query_id", "mode"), "query_id").select("query_id", "id", "rank", "mode"), "rank")
 
 
-_T = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
-_Q = f"""
-q AS (SELECT item_id AS query_id, {_T.format("text")} AS w FROM benchmark),
-terms AS (
-  SELECT query_id, 0 AS chip, 0 AS grp, CASE WHEN length(w[1]) >= 3 THEN 'prefix' ELSE 'exact' END AS kind, w[1] AS term, 0 AS part, 1 AS parts FROM q WHERE len(w) >= 1
-  UNION ALL SELECT query_id, 1, 0, CASE WHEN len(w) = 2 AND length(w[2]) >= 3 THEN 'prefix' ELSE 'exact' END, w[2], 0, least(len(w) - 1, 2) FROM q WHERE len(w) >= 2
-  UNION ALL SELECT query_id, 1, 0, CASE WHEN length(w[3]) >= 3 THEN 'prefix' ELSE 'exact' END, w[3], 1, 2 FROM q WHERE len(w) >= 3
-  UNION ALL SELECT query_id, 1, 1, 'prefix', w[2] || w[3], 0, 1 FROM q WHERE len(w) >= 3
-  UNION ALL SELECT query_id, 0, 10, 'exact', w[5], 0, 1 FROM q WHERE len(w) >= 5
-  UNION ALL SELECT query_id, 0, 12, CASE WHEN len(w) = 6 THEN 'exact' ELSE 'phrase' END, w[6], 0, least(len(w) - 5, 2) FROM q WHERE len(w) >= 6
-  UNION ALL SELECT query_id, 0, 12, 'phrase', w[7], 1, 2 FROM q WHERE len(w) >= 7
-  UNION ALL SELECT query_id, 0, 13, 'exact', w[6] || w[7], 0, 1 FROM q WHERE len(w) >= 7),
-f0 AS (SELECT doc_id AS id, 'caption' AS field, {_T.format("text")} AS w FROM documents UNION ALL SELECT doc_id, 'author', {_T.format("source")} FROM documents),
+def d38_search_totals(spark, d):
+    return _searched(spark, d).totals
+
+
+def d38_chip_info(spark, d):
+    """Of mistyped words."""
+    return _long(plan.search(roles.mistyped(spark, d), roles.sold(spark, d)).chip_info, "chip", "n", "expanded")
+
+
+_W = r"list_transform(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+'), lambda t: strip_accents(t))"
+_DOCS = f"""
+f0 AS (SELECT doc_id AS id, 'caption' AS field, {_W.format("text")} AS w FROM documents UNION ALL SELECT doc_id, 'author', {_W.format("source")} FROM documents),
 post AS (SELECT id, field, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM f0),
+dl AS (SELECT id, count(*) AS n_tokens FROM post GROUP BY id),
+corpus AS (SELECT count(*) AS n_all, avg(n_tokens) AS mean FROM dl)
+"""
+_WEIGHT = "CASE field WHEN 'caption' THEN 2.0 WHEN 'hashtags' THEN 4.0 WHEN 'author' THEN 1.5 END"
+_CHIPS = f"""{_DOCS},
+c0 AS (SELECT item_id AS query_id, {_W.format("text")} AS w FROM benchmark),
+c1 AS (SELECT query_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM c0),
+chips AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(i)) - 1 AS chip FROM c1 GROUP BY query_id, term QUALIFY chip < 20),
+hits AS (SELECT DISTINCT query_id, chip, id FROM chips JOIN post USING (term)),
+sizes AS (SELECT query_id, count(*) AS n FROM chips GROUP BY query_id),
+anyhit AS (SELECT DISTINCT query_id, id FROM hits),
+allhit AS (SELECT query_id, id FROM (SELECT query_id, id, count(*) AS k FROM hits GROUP BY ALL) JOIN sizes USING (query_id) WHERE k = n),
+tf AS (SELECT term, id, sum({_WEIGHT}) AS f FROM post GROUP BY term, id),
+df AS (SELECT term, count(*) AS n FROM tf GROUP BY term),
+scores AS (SELECT query_id, id, sum(greatest(ln((n_all - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n_tokens / mean))) AS score
+           FROM chips JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (id), corpus GROUP BY query_id, id),
+ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM scores)
+"""
+# from term rows and postings to two tiers of matches, without any index
+_MATCH = f"""
 vocab AS (SELECT DISTINCT term FROM post),
 wide AS (SELECT t.* FROM terms t WHERE kind <> 'prefix' UNION ALL SELECT query_id, chip, grp, kind, v.term, part, parts FROM terms t JOIN vocab v ON starts_with(v.term, t.term) WHERE kind = 'prefix'),
 placed AS (SELECT query_id, chip, grp, kind, part, parts, id, field, pos FROM wide JOIN post USING (term)),
 found AS (SELECT query_id, chip, grp, part, parts, id, field FROM placed WHERE kind <> 'phrase'
   UNION ALL SELECT query_id, chip, grp, 0, 1, id, field FROM (SELECT query_id, chip, grp, parts, id, field, pos - part AS b, count(DISTINCT part) AS k FROM placed WHERE kind = 'phrase' GROUP BY ALL) WHERE k = parts),
 hits AS (SELECT query_id, chip, id, max(grp < 10) AS own FROM (SELECT query_id, chip, grp, parts, id, count(DISTINCT part) AS k FROM found GROUP BY ALL) WHERE k = parts GROUP BY ALL),
+sizes AS (SELECT query_id, count(DISTINCT chip) AS n_chips FROM sent GROUP BY query_id),
 held AS (SELECT query_id, id, count(*) AS n, count(*) FILTER (own) AS o FROM hits GROUP BY ALL),
-m_all AS (SELECT query_id, id, o >= 2 AS direct FROM held WHERE n >= 2),
+m_all AS (SELECT query_id, id, o >= n_chips AS direct FROM held JOIN sizes USING (query_id) WHERE n >= n_chips),
 m_any AS (SELECT query_id, id, o >= 1 AS direct FROM held),
-freq AS (SELECT query_id, chip, grp, part, id, sum(CASE field WHEN 'caption' THEN 2.0 ELSE 1.5 END) AS f FROM found GROUP BY ALL),
-spread AS (SELECT query_id, chip, grp, part, count(*) AS n FROM freq GROUP BY ALL),
+freq AS (SELECT query_id, chip, grp, part, id, sum({_WEIGHT}) AS f FROM found GROUP BY ALL),
+spread AS (SELECT query_id, chip, grp, part, count(*) AS n FROM freq GROUP BY ALL)
+"""
+_TIERS = """
+{1}scored AS (SELECT query_id, id, direct, sum(greatest(ln((n_all - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n_tokens / mean))) * CASE WHEN direct THEN 1 ELSE 0.4 END AS s
+  FROM freq JOIN {0} USING (query_id, id) JOIN spread USING (query_id, chip, grp, part) JOIN dl USING (id), corpus WHERE NOT direct OR grp < 10 GROUP BY query_id, id, direct),
+{1}ranked AS (SELECT query_id, id, CASE WHEN direct THEN 1 ELSE 2 END AS tier, row_number() OVER (PARTITION BY query_id ORDER BY direct DESC, round(s, 6) DESC, id) AS rank FROM {1}scored),
+{1}modes AS (SELECT query_id, least(count(*), 10001) AS total, CASE WHEN count(*) > count(*) FILTER (direct) AND count(*) FILTER (direct) > 10000 THEN 'direct' WHEN count(*) > 10000 THEN 'full' ELSE 'relevance' END AS mode FROM {0} GROUP BY query_id)
+"""
+_RELATED = f"""{_DOCS},
+q AS (SELECT item_id AS query_id, {_W.format("text")} AS w FROM benchmark WHERE len({_W.format("text")}) >= 4),
+r AS (SELECT query_id, w[1] AS a, w[-2] AS b, w[-1] AS c, list_sort(list_transform(w, lambda x: {{'n': -length(x), 'x': x}}))[1].x AS far, w[len(w) // 2] AS m, w[len(w) // 2 + 1] AS n FROM q),
+sent AS (SELECT query_id, 0 AS chip FROM r UNION ALL SELECT query_id, 1 FROM r),
+terms AS (
+  SELECT query_id, 0 AS chip, 0 AS grp, CASE WHEN length(a) >= 3 THEN 'prefix' ELSE 'exact' END AS kind, a AS term, 0 AS part, 1 AS parts FROM r
+  UNION ALL SELECT query_id, 1, 0, 'exact', b, 0, 2 FROM r
+  UNION ALL SELECT query_id, 1, 0, CASE WHEN length(c) >= 3 THEN 'prefix' ELSE 'exact' END, c, 1, 2 FROM r
+  UNION ALL SELECT query_id, 1, 1, 'prefix', b || c, 0, 1 FROM r
+  UNION ALL SELECT query_id, 0, 10, 'exact', far, 0, 1 FROM r
+  UNION ALL SELECT query_id, 0, 12, 'phrase', m, 0, 2 FROM r
+  UNION ALL SELECT query_id, 0, 12, 'phrase', n, 1, 2 FROM r
+  UNION ALL SELECT query_id, 0, 13, 'exact', m || n, 0, 1 FROM r),
+{_MATCH}, {_TIERS.format("m_all", "")}
+"""
+_LEXICON = """
+lw AS (SELECT p_partkey, lower(p_brand) AS brand, string_split(lower(p_name), ' ')[-1] AS category, lower(p_type) AS term FROM part),
+cats AS (SELECT category, term, row_number() OVER (PARTITION BY category ORDER BY term) AS ord FROM (SELECT DISTINCT category, term FROM lw)),
+aliases AS (SELECT brand AS alias, min(category) AS category FROM lw GROUP BY brand)
+"""
+_ITEMS = "(SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice) = 1)"
+_SOLD = f"""{_LEXICON},
+items AS (SELECT l_orderkey * 8 + l_linenumber AS id, p_name AS caption, lower(p_type) AS tag, p_brand AS author, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS saved_at, l_suppkey AS collection_id FROM {_ITEMS} JOIN part ON l_partkey = p_partkey),
+f0 AS (SELECT id, 'caption' AS field, {_W.format("caption")} AS w FROM items UNION ALL SELECT id, 'hashtags', {_W.format("tag")} FROM items),
+post AS (SELECT id, field, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM f0),
 dl AS (SELECT id, count(*) AS n_tokens FROM post GROUP BY id),
 corpus AS (SELECT count(*) AS n_all, avg(n_tokens) AS mean FROM dl),
-scored AS (SELECT query_id, id, direct, sum(greatest(ln((n_all - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n_tokens / mean))) * CASE WHEN direct THEN 1 ELSE 0.4 END AS s
-  FROM freq JOIN m_all USING (query_id, id) JOIN spread USING (query_id, chip, grp, part) JOIN dl USING (id), corpus WHERE NOT direct OR grp < 10 GROUP BY query_id, id, direct),
-ranked AS (SELECT query_id, id, CASE WHEN direct THEN 1 ELSE 2 END AS tier, row_number() OVER (PARTITION BY query_id ORDER BY direct DESC, round(s, 6) DESC, id) AS rank FROM scored),
-modes AS (SELECT query_id, least(count(*), 101) AS total, CASE WHEN count(*) > count(*) FILTER (direct) AND count(*) FILTER (direct) > 100 THEN 'direct' WHEN count(*) > 100 THEN 'full' ELSE 'relevance' END AS mode FROM m_any GROUP BY query_id)
+named AS (SELECT p_size AS query_id, string_split(arg_min(p_name, p_partkey), ' ') AS w FROM part GROUP BY p_size),
+sent AS (SELECT query_id, generate_subscripts(w, 1) - 1 AS chip, lower(unnest(w)) AS text FROM named),
+related AS (SELECT query_id, chip, term, row_number() OVER (PARTITION BY query_id, chip ORDER BY ord) AS ord FROM sent JOIN cats ON category = text WHERE term <> text QUALIFY ord <= 30),
+terms AS (SELECT query_id, chip, 0 AS grp, CASE WHEN length(text) >= 3 THEN 'prefix' ELSE 'exact' END AS kind, text AS term, 0 AS part, 1 AS parts FROM sent
+  UNION ALL SELECT query_id, chip, 10 + 2 * ord, 'exact', term, 0, 1 FROM related),
+{_MATCH}, {_TIERS.format("m_all", "")}, {_TIERS.format("m_any", "any_")},
+suppliers AS (SELECT id, s_suppkey, s_name FROM items JOIN supplier ON s_suppkey = collection_id),
+"""
+_LISTED = """row_number() OVER (PARTITION BY query_id ORDER BY coalesce(saved_at, 0) DESC, id DESC) AS rank FROM {0} JOIN {1}modes USING (query_id) JOIN items USING (id) WHERE mode = 'full' OR (mode = 'direct' AND direct)"""
+_LEADING = f"""{_SOLD}
+lead_all AS (SELECT query_id, id, rank, mode FROM ranked JOIN modes USING (query_id) WHERE mode = 'relevance' AND rank <= 300 UNION ALL SELECT query_id, id, rank, mode FROM (SELECT query_id, id, mode, {_LISTED.format("m_all", "")}) WHERE rank <= 300),
+lead_any AS (SELECT query_id, id, rank, mode FROM any_ranked JOIN any_modes USING (query_id) WHERE mode = 'relevance' AND rank <= 300 UNION ALL SELECT query_id, id, rank, mode FROM (SELECT query_id, id, mode, {_LISTED.format("m_any", "any_")}) WHERE rank <= 300),
+fv AS (SELECT query_id, 'hashtag' AS source, tag AS k, tag AS text, 24 AS most FROM lead_all JOIN items USING (id)
+  UNION ALL SELECT query_id, 'collection', s_suppkey::VARCHAR, s_name, 8 FROM lead_all JOIN suppliers USING (id) UNION ALL SELECT query_id, 'author', author, author, 8 FROM lead_all JOIN items USING (id)),
+facets AS (SELECT query_id, source, text, count(*) AS n, row_number() OVER (PARTITION BY query_id, source ORDER BY count(*) DESC, text, k) AS nth FROM fv WHERE text <> '' GROUP BY query_id, source, k, text, most QUALIFY nth <= most)
 """
-_SCRIPTS = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}]"
+_SCRIPTS = SUBSTRING_SCRIPTS.replace("\\p{Is", "\\p{")
+_FORMS = "list_filter([{0}, CASE WHEN {0} LIKE '%ies' AND length({0}) >= 5 THEN left({0}, -3) || 'y' END, CASE WHEN {0} LIKE '%es' AND length({0}) >= 4 THEN left({0}, -2) END, CASE WHEN {0} LIKE '%s' AND length({0}) >= 4 THEN left({0}, -1) END, CASE WHEN {0} LIKE '%ing' AND length({0}) >= 6 THEN left({0}, -3) END{1}], lambda f: f IS NOT NULL)"
+_MARKED = _FORMS.format("{0}", ", CASE WHEN {0} LIKE '%ing' AND length({0}) >= 6 THEN left({0}, -3) || 'e' END, CASE WHEN {0} LIKE '%ed' AND length({0}) >= 5 THEN left({0}, -2) END, CASE WHEN {0} LIKE '%ed' AND length({0}) >= 5 THEN left({0}, -1) END")
+_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+_SUBSTRINGS = f"""t AS (SELECT p_partkey AS id, lower(p_name || '|' || p_type || '|' || p_brand || '|' || coalesce(string_agg(o_orderpriority, ' ' ORDER BY o_orderpriority), '')) AS x FROM part
+ LEFT JOIN (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) ON l_partkey = p_partkey LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY p_partkey, p_name, p_type, p_brand)"""
+_MIXED = f"""WITH n AS (SELECT p_size AS query_id, lower(string_split(arg_min(p_name, p_partkey), ' ')[1]) AS word FROM part GROUP BY p_size), k AS (SELECT query_id, word, lower(left(n_name, 2)) AS piece FROM n JOIN nation ON n_nationkey = query_id),
+h AS (SELECT query_id, p_partkey AS id, len(list_filter({_W.format("p_name || ' ' || p_type")}, lambda w: starts_with(w, word))) > 0 AS a, contains(lower(p_name), piece) OR contains(lower(p_type), piece) OR contains(lower(p_brand), piece) AS b FROM k, part)"""
 
 ORACLES = {
+    "d1_normalize_chips": rf"WITH t AS (SELECT doc_id, lower(trim(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^[#@]+', ''))) AS chip FROM documents) SELECT doc_id, chip, CASE WHEN chip = '' THEN 'empty' WHEN length(chip) > 64 THEN 'too_long' WHEN NOT regexp_matches(chip, '[\p{{L}}\p{{N}}]') AND NOT regexp_matches(chip, '{_SCRIPTS}') THEN 'no_text' END AS reason FROM t",
+    "d2_split_pasted": r"WITH s AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[,\n\r;]+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM benchmark) SELECT item_id, unnest(p) AS part, generate_subscripts(p, 1) - 1 AS ord FROM s",
+    "d3_tokenize": f"SELECT doc_id AS external_id, len({_TOKENS}) AS n_tokens, {_TOKENS}[1] AS first_token, {_TOKENS}[-1] AS last_token FROM documents",
     "d4_route_substring": f"SELECT doc_id, coalesce(regexp_matches(text, '{_SCRIPTS}'), false) AS substring FROM documents",
-    "d8_query_terms": f"WITH {_Q} SELECT * FROM terms",
-    "d13_match_chips": f"WITH {_Q} SELECT * FROM hits",
-    "d16_match_mixed": "SELECT n_nationkey AS query_id, p_partkey AS id FROM nation JOIN part ON contains(lower(p_name), lower(right(n_name, 2))) OR regexp_matches(' ' || lower(p_name) || ' ' || lower(p_type), '[^a-z0-9]' || lower(left(n_name, 3)))",
-    "d18_rank_tiers": f"WITH {_Q} SELECT query_id, rank, tier, id FROM ranked WHERE rank <= 1000",
-    "d20_too_broad": f"WITH {_Q} SELECT query_id, total, mode FROM modes",
-    "d20_listed": f"WITH {_Q} SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(n_chars, 0) DESC, id DESC) AS rank FROM m_any JOIN modes USING (query_id) JOIN documents ON doc_id = id WHERE mode = 'full' OR (mode = 'direct' AND direct)) WHERE rank <= 30",
-    "d23_offset_page": f"WITH {_Q}, r AS (SELECT * FROM ranked WHERE rank <= 1000), t AS (SELECT query_id, count(*) AS total FROM r GROUP BY query_id) SELECT query_id, id, rank, CASE WHEN 8 < least(total, 1000) THEN 'r:8:' || total END AS next_cursor FROM r JOIN t USING (query_id) WHERE rank > 3 AND rank <= 8",
-    "d38_search_related": f"""WITH {_Q}, mo AS (SELECT query_id, CASE WHEN count(*) > count(*) FILTER (direct) AND count(*) FILTER (direct) > 20 THEN 'direct' WHEN count(*) > 20 THEN 'full' ELSE 'relevance' END AS mode FROM m_all GROUP BY query_id),
-li AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(n_chars, 0) DESC, id DESC) AS rank, mode FROM m_all JOIN mo USING (query_id) JOIN documents ON doc_id = id WHERE mode = 'full' OR (mode = 'direct' AND direct))
-SELECT query_id, id, rank, mode FROM ranked JOIN mo USING (query_id) WHERE mode = 'relevance' AND rank <= 30 UNION ALL SELECT query_id, id, rank, mode FROM li WHERE rank <= 30""",
+    "d5_dedupe_chips": rf"""WITH s AS (SELECT item_id AS query_id, unnest(string_split(text, ' ')) AS raw, generate_subscripts(string_split(text, ' '), 1) AS ord FROM benchmark),
+k AS (SELECT query_id, ord, lower(trim(regexp_replace(trim(raw), '^[#@]+', ''))) AS chip, length(raw) > 1 AS expand FROM s),
+e AS (SELECT *, coalesce(nullif(array_to_string(regexp_extract_all(chip, '[\p{{L}}\p{{N}}]+'), ' '), ''), chip) AS key FROM k),
+f AS (SELECT query_id, key, expand, min(ord) AS ord, arg_min(chip, ord) AS chip, count(*) AS n FROM e GROUP BY ALL),
+z AS (SELECT query_id, sum(n) AS sent, count(*) AS distinct_ FROM f GROUP BY query_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY ord) - 1 AS chip, key, expand, CASE WHEN sent > 40 OR distinct_ > 20 THEN 'too_many' WHEN f.chip = '' THEN 'empty' WHEN length(f.chip) > 64 THEN 'too_long' WHEN NOT regexp_matches(f.chip, '[\p{{L}}\p{{N}}]') AND NOT regexp_matches(f.chip, '{_SCRIPTS}') THEN 'no_text' END AS reason FROM f JOIN z USING (query_id)""",
+    "d6_expand_terms": f"""WITH {_LEXICON}, p AS (SELECT p_partkey AS query_id, CASE p_partkey % 5 WHEN 0 THEN brand WHEN 1 THEN category || 's' WHEN 2 THEN category || 'es' WHEN 3 THEN category || 'ing' ELSE regexp_replace(category, 'y$', 'ies') END AS own FROM lw),
+v AS (SELECT query_id, own, {_FORMS.format("own", "")} AS forms FROM p), u AS (SELECT query_id, own, unnest(forms) AS form, generate_subscripts(forms, 1) AS i FROM v),
+names AS (SELECT DISTINCT category AS form, category, 0 AS a FROM cats UNION ALL SELECT alias, category, 1 FROM aliases),
+known AS (SELECT query_id, own, arg_min(category, (i, a, category)) AS category FROM u JOIN names USING (form) GROUP BY query_id, own)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS ord, term FROM known JOIN cats USING (category) WHERE term <> own QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ord) <= 30""",
+    "d7_share_term_budget": "SELECT conv_id, CASE WHEN n <= 1 THEN 30 ELSE greatest(8, least(30, floor(60 / n))) END::BIGINT AS budget FROM (SELECT conv_id, count(*) FILTER (role = 'user') AS n FROM conversations GROUP BY conv_id)",
+    "d8_query_terms": f"WITH {_RELATED} SELECT * FROM terms",
+    "d9_build_postings": f"WITH {_DOCS} SELECT term, count(DISTINCT id) AS n_docs, count(*) AS n_places FROM post GROUP BY term",
+    "d10_match_terms": f"WITH {_CHIPS} SELECT * FROM hits",
+    "d11_match_prefixes": f"WITH {_CHIPS} SELECT DISTINCT query_id, chip, id FROM chips c JOIN (SELECT DISTINCT term AS t, id FROM post) p ON starts_with(t, c.term) WHERE length(c.term) >= 3",
+    "d12_match_phrases": f"WITH {_CHIPS} SELECT DISTINCT query_id, id FROM (SELECT query_id, id, field, pos - chip AS s, count(*) AS k FROM chips JOIN post USING (term) GROUP BY ALL) JOIN sizes USING (query_id) WHERE k = n",
+    "d13_match_chips": f"WITH {_RELATED} SELECT * FROM hits",
+    "d14_combine_chips_all": f"WITH {_CHIPS} SELECT query_id, id FROM allhit",
+    "d14_combine_chips_any": f"WITH {_CHIPS} SELECT query_id, id FROM anyhit",
+    "d15_match_substrings": f"WITH {_SUBSTRINGS} SELECT n_nationkey AS query_id, id FROM nation JOIN t ON contains(x, lower(left(n_name, 2))) AND contains(x, lower(right(n_name, 3)))",
+    "d16_match_mixed": f"{_MIXED} SELECT query_id, id FROM h WHERE a OR b",
+    "d16_match_mixed_all": f"{_MIXED} SELECT query_id, id FROM h WHERE a AND b",
+    "d17_score_bm25": f"WITH {_CHIPS} SELECT query_id, id, round(score, 3) AS score FROM scores",
+    "d18_rank": f"WITH {_CHIPS} SELECT query_id, rank, id FROM ranked WHERE rank <= 30",
+    "d18_rank_tiers": f"WITH {_RELATED} SELECT query_id, rank, tier, id FROM ranked WHERE rank <= 1000",
+    "d19_capped_totals": f"WITH {_CHIPS} SELECT query_id, least(count(*), 10001) AS total, count(*) >= 10001 AS capped FROM anyhit GROUP BY query_id",
+    "d20_too_broad": f"WITH {_SOLD.rstrip()[:-1]} SELECT query_id, total, mode FROM any_modes",
+    "d20_listed": f"WITH {_SOLD.rstrip()[:-1]} SELECT query_id, id, rank FROM (SELECT query_id, id, {_LISTED.format('m_any', 'any_')}) WHERE rank <= 30",
+    "d21_sort_by_column": f"WITH {_CHIPS} SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(n_chars, 0) DESC, id DESC) AS rank, id FROM anyhit JOIN documents ON id = doc_id) WHERE rank <= 30",
+    "d21_sort_by_saved": f"WITH {_CHIPS} SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY id DESC) AS rank, id FROM anyhit) WHERE rank <= 30",
+    "d21_sort_by_newest": f"WITH {_CHIPS} SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(length(lang), 0) DESC, id DESC) AS rank, id FROM anyhit JOIN documents ON id = doc_id) WHERE rank <= 30",
+    "d22_keyset_page": "SELECT id, rank FROM (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id DESC) AS rank FROM documents WHERE n_chars < 2000 OR (n_chars = 2000 AND doc_id < 500)) WHERE rank <= 30",
+    "d23_offset_page": f"WITH {_RELATED}, r9 AS (SELECT * FROM ranked WHERE rank <= 1000), t AS (SELECT query_id, count(*) AS total FROM r9 GROUP BY query_id) SELECT query_id, id, rank, CASE WHEN 8 < least(total, 1000) THEN 'r:8:' || total END AS next_cursor FROM r9 JOIN t USING (query_id) WHERE rank > 3 AND rank <= 8",
+    "d24_parse_cursors": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 AND ok THEN least(o_orderkey, 1000) END AS at, CASE WHEN o_orderkey % 3 <> 0 AND ok THEN least(o_custkey, 10001) END AS total FROM (SELECT *, o_orderkey < 1000000 AND o_custkey < 1000000 AS ok FROM orders)",
     "d24_keyset_cursors": "SELECT o_orderkey, CASE WHEN ok THEN o_orderkey % 2 = 0 END AS direct, CASE WHEN ok THEN 's' END AS sort, CASE WHEN ok THEN -o_orderkey END AS value, CASE WHEN ok THEN o_custkey END AS id, CASE WHEN ok THEN least(o_orderkey * 7 % 100000, 10001) END AS total FROM (SELECT *, lower(o_orderstatus) IN ('f', 'o') AS ok FROM orders)",
+    "d25_browse_all": "SELECT doc_id AS external_id, n_chars AS views FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 30",
+    "d26_hydrate_results": "WITH m AS (SELECT DISTINCT l_partkey AS external_id, l_orderkey AS collection_id FROM lineitem), n AS (SELECT external_id, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS c FROM m JOIN orders ON o_orderkey = collection_id GROUP BY external_id) SELECT p_partkey AS external_id, p_name AS caption, array_to_string(list_sort(list_distinct(string_split(lower(p_type), ' '))), ',') AS tags, coalesce(c, '') AS collections FROM part LEFT JOIN n ON external_id = p_partkey",
+    "d27_facet_counts": f"WITH {_LEADING} SELECT query_id, source, text, n FROM facets",
+    "d28_suggest_chips": f"""WITH {_LEADING}, used AS (SELECT query_id, text FROM sent), sz AS (SELECT query_id, count(*) AS c FROM lead_all GROUP BY query_id),
+w AS (SELECT f.query_id, source, f.text, n, row_number() OVER (PARTITION BY f.query_id, source ORDER BY nth) AS k FROM facets f JOIN sz USING (query_id) WHERE n >= CASE WHEN c >= 20 THEN 2 ELSE 1 END AND NOT EXISTS (SELECT 1 FROM used u WHERE u.query_id = f.query_id AND u.text = lower(f.text)))
+SELECT query_id, source, text, n FROM w WHERE k <= CASE source WHEN 'hashtag' THEN 6 ELSE 3 END""",
+    "d29_chip_counts": f"WITH {_CHIPS} SELECT query_id, chip, term, least(count(id), 10001) AS n FROM chips LEFT JOIN hits USING (query_id, chip) GROUP BY ALL",
+    "d30_vocabulary": f"WITH {_LEXICON} SELECT unnest(string_split(lower(p_type), ' ')) AS word FROM part UNION SELECT lower(p_brand) FROM part UNION SELECT lower(o_orderpriority) FROM orders UNION SELECT category FROM cats UNION SELECT alias FROM aliases",
+    "d31_did_you_mean": "WITH v AS (SELECT DISTINCT unnest(string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' ')) AS m FROM part), t AS (SELECT DISTINCT left(m, 1) || substring(m, 3) AS word FROM v), d AS (SELECT word, m, damerau_levenshtein(word, m) AS d FROM t, v WHERE word NOT IN (SELECT m FROM v) AND length(word) >= 3 AND length(m) >= 3) SELECT word, m AS meant FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, left(word, 1) <> left(m, 1), m) AS r FROM d WHERE d <= CASE WHEN length(word) <= 4 THEN 1 ELSE 2 END) WHERE r = 1",
+    "d32_explain_matches": f"""WITH {_RELATED}, best AS (SELECT query_id, id FROM ranked WHERE rank <= 30), asked AS (SELECT best.query_id, best.id, sent.chip FROM best JOIN sent USING (query_id)),
+g AS (SELECT query_id, chip, grp, id, count(DISTINCT part) = any_value(parts) AS ok FROM found JOIN best USING (query_id, id) GROUP BY query_id, chip, grp, parts, id),
+gf AS (SELECT query_id, chip, grp, id, field FROM found JOIN best USING (query_id, id) GROUP BY query_id, chip, grp, parts, id, field HAVING count(DISTINCT part) = parts),
+x AS (SELECT query_id, chip, id, min(grp) AS least_, min(grp) FILTER (grp >= 10) AS rel FROM g WHERE ok GROUP BY ALL),
+fl AS (SELECT query_id, chip, id, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM gf JOIN x USING (query_id, chip, id) WHERE least_ >= 10 OR grp < 10 GROUP BY ALL)
+SELECT a.query_id, a.id, a.chip, CASE WHEN least_ < 10 THEN 'direct' WHEN least_ IS NOT NULL THEN 'related' ELSE 'none' END AS via, coalesce(fields, '') AS fields,
+       CASE WHEN least_ >= 10 THEN CASE WHEN rel < 12 THEN far ELSE m || ' ' || r.n END END AS term
+FROM asked a LEFT JOIN x USING (query_id, chip, id) LEFT JOIN fl USING (query_id, chip, id) JOIN r USING (query_id)""",
+    "d33_highlight": rf"""WITH {_CHIPS}, raw AS (SELECT item_id AS query_id, unnest({_TOKENS}) AS term, generate_subscripts({_TOKENS}, 1) AS i FROM benchmark),
+p AS (SELECT query_id, term FROM raw GROUP BY query_id, term QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(i)) <= 20),
+best AS (SELECT query_id, id, text FROM ranked JOIN documents ON doc_id = id WHERE rank <= 30),
+d AS (SELECT id, text, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS w, regexp_split_to_array(text, '[\p{{L}}\p{{N}}]+') AS g FROM (SELECT DISTINCT id, text FROM best)),
+u AS (SELECT id, lower(unnest(w)) AS word, unnest(list_transform(w, lambda x: length(x))) AS n, unnest(list_transform(g[1:len(w)], lambda x: length(x))) AS gap, generate_subscripts(w, 1) AS i FROM d),
+s AS (SELECT id, word, n, (sum(gap) OVER o + sum(n) OVER o - n)::BIGINT AS a FROM u WINDOW o AS (PARTITION BY id ORDER BY i)),
+dw AS (SELECT DISTINCT word FROM s), dp AS (SELECT DISTINCT term FROM p),
+alike AS (SELECT word, term FROM dw, dp WHERE starts_with(word, term) OR (length(word) >= 4 AND starts_with(term, word)) OR list_has_any({_MARKED.format("word")}, {_MARKED.format("term")})),
+h AS (SELECT DISTINCT b.query_id, b.id, a, a + n AS e FROM best b JOIN s USING (id) JOIN p USING (query_id) JOIN alike ON alike.word = s.word AND alike.term = p.term),
+f AS (SELECT b.query_id, b.id, text, length(text) AS len, min(a) AS hit FROM best b LEFT JOIN h USING (query_id, id) GROUP BY b.query_id, b.id, text),
+o AS (SELECT *, CASE WHEN hit > 60 THEN CASE WHEN strpos(substring(text, hit - 49), ' ') > 0 AND hit - 50 + strpos(substring(text, hit - 49), ' ') <= hit THEN hit - 50 + strpos(substring(text, hit - 49), ' ') ELSE hit - 50 END ELSE 0 END AS start_ FROM f),
+z AS (SELECT *, least(len, start_ + 160) AS stop_ FROM o)
+SELECT z.query_id, z.id, (count(a) FILTER (e > start_ AND a < stop_))::BIGINT AS hits, any_value(stop_ - start_ + (start_ > 0)::INT + (stop_ < len)::INT) AS chars FROM z LEFT JOIN h USING (query_id, id) GROUP BY z.query_id, z.id""",
+    "d34_narrowest_chip": f"WITH {_CHIPS}, k AS (SELECT query_id, chip, least(count(id), 10001) AS n FROM chips LEFT JOIN hits USING (query_id, chip) GROUP BY ALL) SELECT query_id, chip FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n, chip) AS r FROM k) WHERE r = 1",
+    "d35_append_pages": "SELECT external_id, page, nth FROM (SELECT l_partkey AS external_id, l_orderkey AS page, l_linenumber AS nth, row_number() OVER (PARTITION BY l_partkey ORDER BY o_orderstatus <> 'O', l_orderkey, l_linenumber) AS r FROM lineitem JOIN orders ON o_orderkey = l_orderkey) WHERE r = 1",
+    "d36_evaluate_retrieval": f"WITH {_CHIPS}, want AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(regexp_extract(b.text, '^[^.]*\\.?')))) SELECT query_id, count(*) FILTER (g AND w) AS hits, count(*) FILTER (g) AS found, count(*) FILTER (w) AS wanted FROM (SELECT query_id, id, bool_or(g) AS g, bool_or(w) AS w FROM (SELECT query_id, id, true AS g, false AS w FROM allhit UNION ALL SELECT query_id, id, false, true FROM want) GROUP BY ALL) GROUP BY query_id",
     "d37_check_requests": """WITH r AS (SELECT o_orderkey AS k, CASE WHEN k % 5 = 0 THEN 'any' WHEN k % 37 = 0 THEN 'none' ELSE 'all' END AS mode, k % 23 AS n,
  CASE WHEN k % 3 = 0 THEN 'newest' WHEN k % 41 = 0 THEN 'oldest' WHEN k % 23 > 0 THEN 'relevance' ELSE 'recently_saved' END AS sort, CASE WHEN k % 4 = 0 THEN k % 120 ELSE 30 END AS "limit", k % 7 AS c FROM orders)
 SELECT k AS request, mode, sort, "limit", CASE WHEN mode = 'none' THEN 'mode' WHEN sort = 'oldest' THEN 'sort' WHEN "limit" < 1 OR "limit" > 100 THEN 'limit' WHEN c = 2 THEN 'malformed_cursor' WHEN n > 20 THEN 'too_many_chips'
  WHEN c = 0 AND sort <> 'relevance' THEN 'other_cursor' WHEN c = 1 AND sort <> 'newest' THEN 'other_cursor' END AS reason FROM r""",
+    "d38_search": f"WITH {_LEADING}, cn AS (SELECT id, string_agg(DISTINCT s_name, '|' ORDER BY s_name) AS c FROM suppliers GROUP BY id) SELECT query_id, id, rank, mode, caption, author AS author_handle, coalesce(c, '') AS collections FROM lead_all JOIN items USING (id) LEFT JOIN cn USING (id) WHERE rank <= 30",
+    "d38_search_any": f"WITH {_LEADING} SELECT query_id, id, rank, mode FROM lead_any WHERE rank <= 30",
+    "d38_search_related": f"WITH {_RELATED}, li AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(n_chars, 0) DESC, id DESC) AS rank, mode FROM m_all JOIN modes USING (query_id) JOIN documents ON doc_id = id WHERE mode = 'full' OR (mode = 'direct' AND direct)) SELECT query_id, id, rank, mode FROM ranked JOIN modes USING (query_id) WHERE mode = 'relevance' AND rank <= 30 UNION ALL SELECT query_id, id, rank, mode FROM li WHERE rank <= 30",
+    "d38_search_totals": f"WITH {_LEADING} SELECT query_id, total, mode FROM modes",
+    "d38_chip_info": f"""WITH {_LEXICON}, named AS (SELECT p_size AS query_id, string_split(arg_min(p_name, p_partkey), ' ') AS w FROM part GROUP BY p_size),
+items AS (SELECT p_name, p_type FROM {_ITEMS} JOIN part ON l_partkey = p_partkey),
+s0 AS (SELECT query_id, generate_subscripts(w, 1) - 1 AS ord, unnest(w) AS w FROM named), s AS (SELECT query_id, ord, lower(left(w, 1) || substring(w, 3)) AS term FROM s0),
+f AS (SELECT query_id, term, min(ord) AS ord FROM s GROUP BY ALL), sent AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY ord) - 1 AS chip FROM f),
+c AS (SELECT term, count(*) FILTER (len(list_filter({_W.format("p_name || ' ' || p_type")}, lambda w: CASE WHEN length(term) >= 3 THEN starts_with(w, term) ELSE w = term END)) > 0) AS n FROM (SELECT DISTINCT term FROM sent), items GROUP BY term),
+x AS (SELECT s.term, count(*) AS expanded FROM (SELECT DISTINCT term FROM sent) s JOIN cats ON category = s.term GROUP BY s.term),
+voc AS (SELECT DISTINCT m FROM (SELECT lower(p_type) AS m FROM part JOIN lineitem ON l_partkey = p_partkey UNION ALL SELECT lower(p_brand) FROM part JOIN lineitem ON l_partkey = p_partkey UNION ALL SELECT lower(s_name) FROM supplier JOIN lineitem ON l_suppkey = s_suppkey UNION ALL SELECT category FROM cats UNION ALL SELECT alias FROM aliases)),
+dd AS (SELECT term, m, damerau_levenshtein(term, m) AS d FROM (SELECT DISTINCT term FROM sent WHERE length(term) >= 3), voc WHERE length(m) >= 3 AND term <> m),
+g AS (SELECT term, m FROM dd WHERE d <= CASE WHEN length(term) <= 4 THEN 1 ELSE 2 END QUALIFY row_number() OVER (PARTITION BY term ORDER BY d, left(term, 1) <> left(m, 1), m) = 1)
+SELECT query_id, chip, least(n, 10001) AS n, n >= 10001 AS capped, coalesce(expanded, 0) AS expanded, CASE WHEN n = 0 THEN m END AS meant FROM sent JOIN c USING (term) LEFT JOIN x USING (term) LEFT JOIN g USING (term)""",
 }
-QUERIES = {name: globals()[name] for name in ORACLES}
+QUERIES = {name: globals()[name] for name in [*ORACLES, "d9_stemmed_terms"]}

@@ -1,7 +1,7 @@
 """Libraries on disk: committed Parquet snapshots, and bundles of JSON for moving a library elsewhere.
 
 A commit writes every table below a folder of its own and then one marker, in one small job; readers take the newest marked version, so
-a library is seen whole or not at all, and a commit that is run again writes the same folder again.
+a library is seen whole or not at all. A commit that failed can be run again; one that is marked can't be made again.
 """
 
 from __future__ import annotations
@@ -15,16 +15,33 @@ from pyspark.sql import functions as F
 
 FORMAT, VERSION = "larder-bundle", 1
 ITEM = "external_id long, caption string, author_handle string, hashtags array<string>, views long"
-COLLECTION = "collection_id long, name string"
+COLLECTION = "collection_id long, name string, declared_total long"
 MEMBERSHIP = "external_id long, collection_id long, position int"
 ACCOUNT = "platform string, handle string, id string"
 SCHEMAS = {"items": ITEM, "collections": COLLECTION, "memberships": MEMBERSHIP, "accounts": ACCOUNT}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-larder-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or a local one where that is unset and one
+    machine does all. The driver's file system deletes it when it closes."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-larder-")
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a scratch folder and read again: later steps start from the files and compute nothing twice."""
+    folder = f"{scratch(df.sparkSession, name)}/table"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 @dataclass
@@ -45,16 +62,26 @@ def empty(spark: SparkSession) -> Library:
 
 
 def commit(library: Library, folder: str, number: int) -> None:
-    """Make ``library`` version ``number``; it may be derived from earlier versions, not from this one."""
+    """Make ``library`` version ``number``; it may be derived from earlier versions, not from this one. A committed number is
+    refused: its files are what readers read."""
+    if number in committed(library.items.sparkSession, folder):
+        raise ValueError(f"version {number} is committed")
     for name, table in library.tables().items():
         table.selectExpr(*[c.split()[0] for c in SCHEMAS[name].split(", ")]).write.mode("overwrite").parquet(f"{folder}/v{number}/{name}")
     spark = library.items.sparkSession
     spark.range(number, number + 1).select(F.col("id").alias("version")).write.mode("append").parquet(f"{folder}/committed")
 
 
+def committed(spark: SparkSession, folder: str) -> set[int]:
+    """The committed versions (markers are one row a commit)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/committed")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return set()
+    return {r["version"] for r in spark.read.schema("version long").parquet(f"{folder}/committed").distinct().collect()}
+
+
 def newest(spark: SparkSession, folder: str) -> int:
-    """The newest committed version (markers are one row a commit)."""
-    return spark.read.schema("version long").parquet(f"{folder}/committed").agg(F.max("version")).first()[0]
+    return max(committed(spark, folder))
 
 
 def read(spark: SparkSession, folder: str, version: int | None = None) -> Library:
@@ -62,13 +89,15 @@ def read(spark: SparkSession, folder: str, version: int | None = None) -> Librar
     return Library(**{name: spark.read.schema(schema).parquet(f"{folder}/v{at}/{name}") for name, schema in SCHEMAS.items()})
 
 
-def wipe(spark: SparkSession, folder: str, number: int, keep: Column | None = None) -> None:
-    """Commit a library without rows, or with the items that ``keep`` holds and what belongs to them."""
+def wipe(spark: SparkSession, folder: str, number: int, keep: dict[str, Column] | None = None) -> None:
+    """Commit a library without rows, or with the items, collections and accounts that ``keep`` holds (table to condition; a table
+    that isn't named is emptied) and the memberships between them."""
     if keep is None:
         return commit(empty(spark), folder, number)
     old = read(spark, folder)
-    items = old.items.filter(keep)
-    commit(Library(items, old.collections, old.memberships.join(items.select("external_id"), "external_id", "left_semi"), old.accounts), folder, number)
+    items, collections, accounts = (getattr(old, t).filter(keep.get(t, F.lit(False))) for t in ("items", "collections", "accounts"))
+    members = old.memberships.join(items.select("external_id"), "external_id", "left_semi").join(collections.select("collection_id"), "collection_id", "left_semi")
+    commit(Library(items, collections, members, accounts), folder, number)
 
 
 def get_item(library: Library, external_id: int) -> DataFrame:

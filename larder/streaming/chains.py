@@ -28,20 +28,30 @@ def chain_gaps(segments: DataFrame, by: list[str], order: list[str], is_start: C
     return marked.groupBy(*by, "segment").agg(F.count(F.lit(1)).alias("pages"), F.max("_broken").alias("gap"))
 
 
-def stop_after_known(pages: DataFrame, by: list[str], order: list[str], items: str, inserted: str, streak: int = 2) -> DataFrame:
-    """by and the first page at which ``streak`` pages in a row had items but none new."""
+def stop_after_known(pages: DataFrame, by: list[str], order: list[str], items: str, inserted: str, ended: Column, streak: int = 2) -> DataFrame:
+    """by and the first page at which ``streak`` pages in a row, or more, had items but none new. A page that ends its list
+    (``ended``) stops nothing: the list is complete then."""
     w = _in_order(by, order).rowsBetween(Window.unboundedPreceding, 0)
     resets = (F.col(inserted) > 0) | (F.col(items) == 0)
-    islands = pages.withColumn("_island", F.sum(resets.cast("int")).over(w)).withColumn("_known", (~resets).cast("int"))
+    islands = pages.withColumn("_island", F.sum(resets.cast("int")).over(w)).withColumn("_known", (~resets).cast("int")).withColumn("_ended", F.coalesce(ended, F.lit(False)))
     inside = Window.partitionBy(*by, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    reached = islands.withColumn("_streak", F.sum("_known").over(inside)).filter(F.col("_streak") == streak)
+    reached = islands.withColumn("_streak", F.sum("_known").over(inside)).filter((F.col("_streak") >= streak) & ~F.col("_ended"))
     return reached.groupBy(*by).agg(F.min(order[-1]).alias("stop_at"))
 
 
-def stalls(pages: DataFrame, by: list[str], order: list[str], at: str, limit_ms: int) -> DataFrame:
-    """Pages after which nothing came for more than ``limit_ms``."""
+def stalls(pages: DataFrame, by: list[str], order: list[str], at: str, limit_ms: int, items: str | None = None, most_retries: int = 3) -> DataFrame:
+    """Pages after which nothing came for more than ``limit_ms``, with ``gap_ms``.
+
+    With ``items``, ``retries`` tells how often the list has been loaded anew by then (once for each full ``limit_ms`` of
+    silence, from 0 after a page with items), and ``state`` is attention once that is more than ``most_retries``."""
     gap = F.lead(at).over(_in_order(by, order)) - F.col(at)
-    return pages.withColumn("gap_ms", gap).filter(F.col("gap_ms") > limit_ms)
+    rows = pages.withColumn("gap_ms", gap)
+    if items:
+        w = _in_order(by, order).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("_island", F.count_if(F.col(items) > 0).over(w)).withColumn("_ticks", F.coalesce(F.floor(F.col("gap_ms") / limit_ms), F.lit(0)))
+        inside = Window.partitionBy(*by, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("retries", F.sum("_ticks").over(inside)).withColumn("state", F.when(F.col("retries") > most_retries, "attention").otherwise("retrying")).drop("_island", "_ticks")
+    return rows.filter(F.col("gap_ms") > limit_ms)
 
 
 def running_totals(pages: DataFrame, by: list[str], order: list[str], sums: list[str]) -> DataFrame:

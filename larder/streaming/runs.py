@@ -59,8 +59,8 @@ def attribute_pages(pages: DataFrame, runs: DataFrame, fits: Column) -> DataFram
 
 
 def over_cap(totals: DataFrame, by: list[str], order: str, cap: int = PAGE_CAP) -> DataFrame:
-    """by, at: the page that takes a run beyond its cap. ``totals`` holds pages_so_far."""
-    return totals.filter(F.col("pages_so_far") == cap + 1).select(*by, F.col(order).alias("at"))
+    """by, at: the page at which a run has read as many as it may, and fails. ``totals`` holds pages_so_far."""
+    return totals.filter(F.col("pages_so_far") == cap).select(*by, F.col(order).alias("at"))
 
 
 def run_report(outcomes: DataFrame, totals: DataFrame) -> DataFrame:
@@ -71,6 +71,17 @@ def run_report(outcomes: DataFrame, totals: DataFrame) -> DataFrame:
     return rows.join(totals, "run", "left")
 
 
+def absorb_collections(lists: DataFrame) -> DataFrame:
+    """run, id, name, declared_total, first, status of the collections that the lists of runs named (run, arrival, id, name,
+    declared_total, has_more): the last name and the last total given, in order of first arrival, each pending; ``warning`` where
+    a list of the run says that it has more than it gave."""
+    known = lists.filter("id IS NOT NULL").groupBy("run", "id").agg(
+        F.max_by("name", "arrival").alias("name"), F.max_by("declared_total", F.when(F.col("declared_total").isNotNull(), F.col("arrival"))).alias("declared_total"), F.min("arrival").alias("first")
+    )
+    more = lists.groupBy("run").agg(F.coalesce(F.bool_or("has_more"), F.lit(False)).alias("warning"))
+    return known.join(more, "run").select("run", "id", "name", "declared_total", "first", F.lit("pending").alias("status"), "warning")
+
+
 _STATE = "response string, any boolean, gap boolean, gapped_ends int, outcome string, seen_to long"
 _OUT = "run string, list string, outcome string, at long"
 
@@ -105,8 +116,40 @@ def follow_lists(pages: DataFrame) -> DataFrame:
     return pages.groupBy("run", "list").applyInPandasWithState(_follow, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+_STALL_STATE = "retries int, upto long"
+_STALL_OUT = "run string, state string, retries int"
+MOST_SILENCE_MS, MOST_STALL_RETRIES = 120_000, 3
+
+
+def _watch(limit_ms: int, most: int):
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        retries, upto = state.get if state.exists else (0, -1)
+        out = []
+        if state.hasTimedOut:
+            retries += 1
+            out.append((key[0], "attention" if retries > most else "retrying", retries))
+        else:
+            for page in pd.concat(list(parts)).sort_values("arrival_ord").itertuples(index=False):
+                if page.arrival_ord > upto:
+                    upto = int(page.arrival_ord)
+                    retries = 0 if page.items > 0 else retries
+        state.update((int(retries), upto))
+        if retries <= most:
+            state.setTimeoutDuration(limit_ms)
+        yield pd.DataFrame(out, columns=["run", "state", "retries"])
+
+    return run
+
+
+def watch_stalls(pages: DataFrame, limit_ms: int = MOST_SILENCE_MS, most_retries: int = MOST_STALL_RETRIES) -> DataFrame:
+    """A stream of pages (run, arrival_ord, items) to what a timer does about silence: ``retrying`` after each ``limit_ms`` without a
+    page, ``attention`` after ``most_retries`` of them; a page with items starts the count again."""
+    return pages.groupBy("run").applyInPandasWithState(_watch(limit_ms, most_retries), _STALL_OUT, _STALL_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 _PENDING_STATE = "known boolean, ids array<long>, positions array<long>"
-#: Memberships held for one collection that isn't known yet; what doesn't fit is reported as overflow.
+#: Memberships held in memory for one collection that isn't known yet. What doesn't fit is given out as overflow, for a table of
+#: pending rows: ``changes.split_memberships`` takes them up from there, as ``streaming.ingest`` does for all of its own.
 MOST_PENDING = 1000
 
 

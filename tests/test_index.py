@@ -25,7 +25,7 @@ def test_saved_postings_are_not_shuffled(spark):
 
 def _library(spark):
     items = spark.createDataFrame([(1, "one", "h", ["b", "a", "b"], 5), (2, None, None, None, None)], snapshots.ITEM)
-    collections = spark.createDataFrame([(7, "seven")], snapshots.COLLECTION)
+    collections = spark.createDataFrame([(7, "seven", 2)], snapshots.COLLECTION)
     members = spark.createDataFrame([(1, 7, 0), (1, 8, 0), (9, 7, 1)], snapshots.MEMBERSHIP)
     return snapshots.Library(items, collections, members, spark.createDataFrame([("p", "ok", None), ("p", "not ok", None), ("q", "ok", "x")], snapshots.ACCOUNT))
 
@@ -58,3 +58,34 @@ def test_a_library_is_replaced_by_its_marker(spark, tmp_path):
     assert {name: t.count() for name, t in snapshots.read(spark, folder).tables().items()} == dict.fromkeys(snapshots.SCHEMAS, 0)
     one = snapshots.get_item(snapshots.read(spark, folder, 1), 1).first()
     assert (one["hashtags"], one["collections"]) == (["a", "b", "b"], ["seven"])
+
+
+def test_a_committed_version_is_not_made_again(spark, tmp_path):
+    folder = str(tmp_path / "l")
+    snapshots.commit(_library(spark), folder, 1)
+    with pytest.raises(ValueError):
+        snapshots.commit(_library(spark), folder, 1)
+    _library(spark).items.limit(0).write.parquet(f"{folder}/v2/items")  # broken off before the marker
+    assert snapshots.read(spark, folder).items.count() == 2
+    snapshots.commit(_library(spark), folder, 2)
+    assert snapshots.committed(spark, folder) == {1, 2}
+
+
+def test_a_written_index_is_the_same(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Recipes again", "x"), (2, "a recipe", None), (3, None, "recipe recipe")], "external_id long, caption string, tags string")
+    fields = {"caption": "caption", "hashtags": "tags"}
+    made, plain = index.build(docs, fields, str(tmp_path / "i")), index.in_memory(docs, fields)
+    for name in ("postings", "documents", "terms"):
+        assert sorted(map(tuple, getattr(made, name).collect())) == sorted(map(tuple, getattr(plain, name).collect()))
+    assert {r["term"]: (r["n_docs"], r["n_places"]) for r in index.opened(spark, str(tmp_path / "i")).terms.collect()}["recip"] == (3, 4)
+
+
+def test_a_search_reads_the_index_and_no_text(spark):
+    """Plans of searches scan postings and statistics; nothing is tokenised again."""
+    from larder.registered import searches
+
+    folder = "/root/testdata/sf0.001"
+    searches.d18_rank(spark, folder).count()
+    for name in ("d18_rank", "d14_combine_chips_all", "d13_match_chips"):
+        plan = searches.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+        assert "documents.parquet" not in plan

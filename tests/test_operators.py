@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.functions.text import nfkc, normalized_tags, tolerant_long
-from larder.operators import changes, enrich, match, query
-from larder.streaming import chains, ingest
+from larder.operators import changes, enrich, ingest, match, query, rank
+from larder.streaming import chains
 
 
 def test_tags_lose_hash_case_and_repeats(spark):
@@ -64,24 +64,99 @@ def test_expansion_takes_the_first_known_form(spark):
     assert sorted(map(tuple, query.expand_terms(chips, categories, aliases).collect())) == [(1, 0, 1, "fruit"), (1, 0, 2, "berry"), (1, 1, 1, "meal")]
 
 
-def test_stream_of_captures_is_applied_once(spark, tmp_path):
-    kind = "batch string, external_id long, caption string, views long, captured_at long"
-    for n, rows in enumerate([[("a", 1, "one", 1, 10), ("a", 2, "two", 1, 10), ("a", 9, "late", 1, -9)], [("b", 2, "new two", 3, 20), ("b", 2, None, 4, 21)], [("b", 2, None, 4, 21)]]):
-        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").json(str(tmp_path / "in" / str(n)))
-        stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
-        ingest.run(stream, str(tmp_path / "out"), F.col("captured_at") >= 0).awaitTermination(120)
-    state = ingest.current(spark, str(tmp_path / "out"))
-    assert sorted(map(tuple, state.select("external_id", "caption", "views").collect())) == [(1, "one", 1), (2, "new two", 4)]
-    assert [r["external_id"] for r in spark.read.parquet(str(tmp_path / "out" / "rejected")).collect()] == [9]
-
-
 @pytest.mark.parametrize("caption", ["Cooking a meal, cook!", "", None, "nothing", "cook " * 10])
 def test_highlight_keeps_the_caption(caption):
-    parts = enrich.segments_of(caption, ["cook"])
+    parts = enrich.segments_of(caption, enrich.Marks(["cook"], [], []))
     assert "".join(t for t, _ in parts) == (caption or "")
     assert [t.lower()[:4] for t, hit in parts if hit] == ["cook"] * (caption or "").lower().count("cook")
 
 
+@pytest.mark.parametrize(("text", "marks", "hits"), [
+    ("Recipes for a hobby", (["recipe"], ["hobbies"], []), ["Recipes", "hobby"]),
+    ("we baked and bake cakes", ([], ["baking"], []), ["baked", "bake"]),
+    ("fruit cake and Fruit  cake", ([], [], ["fruit cake"]), ["fruit cake"]),
+    ("fruit cake", (["cake"], [], ["fruit cake"]), ["fruit cake"]),
+    ("簡単レシピ集", ([], [], ["レシピ"]), ["レシピ"]),
+    ("meal prepping", (["mealprep", "prep"], [], []), ["meal", "prepping"]),
+    ("İx cake", ([], [], ["cake"]), []),
+])
+def test_highlight_forms_phrases_and_substrings(text, marks, hits):
+    assert [t for t, hit in enrich.segments_of(text, enrich.Marks(*marks)) if hit] == hits
+
+
 def test_long_captions_are_cut_around_the_first_hit():
-    parts = enrich.segments_of("x " * 300 + "cook" + " y" * 300, ["cook"])
-    assert parts[0] == parts[-1] == ("…", False) and ("cook", True) in parts and sum(len(t) for t, _ in parts) == enrich.WINDOW_CHARS + 2
+    parts = enrich.segments_of("x " * 300 + "cook" + " y" * 300, enrich.Marks(["cook"], [], []))
+    assert parts[0][0].startswith("…") and parts[-1][0].endswith("…") and ("cook", True) in parts and sum(len(t) for t, _ in parts) == enrich.WINDOW_CHARS + 2
+
+
+def test_highlight_takes_all_kinds_of_terms(spark):
+    chips = spark.createDataFrame([(1, "meal prep", False), (1, "東京", True)], "query_id int, text string, substring boolean")
+    related = spark.createDataFrame([(1, "slow cooker"), (1, "Food")], "query_id int, term string")
+    from larder.functions.text import tokens
+
+    terms = enrich.highlight_terms(chips, related, tokens)
+    assert sorted((r["kind"], r["term"]) for r in terms.collect()) == [("exact", "food"), ("phrase", "meal prep"), ("phrase", "slow cooker"), ("prefix", "meal"), ("prefix", "prep"), ("substring", "東京")]
+    docs = spark.createDataFrame([(5, "Foods in 東京: a slow cooker")], "external_id long, caption string")
+    shown = enrich.highlight(spark.createDataFrame([(1, 5)], "query_id int, id long"), terms, docs, "external_id", "caption").first()
+    assert [x["text"] for x in shown["segments"] if x["hit"]] == ["Foods", "東京", "slow cooker"]
+
+
+def test_numbers_in_texts_are_cut(spark):
+    df = spark.createDataFrame([(x,) for x in ("12.7", "1e3", " 5 ", "-2.9", "x", "", None, "9007199254740993", "0x1", "NaN")], "t string")
+    assert [r[0] for r in df.select(tolerant_long(F.col("t"))).collect()] == [12, 1000, 5, -2, None, None, None, 9007199254740993, None, None]
+
+
+def test_batches_are_folded_in_order(spark):
+    stored = spark.createDataFrame([(1, "old", 5)], "external_id long, caption string, views long")
+    incoming = spark.createDataFrame([(1, "b", None, 2), (1, "a", 7, 1), (2, None, 1, 1), (2, "new", None, 2)], "external_id long, caption string, views long, ord int")
+    got = changes.upsert_items(stored, incoming, ["caption"], ["views"], order="ord")
+    assert sorted(map(tuple, got.collect())) == [(1, "b", 7, "reindexed"), (2, "new", 1, "inserted")]
+
+
+def _capture(**changed):
+    good = {"channel": ingest.CHANNEL, "v": 1, "platform": "p", "kind": "k", "request_cursor": "1", "collection_id": None, "captured_at": 1_000_000, "body": "{}", "page_handle": "a.b", "viewer_handle": None, "viewer_id": "9" * 24}
+    return tuple((good | changed).values())
+
+
+def test_captures_fail_their_first_check(spark):
+    cases = [({}, None), ({"channel": "x"}, "malformed"), ({"channel": None}, "malformed"), ({"v": 2}, "malformed"), ({"platform": "P"}, "malformed"), ({"platform": "q"}, "wrong_platform"), ({"kind": "z"}, "unknown_kind"), ({"kind": None}, "unknown_kind"),
+             ({"request_cursor": "1a"}, "malformed"), ({"request_cursor": "1" * 17}, "malformed"), ({"viewer_id": "9" * 25}, "malformed"), ({"page_handle": "a b"}, "malformed"), ({"captured_at": None}, "malformed"), ({"captured_at": 1}, "stale"),
+             ({"body": ""}, "malformed"), ({"body": None}, "malformed"), ({"body": "x" * 11}, "too_large"), ({"captured_at": 1, "body": ""}, "stale")]
+    rows = spark.createDataFrame([(*_capture(**c), i) for i, (c, _) in enumerate(cases)], f"{ingest.ENVELOPE}, n int")
+    rules = spark.createDataFrame([("p", "k")], "platform string, kind string")
+    got = ingest.validate_captures(rows, rules, F.lit(1_000_001), most_chars=10, carried=("n",)).collect()
+    assert {r["n"]: r["reason"] for r in got} == {i: reason for i, (_, reason) in enumerate(cases)}
+
+
+def test_origins_need_scheme_and_host(spark):
+    urls = ["https://a.example.org/x", "https://example.org", "http://example.org/", "https://badexample.org/", "https://example.org:443/", "https://u@example.org/", "HTTPS://B.Example.Org/?q", None]
+    rows = spark.createDataFrame(list(enumerate(urls)), "i int, url string")
+    assert sorted(r["i"] for r in ingest.filter_origins(rows, "url", ["https://*.example.org/*"]).collect()) == [0, 1, 6]
+
+
+def test_a_pass_must_not_be_empty_unless_nothing_is_declared(spark):
+    none = spark.createDataFrame([], "scope string, id long")
+    declared = spark.createDataFrame([("a", 0), ("b", 3), ("c", None)], "scope string, total int")
+    got = changes.guard_reconcile(none, none, "scope", declared=declared).collect()
+    assert {r["scope"]: r["allowed"] for r in got} == {"a": True, "b": False, "c": True}
+
+
+def test_pages_are_appended_once(spark):
+    shown, more = spark.createDataFrame([("x", 2), ("y", 3)], "id string, n int"), spark.createDataFrame([("x", 1), ("z", 1), ("z", 2)], "id string, n int")
+    assert sorted(map(tuple, rank.appended(shown, more, "id", ["n"]).collect())) == [("x", 2), ("y", 3), ("z", 1)]
+
+
+def test_tags_change_with_the_text_only(spark):
+    kind = "external_id long, hashtags array<string>"
+    stored = spark.createDataFrame([(1, ["a"]), (2, ["b"]), (3, ["c"])], kind)
+    incoming = spark.createDataFrame([(1, []), (2, ["x"]), (3, None), (4, ["n"])], kind)
+    changed = spark.createDataFrame([(1,), (3,), (4,)], "external_id long")
+    assert sorted((r[0], r[1]) for r in changes.replace_hashtags(stored, incoming, changed).collect()) == [(1, []), (2, ["b"]), (3, ["c"]), (4, ["n"])]
+
+
+def test_emptied_collections_are_counted(spark):
+    kept = spark.createDataFrame([(1, 5, 10), (2, 6, 20), (3, 7, 30)], "collection_id long, held long, last_synced long")
+    members = spark.createDataFrame([(1, 9), (3, 9)], "collection_id long, external_id long")
+    touched = spark.createDataFrame([(1,), (2,)], "collection_id long")
+    assert sorted(map(tuple, changes.recount_collections(kept, members, touched, F.lit(99)).collect())) == [(1, 1, 99), (2, 0, 99), (3, 7, 30)]
+    assert sorted(map(tuple, changes.recount_collections(kept, members, touched).collect())) == [(1, 1, 10), (2, 0, 20), (3, 7, 30)]
