@@ -108,15 +108,15 @@ def _bounded(df: DataFrame, n: int) -> DataFrame:
 
 
 def _phrase_starts(words: list[str]) -> Column:
-    """Word numbers where all words of a phrase stand one after another, out of the vocabulary words ``hits``."""
+    """Word numbers where all words of a phrase stand one after another, out of the phrases' words ``told``."""
     def stand(h: Column, i: Column) -> Column:
         here = h["word"] == words[0]
         for k, w in enumerate(words[1:], 1):
-            then = F.get("hits", i + k)
+            then = F.get("told", i + k)
             here = here & F.coalesce((then["word"] == w) & (then["at"] == h["at"] + k), F.lit(False))
         return here
 
-    return F.transform(F.filter("hits", stand), lambda h: h["at"])
+    return F.transform(F.filter("told", stand), lambda h: h["at"])
 
 
 def scan(
@@ -152,13 +152,15 @@ def scan(
     # a block holds anchors from its first one on, and no more than its reach has places
     later = F.col("need") - F.least(F.lit(AGREE), F.col("need"))  # template words after the prefix
     ahead = lambda a, i: F.filter(F.slice("anchors", i + 1, F.col("reach")), lambda b: b["at"] < a["at"] + F.col("reach"))
-    enough = F.transform("anchors", lambda a, i: F.size(F.array_distinct(F.transform(ahead(a, i), lambda b: b["word"]))) + later >= F.col("need"))
-    pairs = pairs.filter(F.exists(enough, lambda x: x)).select("row", "template")
+    enough = F.transform("anchors", lambda a, i: F.when(F.size(F.array_distinct(F.transform(ahead(a, i), lambda b: b["word"]))) + later >= F.col("need"), a["at"]))
+    # what a block around such an anchor can hold lies in the anchor's stretch of words or the ones beside it
+    stretches = lambda at: F.sequence(F.floor(at / F.col("reach")) - 1, F.floor(at / F.col("reach")) + 1)
+    pairs = pairs.withColumn("near", F.array_distinct(F.flatten(F.transform(F.array_compact(enough), stretches)))).filter(F.size("near") > 0).select("row", "template", "near")
     sets = ranked.groupBy("template", "label", "size", "need", "reach").agg(F.collect_set("word").alias("set"), F.collect_set(F.when(F.col("names"), F.col("word"))).alias("names"))
 
     # full comparison: all blocks that begin with a word of the template
     full = pairs.join(table.select("row", "n_words", "hits"), "row").join(_bounded(sets, len(templates)), "template")
-    full = full.withColumn("own", F.filter("hits", lambda h: F.array_contains("set", h["word"])))
+    full = full.withColumn("own", F.filter("hits", lambda h: F.array_contains("near", F.floor(h["at"] / F.col("reach"))) & F.array_contains("set", h["word"])))
 
     def block(h: Column, i: Column) -> Column:
         inside = F.filter(F.slice("own", i + 1, F.col("reach")), lambda x: x["at"] < h["at"] + F.col("reach"))
@@ -172,7 +174,8 @@ def scan(
     found = full.select("row", F.filter(F.transform("own", block), lambda b: b.isNotNull()).alias("blocks")).filter(F.size("blocks") > 0)
     found = space.write(found.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("blocks"))).cast(BLOCKS).alias("blocks")), "blocks")
 
-    judged = table
+    in_phrases = sorted({w for p in phrases for w in p.split()})
+    judged = table.withColumn("told", F.filter("hits", lambda h: h["word"].isin(in_phrases)))
     for i, phrase in enumerate(phrases):
         judged = judged.withColumn(f"p{i}", _phrase_starts(phrase.split()))
     starts = [F.col(f"p{i}") for i in range(len(phrases))]
