@@ -3,7 +3,7 @@
 Vectors are quantised to whole numbers, so scores are exact. Blocks of queries meet blocks of candidates, one
 group for each pair of blocks, each of bounded size. In a group the candidates lie column by column; a query takes
 the columns in order of its own largest components, so that most of its mass is spent first, and scores build up one
-block of dimensions at a time. What the remaining dimensions can still add is at most the product of both remaining
+block of dimensions at a time (the opening block for many queries at once). What the remaining dimensions can still add is at most the product of both remaining
 norms, so candidates that can't reach the query's bar are compacted away.
 
 The bar is a score that k candidates are known to reach: a first pass over one block of candidates gives each query
@@ -29,7 +29,7 @@ from larder.llm.workspace import Workspace
 
 CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 2048
-#: Dimensions added between two rounds of pruning, after an opening of twice as many.
+#: Dimensions added between two rounds of pruning, after an opening of half of all (or twice as many).
 DIMENSIONS = 8
 #: Doubles hold all whole numbers below this.
 EXACT = 2**53
@@ -65,41 +65,47 @@ def best_of_block(
     # bounds are taken in doubles near 1 where the numbers themselves would lose digits or overflow
     shrink = [1.0 if exact else 2.0 ** -np.frexp(x)[1] for x in largest]
     columns, asked = np.ascontiguousarray(vectors.T * shrink[1]), queries * shrink[0]
-    unit = shrink[0] * shrink[1]
-    norms = np.sqrt((columns**2).sum(axis=0))
-    ends = [*range(2 * DIMENSIONS, dims, DIMENSIONS), dims] if dims else [0]
-    positions = np.arange(len(ids))
+    unit, squares = shrink[0] * shrink[1], columns**2
+    norms = squares.sum(axis=0)
+    orders = np.argsort(-np.abs(asked), axis=1, kind="stable")
+    opening = min(dims, max(2 * DIMENSIONS, dims // 2))
+    error = 1e-12 * np.sqrt(norms)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for q in range(len(asked)):
-        order = np.argsort(-np.abs(asked[q]), kind="stable")
-        mine = asked[q][order]
-        mass = np.sqrt(np.append(np.cumsum((mine**2)[::-1])[::-1], 0.0))
-        alive = positions[ids != query_ids[q]]
-        given = float(bars[q])
-        bar = (given - 1e-12 * abs(given)) * unit - 1e-290 if given > -LONGEST else -np.inf
-        scores, seen, start, left = np.zeros(len(alive)), np.zeros(len(alive)), 0, []
-        for end in ends:
-            block = columns[order[start:end]]
-            block = block if len(alive) == len(ids) else block[:, alive]
-            scores += mine[start:end] @ block
-            seen += np.einsum("ij,ij->j", block, block)
-            start = end
-            if end < dims:
-                rest = np.sqrt(np.maximum(norms[alive] ** 2 * (1 + 1e-9) - seen, 0)) * (mass[end] * (1 + 1e-9)) + (1e-12 * mass[0]) * norms[alive] + 1e-290
-                if len(alive) > k:
-                    low = np.partition(scores - rest, len(alive) - k)[len(alive) - k]
+    for begin in range(0, len(asked), 256):
+        # the opening block of all these queries at once: each query's largest components, zeros elsewhere
+        part = slice(begin, begin + 256)
+        mask = np.zeros((len(asked[part]), dims))
+        np.put_along_axis(mask, orders[part, :opening], 1.0, axis=1)
+        opened, spent = (asked[part] * mask) @ columns, mask @ squares
+        for n in range(len(mask)):
+            q = begin + n
+            mine = asked[q][orders[q]]
+            mass = np.sqrt(np.append(np.cumsum((mine**2)[::-1])[::-1], 0.0))
+            given = float(bars[q])
+            bar = (given - 1e-12 * abs(given)) * unit - 1e-290 if given > -LONGEST else -np.inf
+            alive, scores, rest, done, left = np.flatnonzero(ids != query_ids[q]), opened[n], norms * (1 + 1e-9) - spent[n], opening, []
+            scores, rest = scores[alive], rest[alive]
+            while done < dims:
+                slack = np.sqrt(np.maximum(rest, 0)) * (mass[done] * (1 + 1e-9)) + mass[0] * error[alive] + 1e-290
+                if len(alive) > k and (done > opening or bar == -np.inf):
+                    low = np.partition(scores - slack, len(alive) - k)[len(alive) - k]
                     if not exact:  # scores beyond 64 bits are ties
                         low = min(low, (1 - 1e-9) * LONGEST * unit) if low > -(1 - 1e-9) * LONGEST * unit else -np.inf
                     bar = max(bar, low)
-                keep = np.flatnonzero(scores + rest >= bar)
-                scores, seen, alive = scores[keep], seen[keep], alive[keep]
-                left.append(len(keep))
-        if survivors is not None:
-            survivors.append(left)
-        values = scores.astype(np.int64) if exact else _whole_scores(queries[q], vectors[alive])
-        reach = np.flatnonzero(values >= bars[q]) if exact else np.arange(len(values))
-        best = reach[np.lexsort((ids[alive[reach]], -values[reach].astype(object) if not exact else -values[reach]))[:k]]
-        found.append((np.full(len(best), q), alive[best], values[best]))
+                keep = np.flatnonzero(scores + slack >= bar)
+                alive = alive[keep]
+                left.append(len(alive))
+                more = orders[q, done : done + DIMENSIONS]
+                block = columns[more[:, None], alive]
+                scores = scores[keep] + mine[done : done + DIMENSIONS] @ block
+                rest = rest[keep] - np.einsum("ij,ij->j", block, block)
+                done += DIMENSIONS
+            if survivors is not None:
+                survivors.append(left)
+            values = scores.astype(np.int64) if exact else _whole_scores(queries[q], vectors[alive])
+            reach = np.flatnonzero(values >= bars[q]) if exact else np.arange(len(values))
+            best = reach[np.lexsort((ids[alive[reach]], -values[reach].astype(object) if not exact else -values[reach]))[:k]]
+            found.append((np.full(len(best), q), alive[best], values[best]))
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 3
 
 
