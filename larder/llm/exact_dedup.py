@@ -65,7 +65,10 @@ def _ranked(docs: DataFrame, space: Workspace, whole: bool) -> DataFrame:
     # only the retained rows of dealt texts need their content again
     content = F.when((F.col("nth") == 1) & (F.col("salt") >= 0), F.col("content"))
     out = ranked.select("doc_id", "points", "digest", "salt", "nth", "size", "keep_id", content.alias("content"), "row" if whole else F.lit(None).cast("boolean").alias("row"))
-    return space.write(out.filter("nth = 1") if whole else out, "ranked")
+    ranked = space.write(out.filter("nth = 1") if whole else out, "ranked")
+    space.drop("digests")
+    space.drop("counts")
+    return ranked
 
 
 def _settled(docs: DataFrame, space: Workspace, whole: bool) -> DataFrame:

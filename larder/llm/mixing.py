@@ -127,6 +127,7 @@ def shares(docs: DataFrame, space: Workspace, seed: int = 17, weights: tuple[int
     queued = rows.withColumn("_sum", F.sum("size").over(within)).join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     queued = queued.withColumn("_sum", F.col("_sum") + F.col("_before")).drop("_s", "_r", "_before", "_range", "_key")
     queued = space.write(queued, "queued")
+    space.drop("sizes")  # the rows are in the queue now
 
     # the point of the global order at which the budget is used up
     finish = (F.col("_sum") + F.col("_round") * F.col("source_size")) / F.col("target")

@@ -306,6 +306,8 @@ def _grouped(docs: DataFrame, space: Workspace, words: int, percent: int, bands:
     else:
         component = component.withColumn("component", F.col("doc"))
     component = space.write(component.select("print", F.col("component").alias("component_id")), "components")
+    for name in ("classes", "nodes", "buckets", "sets", "pairs", "open", "blocks"):  # large, and read by nothing from here on
+        space.drop(name)
     named = features.filter("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "n_shingles", "print")
     linked = lookup(named, component, "print", "doc_id").select("doc_id", "n_shingles", "print", "component_id")
     alone = features.filter("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", "print", F.col("doc_id").alias("component_id"))
