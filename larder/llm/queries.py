@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, exact_dedup, license_scan, mixing, near_dup, packing, quality, token_file, topk, url_filter
+from larder.llm import alignment, centroids, chat, exact_dedup, license_scan, mixing, near_dup, packing, quality, secret_scan, token_file, topk, url_filter
 from larder.llm.workspace import Workspace
 
 
@@ -69,6 +69,20 @@ def op10_license_containment_scan(spark: SparkSession, sf_dir: str) -> DataFrame
     return license_scan.scan(table(spark, sf_dir, "documents"), Workspace(spark, "licenses")).drop("blocks")
 
 
+def op11_equal_average_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"), Workspace(spark, "centroids"))
+
+
+def op12_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    space = Workspace(spark, "secrets")
+    ledger = secret_scan.Ledger(spark, space.path("ledger"))
+    return secret_scan.told(secret_scan.scan(table(spark, sf_dir, "documents"), ledger, space))
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), Workspace(spark, "alignment"))[0]
+
+
 QUERIES = {
     "op1_branch_and_bound_topk": op1_branch_and_bound_topk,
     "op2_huffman_tokens": op2_huffman_tokens,
@@ -80,6 +94,9 @@ QUERIES = {
     "op6_typed_chat_format": op6_typed_chat_format,
     "op8_weighted_url_filter": op8_weighted_url_filter,
     "op10_license_containment_scan": op10_license_containment_scan,
+    "op11_equal_average_clusters": op11_equal_average_clusters,
+    "op12_blob_ledger_secrets": op12_blob_ledger_secrets,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 #: A URL term between characters other than ASCII letters and digits.
 _HAS = "regexp_matches(low, '(^|[^a-z0-9]){}($|[^a-z0-9])')"
@@ -120,6 +137,8 @@ SELECT page_id, host, path, rule, coalesce(f.verdict, CASE WHEN {_URL_TERMS} THE
 FROM p LEFT JOIN f USING (page_id)
 """,
     "op10_license_containment_scan": license_scan.oracle_sql(),
+    "op11_equal_average_clusters": centroids.oracle_sql(),
+    "op12_blob_ledger_secrets": secret_scan.oracle_sql(),
     "op7_content_sort_dedup": """
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS x FROM documents),
      s AS (SELECT doc_id, n, sha256(x) AS text_sha256 FROM t)
