@@ -35,11 +35,8 @@ BUCKETS = 1 << 18
 LEAST_DOCS = 3
 #: A feature counts by the square of its evidence over this; a word without evidence can't hide one that tells grades apart.
 EVIDENCE = 4.0
-#: A document stays if the probability of the selected grade or a better one is at least this; where that would lose more than
-#: 1 - ``KEEP_SHARE`` of rated documents of such a grade that the model hasn't seen (few ratings), the bar is lowered to keep them.
-KEEP_FROM, KEEP_SHARE, FOLDS = 0.7, 0.99, 4
-#: The bar isn't lowered below this: what is more likely of another grade than not goes, however few ratings there are.
-LEAST_BAR = 0.35
+#: A document stays if it is more likely than not of the selected grade or a better one.
+KEEP_FROM = 0.5
 
 
 def _shape(doc: bytes, n_words: int, distinct: int, repeats: int) -> list[int]:
@@ -83,16 +80,6 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def tails(self, buckets: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
-        """Probability of grade ``least`` or better from features."""
-        table = np.zeros(BUCKETS)
-        table[self.buckets] = self.weights
-        above = int(np.searchsorted(self.grades, least))
-        if above == 0 or above >= len(self.grades):
-            return np.full(len(counts), float(above == 0))
-        link = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=table[buckets], minlength=len(counts))
-        return _sigmoid(link - self.thresholds[above - 1])
-
     def score(self, docs: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade, and probability of grade ``least`` or better."""
         table = np.zeros(BUCKETS)
@@ -163,25 +150,8 @@ def grade_of(quality: Column, toxic: Column) -> Column:
     return F.when(quality == 0, 0).when((quality > 0) & (toxic > 0), 1).when((quality > 0) & (toxic == 0), 2)
 
 
-def bar_of(buckets: np.ndarray, counts: np.ndarray, grades: np.ndarray, least: int) -> float:
-    """The bar that keeps ``KEEP_SHARE`` of the rows of grade ``least`` or better, each judged by a model of the other folds; from
-    ``LEAST_BAR`` to ``KEEP_FROM``."""
-    fold, ends, unseen = np.arange(len(counts)) % FOLDS, np.cumsum(counts), []
-    row = np.repeat(fold, counts)
-    for k in range(FOLDS):
-        model = fit_model(buckets[row != k], counts[fold != k], grades[fold != k])
-        held = np.flatnonzero((fold == k) & (grades >= least))
-        if model is not None and len(held):
-            parts = [buckets[ends[i] - counts[i] : ends[i]] for i in held.tolist()]
-            unseen.append(model.tails(np.concatenate(parts), counts[held], least))
-    if not unseen:
-        return KEEP_FROM
-    return max(LEAST_BAR, min(KEEP_FROM, float(np.quantile(np.concatenate(unseen), 1 - KEEP_SHARE, method="lower"))))
-
-
-def fit(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS, least: int = 2) -> tuple[Model, float] | None:
-    """A model of ``docs`` (doc_id, text) and ``ratings`` (doc_id, grade), and the bar for grade ``least``: ``fit_rows`` ratings at
-    most are used."""
+def fit(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
+    """A model of ``docs`` (doc_id, text) and ``ratings`` (doc_id, grade), of which ``fit_rows`` at most are used."""
     sample = ratings.filter("doc_id IS NOT NULL AND grade IS NOT NULL").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id", "grade").limit(fit_rows)
     rated = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "grade")), "doc_id").select("doc_id", "grade", "text")  # fit_rows bounds its size
 
@@ -202,8 +172,7 @@ def fit(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS, least: in
         return None
     lists = rows.column("buckets").combine_chunks()
     buckets, counts, grades = np.asarray(lists.flatten()).astype(np.int64), np.asarray(lists.value_lengths()).astype(np.int64), np.asarray(rows.column("grade"))
-    model = fit_model(buckets, counts, grades)
-    return None if model is None else (model, bar_of(buckets, counts, grades, least))
+    return fit_model(buckets, counts, grades)
 
 
 def score_column(model: Model | None, text: Column, least: int) -> Column:
@@ -221,19 +190,19 @@ def score_column(model: Model | None, text: Column, least: int) -> Column:
     return score(text)
 
 
-def classify(docs: DataFrame, ratings: DataFrame, least: int = 2, keep_from: float | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``docs`` with expected_grade, tail_probability (of grade ``least`` or better) and kept: at ``keep_from`` or the model's bar."""
-    model, bar = fit(docs, ratings, fit_rows, least) or (None, KEEP_FROM)
+def classify(docs: DataFrame, ratings: DataFrame, least: int = 2, keep_from: float = KEEP_FROM, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``docs`` with expected_grade, tail_probability (of grade ``least`` or better) and kept: from ``keep_from`` on."""
+    model = fit(docs, ratings, fit_rows)
     own = ("expected_grade", "tail_probability", "kept")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in own])
     scored = docs.select(row.alias("row"), score_column(model, F.col("text"), least).alias("score"))
-    kept = F.coalesce(F.col("score.tail_probability") >= (bar if keep_from is None else keep_from), F.lit(True))
+    kept = F.coalesce(F.col("score.tail_probability") >= keep_from, F.lit(True))
     return scored.select("row.*", "score.expected_grade", "score.tail_probability", kept.alias("kept"))
 
 
-def select_quality(docs: DataFrame, ratings: DataFrame, least: int = 2, keep_from: float | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
+def select_quality(docs: DataFrame, ratings: DataFrame, least: int = 2, keep_from: float = KEEP_FROM, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents that stay, with their own columns."""
-    found = fit(docs, ratings, fit_rows, least)
-    if found is None:
+    model = fit(docs, ratings, fit_rows)
+    if model is None:
         return docs
-    return docs.filter(score_column(found[0], F.col("text"), least)["tail_probability"] >= (found[1] if keep_from is None else keep_from))
+    return docs.filter(score_column(model, F.col("text"), least)["tail_probability"] >= keep_from)
