@@ -157,14 +157,10 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 def _classes(features: DataFrame, space: Workspace) -> DataFrame:
     """One row for each distinct set: print, node, doc (its smallest id), n, keys.
 
-    The node is the smallest id; sets beyond the first of one id get numbers above all ids."""
+    Nodes are numbered apart from ids, which may be any."""
     named = features.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = named.groupBy("print").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    classes = space.write(classes, "classes")
-    above = (classes.agg(F.max("doc")).first()[0] or 0) + 1
-    several = classes.groupBy("doc").agg(F.count(F.lit(1)).alias("_c"), F.min("print").alias("_first")).filter("_c > 1").drop("_c")
-    node = F.when(F.col("_first").isNull() | (F.col("_first") == F.col("print")), F.col("doc")).otherwise(F.lit(above) + F.monotonically_increasing_id())
-    return space.write(classes.join(several, "doc", "left").select("print", node.alias("node"), "doc", "n", "keys"), "nodes")  # written, so that numbers stand
+    return space.write(classes.select("print", F.monotonically_increasing_id().alias("node"), "doc", "n", "keys"), "nodes")  # written, so that numbers stand
 
 
 def _buckets(nodes: DataFrame, space: Workspace) -> DataFrame:
@@ -296,17 +292,15 @@ def _grouped(docs: DataFrame, space: Workspace, words: int, percent: int, bands:
             labels = components(links.unionByName(more), space, "all")
 
     # classes get their component, named by its smallest id, and rows by their class
-    component = nodes.select("print", "node", "doc").withColumn("component", F.col("node"))
-    if labels is not None:
-        component = nodes.select("print", "node", "doc").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if not nodes.filter("node <> doc").isEmpty():  # numbers above the ids don't name a component
-            component = space.write(component, "named")
-            least = component.groupBy("component").agg(F.min("doc").alias("least"))
-            component = lookup(component, least, "component", "print").withColumn("component", F.col("least"))
+    if labels is None:
+        component = nodes.select("print", F.col("doc").alias("component"))
     else:
-        component = component.withColumn("component", F.col("doc"))
+        component = nodes.select("print", "node", "doc").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        component = space.write(component, "named")
+        least = component.groupBy("component").agg(F.min("doc").alias("least"))
+        component = lookup(component, least, "component", "print").select("print", F.col("least").alias("component"))
     component = space.write(component.select("print", F.col("component").alias("component_id")), "components")
-    for name in ("classes", "nodes", "buckets", "sets", "pairs", "open", "blocks"):  # large, and read by nothing from here on
+    for name in ("nodes", "named", "buckets", "sets", "pairs", "open", "blocks"):  # large, and read by nothing from here on
         space.drop(name)
     named = features.filter("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "n_shingles", "print")
     linked = lookup(named, component, "print", "doc_id").select("doc_id", "n_shingles", "print", "component_id")
