@@ -160,6 +160,8 @@ def shares(docs: DataFrame, space: Workspace, seed: int = 17, weights: tuple[int
 
 def mix(docs: DataFrame, space: Workspace, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
     """The mix itself: rows of ``docs`` with all their columns, each as often as it is taken."""
-    packed = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    shared = shares(packed, space, seed, weights, most_times, ["_row"])
-    return shared.filter("times > 0").select("_row", F.explode(F.sequence(F.lit(1), "times")).alias("_time")).select("_row.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    numbered = space.write(docs.select(F.monotonically_increasing_id().alias("_n"), whole), "numbered")  # written, so that numbers stand
+    narrow = numbered.select("_n", "_row.doc_id", "_row.text", "_row.source")
+    taken = shares(narrow, space, seed, weights, most_times, ["_n"]).filter("times > 0").select("_n", "times")
+    return numbered.join(taken, "_n").select("_row", F.explode(F.sequence(F.lit(1), "times")).alias("_time")).select("_row.*")
