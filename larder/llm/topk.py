@@ -3,14 +3,14 @@
 Vectors are quantised to whole numbers, so scores are exact. Blocks of queries meet blocks of candidates, one
 group for each pair of blocks, each of bounded size. In a group the candidates lie column by column; a query takes
 the columns in order of its own largest components, so that most of its mass is spent first, and scores build up one
-block of dimensions at a time (the opening block for many queries at once). What the remaining dimensions can still add is at most the product of both remaining
-norms, so candidates that can't reach the query's bar are compacted away.
+block of dimensions at a time. What the remaining dimensions can still add is at most the product of both remaining
+norms, so from the first block on candidates that can't reach the query's bar are compacted away.
 
 The bar is a score that k candidates are known to reach: a first pass over one block of candidates gives each query
 its bar, which goes with the query to all other blocks and rises within each. A group returns what reaches the bar,
 ``k`` rows for each query at most, and a window over those makes the final ranks.
 
-Vectors that are null, hold null or non-finite components, or overflow when scaled take no part. Vectors meet only
+Vectors that are null or hold null or non-finite components take no part; finite ones do, whatever their size. Vectors meet only
 vectors of the same length, whatever it is. Equal scores rank by smaller ``vec_id``; all candidates of the query's own
 ``vec_id`` are skipped, and repeated rows of another ``vec_id`` are candidates each (equal rows are searched once and
 counted). Repeated rows of a query are answered each, with ranks of their own. Rows with a null ``vec_id`` take no
@@ -29,7 +29,7 @@ from larder.llm.workspace import Workspace
 
 CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 2048
-#: Dimensions added between two rounds of pruning, after an opening of half of all (or twice as many).
+#: Dimensions added between two rounds of pruning.
 DIMENSIONS = 8
 #: Doubles hold all whole numbers below this.
 EXACT = 2**53
@@ -37,75 +37,70 @@ LONGEST = 2**63 - 1
 
 
 def quantised(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of each component as a double; null for vectors that take no part."""
-    def whole(x: Column) -> Column:
-        y = x.cast("double") * scale
-        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)  # larger doubles are whole
+    """floor(scale * x) / scale of each component, which a double holds whatever its size (``scale`` is a power of two); null for
+    vectors that take no part."""
+    cut = lambda x: F.when(F.abs(x) * scale < EXACT, F.floor(x * scale) / F.lit(float(scale))).otherwise(x)  # noqa: E731  larger doubles are whole
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.when(vector.isNotNull() & ~F.exists(vector, bad), F.transform(vector.cast("array<double>"), cut))
 
-    infinite = lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double") * scale) == float("inf"))
-    return F.when(vector.isNotNull() & ~F.exists(vector, infinite), F.transform(vector, whole))
 
-
-def _whole_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+def _whole_scores(query: np.ndarray, vectors: np.ndarray, scale: int) -> np.ndarray:
     """Scores in whole numbers of any size, cut to 64 bits."""
-    q = [int(x) for x in query]
-    exact = [sum(a * int(b) for a, b in zip(q, row)) for row in vectors]
+    whole = lambda x: int(x * scale) if abs(x) * scale < EXACT else int(x) * scale
+    q = [whole(x) for x in query.tolist()]
+    exact = [sum(a * whole(b) for a, b in zip(q, row)) for row in vectors.tolist()]
     return np.array([max(-LONGEST - 1, min(LONGEST, s)) for s in exact], dtype=np.int64)
 
 
 def best_of_block(
-    queries: np.ndarray, query_ids: np.ndarray, bars: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, survivors: list | None = None
+    queries: np.ndarray, query_ids: np.ndarray, bars: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, survivors: list | None = None, scale: int = 1
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, candidate position, score) of the candidates among the k best of each query that reach its bar.
+    """(query position, candidate position, score) of the candidates among the k best of each query that reach its bar. Components
+    are whole multiples of 1 / ``scale``, scores of 1 / ``scale**2``, and bars and scores are in that unit.
 
     ``survivors`` takes up, for each query, how many candidates are left after each block of dimensions."""
     dims = vectors.shape[1]
     largest = [float(np.abs(a).max(initial=0)) for a in (queries, vectors)]
-    exact = largest[0] * largest[1] * max(dims, 1) < EXACT
+    exact = largest[0] * largest[1] * max(dims, 1) * scale**2 < EXACT
     # bounds are taken in doubles near 1 where the numbers themselves would lose digits or overflow
-    shrink = [1.0 if exact else 2.0 ** -np.frexp(x)[1] for x in largest]
-    columns, asked = np.ascontiguousarray(vectors.T * shrink[1]), queries * shrink[0]
-    unit, squares = shrink[0] * shrink[1], columns**2
+    shrink = [float(scale) if exact else 2.0 ** -np.frexp(x)[1] for x in largest]
+    unit = 1.0 if exact else shrink[0] * shrink[1] / scale**2
+    ties = (1 - 1e-9) * LONGEST * unit  # scores beyond 64 bits are ties
+    columns, asked = np.ascontiguousarray((vectors * shrink[1]).T), queries * shrink[0]
+    squares = columns**2
     norms = squares.sum(axis=0)
-    orders = np.argsort(-np.abs(asked), axis=1, kind="stable")
-    opening = min(dims, max(2 * DIMENSIONS, dims // 2))
     error = 1e-12 * np.sqrt(norms)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for begin in range(0, len(asked), 256):
-        # the opening block of all these queries at once: each query's largest components, zeros elsewhere
-        part = slice(begin, begin + 256)
-        mask = np.zeros((len(asked[part]), dims))
-        np.put_along_axis(mask, orders[part, :opening], 1.0, axis=1)
-        opened, spent = (asked[part] * mask) @ columns, mask @ squares
-        for n in range(len(mask)):
-            q = begin + n
-            mine = asked[q][orders[q]]
-            mass = np.sqrt(np.append(np.cumsum((mine**2)[::-1])[::-1], 0.0))
-            given = float(bars[q])
-            bar = (given - 1e-12 * abs(given)) * unit - 1e-290 if given > -LONGEST else -np.inf
-            alive, scores, rest, done, left = np.flatnonzero(ids != query_ids[q]), opened[n], norms * (1 + 1e-9) - spent[n], opening, []
-            scores, rest = scores[alive], rest[alive]
-            while done < dims:
-                slack = np.sqrt(np.maximum(rest, 0)) * (mass[done] * (1 + 1e-9)) + mass[0] * error[alive] + 1e-290
-                if len(alive) > k and (done > opening or bar == -np.inf):
-                    low = np.partition(scores - slack, len(alive) - k)[len(alive) - k]
-                    if not exact:  # scores beyond 64 bits are ties
-                        low = min(low, (1 - 1e-9) * LONGEST * unit) if low > -(1 - 1e-9) * LONGEST * unit else -np.inf
-                    bar = max(bar, low)
-                keep = np.flatnonzero(scores + slack >= bar)
-                alive = alive[keep]
-                left.append(len(alive))
-                more = orders[q, done : done + DIMENSIONS]
-                block = columns[more[:, None], alive]
-                scores = scores[keep] + mine[done : done + DIMENSIONS] @ block
-                rest = rest[keep] - np.einsum("ij,ij->j", block, block)
-                done += DIMENSIONS
-            if survivors is not None:
-                survivors.append(left)
-            values = scores.astype(np.int64) if exact else _whole_scores(queries[q], vectors[alive])
-            reach = np.flatnonzero(values >= bars[q]) if exact else np.arange(len(values))
-            best = reach[np.lexsort((ids[alive[reach]], -values[reach].astype(object) if not exact else -values[reach]))[:k]]
-            found.append((np.full(len(best), q), alive[best], values[best]))
+    for q, order in enumerate(np.argsort(-np.abs(asked), axis=1, kind="stable")):
+        mine, given = asked[q, order], float(bars[q])
+        mass = np.sqrt(np.append(np.cumsum((mine**2)[::-1])[::-1], 0.0))  # what is left of the query from a dimension on
+        bar = (given - 1e-12 * abs(given)) * unit - 1e-290 if given > -LONGEST else -np.inf
+        at, left = np.flatnonzero(ids != query_ids[q]), []
+        scores, rest = np.zeros(len(at)), norms[at] * (1 + 1e-9)
+        for done in range(0, dims, DIMENSIONS):
+            some = order[done : done + DIMENSIONS]
+            if 2 * len(at) > len(ids):  # whole columns are copied faster than most of them
+                scores = scores + (mine[done : done + DIMENSIONS] @ columns[some])[at]
+                rest = rest - squares[some].sum(axis=0)[at]
+            else:
+                block = columns[some[:, None], at]
+                scores = scores + mine[done : done + DIMENSIONS] @ block
+                rest = rest - np.einsum("ij,ij->j", block, block)
+            slack = np.sqrt(np.maximum(rest, 0)) * (mass[min(done + DIMENSIONS, dims)] * (1 + 1e-9)) + mass[0] * error[at] + 1e-290
+            if len(at) > k and (bar == -np.inf or 2 * len(at) <= len(ids)):
+                low = np.partition(scores - slack, len(at) - k)[len(at) - k]
+                if not exact:
+                    low = min(low, ties) if low > -ties else -np.inf
+                bar = max(bar, low)
+            keep = np.flatnonzero(scores + slack >= bar)
+            at, scores, rest = at[keep], scores[keep], rest[keep]
+            left.append(len(at))
+        if survivors is not None:
+            survivors.append(left)
+        values = scores.astype(np.int64) if exact else _whole_scores(queries[q], vectors[at], scale)
+        reach = np.flatnonzero(values >= bars[q])
+        best = reach[np.lexsort((ids[at[reach]], -values[reach].astype(object)))[:k]]
+        found.append((np.full(len(best), q), at[best], values[best]))
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 3
 
 
@@ -130,7 +125,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, space: Workspace, scale
             return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("query_id", "print", "asked", "vec_id", "score", "copies")})
         query_ids, ids = left["vec_id"].to_numpy(), right["id"].to_numpy()
         asked, there = (np.stack(list(x)).astype(np.float64).reshape(len(x), -1) for x in (left["v"], right["w"]))
-        q, c, score = best_of_block(asked, query_ids, left["bar"].to_numpy(), there, ids, k)
+        q, c, score = best_of_block(asked, query_ids, left["bar"].to_numpy(), there, ids, k, scale=scale)
         names = left.iloc[q]
         return pd.DataFrame({
             "query_id": query_ids[q], "print": names["print"].to_numpy(), "asked": names["asked"].to_numpy(),
