@@ -9,11 +9,16 @@ from larder.operators.index import Index
 from larder.operators.query import MOST_CHIPS
 
 
+#: Queries of one text have numbers from its id times this on.
+PIECES = 1000
+
+
 def query_chips(texts: DataFrame, id_column: str, text_column: str, words) -> DataFrame:
-    """query_id, chip, term: the distinct words of a text as chips of one word, as many as a query may have. ``words`` is the
-    analysis of the index."""
-    terms = F.slice(F.array_distinct(words(F.col(text_column))), 1, MOST_CHIPS)
-    return texts.select(F.col(id_column).alias("query_id"), F.posexplode(terms).alias("chip", "term"))
+    """query_id, chip, term: the distinct words of a text as chips of one word. A query may have ``MOST_CHIPS``, so a longer text makes
+    several: ``query_id`` is the text's id times ``PIECES`` and the number of the query. ``words`` is the analysis of the index."""
+    rows = texts.select(F.col(id_column).alias("_id"), F.posexplode(F.array_distinct(words(F.col(text_column)))).alias("_nth", "term"))
+    nth = F.col("_nth")
+    return rows.select((F.col("_id") * PIECES + F.floor(nth / MOST_CHIPS)).alias("query_id"), (nth % MOST_CHIPS).alias("chip"), "term")
 
 
 def term_hits(chips: DataFrame, post: DataFrame) -> DataFrame:

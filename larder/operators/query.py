@@ -87,10 +87,11 @@ def expand_terms(chips: DataFrame, categories: DataFrame, aliases: DataFrame) ->
     return related.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= MOST_TERMS).select("query_id", "chip", F.col("nth").alias("ord"), "term")
 
 
-def budgeted(related: DataFrame) -> DataFrame:
-    """Related terms cut to their query's budget, which its expanding chips share."""
-    chips = related.groupBy("query_id").agg(F.count_distinct("chip").alias("_chips"))
-    return related.join(chips, "query_id").filter(F.col("ord") <= term_budget(F.col("_chips"))).drop("_chips")
+def budgeted(related: DataFrame, chips: DataFrame) -> DataFrame:
+    """Related terms cut to their query's budget, which all of its expanding chips share, those without related terms too. ``chips``:
+    query_id, expand, words (how many)."""
+    expanding = chips.groupBy("query_id").agg(F.count_if(F.col("expand") & (F.col("words") > 0)).alias("_chips"))
+    return related.join(expanding, "query_id").filter(F.col("ord") <= term_budget(F.col("_chips"))).drop("_chips")
 
 
 def term_budget(expanding: Column) -> Column:

@@ -118,3 +118,11 @@ def retrieval_quality(matches: DataFrame, labelled: DataFrame) -> DataFrame:
     got, want = matches.select("query_id", "id", F.lit(1).alias("got")), labelled.select("query_id", "id", F.lit(1).alias("want"))
     both = got.join(want, ["query_id", "id"], "full_outer")
     return both.groupBy("query_id").agg(F.count_if(F.col("got").isNotNull() & F.col("want").isNotNull()).alias("hits"), F.count("got").alias("found"), F.count("want").alias("wanted"))
+
+
+def quality_by_label(counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """label, queries, hits, found, wanted, recall, precision of each label (``labels``: query_id, label) and, with a null label,
+    of all queries, from ``retrieval_quality``. A ratio over nothing is null."""
+    share = lambda part, whole: F.round(F.sum(part) / F.nullif(F.sum(whole), F.lit(0)), 6)
+    sums = [F.count(F.lit(1)).alias("queries"), *[F.sum(c).alias(c) for c in ("hits", "found", "wanted")], share("hits", "wanted").alias("recall"), share("hits", "found").alias("precision")]
+    return counts.join(labels, "query_id").groupingSets([["label"], []], "label").agg(*sums)

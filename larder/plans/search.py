@@ -1,39 +1,37 @@
-"""The whole search for a table of queries: chips, related terms, matches, ranked or listed pages, facets, suggestions, spelling."""
+"""The whole search for a table of requests: chips, related terms, matches, ranked or listed pages with cursors, snippets, facets,
+suggestions, spelling. Each request has a mode, a sort, a limit and a cursor of its own.
+
+Matches are bitmaps (``operators.bitmaps``), so totals, counts of chips and the decision to list instead of rank need no row for a match.
+What is ranked is scored by impact blocks (``operators.impacts``); what is listed is read off bitmaps in the order of saved time, or
+from a layout sorted by the column (``operators.layout``).
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.operators import match, query, rank, terms
+from larder.functions.text import nfkc, tokens
+from larder.operators import bitmaps, enrich, impacts, layout, match, query, rank, terms
+from larder.operators.impacts import Impacts
 from larder.operators.index import Index
-from larder.sources.snapshots import stored
-
-
-@dataclass
-class Search:
-    """Frames of one search; each is computed only when an action asks for it.
-
-    chips: as ``query.deduped_chips`` gives them, refused ones too; matches: query_id, id, direct; totals: query_id, total, mode; results:
-    query_id, id, rank, mode and the item's columns; facets, suggestions: query_id, source, text, n; chip_info: query_id, chip, n,
-    capped, expanded, meant; explanations: query_id, id, chip, via, fields, term."""
+from larder.operators.layout import Layout
+from larder.sources.snapshots import scratch, stored
 
-    chips: DataFrame
-    matches: DataFrame
-    totals: DataFrame
-    results: DataFrame
-    facets: DataFrame
-    suggestions: DataFrame
-    chip_info: DataFrame
-    explanations: DataFrame
+#: Columns of items by sort.
+SORT_COLUMNS = {"recently_saved": "saved_at", "newest": "posted_at", "most_viewed": "views"}
+REQUEST = "mode string, sort string, limit int, cursor string"
 
 
 @dataclass
 class Library:
     """What is searched: the index, items (external_id, author_handle, hashtags, saved_at ..), names of their collections (id, key,
-    text), texts for substrings (external_id and text columns), and the lexicon."""
+    text), texts for substrings (external_id and text columns), and the lexicon. Columns of other sorts may be missing: all items are equal
+    by them. ``link`` makes a result's link from an item's columns."""
 
     idx: Index
     items: DataFrame
@@ -41,52 +39,283 @@ class Library:
     texts: DataFrame
     categories: DataFrame
     aliases: DataFrame
+    link: Callable[[], Column] | None = None
+    _made: dict = field(default_factory=dict, repr=False)
+
+    def sort_key(self, sort: str) -> DataFrame:
+        """id, key."""
+        column = SORT_COLUMNS[sort]
+        key = F.col(column) if column in self.items.columns else F.lit(0)
+        return self.items.select(F.col("external_id").alias("id"), F.coalesce(key.cast("long"), F.lit(0)).alias("key"))
+
+    @property
+    def impacts(self) -> Impacts:
+        """Bitmaps and impact blocks, made once and read by all searches."""
+        if "impacts" not in self._made:
+            folder = scratch(self.items.sparkSession, "search-index")
+            words = bitmaps.build(self.idx, self.sort_key("recently_saved").withColumnRenamed("key", "saved_at"), f"{folder}/bitmaps")
+            self._made["impacts"] = impacts.build(words, f"{folder}/impacts")
+        return self._made["impacts"]
+
+    def layout(self, sort: str) -> Layout:
+        if sort == "recently_saved":
+            return self.impacts.words.saved
+        if sort not in self._made:
+            self._made[sort] = layout.build(self.sort_key(sort), f"{scratch(self.items.sparkSession, 'layout')}/{sort}")
+        return self._made[sort]
+
+
+class Search:
+    """Frames of one search. Each is worked out when it is asked for, and then kept; none is made for another that isn't.
+
+    Of requests that are refused only ``requests`` tells anything."""
+
+    def __init__(self, sent: DataFrame, library: Library, requests: DataFrame | None = None, too_broad: int = rank.TOTAL_CAP - 1):
+        self.sent, self.library, self.too_broad = sent, library, too_broad
+        given = requests if requests is not None else sent.select("query_id").distinct()
+        for c in REQUEST.split(", "):
+            name, kind = c.split()
+            if name not in given.columns:
+                given = given.withColumn(name, F.lit(None).cast(kind))
+        self._given = given
+
+    # what is asked
+
+    @cached_property
+    def chips(self) -> DataFrame:
+        """query_id, chip, text, key, expand, reason: refused ones too."""
+        return stored(query.deduped_chips(self.sent), "chips")
+
+    @cached_property
+    def requests(self) -> DataFrame:
+        """query_id, mode, sort, limit, n_chips, substring, reason (null if it is answered), and the parts of the cursor: offset, value,
+        item, own (a list of own words' matches), told (its total)."""
+        refusal = F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("chip")))
+        sizes = self.chips.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chips"), F.max(query.needs_substring(F.col("text"))).alias("substring"), refusal.alias("_refused"))
+        rows = self._given.join(sizes, "query_id", "left").withColumns({"n_chips": F.coalesce("n_chips", F.lit(0)), "substring": F.coalesce("substring", F.lit(False))})
+        checked = query.checked_requests(rows)
+        offset, total = query.offset_cursor(F.col("cursor"))
+        # what only a substring finds can't be ranked
+        other = F.when(F.col("substring") & (F.col("sort") == "relevance") & F.col("cursor").rlike("^[rd]:"), "other_cursor")
+        checked = checked.withColumns({"reason": F.coalesce("reason", "_refused", other), "sort": F.when(F.col("substring") & (F.col("sort") == "relevance"), "recently_saved").otherwise(F.col("sort"))})
+        checked = checked.withColumn("_k", query.keyset_cursor(F.col("cursor")))
+        parts = {"offset": offset, "value": F.col("_k.value"), "item": F.col("_k.id"), "own": F.coalesce("_k.direct", F.lit(False)), "told": F.coalesce(total, "_k.total")}
+        return stored(checked.withColumns(parts).select("query_id", "mode", "sort", F.col("limit").cast("int"), "n_chips", "substring", "reason", *parts), "requests")
+
+    @cached_property
+    def _open(self) -> DataFrame:
+        return self.requests.filter("reason IS NULL")
+
+    @cached_property
+    def _asked(self) -> DataFrame:
+        """Chips of requests that are answered."""
+        return stored(self.chips.join(self._open.select("query_id"), "query_id", "left_semi").withColumn("substring", query.needs_substring(F.col("text"))), "asked-chips")
+
+    @cached_property
+    def related(self) -> DataFrame:
+        """query_id, chip, ord, term: related terms within their query's budget."""
+        worded = self._asked.filter("expand AND NOT substring").select("query_id", "chip", F.col("key").alias("term"))
+        found = query.expand_terms(worded, self.library.categories, self.library.aliases)
+        return stored(query.budgeted(found, self._asked.withColumn("words", F.size(tokens(F.col("text"))))), "related")
+
+    @cached_property
+    def term_rows(self) -> DataFrame:
+        words = self.library.idx.words
+        return stored(terms.own_terms(self._asked.filter("NOT substring"), words).unionByName(terms.related_terms(self.related, words)), "terms")
+
+    @cached_property
+    def parts(self) -> DataFrame:
+        return stored(bitmaps.parts_of(self.term_rows), "parts")
+
+    # what matches
+
+    @cached_property
+    def _units(self) -> DataFrame:
+        return stored(bitmaps.unit_bits(self.parts.select("kind", "unit").distinct(), self.library.impacts.words), "units")
+
+    @cached_property
+    def _chip_bits(self) -> DataFrame:
+        by_word = bitmaps.chip_bits(self.parts, self._units)
+        parts = self._asked.filter("substring").select(F.struct("query_id", "chip").alias("query_id"), F.explode(F.split("text", " ")).alias("word"))
+        texts = self.library.texts
+        hits = match.substring_hits(parts, texts, "external_id", [c for c in texts.columns if c != "external_id"])
+        by_part = bitmaps.bitmaps_of(hits.join(self.library.impacts.words.numbers, "id").select("query_id.query_id", "query_id.chip", "n"), "query_id", "chip")
+        return stored(by_word.unionByName(by_part.select("query_id", "chip", "bucket", F.col("bits").alias("own"), "bits")), "chip-bits")
+
+    @cached_property
+    def _bits(self) -> DataFrame:
+        return stored(bitmaps.query_bits(self._chip_bits, self._open.select("query_id", "n_chips", "mode")), "bits")
+
+    @cached_property
+    def _counts(self) -> DataFrame:
+        """query_id, n, n_direct."""
+        return stored(self._bits.groupBy("query_id").agg(F.sum(F.bitmap_count("bits")).alias("n"), F.sum(F.bitmap_count("direct")).alias("n_direct")), "counts")
+
+    @property
+    def matches(self) -> DataFrame:
+        """query_id, id, direct: a row for each match."""
+        return bitmaps.members(self._bits).join(self.library.impacts.words.numbers, "n").select("query_id", "id", "direct")
+
+    # how it is answered
+
+    @cached_property
+    def _ways(self) -> DataFrame:
+        """Answered requests with ``n``, ``n_direct``, ``mode_of``: ``relevance``, or a list: ``direct`` (own words alone are too many: those),
+        ``full``, ``sorted`` (asked for), ``browse`` (no chips). ``known``: the count, capped; ``letter`` of its cursors."""
+        c, most = self._open.join(self._counts, "query_id", "left").fillna(0, ["n", "n_direct"]), self.too_broad
+        expanded = self.related.select("query_id").distinct().withColumn("_expanded", F.lit(True))
+        c = c.join(expanded, "query_id", "left")
+        ranked = F.col("sort") == "relevance"
+        first = F.when((F.col("n") > F.col("n_direct")) & (F.col("n_direct") > most), "direct").when(F.col("n") > most, "full").otherwise("relevance")
+        listed = F.col("value").isNotNull()
+        how = F.when(F.col("n_chips") == 0, "browse").when(~ranked, "sorted").when(F.col("offset").isNotNull(), "relevance").when(listed & F.col("own"), "direct").when(listed, "full").otherwise(first)
+        total = F.least(F.coalesce("told", "n"), F.lit(most + 1))
+        own = F.when(listed, F.col("own")).otherwise(ranked & F.col("_expanded").isNotNull() & (F.col("n_direct") > most))
+        sort = F.when(ranked & (how != "relevance"), "recently_saved").otherwise(F.col("sort"))
+        return stored(c.withColumns({"mode_of": how, "known": total, "letter": F.when(own, "d").otherwise("k"), "by": sort}).drop("_expanded"), "ways")
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        """query_id, total, mode, ordered_by, too_broad of requests with a match; browsing counts all items."""
+        every = self.library.items.limit(self.too_broad + 1).count()
+        counted = F.when((F.col("mode_of") == "browse") & F.col("told").isNull(), F.lit(every)).otherwise(F.col("known"))
+        rows = self._ways.withColumn("total", counted.cast("long")).filter("total > 0")
+        return rows.select("query_id", "total", F.col("mode_of").alias("mode"), F.col("by").alias("ordered_by"), ((F.col("mode_of") != "relevance") & (F.col("total") > self.too_broad)).alias("too_broad"))
+
+    @cached_property
+    def _ranked(self) -> DataFrame:
+        """query_id, id, rank, score, key of requests that are ranked, down to what their page or candidates need."""
+        rows = self._ways.filter("mode_of = 'relevance'")
+        depth = F.least(F.lit(rank.RANK_DEPTH), F.greatest(F.lit(rank.CANDIDATES), F.coalesce("offset", F.lit(0)) + F.col("limit")))
+        needs = stored(impacts.tier_needs(rows, depth), "needs")
+        members = bitmaps.members(self._bits.join(needs.select("query_id").distinct(), "query_id", "left_semi"))
+        members = members.select("query_id", "n", F.when(F.col("direct"), 1).otherwise(2).alias("tier"))
+        members = members.join(needs.select("query_id", "tier"), ["query_id", "tier"], "left_semi")
+        spread = bitmaps.counts(self._units, "kind", "unit")
+        scored = impacts.best(self.parts, members, needs, spread, self.library.impacts)
+        return stored(impacts.ranked(scored, needs).select("query_id", "id", "rank", "score", F.lit(None).cast("long").alias("key")), "ranked")
+
+    @cached_property
+    def _listed(self) -> DataFrame:
+        """query_id, id, rank (within the page), score, key of requests that are listed: their page and one row more, or their candidates."""
+        most = F.when(F.col("value").isNull(), F.greatest(F.col("limit"), F.lit(rank.CANDIDATES))).otherwise(F.col("limit")) + 1
+        rows = self._ways.filter("mode_of <> 'relevance'").withColumn("most", most)
+        saved = self.library.impacts.words.saved
+        # matches by saved time: the first bits after the cursor's number
+        by_time = rows.filter("mode_of <> 'browse' AND by = 'recently_saved'")
+        after = saved.after(by_time.filter("value IS NOT NULL").select("query_id", "value", "item"))
+        chosen = self._bits.join(by_time.join(after, "query_id", "left").select("query_id", "most", "after", "mode_of"), "query_id")
+        chosen = chosen.withColumn("bits", F.when(F.col("mode_of") == "direct", F.col("direct")).otherwise(F.col("bits")))
+        timed = bitmaps.first_members(chosen, F.col("most"), F.col("after")).join(saved.rows.select("n", "id", "key"), "n")
+        out = timed.select("query_id", "id", "rank", "key")
+        for sort in ("newest", "most_viewed"):
+            mine = rows.filter(F.col("by") == sort)
+            wanted = mine.filter("mode_of <> 'browse'")
+            ids = bitmaps.members(self._bits.join(wanted.select("query_id"), "query_id", "left_semi")).join(self.library.impacts.words.numbers, "n").select("query_id", "id")
+            keyed = ids.join(self.library.sort_key(sort), "id").join(wanted.select("query_id", "value", "item", "most"), "query_id")
+            later = F.col("value").isNull() | (F.col("key") < F.col("value")) | ((F.col("key") == F.col("value")) & (F.col("id") < F.col("item")))
+            nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("key"), F.desc("id")))
+            page = keyed.filter(later).withColumn("rank", nth).filter(F.col("rank") <= F.col("most")).select("query_id", "id", "rank", "key")
+            out = out.unionByName(page)
+        # without chips: pages of the sorted layout
+        browsing = rows.filter("mode_of = 'browse'").select("query_id", "by", "value", "item", "most")
+        for sort in [r["by"] for r in browsing.select("by").distinct().collect()]:  # three at most
+            out = out.unionByName(self.library.layout(sort).pages(browsing.filter(F.col("by") == sort).drop("by")).select("query_id", "id", "rank", "key"))
+        return stored(out.select("query_id", "id", F.col("rank").cast("int"), F.lit(None).cast("double").alias("score"), "key"), "listed")
+
+    @cached_property
+    def leading(self) -> DataFrame:
+        """query_id, id, rank: the first results of first pages, over which facets are counted."""
+        firsts = self._ways.filter("coalesce(offset, 0) = 0 AND value IS NULL").select("query_id")
+        both = self._ranked.select("query_id", "id", "rank").unionByName(self._listed.select("query_id", "id", "rank"))
+        return stored(both.join(firsts, "query_id", "left_semi").filter(F.col("rank") <= rank.CANDIDATES), "leading")
+
+    @cached_property
+    def page(self) -> DataFrame:
+        """query_id, id, rank (over all pages for ranked requests, within the page for lists), score, key, mode, next_cursor."""
+        ways = self._ways.select("query_id", "limit", "offset", "known", "letter", "by", "mode_of", "told")
+        upto = F.coalesce("offset", F.lit(0)) + F.col("limit")
+        ranked = self._ranked.join(ways, "query_id").filter((F.col("rank") > F.coalesce("offset", F.lit(0))) & (F.col("rank") <= upto))
+        ranked = ranked.withColumn("next_cursor", F.when(upto < F.least("known", F.lit(rank.RANK_DEPTH)), F.concat_ws(":", F.lit("r"), upto, "known")))
+        listed = self._listed.join(ways, "query_id").join(self.totals.select("query_id", "total"), "query_id")
+        letters = F.create_map(*[F.lit(x) for kv in query.SORT_LETTERS.items() for x in kv])
+        last = listed.groupBy("query_id").agg(F.max(F.when(F.col("rank") == F.col("limit"), F.struct("letter", letters[F.col("by")].alias("s"), "key", "id", "total"))).alias("l"), F.count_if(F.col("rank") > F.col("limit")).alias("_more"))
+        cursors = last.filter("_more > 0").select("query_id", F.concat_ws(":", "l.letter", "l.s", "l.key", "l.id", "l.total").alias("next_cursor"))
+        listed = listed.filter(F.col("rank") <= F.col("limit")).join(cursors, "query_id", "left")
+        columns = ["query_id", "id", "rank", "score", "key", F.col("mode_of").alias("mode"), "next_cursor"]
+        return stored(ranked.select(columns).unionByName(listed.select(columns)), "page")
+
+    @property
+    def results(self) -> DataFrame:
+        """The page with its items' columns, tags and collections in order."""
+        return rank.hydrated(self.page, self.library.items, self.library.names)
+
+    @property
+    def snippets(self) -> DataFrame:
+        """query_id, id, segments of the page's captions, and link if the library makes links."""
+        marks = enrich.highlight_terms(self._asked.filter("key <> ''"), self.related, lambda t: tokens(nfkc(t)))
+        shown = enrich.highlight(self.page, marks, self.library.items, "external_id", "caption")
+        if self.library.link is None:
+            return shown
+        links = self.library.items.select(F.col("external_id").alias("id"), self.library.link().alias("link"))
+        return shown.join(links, "id", "left").select("query_id", "id", "segments", "link")
+
+    # what goes with it
+
+    @cached_property
+    def _values(self) -> tuple[DataFrame, DataFrame]:
+        items = self.library.items
+        return items.select(F.col("external_id").alias("id"), F.explode(F.array_distinct("hashtags")).alias("text")), items.select(F.col("external_id").alias("id"), F.col("author_handle").alias("text"))
+
+    @cached_property
+    def facets(self) -> DataFrame:
+        tags, authors = self._values
+        return stored(rank.all_facets(self.leading, tags, self.library.names, authors), "facets")
+
+    @property
+    def suggestions(self) -> DataFrame:
+        return rank.suggestions(self.facets, self._asked, self.leading)
+
+    @property
+    def chip_info(self) -> DataFrame:
+        """query_id, chip, n, capped, expanded, meant of every chip of an answered request."""
+        counted = bitmaps.counts(self._chip_bits, "query_id", "chip").select("query_id", "chip", F.least("n", F.lit(rank.TOTAL_CAP)).alias("n"))
+        chips = self._asked.select("query_id", "chip", F.col("key").alias("term")).join(counted, ["query_id", "chip"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        unknown = chips.filter("n = 0").filter(~F.col("term").contains(" ")).select(F.col("term").alias("word")).distinct()
+        tags, authors = self._values
+        words = rank.vocabulary(tags, authors, self.library.names, self.library.categories, self.library.aliases)
+        expanded = self.related.groupBy("query_id", "chip").agg(F.count(F.lit(1)).alias("expanded"))
+        info = chips.join(expanded, ["query_id", "chip"], "left").join(query.did_you_mean(unknown, words).withColumnRenamed("word", "term"), "term", "left")
+        return info.select("query_id", "chip", "n", (F.col("n") >= rank.TOTAL_CAP).alias("capped"), F.coalesce("expanded", F.lit(0)).alias("expanded"), F.when(F.col("n") == 0, F.col("meant")).alias("meant"))
+
+    @property
+    def explanations(self) -> DataFrame:
+        """query_id, id, chip, via, fields, term of the page."""
+        return terms.explain(self.term_rows, self.page, self.related, self._asked.filter("NOT substring"), self.library.idx)
+
+
+def search(sent: DataFrame, library: Library, mode: str | None = None, requests: DataFrame | None = None, too_broad: int = rank.TOTAL_CAP - 1) -> Search:
+    """Chips sent (query_id, ord, text, expand) over a library. ``requests`` (query_id and any of mode, sort, limit, cursor) says how each
+    query is asked, also those without chips; left out, every query with chips takes the defaults, or ``mode``."""
+    if requests is None and mode:
+        requests = sent.select("query_id").distinct().withColumn("mode", F.lit(mode))
+    return Search(sent, library, requests, too_broad)
+
+
+def bits_of(term_rows: DataFrame, sizes: DataFrame, library: Impacts) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Parts, bitmaps of their units, of chips and of queries, for term rows that are made elsewhere. ``sizes``: query_id, n_chips, mode."""
+    parts = stored(bitmaps.parts_of(term_rows), "parts")
+    units = stored(bitmaps.unit_bits(parts.select("kind", "unit").distinct(), library.words), "units")
+    chips = stored(bitmaps.chip_bits(parts, units), "chip-bits")
+    return parts, units, chips, stored(bitmaps.query_bits(chips, sizes), "bits")
 
 
-def search(sent: DataFrame, library: Library, mode: str = "all", page: int = 30, too_broad: int = rank.TOTAL_CAP - 1) -> Search:
-    """Chips sent (query_id, ord, text, expand) over a library. Queries with a refused chip have no matches.
-
-    Queries with too many matches are listed newest saved first; the others are ranked in two tiers, own words before related
-    terms. The index is read, not made; places of terms are written once, and matches, scores and counts all start there."""
-    idx = library.idx
-    checked = query.deduped_chips(sent)
-    refused = checked.filter("reason IS NOT NULL").select("query_id").distinct()
-    chips = checked.join(refused, "query_id", "left_anti").withColumn("substring", query.needs_substring(F.col("text")))
-    chips = stored(chips, "chips")
-    worded = chips.filter("NOT substring")
-    related = query.expand_terms(worded.filter("expand").select("query_id", "chip", F.col("key").alias("term")), library.categories, library.aliases)
-    related = stored(query.budgeted(related), "related")
-    asked = stored(terms.own_terms(worded, idx.words).unionByName(terms.related_terms(related, idx.words)), "terms")
-    found = stored(terms.places(asked, idx), "places")
-
-    parts = chips.filter("substring").select(F.struct("query_id", "chip").alias("query_id"), F.explode(F.split("text", " ")).alias("word"))
-    by_part = match.substring_hits(parts, library.texts, "external_id", [c for c in library.texts.columns if c != "external_id"])
-    hits = terms.chip_matches(found).unionByName(by_part.select("query_id.query_id", "query_id.chip", "id", F.lit(True).alias("own")))
-    hits = stored(hits, "hits")
-    sizes = chips.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chips"))
-    matches = terms.query_matches(hits, sizes, mode)
-    totals = stored(terms.list_modes(matches, too_broad), "totals")
-
-    narrow = matches.join(totals.filter("mode = 'relevance'").select("query_id"), "query_id", "left_semi")
-    ranked = terms.rank_tiers(terms.scores(found, narrow, idx.documents), rank.CANDIDATES).select("query_id", "id", "rank")
-    # what only a substring matches has no score and comes after all that has one
-    unscored = narrow.join(ranked.groupBy("query_id").agg(F.max("rank").alias("_last")), "query_id", "left").join(ranked.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    unscored = terms.after(unscored.filter(F.coalesce("_last", F.lit(0)) < rank.CANDIDATES), rank.CANDIDATES)
-    saved = library.items.select(F.col("external_id").alias("id"), "saved_at")
-    leading = stored(ranked.unionByName(unscored).unionByName(terms.listed(matches, totals, saved, rank.CANDIDATES)), "leading")
-    shown = leading.filter(F.col("rank") <= page)
-    results = rank.hydrated(shown.join(totals.select("query_id", "mode"), "query_id"), library.items, library.names)
-
-    tags = library.items.select(F.col("external_id").alias("id"), F.explode(F.array_distinct("hashtags")).alias("text"))
-    authors = library.items.select(F.col("external_id").alias("id"), F.col("author_handle").alias("text"))
-    facets = stored(rank.all_facets(leading, tags, library.names, authors), "facets")
-    suggestions = rank.suggestions(facets, chips, leading)
-
-    counted = match.chip_counts(hits, chips.withColumnRenamed("key", "term"))
-    unknown = counted.filter("n = 0").filter(~F.col("term").contains(" ")).select(F.col("term").alias("word")).distinct()
-    words = rank.vocabulary(tags, authors, library.names, library.categories, library.aliases)
-    expanded = related.groupBy("query_id", "chip").agg(F.count(F.lit(1)).alias("expanded"))
-    info = counted.join(expanded, ["query_id", "chip"], "left").join(query.did_you_mean(unknown, words).withColumnRenamed("word", "term"), "term", "left")
-    info = info.select("query_id", "chip", "n", (F.col("n") >= rank.TOTAL_CAP).alias("capped"), F.coalesce("expanded", F.lit(0)).alias("expanded"), F.when(F.col("n") == 0, F.col("meant")).alias("meant"))
-    explanations = terms.explain(asked, shown, related, worded, idx)
-    return Search(checked, matches, totals, results, facets, suggestions, info, explanations)
+def rank_terms(term_rows: DataFrame, sizes: DataFrame, library: Impacts, depth: int, queries: DataFrame | None = None) -> DataFrame:
+    """query_id, id, tier, score, rank: the ``depth`` best matches of each query, own words first, or of ``queries`` (query_id) alone."""
+    parts, units, _, bits = bits_of(term_rows, sizes, library)
+    if queries is not None:
+        bits = bits.join(queries, "query_id", "left_semi")
+    counts = bits.groupBy("query_id").agg(F.sum(F.bitmap_count("bits")).alias("n"), F.sum(F.bitmap_count("direct")).alias("n_direct"))
+    needs = stored(impacts.tier_needs(counts, F.lit(depth)), "needs")
+    members = bitmaps.members(bits).select("query_id", "n", F.when(F.col("direct"), 1).otherwise(2).alias("tier")).join(needs.select("query_id", "tier"), ["query_id", "tier"], "left_semi")
+    return impacts.ranked(impacts.best(parts, members, needs, bitmaps.counts(units, "kind", "unit"), library), needs)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.functions.text import folded_words
-from larder.operators import index, ingest, match, terms
+from larder.operators import bitmaps, impacts, index, ingest, match, terms
 from larder.plans.search import Library
 from larder.sources import tables
 from larder.sources.snapshots import scratch, stored
@@ -18,11 +18,26 @@ def documents(spark: SparkSession, d: str) -> index.Index:
     return tables.once(spark, d, "documents-index", make)
 
 
+def document_impacts(spark: SparkSession, d: str) -> impacts.Impacts:
+    """Bitmaps and impact blocks of that index; documents lie in the order of their number of characters."""
+    def make() -> impacts.Impacts:
+        folder = scratch(spark, "document-impacts")
+        saved = tables.items(spark, d).select(F.col("external_id").alias("id"), F.col("views").alias("saved_at"))
+        return impacts.build(bitmaps.build(documents(spark, d), saved, f"{folder}/bitmaps"), f"{folder}/impacts")
+
+    return tables.once(spark, d, "document-impacts", make)
+
+
 def chips(spark: SparkSession, d: str) -> DataFrame:
-    """query_id, chip, term: the words of the ``benchmark`` texts, up to 20 of each."""
+    """query_id, chip, term: the words of the whole ``benchmark`` texts, a query for each 20 of a text (the most that one may have)."""
     return match.query_chips(tables.read(spark, d, "benchmark"), "item_id", "text", folded_words)
 
 
+def chip_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Those chips as term rows of one exact word each."""
+    return chips(spark, d).select("query_id", "chip", F.lit(0).alias("grp"), F.lit("exact").alias("kind"), "term", F.lit(0).alias("part"), F.lit(1).alias("parts"))
+
+
 def lexicon(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Categories are the last words of part names, their terms the types that parts of the name have; brands are aliases."""
     words = tables.read(spark, d, "part").select(F.lower("p_brand").alias("brand"), F.element_at(F.split(F.lower("p_name"), " "), -1).alias("category"), F.lower("p_type").alias("term"))
@@ -38,7 +53,7 @@ def sold(spark: SparkSession, d: str) -> Library:
         idx = index.build(texts, {"caption": "caption", "hashtags": "tags"}, scratch(spark, "index"), words=folded_words)
         suppliers = tables.read(spark, d, "supplier").select(F.col("s_suppkey").alias("collection_id"), F.col("s_name").alias("text"))
         names = stored(items.join(suppliers, "collection_id").select(F.col("external_id").alias("id"), F.col("collection_id").alias("key"), "text"), "names")
-        return Library(idx, items, names, texts.select("external_id", "caption", "author_handle", "tags"), *lexicon(spark, d))
+        return Library(idx, items, names, texts.select("external_id", "caption", "author_handle", "tags"), *lexicon(spark, d), link=lambda: ingest.canonical_url("https://example.com", F.col("author_handle"), F.lit(None), F.col("external_id").cast("string")))
 
     return tables.once(spark, d, "sold", make)
 

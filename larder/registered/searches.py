@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions.text import folded_words, nfkc, stemmed_words, tokens
-from larder.operators import enrich, index, match, query, rank, terms
+from larder.operators import bitmaps, enrich, index, match, query, rank, terms
 from larder.operators.query import SUBSTRING_SCRIPTS
 from larder.plans import search as plan
 from larder.registered import roles
@@ -151,40 +151,36 @@ def d18_rank(spark, d):
     return _long(_ranked(spark, d, 30).select("query_id", "rank", "id"), "rank")
 
 
-def _related_matches(spark: SparkSession, d: str, found: DataFrame, mode: str) -> DataFrame:
-    sizes = roles.related_chips(spark, d)[0].groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chips"))
-    return terms.query_matches(terms.chip_matches(found), sizes, mode)
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return roles.related_chips(spark, d)[0].groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chips"), F.lit("all").alias("mode"))
 
 
 def _tiers(spark: SparkSession, d: str) -> DataFrame:
-    found = roles.related_places(spark, d)
-    return terms.rank_tiers(terms.scores(found, _related_matches(spark, d, found, "all"), roles.documents(spark, d).documents))
+    return plan.rank_terms(roles.related_terms(spark, d), _sizes(spark, d), roles.document_impacts(spark, d), rank.RANK_DEPTH)
 
 
 def d18_rank_tiers(spark, d):
     return _long(_tiers(spark, d).select("query_id", "rank", "tier", "id"), "rank")
 
 
-def d19_capped_totals(spark, d):
-    return rank.totals(_matches(spark, d, "any"))
+def _chip_bits(spark: SparkSession, d: str, mode: str) -> tuple[DataFrame, DataFrame]:
+    """Bitmaps of the chips of ``benchmark`` texts, and of their queries."""
+    asked = roles.chip_terms(spark, d)
+    sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chips"), F.lit(mode).alias("mode"))
+    return plan.bits_of(asked, sizes, roles.document_impacts(spark, d))[2:]
 
 
-def _sold_matches(spark: SparkSession, d: str) -> DataFrame:
-    library = roles.sold(spark, d)
-    chips = query.deduped_chips(roles.asked(spark, d)).filter("reason IS NULL")
-    related = query.expand_terms(chips.select("query_id", "chip", F.col("key").alias("term")), library.categories, library.aliases)
-    found = terms.places(terms.own_terms(chips, folded_words).unionByName(terms.related_terms(related, folded_words)), library.idx)
-    return plan.stored(terms.query_matches(terms.chip_matches(found), chips.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chips")), "any"), "matches")
+def d19_capped_totals(spark, d):
+    counted = bitmaps.counts(_chip_bits(spark, d, "any")[1], "query_id")
+    return counted.select("query_id", F.least("n", F.lit(rank.TOTAL_CAP)).alias("total"), (F.col("n") >= rank.TOTAL_CAP).alias("capped"))
 
 
 def d20_too_broad(spark, d):
-    return terms.list_modes(_sold_matches(spark, d))
+    return _searched(spark, d, "any").totals.select("query_id", "total", "mode")
 
 
 def d20_listed(spark, d):
-    matches = _sold_matches(spark, d)
-    saved = roles.sold(spark, d).items.select(F.col("external_id").alias("id"), "saved_at")
-    return _long(terms.listed(matches, terms.list_modes(matches), saved, 30), "rank")
+    return _long(_searched(spark, d, "any").page.filter("mode <> 'relevance'").select("query_id", "id", "rank"), "rank")
 
 
 def _sorted(spark: SparkSession, d: str, column: str) -> DataFrame:
@@ -240,7 +236,8 @@ def d26_hydrate_results(spark, d):
 
 
 def _searched(spark: SparkSession, d: str, mode: str = "all") -> plan.Search:
-    return plan.search(roles.asked(spark, d), roles.sold(spark, d), mode)
+    """One search, whose frames several queries show."""
+    return tables.once(spark, d, f"searched-{mode}", lambda: plan.search(roles.asked(spark, d), roles.sold(spark, d), mode))
 
 
 def d27_facet_counts(spark, d):
@@ -252,8 +249,9 @@ def d28_suggest_chips(spark, d):
 
 
 def d29_chip_counts(spark, d):
-    chips = roles.chips(spark, d)
-    return _long(match.chip_counts(match.term_hits(chips, roles.documents(spark, d).postings), chips), "chip")
+    counted = bitmaps.counts(_chip_bits(spark, d, "any")[0], "query_id", "chip")
+    rows = roles.chips(spark, d).join(counted, ["query_id", "chip"], "left")
+    return _long(rows.select("query_id", "chip", "term", F.least(F.coalesce("n", F.lit(0)), F.lit(rank.TOTAL_CAP)).alias("n")), "chip")
 
 
 def d30_vocabulary(spark, d):
@@ -279,7 +277,8 @@ def d32_explain_matches(spark, d):
 
 def d33_highlight(spark, d):
     """Marked parts and length of what is shown of each result's caption."""
-    words = tables.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("prefix").alias("kind"), F.explode(F.slice(F.array_distinct(tokens(nfkc("text"))), 1, query.MOST_CHIPS)).alias("term"))
+    words = tables.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("prefix").alias("kind"), F.posexplode(F.array_distinct(tokens(nfkc("text")))).alias("nth", "term"))
+    words = words.withColumn("query_id", F.col("query_id") * match.PIECES + F.floor(F.col("nth") / query.MOST_CHIPS))
     shown = enrich.highlight(_ranked(spark, d, 30), words, tables.items(spark, d), "external_id", "caption")
     return shown.select("query_id", "id", F.size(F.filter("segments", lambda x: x["hit"])).alias("hits"), F.length(F.array_join(F.transform("segments", lambda x: x["text"]), "")).alias("chars"))
 
@@ -296,11 +295,13 @@ def d35_append_pages(spark, d):
 
 
 def d36_evaluate_retrieval(spark, d):
-    """How well a search for a benchmark text's words (all of them) finds the documents that hold the text's first sentence."""
+    """How well a search for 20 words of a benchmark text (all of them) finds the documents that hold the text's first sentence."""
     found = _matches(spark, d, "all")
+    pieces = found.select("query_id").unionByName(roles.chips(spark, d).select("query_id")).distinct()
     sentence = F.regexp_extract("text", r"^[^.]*\.?", 0)
     wanted = tables.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array(F.lower(sentence))).alias("word"))
-    labelled = match.substring_hits(wanted, tables.items(spark, d).select("external_id", "caption"), "external_id", ["caption"])
+    held = match.substring_hits(wanted, tables.items(spark, d).select("external_id", "caption"), "external_id", ["caption"])
+    labelled = held.withColumnRenamed("query_id", "_id").join(pieces.withColumn("_id", F.floor(F.col("query_id") / match.PIECES)), "_id").select("query_id", "id")
     return rank.retrieval_quality(found, labelled)
 
 
@@ -324,18 +325,21 @@ def d38_search_any(spark, d):
 
 def d38_search_related(spark, d):
     """A page of each ``benchmark`` text's results by its own words and its related terms."""
-    found = roles.related_places(spark, d)
-    matches = plan.stored(_related_matches(spark, d, found, "all"), "matches")
-    modes = terms.list_modes(matches)
-    narrow = matches.join(modes.filter("mode = 'relevance'").select("query_id"), "query_id", "left_semi")
-    ranked = terms.rank_tiers(terms.scores(found, narrow, roles.documents(spark, d).documents), 30).select("query_id", "id", "rank")
-    saved = tables.items(spark, d).select(F.col("external_id").alias("id"), F.col("views").alias("saved_at"))
-    leading = ranked.unionByName(terms.listed(matches, modes, saved, 30))
-    return _long(leading.join(modes.select("query_id", "mode"), "query_id").select("query_id", "id", "rank", "mode"), "rank")
+    asked, lib = roles.related_terms(spark, d), roles.document_impacts(spark, d)
+    bits = plan.bits_of(asked, _sizes(spark, d), lib)[3]
+    counts = bits.groupBy("query_id").agg(F.sum(F.bitmap_count("bits")).alias("n"), F.sum(F.bitmap_count("direct")).alias("d"))
+    most = rank.TOTAL_CAP - 1
+    how = F.when((F.col("n") > F.col("d")) & (F.col("d") > most), "direct").when(F.col("n") > most, "full").otherwise("relevance")
+    modes = plan.stored(counts.select("query_id", how.alias("mode")), "modes")
+    ranked = plan.rank_terms(asked, _sizes(spark, d), lib, 30, modes.filter("mode = 'relevance'").select("query_id"))
+    broad = bits.join(modes.filter("mode <> 'relevance'"), "query_id").withColumn("bits", F.when(F.col("mode") == "direct", F.col("direct")).otherwise(F.col("bits")))
+    listed = bitmaps.first_members(broad, F.lit(30), F.lit(None)).join(lib.words.numbers, "n")
+    leading = ranked.select("query_id", "id", "rank").unionByName(listed.select("query_id", "id", "rank"))
+    return _long(leading.join(modes, "query_id").select("query_id", "id", "rank", "mode"), "rank")
 
 
 def d38_search_totals(spark, d):
-    return _searched(spark, d).totals
+    return _searched(spark, d).totals.select("query_id", "total", "mode")
 
 
 def d38_chip_info(spark, d):
@@ -354,7 +358,8 @@ _WEIGHT = "CASE field WHEN 'caption' THEN 2.0 WHEN 'hashtags' THEN 4.0 WHEN 'aut
 _CHIPS = f"""{_DOCS},
 c0 AS (SELECT item_id AS query_id, {_W.format("text")} AS w FROM benchmark),
 c1 AS (SELECT query_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM c0),
-chips AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(i)) - 1 AS chip FROM c1 GROUP BY query_id, term QUALIFY chip < 20),
+c2 AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(i)) - 1 AS nth FROM c1 GROUP BY query_id, term),
+chips AS (SELECT query_id * 1000 + nth // 20 AS query_id, term, nth % 20 AS chip FROM c2),
 hits AS (SELECT DISTINCT query_id, chip, id FROM chips JOIN post USING (term)),
 sizes AS (SELECT query_id, count(*) AS n FROM chips GROUP BY query_id),
 anyhit AS (SELECT DISTINCT query_id, id FROM hits),
@@ -497,7 +502,8 @@ SELECT a.query_id, a.id, a.chip, CASE WHEN least_ < 10 THEN 'direct' WHEN least_
        CASE WHEN least_ >= 10 THEN CASE WHEN rel < 12 THEN far ELSE m || ' ' || r.n END END AS term
 FROM asked a LEFT JOIN x USING (query_id, chip, id) LEFT JOIN fl USING (query_id, chip, id) JOIN r USING (query_id)""",
     "d33_highlight": rf"""WITH {_CHIPS}, raw AS (SELECT item_id AS query_id, unnest({_TOKENS}) AS term, generate_subscripts({_TOKENS}, 1) AS i FROM benchmark),
-p AS (SELECT query_id, term FROM raw GROUP BY query_id, term QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(i)) <= 20),
+p0 AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(i)) - 1 AS nth FROM raw GROUP BY query_id, term),
+p AS (SELECT query_id * 1000 + nth // 20 AS query_id, term FROM p0),
 best AS (SELECT query_id, id, text FROM ranked JOIN documents ON doc_id = id WHERE rank <= 30),
 d AS (SELECT id, text, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS w, regexp_split_to_array(text, '[\p{{L}}\p{{N}}]+') AS g FROM (SELECT DISTINCT id, text FROM best)),
 u AS (SELECT id, lower(unnest(w)) AS word, unnest(list_transform(w, lambda x: length(x))) AS n, unnest(list_transform(g[1:len(w)], lambda x: length(x))) AS gap, generate_subscripts(w, 1) AS i FROM d),
@@ -511,7 +517,7 @@ z AS (SELECT *, least(len, start_ + 160) AS stop_ FROM o)
 SELECT z.query_id, z.id, (count(a) FILTER (e > start_ AND a < stop_))::BIGINT AS hits, any_value(stop_ - start_ + (start_ > 0)::INT + (stop_ < len)::INT) AS chars FROM z LEFT JOIN h USING (query_id, id) GROUP BY z.query_id, z.id""",
     "d34_narrowest_chip": f"WITH {_CHIPS}, k AS (SELECT query_id, chip, least(count(id), 10001) AS n FROM chips LEFT JOIN hits USING (query_id, chip) GROUP BY ALL) SELECT query_id, chip FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n, chip) AS r FROM k) WHERE r = 1",
     "d35_append_pages": "SELECT external_id, page, nth FROM (SELECT l_partkey AS external_id, l_orderkey AS page, l_linenumber AS nth, row_number() OVER (PARTITION BY l_partkey ORDER BY o_orderstatus <> 'O', l_orderkey, l_linenumber) AS r FROM lineitem JOIN orders ON o_orderkey = l_orderkey) WHERE r = 1",
-    "d36_evaluate_retrieval": f"WITH {_CHIPS}, want AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(regexp_extract(b.text, '^[^.]*\\.?')))) SELECT query_id, count(*) FILTER (g AND w) AS hits, count(*) FILTER (g) AS found, count(*) FILTER (w) AS wanted FROM (SELECT query_id, id, bool_or(g) AS g, bool_or(w) AS w FROM (SELECT query_id, id, true AS g, false AS w FROM allhit UNION ALL SELECT query_id, id, false, true FROM want) GROUP BY ALL) GROUP BY query_id",
+    "d36_evaluate_retrieval": f"WITH {_CHIPS}, want AS (SELECT s.query_id, doc_id AS id FROM benchmark b JOIN sizes s ON s.query_id // 1000 = item_id JOIN documents d ON contains(lower(d.text), lower(regexp_extract(b.text, '^[^.]*\\.?')))) SELECT query_id, count(*) FILTER (g AND w) AS hits, count(*) FILTER (g) AS found, count(*) FILTER (w) AS wanted FROM (SELECT query_id, id, bool_or(g) AS g, bool_or(w) AS w FROM (SELECT query_id, id, true AS g, false AS w FROM allhit UNION ALL SELECT query_id, id, false, true FROM want) GROUP BY ALL) GROUP BY query_id",
     "d37_check_requests": """WITH r AS (SELECT o_orderkey AS k, CASE WHEN k % 5 = 0 THEN 'any' WHEN k % 37 = 0 THEN 'none' ELSE 'all' END AS mode, k % 23 AS n,
  CASE WHEN k % 3 = 0 THEN 'newest' WHEN k % 41 = 0 THEN 'oldest' WHEN k % 23 > 0 THEN 'relevance' ELSE 'recently_saved' END AS sort, CASE WHEN k % 4 = 0 THEN k % 120 ELSE 30 END AS "limit", k % 7 AS c FROM orders)
 SELECT k AS request, mode, sort, "limit", CASE WHEN mode = 'none' THEN 'mode' WHEN sort = 'oldest' THEN 'sort' WHEN "limit" < 1 OR "limit" > 100 THEN 'limit' WHEN c = 2 THEN 'malformed_cursor' WHEN n > 20 THEN 'too_many_chips'

@@ -64,9 +64,15 @@ def test_expansion_takes_the_first_known_form(spark):
     assert sorted(map(tuple, query.expand_terms(chips, categories, aliases).collect())) == [(1, 0, 1, "fruit"), (1, 0, 2, "berry"), (1, 1, 1, "meal")]
 
 
+def _segments(spark, text, prefixes=(), exact=(), parts=()):
+    kinds = "caption string, prefixes array<string>, exact array<string>, parts array<string>"
+    rows = spark.createDataFrame([(text, list(prefixes), list(exact), list(parts))], kinds).withColumn("ranges", enrich.ranges_of("caption", "prefixes", "exact", "parts"))
+    return [tuple(x) for x in enrich.with_segments(rows, "caption", "ranges").first()["segments"]]
+
+
 @pytest.mark.parametrize("caption", ["Cooking a meal, cook!", "", None, "nothing", "cook " * 10])
-def test_highlight_keeps_the_caption(caption):
-    parts = enrich.segments_of(caption, enrich.Marks(["cook"], [], []))
+def test_highlight_keeps_the_caption(spark, caption):
+    parts = _segments(spark, caption, ["cook"])
     assert "".join(t for t, _ in parts) == (caption or "")
     assert [t.lower()[:4] for t, hit in parts if hit] == ["cook"] * (caption or "").lower().count("cook")
 
@@ -80,12 +86,12 @@ def test_highlight_keeps_the_caption(caption):
     ("meal prepping", (["mealprep", "prep"], [], []), ["meal", "prepping"]),
     ("İx cake", ([], [], ["cake"]), []),
 ])
-def test_highlight_forms_phrases_and_substrings(text, marks, hits):
-    assert [t for t, hit in enrich.segments_of(text, enrich.Marks(*marks)) if hit] == hits
+def test_highlight_forms_phrases_and_substrings(spark, text, marks, hits):
+    assert [t for t, hit in _segments(spark, text, *marks) if hit] == hits
 
 
-def test_long_captions_are_cut_around_the_first_hit():
-    parts = enrich.segments_of("x " * 300 + "cook" + " y" * 300, enrich.Marks(["cook"], [], []))
+def test_long_captions_are_cut_around_the_first_hit(spark):
+    parts = _segments(spark, "x " * 300 + "cook" + " y" * 300, ["cook"])
     assert parts[0][0].startswith("…") and parts[-1][0].endswith("…") and ("cook", True) in parts and sum(len(t) for t, _ in parts) == enrich.WINDOW_CHARS + 2
 
 
