@@ -123,17 +123,18 @@ def b26_rejections(spark, d):
 
 def _ingested(spark: SparkSession, d: str) -> stream.Store:
     """The library that a stream of two batches makes: pages of items, then details of the collections they are in. Pages of
-    customers in debt are another's."""
+    customers in debt are another's, one in 29 is of another account, and one in 31 of the same under a new name."""
     def make() -> stream.Store:
         folder = scratch(spark, "stream")
-        me = F.lit("me.too")
+        k = F.col("page")
+        me = F.when(k % 29 == 28, "else.one").when(k % 31 == 30, "me.new").otherwise("me.too")
         debt = tables.read(spark, d, "orders").join(tables.read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("page"), (F.col("c_acctbal") < 0).alias("debt"))
-        items, details = item_pages(spark, d), detail_pages(spark, d).withColumns({"request_cursor": F.lit(None).cast("string"), "captured_at": F.lit(1).cast("long")})
+        items, details = item_pages(spark, d), detail_pages(spark, d).withColumns({"body": F.regexp_replace("body", ',?"userName":"[^"]*"', ""), "request_cursor": F.lit(None).cast("string"), "captured_at": F.lit(1).cast("long")})
         both = ((items.withColumn("kind", F.when(F.col("collection_id").isNull(), "favorites").otherwise("collection_items")), 0), (details.withColumn("kind", F.lit("collection_detail")).withColumn("collection_id", F.lit(None).cast("string")), 1))
         for pages, n in both:
             rows = pages.join(debt, "page", "left").select(
                 F.lit(ingest.CHANNEL).alias("channel"), F.lit(1).alias("v"), F.lit("shop").alias("platform"), "kind", "request_cursor", "collection_id", (F.col("captured_at") + n).alias("captured_at"), "body",
-                F.when(F.col("debt"), "other").otherwise(me).alias("page_handle"), me.alias("viewer_handle"), F.lit("77").alias("viewer_id"), (F.col("page") * 2 + n).alias("arrival_ord"), (F.col("captured_at") + 1000).alias("ingested_at"),
+                F.when(F.col("debt"), "other").otherwise(me).alias("page_handle"), me.alias("viewer_handle"), F.when(k % 29 == 28, "88").otherwise("77").alias("viewer_id"), (F.col("page") * 2 + n).alias("arrival_ord"), (F.col("captured_at") + 1000).alias("ingested_at"),
             )
             rows.coalesce(1).write.mode("append").parquet(f"{folder}/in")
         rules = spark.createDataFrame([("shop", k) for k in (*stream.ITEM_KINDS, *stream.COLLECTION_KINDS, *stream.DETAIL_KINDS)], "platform string, kind string")
@@ -145,7 +146,14 @@ def _ingested(spark: SparkSession, d: str) -> stream.Store:
 
 
 def f1_ingest_stream(spark, d):
-    return _ingested(spark, d).read("items").select("item", "caption", "author_handle", "views", "media_type")
+    return _ingested(spark, d).read("items").select("item", "caption", "author_handle", "views", "media_type", "is_ad", "available", "saved_at", "saved_at_source", "first_seen_at", "last_seen_at")
+
+
+def f1_ingest_accounts(spark, d):
+    """The account at the end, and refusals by reason."""
+    store = _ingested(spark, d)
+    bound = store.read("accounts").select(F.concat_ws(":", "platform", "id", "handle").alias("what"), F.lit(1).cast("long").alias("n"))
+    return bound.unionByName(spark.read.parquet(f"{store.folder}/rejected").groupBy(F.col("reason").alias("what")).agg(F.count(F.lit(1)).alias("n")))
 
 
 def f1_ingest_memberships(spark, d):
@@ -163,10 +171,19 @@ def f1_ingest_metrics(spark, d):
 
 _HOST = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1))"
 _STREAM = """
-debt AS (SELECT o_orderkey AS page, c_acctbal < 0 AS debt FROM orders JOIN customer ON c_custkey = o_custkey),
+debt AS (SELECT o_orderkey AS page, c_acctbal < 0 OR o_orderkey % 29 = 28 AS debt, c_acctbal < 0 AS poor FROM orders JOIN customer ON c_custkey = o_custkey),
 l AS (SELECT l_orderkey AS page, l_linenumber AS line, p.*, coalesce(debt, false) AS debt FROM lineitem JOIN part p ON l_partkey = p_partkey LEFT JOIN debt ON page = l_orderkey),
 ok AS (SELECT DISTINCT page, p_partkey, p_name, p_type, p_brand, p_size, p_retailprice FROM l WHERE page % 11 <> 0 AND line <> 4 AND NOT debt),
-known AS (SELECT o_orderkey AS page FROM orders JOIN debt ON page = o_orderkey WHERE o_orderkey % 13 <> 0 AND NOT debt)
+known AS (SELECT o_orderkey AS page FROM orders JOIN debt ON page = o_orderkey WHERE o_orderkey % 13 <> 0 AND NOT debt),
+time_ AS (SELECT 1800000000000 AS captured),
+rec AS (SELECT page, p_partkey, min((line, p_partkey)) AS o FROM l, time_ WHERE page % 11 <> 0 AND line <> 4 AND NOT debt GROUP BY page, p_partkey),
+r1 AS (SELECT page, p_partkey, page % 3 <> 0 AS fav, row_number() OVER (PARTITION BY page ORDER BY o) - 1 AS i, count(*) OVER (PARTITION BY page) AS n,
+  least(CASE WHEN page % 9 <> 0 THEN (page + 1700000000) * 1000 ELSE captured END, captured) AS hi, CASE WHEN page % 4 <> 0 THEN (page + 1700000000 - 600) * 1000 END AS lo, captured FROM rec, time_),
+r2 AS (SELECT *, CASE WHEN NOT fav THEN captured WHEN lo < hi THEN floor(lo + ((n - 1 - i) / n) * (hi - lo) + 0.5) ELSE hi - (i + 1) * 1000 END::BIGINT AS t, CASE WHEN fav AND lo < hi THEN 1 ELSE 0 END AS rank_,
+  row_number() OVER (PARTITION BY p_partkey ORDER BY page) = 1 AS fresh FROM r1),
+r3 AS (SELECT *, fav AND page % 9 = 0 AND page > (SELECT min(page) FROM r2 WHERE rank_ > 0) AS dated, sum(fresh::INT) OVER (PARTITION BY page ORDER BY i) AS k FROM r2),
+r4 AS (SELECT p_partkey, page, CASE WHEN fresh AND dated THEN captured - k * 1000 ELSE t END AS t, CASE WHEN fresh AND dated THEN 2 ELSE rank_ END AS rank_ FROM r3),
+saved AS (SELECT p_partkey, arg_min(t, (-rank_, page))::BIGINT AS saved_at, max(rank_) AS best FROM r4 GROUP BY p_partkey)
 """
 
 ORACLES = {
@@ -188,11 +205,15 @@ SELECT k AS o_orderkey, CASE k % 6 WHEN 0 THEN 'home' WHEN 1 THEN 'home' WHEN 2
 p AS (SELECT o_orderkey AS page, o_orderpriority AS kind, o_orderstatus <> 'P' AS ok, o_orderdate::DATE AS day, coalesce(items, 0) AS items, coalesce(inserted, 0) AS inserted, coalesce(touched, 0) AS touched, coalesce(reindexed, 0) AS reindexed FROM orders LEFT JOIN l ON page = o_orderkey)
 SELECT kind, count(*) FILTER (ok) AS pages, count(*) FILTER (NOT ok) AS rejected, count(*) FILTER (ok AND items > 0 AND inserted = 0) AS duplicates, (sum(items) FILTER (ok))::BIGINT AS items, (sum(inserted) FILTER (ok))::BIGINT AS inserted, (sum(touched) FILTER (ok))::BIGINT AS touched, (sum(reindexed) FILTER (ok))::BIGINT AS reindexed, arg_max(page, (day, page)) FILTER (ok) AS last_page FROM p GROUP BY kind""",
     "b26_rejections": "SELECT CASE WHEN o_totalprice > 200000 THEN 'too_large' ELSE 'stale' END AS reason, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY reason",
-    "f1_ingest_stream": f"WITH {_STREAM} SELECT DISTINCT 'shop:10000' || p_partkey AS item, CASE WHEN p_partkey % 7 <> 0 THEN p_name ELSE p_type END AS caption, p_brand AS author_handle, CASE WHEN p_partkey % 4 <> 0 THEN floor(p_retailprice)::BIGINT ELSE p_size END AS views, CASE WHEN p_partkey % 5 = 0 THEN 'photo' ELSE 'video' END AS media_type FROM ok",
+    "f1_ingest_stream": f"""WITH {_STREAM} SELECT DISTINCT 'shop:10000' || p_partkey AS item, CASE WHEN p_partkey % 7 <> 0 THEN p_name ELSE p_type END AS caption, p_brand AS author_handle, CASE WHEN p_partkey % 4 <> 0 THEN floor(p_retailprice)::BIGINT ELSE p_size END AS views, CASE WHEN p_partkey % 5 = 0 THEN 'photo' ELSE 'video' END AS media_type,
+ p_partkey % 8 = 0 AS is_ad, true AS available, saved_at, CASE best WHEN 2 THEN 'first_seen' WHEN 1 THEN 'interpolated' ELSE 'unknown' END AS saved_at_source, captured AS first_seen_at, captured AS last_seen_at FROM ok JOIN saved USING (p_partkey), time_""",
+    "f1_ingest_accounts": f"""WITH {_STREAM}, item_pages AS (SELECT DISTINCT l_orderkey AS page, 0 AS n FROM lineitem), pg AS (SELECT page, n, coalesce(poor, false) AS poor, coalesce(debt, false) AS debt FROM (SELECT * FROM item_pages UNION ALL SELECT o_orderkey, 1 FROM orders) LEFT JOIN debt USING (page))
+SELECT 'shop:77:' || arg_max(CASE WHEN page % 31 = 30 THEN 'me.new' ELSE 'me.too' END, (n, page)) AS what, 1 AS n FROM pg WHERE NOT debt
+UNION ALL SELECT CASE WHEN poor THEN 'not_own_page' ELSE 'other_account' END AS what, count(*) FROM pg WHERE debt GROUP BY what""",
     "f1_ingest_memberships": f"WITH {_STREAM}, m AS (SELECT page, count(*) AS n FROM ok WHERE page % 3 = 0 GROUP BY page) SELECT 'shop:' || known.page AS collection_id, coalesce(n, 0) AS held, false AS waits FROM known LEFT JOIN m ON m.page = known.page UNION ALL SELECT 'shop:' || page, n, true FROM m WHERE page NOT IN (SELECT page FROM known)",
     "f1_ingest_metrics": f"""WITH {_STREAM}, pg AS (SELECT page, CASE WHEN page % 3 = 0 THEN 'collection_items' ELSE 'favorites' END AS kind, any_value(debt) AS debt FROM l GROUP BY page),
-it AS (SELECT page, count(*) AS n FROM ok GROUP BY page)
-SELECT kind, count(*) FILTER (NOT debt) AS pages, count(*) FILTER (debt) AS rejected, coalesce(sum(n), 0)::BIGINT AS items, coalesce(sum(n), 0)::BIGINT AS inserted FROM pg LEFT JOIN it USING (page) GROUP BY kind
+it AS (SELECT page, count(*) AS n, count(*) FILTER (fresh) AS f FROM r2 GROUP BY page)
+SELECT kind, count(*) FILTER (NOT debt) AS pages, count(*) FILTER (debt) AS rejected, coalesce(sum(n), 0)::BIGINT AS items, coalesce(sum(f), 0)::BIGINT AS inserted FROM pg LEFT JOIN it USING (page) GROUP BY kind
 UNION ALL SELECT 'collection_detail', count(*) FILTER (NOT debt), count(*) FILTER (debt), 0, 0 FROM debt""",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}
