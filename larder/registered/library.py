@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.operators import changes, ingest, query
+from larder.functions.text import folded_words
+from larder.operators import changes, index, ingest, query
+from larder.operators.segments import Segments
 from larder.registered import roles
 from larder.sources import snapshots, tables
 
@@ -203,6 +205,39 @@ def c9_affected_search_docs(spark, d):
     return changes.affected_docs(_retold(spark, d)[2], changes.upsert_memberships(stored, ok), _collections(spark, d))
 
 
+FIELDS = {"caption": "caption_text", "hashtags": "hashtags_text", "author": "author_text", "sound": "sound_text", "collections": "collections_text"}
+
+
+def _grown(spark: SparkSession, d: str) -> index.Index:
+    """An index of parts in all five fields that five batches change: each renames one part in 50, and the third takes one in 35 away."""
+    def make() -> index.Index:
+        docs = snapshots.stored(roles.short_texts(spark, d), "texts")
+        grown = Segments(spark, snapshots.scratch(spark, "segments"), FIELDS, folded_words)
+        grown.update(0, docs)
+        for n in range(1, 6):
+            incoming = docs.filter(F.col("external_id") % 50 == n).select("external_id", F.concat("caption_text", F.lit(f" again{n}")).alias("caption_text"))
+            changed = changes.upsert_items(docs.select("external_id", "caption_text"), incoming, ["caption_text"], []).filter("action <> 'kept'")
+            nothing = spark.createDataFrame([], "external_id long, collection_id long, action string")
+            ids = changes.affected_docs(changed, nothing, nothing)
+            now = docs.drop("caption_text").join(changed.select("external_id", "caption_text"), "external_id").join(ids, "external_id", "left_semi")
+            grown.update(n, now, docs.filter(F.col("external_id") % 35 == 0).select("external_id").join(ids, "external_id", "left_anti") if n == 3 else None)
+        return grown.index()
+
+    return tables.once(spark, d, "grown", make)
+
+
+def c9_incremental_index(spark, d):
+    """Statistics of terms, summed over segments."""
+    return _grown(spark, d).terms
+
+
+def c9_incremental_postings(spark, d):
+    """Postings by field and length of the document."""
+    grown = _grown(spark, d)
+    rows = grown.postings.join(grown.documents, "id")
+    return rows.groupBy("field", "n_tokens").agg(F.count(F.lit(1)).alias("places"), F.count_distinct("id").alias("docs"), F.sum("pos").alias("positions"), F.sum(F.length("term").cast("long")).alias("letters"))
+
+
 def c10_match_accounts(spark, d):
     c = tables.read(spark, d, "customer")
     given = F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey") + F.when(F.col("c_custkey") % 7 == 0, 1).otherwise(0))
@@ -297,7 +332,16 @@ col AS (SELECT o_orderkey AS collection_id, CASE WHEN o_orderstatus <> 'F' AND o
 _HANDLE = "CASE WHEN c_acctbal > 0 THEN replace(c_name, '#', '.') ELSE 'a b' END"
 _LEX = """w AS (SELECT DISTINCT string_split(lower(p_name), ' ')[-1] AS category, lower(p_type) AS term FROM part)"""
 
+_W = r"list_transform(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+'), lambda t: strip_accents(t))"
+_GROWN = f"""m AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem), nm AS (SELECT l_partkey, string_agg(o_orderpriority, ' ' ORDER BY o_orderpriority) AS names FROM m JOIN orders ON o_orderkey = l_orderkey GROUP BY l_partkey),
+now_ AS (SELECT p.*, coalesce(names, '') AS names, p_name || CASE WHEN p_partkey % 50 BETWEEN 1 AND 5 THEN ' again' || p_partkey % 50 ELSE '' END AS caption FROM part p LEFT JOIN nm ON l_partkey = p_partkey WHERE p_partkey % 35 <> 0 OR p_partkey % 50 IN (3, 4, 5)),
+f AS (SELECT p_partkey AS id, 'caption' AS field, {_W.format("caption")} AS w FROM now_ UNION ALL SELECT p_partkey, 'hashtags', {_W.format("p_type")} FROM now_ UNION ALL SELECT p_partkey, 'author', {_W.format("p_brand")} FROM now_
+  UNION ALL SELECT p_partkey, 'sound', {_W.format("p_brand")} FROM now_ UNION ALL SELECT p_partkey, 'collections', {_W.format("names")} FROM now_),
+post AS (SELECT id, field, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM f), dl AS (SELECT id, count(*) AS n_tokens FROM post GROUP BY id)"""
+
 ORACLES = {
+    "c9_incremental_index": f"WITH {_GROWN} SELECT term, count(DISTINCT id) AS n_docs, count(*) AS n_places FROM post GROUP BY term",
+    "c9_incremental_postings": f"WITH {_GROWN} SELECT field, n_tokens, count(*) AS places, count(DISTINCT id) AS docs, sum(pos)::BIGINT AS positions, sum(length(term))::BIGINT AS letters FROM post JOIN dl USING (id) GROUP BY field, n_tokens",
     "a1_read_captures": "SELECT event_id AS arrival_ord, event_type AS kind, epoch_us(ts) // 1000 AS captured_at, props AS body FROM events",
     "a2_read_library": "SELECT p_partkey AS external_id, p_name AS caption, floor(p_retailprice)::BIGINT + 1 AS views FROM part",
     "a3_export_library": "SELECT p_partkey AS external_id, p_name AS caption, array_to_string(list_sort(list_distinct(string_split(lower(p_type), ' '))), ',') AS tags FROM part",
