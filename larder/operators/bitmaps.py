@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.operators import layout
-from larder.operators.index import Index
+from larder.operators.index import Index, weight_of
 from larder.operators.layout import Layout
 from larder.operators.terms import RELATED
 
@@ -86,16 +86,16 @@ def terms_of(units: DataFrame, idx: Index) -> DataFrame:
 
 
 def phrase_places(units: DataFrame, idx: Index) -> DataFrame:
-    """unit, id, field, begin of each place where the words of a phrase stand one after another."""
+    """unit, id, f: the weighted number of places of a document where the words of a phrase stand one after another in a field."""
     words = units.filter("kind = 'phrase'").select("unit", F.size(F.split("unit", " ")).alias("_size"), F.posexplode(F.split("unit", " ")).alias("part", "term"))
     runs = words.join(idx.postings, "term").groupBy("unit", "_size", "id", "field", (F.col("pos") - F.col("part")).alias("begin")).agg(F.count_distinct("part").alias("_held"))
-    return runs.filter("_held = _size").select("unit", "id", "field", "begin")
+    return runs.filter("_held = _size").groupBy("unit", "id").agg(F.sum(weight_of(F.col("field"))).alias("f"))
 
 
-def unit_bits(units: DataFrame, words: Words) -> DataFrame:
-    """kind, unit, bucket, bits of distinct units (kind, unit)."""
+def unit_bits(units: DataFrame, words: Words, phrases: DataFrame) -> DataFrame:
+    """kind, unit, bucket, bits of distinct units (kind, unit). ``phrases``: unit, id of documents that hold a phrase."""
     by_term = terms_of(units, words.idx).join(words.bits, "term").groupBy("kind", "unit", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    runs = phrase_places(units, words.idx).select("unit", "id").join(words.numbers.select("id", "n"), "id")
+    runs = phrases.select("unit", "id").join(words.numbers, "id")
     return by_term.unionByName(bitmaps_of(runs, "unit").select(F.lit("phrase").alias("kind"), "unit", "bucket", "bits"))
 
 

@@ -106,11 +106,11 @@ def kept_blocks(asked: DataFrame, heads: DataFrame, tails: DataFrame, thresholds
     return rows.filter(F.col("least").isNull() | (reach >= F.col("least") - SLACK)).select(*key, "w", "term", "blk")
 
 
-def best(parts: DataFrame, members: DataFrame, needs: DataFrame, spread: DataFrame, impacts: Impacts) -> DataFrame:
+def best(parts: DataFrame, members: DataFrame, needs: DataFrame, spread: DataFrame, places: DataFrame, impacts: Impacts) -> DataFrame:
     """query_id, id, tier, score of at least the ``need`` best matches of each query and tier, ties included, all of them with exact scores.
 
     ``parts`` as ``bitmaps.parts_of`` gives them; ``members``: query_id, n, tier; ``needs``: query_id, tier, need, held (matches); ``spread``:
-    kind, unit, n."""
+    kind, unit, n; ``places`` as ``bitmaps.phrase_places`` gives them."""
     idx, key = impacts.words.idx, ["query_id", "tier"]
     asked = asked_parts(parts, needs, spread, impacts.n_all)
     units = asked.select("kind", "unit").distinct()
@@ -120,7 +120,7 @@ def best(parts: DataFrame, members: DataFrame, needs: DataFrame, spread: DataFra
     members = stored(members, "members")
 
     # phrases are scored from their places
-    runs = bitmaps.phrase_places(units, idx).groupBy("unit", "id").agg(F.sum(weight_of(F.col("field"))).alias("f")).join(impacts.documents.select("id", "n", "norm"), "id")
+    runs = places.join(impacts.documents.select("id", "n", "norm"), "id")
     of_phrases = stored(wide.filter("kind = 'phrase'").join(runs, "unit").join(members, [*key, "n"]).select(*key, "chip", "grp", "part", "w", "n", "f", "norm"), "phrases")
 
     def entries(chosen: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -129,9 +129,13 @@ class Search:
 
     # what matches
 
+    @cached_property
+    def _phrases(self) -> DataFrame:
+        return stored(bitmaps.phrase_places(self.parts.select("kind", "unit").distinct(), self.library.idx), "phrase-places")
+
     @cached_property
     def _units(self) -> DataFrame:
-        return stored(bitmaps.unit_bits(self.parts.select("kind", "unit").distinct(), self.library.impacts.words), "units")
+        return stored(bitmaps.unit_bits(self.parts.select("kind", "unit").distinct(), self.library.impacts.words, self._phrases), "units")
 
     @cached_property
     def _chip_bits(self) -> DataFrame:
@@ -192,7 +196,7 @@ class Search:
         members = members.select("query_id", "n", F.when(F.col("direct"), 1).otherwise(2).alias("tier"))
         members = members.join(needs.select("query_id", "tier"), ["query_id", "tier"], "left_semi")
         spread = bitmaps.counts(self._units, "kind", "unit")
-        scored = impacts.best(self.parts, members, needs, spread, self.library.impacts)
+        scored = impacts.best(self.parts, members, needs, spread, self._phrases, self.library.impacts)
         return stored(impacts.ranked(scored, needs).select("query_id", "id", "rank", "score", F.lit(None).cast("long").alias("key")), "ranked")
 
     @cached_property
@@ -302,20 +306,23 @@ def search(sent: DataFrame, library: Library, mode: str | None = None, requests:
     return Search(sent, library, requests, too_broad)
 
 
-def bits_of(term_rows: DataFrame, sizes: DataFrame, library: Impacts) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Parts, bitmaps of their units, of chips and of queries, for term rows that are made elsewhere. ``sizes``: query_id, n_chips, mode."""
+def bits_of(term_rows: DataFrame, sizes: DataFrame, library: Impacts) -> tuple[DataFrame, ...]:
+    """Parts, bitmaps of their units, of chips and of queries, and places of phrases, for term rows that are made elsewhere. ``sizes``:
+    query_id, n_chips, mode."""
     parts = stored(bitmaps.parts_of(term_rows), "parts")
-    units = stored(bitmaps.unit_bits(parts.select("kind", "unit").distinct(), library.words), "units")
+    asked = parts.select("kind", "unit").distinct()
+    phrases = stored(bitmaps.phrase_places(asked, library.words.idx), "phrase-places")
+    units = stored(bitmaps.unit_bits(asked, library.words, phrases), "units")
     chips = stored(bitmaps.chip_bits(parts, units), "chip-bits")
-    return parts, units, chips, stored(bitmaps.query_bits(chips, sizes), "bits")
+    return parts, units, chips, stored(bitmaps.query_bits(chips, sizes), "bits"), phrases
 
 
 def rank_terms(term_rows: DataFrame, sizes: DataFrame, library: Impacts, depth: int, queries: DataFrame | None = None) -> DataFrame:
     """query_id, id, tier, score, rank: the ``depth`` best matches of each query, own words first, or of ``queries`` (query_id) alone."""
-    parts, units, _, bits = bits_of(term_rows, sizes, library)
+    parts, units, _, bits, phrases = bits_of(term_rows, sizes, library)
     if queries is not None:
         bits = bits.join(queries, "query_id", "left_semi")
     counts = bits.groupBy("query_id").agg(F.sum(F.bitmap_count("bits")).alias("n"), F.sum(F.bitmap_count("direct")).alias("n_direct"))
     needs = stored(impacts.tier_needs(counts, F.lit(depth)), "needs")
     members = bitmaps.members(bits).select("query_id", "n", F.when(F.col("direct"), 1).otherwise(2).alias("tier")).join(needs.select("query_id", "tier"), ["query_id", "tier"], "left_semi")
-    return impacts.ranked(impacts.best(parts, members, needs, bitmaps.counts(units, "kind", "unit"), library), needs)
+    return impacts.ranked(impacts.best(parts, members, needs, bitmaps.counts(units, "kind", "unit"), phrases, library), needs)

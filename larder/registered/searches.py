@@ -167,7 +167,7 @@ def _chip_bits(spark: SparkSession, d: str, mode: str) -> tuple[DataFrame, DataF
     """Bitmaps of the chips of ``benchmark`` texts, and of their queries."""
     asked = roles.chip_terms(spark, d)
     sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chips"), F.lit(mode).alias("mode"))
-    return plan.bits_of(asked, sizes, roles.document_impacts(spark, d))[2:]
+    return plan.bits_of(asked, sizes, roles.document_impacts(spark, d))[2:4]
 
 
 def d19_capped_totals(spark, d):
