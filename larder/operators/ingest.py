@@ -27,7 +27,7 @@ def validate_captures(captures: DataFrame, rules: DataFrame, now: Column, skew_m
 
     ``rules`` (platform, kind) says what may be captured. In order: malformed (channel, version, form of the platform),
     wrong_platform, unknown_kind, malformed (a cursor, id or handle that is given but ill-formed, or no time), stale,
-    malformed (no body), too_large. Whatever else the sender attached isn't carried on."""
+    malformed (no body), too_large. The result has these columns alone."""
     known = F.broadcast(rules.groupBy("platform").agg(F.collect_set("kind").alias("_kinds")))  # one short row a platform
     envelope = _fits(F.col("channel"), f"^{CHANNEL}$") & F.coalesce(F.col("v") == VERSION, F.lit(False)) & _fits(F.col("platform"), PLATFORM)
     given = F.lit(True)
@@ -66,15 +66,17 @@ def classify_requests(rows: DataFrame, column: str, rules: DataFrame, at: str) -
     return found.withColumn("request_cursor", asked("cursor", CURSOR)).withColumn("collection_id", asked("collectionId", COLLECTION_ID)).drop("_path")
 
 
+#: Paths of the platform's own pages, and the forms of profile and collection paths.
 HOME_PATHS = ("/", "/foryou", "/following", "/explore")
+OWNER_PATH, PROFILE_PATH, COLLECTION_PATH = r"^/@([^/?#]+)(?:/|$)", r"^/@[^/]+/?$", r"^/@[^/]+/collection/[^/]*?(\d{6,})/?$"
 
 
 def classify_page(at: Column) -> Column:
     """kind, handle and collection_id of a page's path: a profile's collection (a number of six digits or more at the end of its
     name), a profile, home or other. A handle that is ill-formed isn't given."""
-    raw = F.try_url_decode(F.regexp_extract(at, r"^/@([^/?#]+)(?:/|$)", 1))
-    collection = F.nullif(F.regexp_extract(at, r"^/@[^/]+/collection/[^/]*?(\d{6,})/?$", 1), F.lit(""))
-    kind = F.when(collection.isNotNull(), "collection").when(at.rlike(r"^/@[^/]+/?$"), "profile").when(at.isin(*HOME_PATHS), "home").otherwise("other")
+    raw = F.try_url_decode(F.regexp_extract(at, OWNER_PATH, 1))
+    collection = F.nullif(F.regexp_extract(at, COLLECTION_PATH, 1), F.lit(""))
+    kind = F.when(collection.isNotNull(), "collection").when(at.rlike(PROFILE_PATH), "profile").when(at.isin(*HOME_PATHS), "home").otherwise("other")
     handle = F.when(kind.isin("collection", "profile") & _fits(raw, HANDLE), raw)
     return F.struct(kind.alias("kind"), handle.alias("handle"), collection.alias("collection_id"))
 

@@ -10,6 +10,7 @@ from larder.operators import changes, ingest, query
 from larder.registered.payloads import detail_pages, item_pages
 from larder.sources import tables
 from larder.sources.snapshots import scratch
+from larder.streaming import counters
 from larder.streaming import ingest as stream
 
 
@@ -169,6 +170,33 @@ def f1_ingest_metrics(spark, d):
     return rows.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("pages", "rejected", "items", "inserted")])
 
 
+def _counted(spark: SparkSession, d: str) -> str:
+    """The folder of a stream of all events, in the order in which they came, in three files."""
+    def make() -> str:
+        folder = scratch(spark, "counters")
+        rows = envelopes(spark, d).withColumnRenamed("now", "ingested_at").drop("attached")
+        low, high = rows.agg(F.min("ingested_at"), F.max("ingested_at")).first()
+        for n in range(3):
+            third = F.least(F.floor((F.col("ingested_at") - low) * 3 / max(1, high - low)), F.lit(2)) == n
+            rows.filter(third).select([c.split()[0] for c in counters.CAPTURES.split(", ")]).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        rules = spark.createDataFrame([("shop", x) for x in ("click", "view", "purchase", "signup", "scroll", "error")], "platform string, kind string")
+        pages = spark.readStream.schema(counters.CAPTURES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        counters.run(pages, f"{folder}/out", rules)
+        return f"{folder}/out"
+
+    return tables.once(spark, d, "counted", make)
+
+
+def f2_windowed_counters(spark, d):
+    """Accepted events of each kind in windows of ten minutes."""
+    return counters.windows(spark, _counted(spark, d))
+
+
+def f2_dead_letters(spark, d):
+    """Refused events with their reason, as the stream put them aside."""
+    return spark.read.parquet(f"{_counted(spark, d)}/refused").select("arrival_ord", "reason")
+
+
 _HOST = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1))"
 _STREAM = """
 debt AS (SELECT o_orderkey AS page, c_acctbal < 0 OR o_orderkey % 29 = 28 AS debt, c_acctbal < 0 AS poor FROM orders JOIN customer ON c_custkey = o_custkey),
@@ -186,7 +214,12 @@ r4 AS (SELECT p_partkey, page, CASE WHEN fresh AND dated THEN captured - k * 100
 saved AS (SELECT p_partkey, arg_min(t, (-rank_, page))::BIGINT AS saved_at, max(rank_) AS best FROM r4 GROUP BY p_partkey)
 """
 
+_JUDGED = """SELECT k, kind, captured, CASE WHEN k % 31 = 0 OR k % 37 = 0 OR k % 13 = 0 THEN 'malformed' WHEN k % 17 = 0 THEN 'wrong_platform' WHEN kind NOT IN ('click', 'view', 'purchase', 'signup', 'scroll', 'error') THEN 'unknown_kind'
+ WHEN k % 11 = 0 OR (k % 7 <> 0 AND length(k::VARCHAR) > 16) OR k % 41 = 0 OR k % 43 = 0 OR k % 47 = 0 THEN 'malformed' WHEN k % 20 > 10 THEN 'stale' WHEN k % 53 = 0 OR coalesce(props, '') = '' THEN 'malformed' WHEN length(props) > 12000000 THEN 'too_large' END AS reason FROM (SELECT event_id AS k, event_type AS kind, epoch_us(ts) // 1000 AS captured, props FROM events)"""
+
 ORACLES = {
+    "f2_windowed_counters": f"SELECT kind, (captured // 600000) * 600000 AS start, count(*) AS n FROM ({_JUDGED}) WHERE reason IS NULL GROUP BY ALL",
+    "f2_dead_letters": f"SELECT k AS arrival_ord, reason FROM ({_JUDGED}) WHERE reason IS NOT NULL",
     "b1_validate_captures": """WITH e AS (SELECT event_id AS k, event_type AS kind, epoch_us(ts) // 1000 AS at, props FROM events)
 SELECT k AS arrival_ord, CASE WHEN k % 31 = 0 OR k % 37 = 0 OR k % 13 = 0 THEN 'malformed' WHEN k % 17 = 0 THEN 'wrong_platform' WHEN kind NOT IN ('click', 'view', 'purchase') THEN 'unknown_kind'
  WHEN k % 11 = 0 OR (k % 7 <> 0 AND length(k::VARCHAR) > 16) OR k % 41 = 0 OR k % 43 = 0 OR k % 47 = 0 THEN 'malformed' WHEN k % 20 > 10 THEN 'stale' WHEN k % 53 = 0 OR coalesce(props, '') = '' THEN 'malformed' WHEN length(props) > 12000000 THEN 'too_large' ELSE 'pass' END AS reason FROM e""",
