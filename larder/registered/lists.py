@@ -70,12 +70,12 @@ def f9_pending_buffer(spark, d):
     members = tables.memberships(spark, d).select("collection_id", F.lit("membership").alias("kind"), "external_id", F.col("position").cast("long").alias("position"), F.col("external_id").alias("arrival_ord"))
     none = F.lit(None).cast("long")
     known = tables.read(spark, d, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("collection_id"), F.lit("collection").alias("kind"), none.alias("external_id"), none.alias("position"), F.lit(1 << 40).alias("arrival_ord"))
-    for rows in (members, known):
-        rows.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     schema = "collection_id long, kind string, external_id long, position long, arrival_ord long"
-    found = runs.hold_memberships(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
-    query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    for rows in (members, known):  # each part of the stream is there, in as many files as it has, before the next comes
+        rows.write.mode("append").parquet(f"{folder}/in")
+        found = runs.hold_memberships(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+        query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema("collection_id long, external_id long, position long, outcome string").parquet(f"{folder}/out")
 
 
