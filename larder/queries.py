@@ -3,11 +3,11 @@ that the tables play."""
 
 from __future__ import annotations
 
-from larder.registered import captures, library, lists, payloads, requests, searches
+from larder.registered import captures, library, lists, payloads, requests, searches, streams
 
 entry = searches.entry
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _subject in (searches, requests, captures, payloads, library, lists):
+for _subject in (searches, requests, captures, payloads, library, lists, streams):
     QUERIES |= _subject.QUERIES
     ORACLES |= _subject.ORACLES
