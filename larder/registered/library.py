@@ -11,6 +11,7 @@ from larder.operators import changes, index, ingest, query
 from larder.operators.segments import Segments
 from larder.registered import roles
 from larder.sources import snapshots, tables
+from larder.sources.platforms import Platforms
 
 
 def library(spark: SparkSession, d: str) -> snapshots.Library:
@@ -42,6 +43,18 @@ def a2_read_library(spark, d):
     return snapshots.read(spark, folder).items.select("external_id", "caption", "views")
 
 
+def a2_replace_platform(spark, d):
+    """Brands as platforms: one is written anew with other views; ``version`` tells where each item's platform stands."""
+    items = tables.short_items(spark, d).withColumn("platform", F.col("author_handle")).select("platform", "external_id", "caption", "views")
+    held = Platforms(spark, snapshots.scratch(spark, "platforms"), {"items": "external_id long, caption string, views long"})
+    held.replace({"items": items})
+    with held.open() as before:
+        held.replace({"items": before.platform("items", "Brand#11").withColumn("views", F.col("views") + 1)}, ["Brand#11"])
+    held.expire()
+    now = held.open()
+    return now.table("items").join(F.broadcast(now.versions()), "_part").drop("_part")
+
+
 def a3_export_library(spark, d):
     return _bundle(spark, d).items.select("external_id", "caption", F.array_join("hashtags", ",").alias("tags"))
 
@@ -344,6 +357,7 @@ ORACLES = {
     "c9_incremental_postings": f"WITH {_GROWN} SELECT field, n_tokens, count(*) AS places, count(DISTINCT id) AS docs, sum(pos)::BIGINT AS positions, sum(length(term))::BIGINT AS letters FROM post JOIN dl USING (id) GROUP BY field, n_tokens",
     "a1_read_captures": "SELECT event_id AS arrival_ord, event_type AS kind, epoch_us(ts) // 1000 AS captured_at, props AS body FROM events",
     "a2_read_library": "SELECT p_partkey AS external_id, p_name AS caption, floor(p_retailprice)::BIGINT + 1 AS views FROM part",
+    "a2_replace_platform": "SELECT p_brand AS platform, p_partkey AS external_id, p_name AS caption, floor(p_retailprice)::BIGINT + (p_brand = 'Brand#11')::INT AS views, CASE WHEN p_brand = 'Brand#11' THEN 2 ELSE 1 END AS version FROM part",
     "a3_export_library": "SELECT p_partkey AS external_id, p_name AS caption, array_to_string(list_sort(list_distinct(string_split(lower(p_type), ' '))), ',') AS tags FROM part",
     "a3_export_memberships": f"WITH {_M} SELECT external_id, collection_id, position FROM m WHERE external_id IN (SELECT p_partkey FROM part) AND collection_id IN (SELECT o_orderkey FROM orders)",
     "a4_import_library": f"WITH {_M} SELECT o_orderkey AS collection_id, count(external_id) AS held, any_value(o_custkey) AS declared_total FROM orders LEFT JOIN (SELECT * FROM m WHERE external_id IN (SELECT p_partkey FROM part)) ON o_orderkey = collection_id GROUP BY o_orderkey",
