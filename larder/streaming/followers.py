@@ -54,7 +54,7 @@ class _Chains(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
         # before any start all pages are a gap, whatever they ask for
-        response, segment, gap, ends, outcome, upto = self.chain.get() if self.chain.exists() else (None, 0, True, 0, "open", None)
+        response, segment, gap, ends, outcome, upto = self.chain.get() or (None, 0, True, 0, "open", None)
         for page in sorted(rows, key=lambda r: r["arrival_ord"]):
             if upto is not None and page["arrival_ord"] <= upto:
                 continue
@@ -101,11 +101,10 @@ class _Silence(StatefulProcessor):
 
     def _wake(self, at: int | None) -> None:
         """The one timer of the run stands at ``at``."""
-        if self.due.exists():
-            old = self.due.get()[0]
-            if old == at:
+        if old := self.due.get():
+            if old[0] == at:
                 return
-            self.handle.deleteTimer(old)
+            self.handle.deleteTimer(old[0])
         if at is None:
             self.due.clear()
         else:
@@ -116,7 +115,8 @@ class _Silence(StatefulProcessor):
         new = [(r["at_ms"], r["arrival_ord"], r["items"] or 0) for r in rows]
         self.waiting.appendList(new)
         first = min(at for at, _, _ in new)
-        if not self.due.exists() or first < self.due.get()[0]:
+        due = self.due.get()
+        if due is None or first < due[0]:
             self._wake(first)
         return iter(())
 
@@ -124,7 +124,7 @@ class _Silence(StatefulProcessor):
         passed = timerValues.getCurrentWatermarkInMs()
         pages = sorted(tuple(p) for p in self.waiting.get())
         rest = [p for p in pages if p[0] > passed]
-        since, after, retries = self.clock.get() if self.clock.exists() else (None, None, 0)
+        since, after, retries = self.clock.get() or (None, None, 0)
         # the watermark stands for a page that hasn't come: ticks up to it, itself included, are silences
         for at, order, items in [p for p in pages if p[0] <= passed] + [(passed + 1, None, 0)]:
             while since is not None and since + self.limit_ms < at and retries <= self.most:
@@ -164,8 +164,8 @@ class _Holder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "external_id long, position long")
-        self.count = handle.getValueState("count", "n int")
-        self.known = handle.getValueState("known", "yes boolean", self.ttl_ms)
+        # whether the collection has come, and how many wait for it
+        self.status = handle.getValueState("status", "known boolean, n int", self.ttl_ms)
 
     def _given(self, key: tuple, external_id: int | None, position: int | None, outcome: str) -> Row:
         return Row(collection_id=key[0], external_id=external_id, position=position, outcome=outcome)
@@ -174,17 +174,15 @@ class _Holder(StatefulProcessor):
         for external_id, position in self.waiting.get():
             yield self._given(key, external_id, position, outcome)
         self.waiting.clear()
-        self.count.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
-        known, n = self.known.exists(), self.count.get()[0] if self.count.exists() else 0
-        before, kept = n, []
+        was_known, before = self.status.get() or (False, 0)
+        known, n, kept = was_known, before, []
         for row in rows:
             if row["kind"] == "collection":
                 if not known:
                     yield self._given(key, None, None, "known")
                 known = True
-                self.known.update((True,))
             elif known:
                 yield self._given(key, row["external_id"], row["position"], "applied")
             elif n < self.most:
@@ -195,16 +193,20 @@ class _Holder(StatefulProcessor):
         if known:
             for external_id, position in kept:
                 yield self._given(key, external_id, position, "applied")
-            if before:
+            if not was_known:  # the count may have been forgotten, the list isn't
                 yield from self._released(key, "applied")
+                self.status.update((True, 0))
         elif kept:
             self.waiting.appendList(kept)
-            self.count.update((n,))
+            self.status.update((False, n))
             if not before:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.hold_ms)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         yield from self._released(key, "overflow")
+        status = self.status.get()
+        if status and not status[0]:
+            self.status.clear()
 
     def close(self) -> None:
         pass
