@@ -1,13 +1,15 @@
 """What must not grow beyond the input: broadcasts of corpus tables, shuffles of records, lists of words in Python, places of frequent words."""
 
 import json
+import math
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from larder.functions import text
-from larder.operators import bitmaps, index, phrases
+from larder.operators import bitmaps, index, phrases, rank
 from larder.sources import payloads
 from larder.sources.snapshots import scratch
 
@@ -65,3 +67,20 @@ def test_phrases_equal_a_plain_search(spark):
             ws = t.split()
             plain |= {(p, i, b) for b in range(len(ws) - len(w) + 1) if ws[b : b + len(w)] == w}
     assert found == [x for x in sorted(plain)]
+
+
+def test_scores_are_added_up_by_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    g = random.Random(5)
+    docs = [(i, " ".join(g.choice("aaaaabcd") for _ in range(g.randint(1, 9)))) for i in range(60)]
+    idx = index.in_memory(spark.createDataFrame(docs, "external_id long, caption string"), {"caption": "caption"}, words=text.folded_words)
+    chips = [(q, w) for q in range(7) for w in "abd"[: 1 + q % 3]] + [(0, "a"), (9, "zz")]
+    monkeypatch.setattr(rank, "TASK_HITS", 20)
+    scored = rank.bm25(spark.createDataFrame(chips, "query_id long, term string"), idx)
+    held = {i: t.split() for i, t in docs}
+    mean, n = sum(map(len, held.values())) / len(held), {w: sum(w in ws for ws in held.values()) for w in "abd"}
+    hits = sum(n.get(w, 0) for _, w in set(chips))
+    # a query and document stay with the document's task
+    assert scored.rdd.getNumPartitions() == -(-hits // 20) > 4
+    part = lambda w, ws: max(math.log((60 - n[w] + 0.5) / (n[w] + 0.5)), 1e-6) * (f := 2.0 * ws.count(w)) * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+    plain = {(q, i): sum(part(w, ws) for w in {w for p, w in chips if p == q and w in ws}) for q in range(7) for i, ws in held.items()}
+    assert {(r["query_id"], r["id"]): r["score"] for r in scored.collect()} == pytest.approx({k: v for k, v in plain.items() if v > 0})
