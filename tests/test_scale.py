@@ -84,3 +84,12 @@ def test_scores_are_added_up_by_as_many_tasks_as_they_ask_for(spark, monkeypatch
     part = lambda w, ws: max(math.log((60 - n[w] + 0.5) / (n[w] + 0.5)), 1e-6) * (f := 2.0 * ws.count(w)) * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(ws) / mean))
     plain = {(q, i): sum(part(w, ws) for w in {w for p, w in chips if p == q and w in ws}) for q in range(7) for i, ws in held.items()}
     assert {(r["query_id"], r["id"]): r["score"] for r in scored.collect()} == pytest.approx({k: v for k, v in plain.items() if v > 0})
+
+
+def test_an_index_is_sorted_by_as_many_tasks_as_it_has_places_for(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a a b c") for i in range(100)], "external_id long, caption string")
+    monkeypatch.setattr(index, "TASK_PLACES", 40)
+    made = index.build(docs, {"caption": "caption"}, scratch(spark, "index"), words=text.folded_words)
+    # a word that all documents hold twice lies in several files
+    assert len(made.postings.filter("term = 'a'").inputFiles()) >= 8
+    assert sorted((r["term"], r["n_docs"], r["n_places"]) for r in made.terms.collect()) == [("a", 100, 200), ("b", 100, 100), ("c", 100, 100)]
