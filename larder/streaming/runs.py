@@ -147,35 +147,57 @@ def watch_stalls(pages: DataFrame, limit_ms: int = MOST_SILENCE_MS, most_retries
     return pages.groupBy("run").applyInPandasWithState(_watch(limit_ms, most_retries), _STALL_OUT, _STALL_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-_PENDING_STATE = "known boolean, ids array<long>, positions array<long>"
+_PENDING_STATE = "known array<long>, collections array<long>, ids array<long>, positions array<long>"
 #: Memberships held in memory for one collection that isn't known yet. What doesn't fit is given out as overflow, for a table of
 #: pending rows: ``changes.split_memberships`` takes them up from there, as ``streaming.ingest`` does for all of its own.
 MOST_PENDING = 1000
+#: Groups that collections are dealt to by hash: a call to Python for each collection would take far longer than what it does. A group's
+#: state is read and written whole when one of its collections comes. A checkpoint keeps the number it was begun with.
+BUCKETS = 1024
+
+
+def bucketed(events: DataFrame) -> DataFrame:
+    """``events`` with the ``bucket`` of their collection."""
+    # numbers next to nulls are doubles in Python, which don't hold all of them
+    whole = {c: F.when(F.col("kind") == "collection", 0).otherwise(F.col(c)) for c in ("external_id", "position")}
+    return events.withColumns(whole).withColumn("bucket", F.pmod(F.xxhash64("collection_id"), F.lit(BUCKETS)).cast("int"))
+
+
+def as_long(x: float | int | None) -> int | None:
+    return None if x is None or pd.isna(x) else int(x)
+
+
+def given(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["collection_id", "external_id", "position", "outcome"], dtype=object)
 
 
 def _hold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One collection: memberships wait until the collection itself has come."""
-    known, ids, positions = state.get if state.exists else (False, [], [])
-    ids, positions, out = list(ids), list(positions), []
+    """The collections of one bucket: memberships wait until their collection itself has come."""
+    known, out = set(), []
+    waiting: dict[int | None, list[tuple[int | None, int | None]]] = {}
+    if state.exists:
+        held = state.get
+        known = set(held[0])
+        for collection, *member in zip(*held[1:]):
+            waiting.setdefault(collection, []).append(tuple(member))
     for row in pd.concat(list(parts)).sort_values("arrival_ord").itertuples(index=False):
+        collection = as_long(row.collection_id)
         if row.kind == "collection":
-            known = True
-        elif known:
-            out.append((key[0], int(row.external_id), int(row.position), "applied"))
-        elif len(ids) < MOST_PENDING:
-            ids.append(int(row.external_id))
-            positions.append(int(row.position))
+            known.add(collection)
+            out += [(collection, *member, "applied") for member in waiting.pop(collection, ())]
+        elif collection in known:
+            out.append((collection, as_long(row.external_id), as_long(row.position), "applied"))
+        elif len(mine := waiting.setdefault(collection, [])) < MOST_PENDING:
+            mine.append((as_long(row.external_id), as_long(row.position)))
         else:
-            out.append((key[0], int(row.external_id), int(row.position), "overflow"))
-    if known and ids:
-        out = [(key[0], i, p, "applied") for i, p in zip(ids, positions)] + out
-        ids, positions = [], []
-    state.update((known, ids, positions))
-    yield pd.DataFrame(out, columns=["collection_id", "external_id", "position", "outcome"])
+            out.append((collection, as_long(row.external_id), as_long(row.position), "overflow"))
+    kept = [(collection, *member) for collection, members in waiting.items() for member in members]
+    state.update((list(known), *([r[i] for r in kept] for i in range(3))))
+    yield given(out)
 
 
 def hold_memberships(events: DataFrame) -> DataFrame:
     """A stream of events (collection_id, kind: collection or membership, external_id, position, arrival_ord) to memberships
     that can be applied, in order; those that came before their collection follow it. Overflow is given out, never lost."""
-    kind = "collection_id long, external_id long, position long, outcome string"
-    return events.groupBy("collection_id").applyInPandasWithState(_hold, kind, _PENDING_STATE, "append", GroupStateTimeout.NoTimeout)
+    out = "collection_id long, external_id long, position long, outcome string"
+    return bucketed(events).groupBy("bucket").applyInPandasWithState(_hold, out, _PENDING_STATE, "append", GroupStateTimeout.NoTimeout)

@@ -32,6 +32,17 @@ def test_memberships_wait_for_their_collection(spark, tmp_path):
     assert sorted((r["collection_id"], r["external_id"], r["position"]) for r in out.collect()) == [(1, 10, 0), (1, 11, 1), (1, 13, 2), (2, 12, 0)]
 
 
+def test_memberships_are_held_by_buckets_and_keep_their_digits(spark, tmp_path):
+    schema, big = "collection_id long, kind string, external_id long, position long, arrival_ord long", 2**53 + 1
+    rows = [(c, "membership", big + c, 0, c) for c in range(-40, 40)] + [(c, "collection", None, None, 100) for c in range(-40, 20)]
+    out = _stream(spark, tmp_path, [rows, [(c, "collection", None, None, 200) for c in range(40)]], schema, runs.hold_memberships)
+    assert sorted((r["collection_id"], r["external_id"], r["outcome"]) for r in out.collect()) == [(c, big + c, "applied") for c in range(-40, 40)]
+    # Python is called for a bucket, not for a collection
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "seen"))
+    events = spark.readStream.schema(schema).parquet(str(tmp_path / "seen"))
+    assert "bucket" in runs.hold_memberships(events)._jdf.queryExecution().analyzed().toString()
+
+
 def _row(n, kind, body, **changed):
     row = {"channel": CHANNEL, "v": 1, "platform": "p", "kind": kind, "request_cursor": "0", "collection_id": None, "captured_at": 10_000 + n, "body": json.dumps(body), "page_handle": "me", "viewer_handle": "Me", "viewer_id": "7", "arrival_ord": n, "ingested_at": 10_000 + n}
     return tuple((row | changed).values())
