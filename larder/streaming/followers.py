@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from larder.sources.snapshots import stored
 from larder.sources.store import Store
-from larder.streaming.runs import MOST_PENDING, MOST_RETRIES, MOST_SILENCE_MS, MOST_STALL_RETRIES
+from larder.streaming.runs import MOST_PENDING, MOST_RETRIES, MOST_SILENCE_MS, MOST_STALL_RETRIES, as_long, bucketed, given
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WEEK_MS = 7 * 24 * 3600 * 1000
@@ -156,57 +157,70 @@ def watch_silences(pages: DataFrame, keys: list[str], delay: str, limit_ms: int
 
 
 class _Holder(StatefulProcessor):
-    """One collection: memberships wait for it, at most ``most`` and for at most ``hold_ms``; others go out as overflow."""
+    """The collections of one bucket: memberships wait for theirs, at most ``most`` of each and for at most ``hold_ms``; others go out as
+    overflow. A bucket has one state and one timer, at the first moment at which something of it has waited or been known for too long."""
 
     def __init__(self, most: int, hold_ms: int, ttl_ms: int):
         self.most, self.hold_ms, self.ttl_ms = most, hold_ms, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "external_id long, position long")
-        # whether the collection has come, and how many wait for it
-        self.status = handle.getValueState("status", "known boolean, n int", self.ttl_ms)
-
-    def _given(self, key: tuple, external_id: int | None, position: int | None, outcome: str) -> Row:
-        return Row(collection_id=key[0], external_id=external_id, position=position, outcome=outcome)
-
-    def _released(self, key: tuple, outcome: str) -> Iterator[Row]:
-        for external_id, position in self.waiting.get():
-            yield self._given(key, external_id, position, outcome)
-        self.waiting.clear()
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
-        was_known, before = self.status.get() or (False, 0)
-        known, n, kept = was_known, before, []
-        for row in rows:
-            if row["kind"] == "collection":
-                if not known:
-                    yield self._given(key, None, None, "known")
-                known = True
-            elif known:
-                yield self._given(key, row["external_id"], row["position"], "applied")
-            elif n < self.most:
-                kept.append((row["external_id"], row["position"]))
-                n += 1
-            else:
-                yield self._given(key, row["external_id"], row["position"], "overflow")
-        if known:
-            for external_id, position in kept:
-                yield self._given(key, external_id, position, "applied")
-            if not was_known:  # the count may have been forgotten, the list isn't
-                yield from self._released(key, "applied")
-                self.status.update((True, 0))
-        elif kept:
-            self.waiting.appendList(kept)
-            self.status.update((False, n))
-            if not before:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.hold_ms)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        yield from self._released(key, "overflow")
-        status = self.status.get()
-        if status and not status[0]:
-            self.status.clear()
+        # collections that have come, and until when that is kept; memberships that wait, and until when; the timer
+        self.held = handle.getValueState("held", "known array<long>, until array<long>, waiting array<long>, ids array<long>, positions array<long>, due array<long>, wake long")
+
+    def _read(self) -> tuple[dict, dict, int | None]:
+        """Known collections to their end, waiting ones to their end and memberships, and when the timer stands."""
+        held = self.held.get()
+        if held is None:
+            return {}, {}, None
+        known, until, waiting, ids, positions, due, wake = held
+        members: dict = {}
+        for collection, at, *member in zip(waiting, due, ids, positions):
+            members.setdefault(collection, (at, []))[1].append(tuple(member))
+        return dict(zip(known, until)), members, wake
+
+    def _write(self, known: dict, members: dict, wake: int | None, now: int) -> None:
+        at = min([*known.values(), *(due for due, _ in members.values())], default=None)
+        at = at and max(at, now + 1)
+        if wake is not None and wake != at:
+            self.handle.deleteTimer(wake)
+        if at is None:
+            return self.held.clear()
+        if wake != at:
+            self.handle.registerTimer(at)
+        rows = [(collection, *member, due) for collection, (due, found) in members.items() for member in found]
+        self.held.update((list(known), list(known.values()), *([r[i] for r in rows] for i in range(4)), at))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentProcessingTimeInMs()
+        known, members, wake = self._read()
+        known = {collection: until for collection, until in known.items() if until > now}
+        for part in rows:
+            out = []
+            for row in part.itertuples(index=False):
+                collection = as_long(row.collection_id)
+                if row.kind == "collection":
+                    if collection not in known:
+                        known[collection] = now + self.ttl_ms
+                        out.append((collection, None, None, "known"))
+                        out += [(collection, *member, "applied") for member in members.pop(collection, (0, ()))[1]]
+                elif collection in known:
+                    out.append((collection, as_long(row.external_id), as_long(row.position), "applied"))
+                elif len(mine := members.setdefault(collection, (now + self.hold_ms, []))[1]) < self.most:
+                    mine.append((as_long(row.external_id), as_long(row.position)))
+                else:
+                    out.append((collection, as_long(row.external_id), as_long(row.position), "overflow"))
+            if out:
+                yield given(out)
+        self._write(known, {c: m for c, m in members.items() if m[1]}, wake, now)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentProcessingTimeInMs()
+        known, members, _ = self._read()
+        if out := [(c, *member, "overflow") for c, (due, found) in members.items() if due <= now for member in found]:
+            yield given(out)
+        # the timer that expired is gone
+        self._write({c: until for c, until in known.items() if until > now}, {c: m for c, m in members.items() if m[0] > now}, None, now)
 
     def close(self) -> None:
         pass
@@ -217,9 +231,9 @@ def held_memberships(events: DataFrame, most: int = MOST_PENDING, hold_ms: int =
     outcome: ``applied``, ``overflow``, or ``known`` for a collection that the state didn't know.
 
     State is bounded in a collection by ``most``, and in collections by what comes within ``hold_ms`` of processing time, and within ``ttl_ms``
-    for those that are known. What goes out as overflow is taken up by ``keep_memberships``."""
-    kind = "collection_id long, external_id long, position long, outcome string"
-    return events.groupBy("collection_id").transformWithState(_Holder(most, hold_ms, ttl_ms), StructType.fromDDL(kind), "Append", "ProcessingTime")
+    for those that are known. What goes out as overflow is taken up by ``keep_memberships``. Collections share buckets (``runs.BUCKETS``)."""
+    out = StructType.fromDDL("collection_id long, external_id long, position long, outcome string")
+    return bucketed(events).groupBy("bucket").transformWithStateInPandas(_Holder(most, hold_ms, ttl_ms), out, "Append", "ProcessingTime")
 
 
 #: What is kept of memberships; keys begin with the collection.

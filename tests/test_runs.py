@@ -3,7 +3,7 @@
 import json
 
 from larder.operators.ingest import CHANNEL
-from larder.streaming import chains, ingest, runs
+from larder.streaming import chains, followers, ingest, runs
 
 
 def _stream(spark, tmp_path, batches, schema, build):
@@ -40,7 +40,8 @@ def test_memberships_are_held_by_buckets_and_keep_their_digits(spark, tmp_path):
     # Python is called for a bucket, not for a collection
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "seen"))
     events = spark.readStream.schema(schema).parquet(str(tmp_path / "seen"))
-    assert "bucket" in runs.hold_memberships(events)._jdf.queryExecution().analyzed().toString()
+    for held in (runs.hold_memberships(events), followers.held_memberships(events)):
+        assert "bucket" in held._jdf.queryExecution().analyzed().toString()
 
 
 def _row(n, kind, body, **changed):
