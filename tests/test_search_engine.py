@@ -1,6 +1,8 @@
 """Bitmaps, impact blocks and sorted layouts against plain matches, scores and sorts; requests of their own modes, sorts and cursors."""
 
+import os
 import random
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from larder.functions.text import folded_words
 from larder.operators import bitmaps, impacts, index, layout, terms
 from larder.plans import search as plan
+from larder.registered import searches
 from larder.sources.snapshots import scratch
 
 
@@ -118,3 +121,16 @@ def test_requests_of_their_own(spark):
         assert pages[q] == [i for _, i in sorted(key)][: len(pages[q])] and len(pages[q]) == 3 * {2: 6, 6: 7, 7: 3}[q]
     assert sorted(r["id"] for r in found.page.filter("query_id = 4").collect()) == sorted([9, 11, 13, 15]) and found.page.filter("query_id = 4").first()["next_cursor"] == "r:8:20"
     assert found.snippets.filter("query_id = 6").count() == 7 and found.snippets.filter("query_id = 1").first()["segments"][1]["hit"]
+
+
+def test_bitmaps_are_made_once_for_all_that_rank_the_same(spark, monkeypatch):
+    """Bitmaps are made once for all queries that rank the same matches."""
+    made, depths = [], []
+    monkeypatch.setattr(plan, "bits_of", lambda *a, real=plan.bits_of: made.append(1) or real(*a))
+    monkeypatch.setattr(impacts, "tier_needs", lambda counts, depth, real=impacts.tier_needs: depths.append(depth._jc.toString()) or real(counts, depth))
+    folder = tempfile.mkdtemp(prefix="spark-") + "/tables"
+    os.symlink("/root/testdata/sf0.001", folder)  # nothing is kept by this path
+    page = searches.d23_offset_page(spark, folder).collect()
+    searches.d32_explain_matches(spark, folder)
+    searches.d38_search_related(spark, folder)
+    assert len(made) == 1 and depths[1:] == ["30", "30"]
