@@ -123,8 +123,8 @@ def test_requests_of_their_own(spark):
     assert found.snippets.filter("query_id = 6").count() == 7 and found.snippets.filter("query_id = 1").first()["segments"][1]["hit"]
 
 
-def test_bitmaps_are_made_once_for_all_that_rank_the_same(spark, monkeypatch):
-    """Bitmaps are made once for all queries that rank the same matches."""
+def test_a_page_ranks_to_its_end_and_counts_all_matches(spark, monkeypatch):
+    """Bitmaps are made once for all queries that rank the same matches; a page by offset is ranked no deeper than it goes."""
     made, depths = [], []
     monkeypatch.setattr(plan, "bits_of", lambda *a, real=plan.bits_of: made.append(1) or real(*a))
     monkeypatch.setattr(impacts, "tier_needs", lambda counts, depth, real=impacts.tier_needs: depths.append(depth._jc.toString()) or real(counts, depth))
@@ -133,4 +133,6 @@ def test_bitmaps_are_made_once_for_all_that_rank_the_same(spark, monkeypatch):
     page = searches.d23_offset_page(spark, folder).collect()
     searches.d32_explain_matches(spark, folder)
     searches.d38_search_related(spark, folder)
-    assert len(made) == 1 and depths[1:] == ["30", "30"]
+    assert len(made) == 1 and depths == ["8", "30", "30"]
+    # more matches than the page holds are counted
+    assert {r["rank"] for r in page} == {4, 5, 6, 7, 8} and max(int(r["next_cursor"].split(":")[2]) for r in page if r["next_cursor"]) > 8
