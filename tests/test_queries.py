@@ -34,3 +34,11 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry_ranks_by_score(spark):
     best = library.entry(spark, FOLDER).toPandas().sort_values(["query_id", "rank"])
     assert len(best) and (best.groupby("query_id")["score"].diff().dropna() <= 0).all()
+
+
+def test_tokens_of_texts_without_words(spark, duck, tmp_path):
+    texts = [(1, "One two"), (2, ""), (3, None), (4, "?! ..."), (5, "\u00e9t\u00e9"), (6, "\u2026")]
+    spark.createDataFrame([(i, t, "s", "en", len(t or "")) for i, t in texts], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = library.QUERIES["d3_tokenize"](spark, str(tmp_path)).toPandas()
+    wanted = duck.execute(library.ORACLES["d3_tokenize"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")).df()
+    assert rows(found) == rows(wanted)
