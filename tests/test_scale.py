@@ -5,11 +5,12 @@ import math
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from larder.functions import text
-from larder.operators import bitmaps, index, phrases, rank
+from larder.operators import bitmaps, impacts, index, phrases, rank
 from larder.sources import payloads
 from larder.sources.snapshots import scratch
 
@@ -93,3 +94,42 @@ def test_an_index_is_sorted_by_as_many_tasks_as_it_has_places_for(spark, monkeyp
     # a word that all documents hold twice lies in several files
     assert len(made.postings.filter("term = 'a'").inputFiles()) >= 8
     assert sorted((r["term"], r["n_docs"], r["n_places"]) for r in made.terms.collect()) == [("a", 100, 200), ("b", 100, 100), ("c", 100, 100)]
+
+
+def test_an_index_keeps_no_unsorted_copy_and_tells_pairs_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(i, "a a b" if i % 2 else "b c", "a") for i in range(40)] + [(7, "c", None)], "external_id long, caption string, author string")  # an id twice
+    folder = scratch(spark, "index")
+    made = index.build(docs, {"caption": "caption", "author": "author"}, folder, words=text.folded_words)
+    plain = index.in_memory(docs, {"caption": "caption", "author": "author"}, words=text.folded_words)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/unsorted")
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    assert "Exchange" not in plan_of(made.weighed())
+    for a, b in ((made.weighed(), plain.weighed()), (made.terms, plain.terms), (made.documents, plain.documents), (made.postings, plain.postings)):
+        assert sorted(a.collect()) == sorted(b.select(a.columns).collect())
+
+
+def test_blocks_are_cut_in_the_sorted_ranges(spark, monkeypatch):
+    monkeypatch.setattr(impacts, "BLOCK", 4)
+    sizes = {"a": 1, "b": 4, "c": 5, "d": 17, "e": 8}
+    rows = pa.table({"term": [t for t, n in sizes.items() for _ in range(n)], "n": [i for n in sizes.values() for i in range(n)]})
+    ones = pa.array([1.0] * len(rows))
+    rows = rows.append_column("f", ones).append_column("norm", ones).append_column("c", pa.array([-float(i) for i in rows["n"].to_pylist()])).append_column("_range", pa.array([3] * len(rows), pa.int32()))
+    for size in (1, 3, 4, 7, 100):
+        made = [x for b in impacts.cut_blocks(iter(rows.to_batches(max_chunksize=size))) for x in b.to_pylist()]
+        assert [(x["term"], x["_blk"], x["most"], [y["n"] for y in x["held"]]) for x in made] == [(t, k // 4, -float(k), [*range(k, min(n, k + 4))]) for t, n in sizes.items() for k in range(0, n, 4)]
+
+
+def test_blocks_are_numbered_over_ranges_and_leave_no_copy(spark, monkeypatch):
+    monkeypatch.setattr(impacts, "BLOCK", 4)
+    docs = spark.createDataFrame([(i, "a " * (1 + i % 9) + ("b" if i % 3 else ""), i) for i in range(100)], "external_id long, caption string, saved_at long")
+    idx = index.build(docs, {"caption": "caption"}, scratch(spark, "index"), words=text.folded_words)
+    folder = scratch(spark, "impacts")
+    made = impacts.build(bitmaps.build(idx, docs.select(F.col("external_id").alias("id"), "saved_at"), scratch(spark, "bits")), folder)
+    blocks = {t: [r for r in made.blocks.orderBy("term", "blk").collect() if r["term"] == t] for t in "ab"}
+    for t, n in (("a", 100), ("b", 66)):
+        assert [r["blk"] for r in blocks[t]] == [*range(len(blocks[t]))] and len({h["n"] for r in blocks[t] for h in r["held"]}) == sum(len(r["held"]) for r in blocks[t]) == n
+        by_block = [[h["f"] * (impacts.K1 + 1) / (h["f"] + h["norm"]) for h in r["held"]] for r in blocks[t]]
+        assert [max(c) for c in by_block] == pytest.approx([r["most"] for r in blocks[t]]) and all(min(x) >= max(y) - 1e-9 for x, y in zip(by_block, by_block[1:]))
+        assert all(r["level"] == impacts._level(r["blk"]) for r in blocks[t])
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/ranges")
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
