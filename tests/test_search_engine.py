@@ -12,6 +12,7 @@ from larder.operators import bitmaps, impacts, index, layout, terms
 from larder.plans import search as plan
 from larder.registered import searches
 from larder.sources.snapshots import scratch
+from larder.sources.snapshots import stored as store
 
 
 @pytest.fixture(scope="module")
@@ -136,3 +137,19 @@ def test_a_page_ranks_to_its_end_and_counts_all_matches(spark, monkeypatch):
     assert len(made) == 1 and depths == ["8", "30", "30"]
     # more matches than the page holds are counted
     assert {r["rank"] for r in page} == {4, 5, 6, 7, 8} and max(int(r["next_cursor"].split(":")[2]) for r in page if r["next_cursor"]) > 8
+
+
+def test_lists_make_no_blocks_and_no_plan_of_all_sorts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b" if i % 2 else "a", ["t"], "x", i, i % 7) for i in range(60)], "external_id long, caption string, hashtags array<string>, author_handle string, saved_at long, views long")
+    idx = index.in_memory(docs, {"caption": "caption"}, words=folded_words)
+    none = spark.createDataFrame([], "category string, ord int, term string"), spark.createDataFrame([], "alias string, category string")
+    lib = plan.Library(idx, docs, spark.createDataFrame([], "id long, key long, text string"), docs.select("external_id", "caption"), *none)
+    sent = spark.createDataFrame([(1, 0, "b", True), (2, 0, "a", True)], "query_id int, ord int, text string, expand boolean")
+    asked = spark.createDataFrame([(1, "most_viewed", 3), (2, "most_viewed", 4), (3, "recently_saved", 2)], "query_id int, sort string, limit int")
+    made = []
+    monkeypatch.setattr(plan, "stored", lambda df, name: (made.append(name), store(df, name))[1])
+    found = plan.search(sent, lib, requests=asked)
+    views = lambda ids: sorted(ids, key=lambda i: (-(i % 7), -i))
+    wanted = {1: views(range(1, 60, 2))[:3], 2: views(range(60))[:4], 3: [59, 58]}
+    assert {(r["query_id"], r["rank"]): r["id"] for r in found.page.collect()} == {(q, k + 1): i for q, ids in wanted.items() for k, i in enumerate(ids)}
+    assert "impacts" not in lib._made and made.count("listed") == 2  # one for each kind that is asked
