@@ -1,5 +1,8 @@
 """Small cases of operators that the tables don't hold."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +169,27 @@ def test_emptied_collections_are_counted(spark):
     touched = spark.createDataFrame([(1,), (2,)], "collection_id long")
     assert sorted(map(tuple, changes.recount_collections(kept, members, touched, F.lit(99)).collect())) == [(1, 1, 99), (2, 0, 99), (3, 7, 30)]
     assert sorted(map(tuple, changes.recount_collections(kept, members, touched).collect())) == [(1, 1, 10), (2, 0, 20), (3, 7, 30)]
+
+
+def test_accounts_are_bound_over_stretches_of_a_platform(spark, monkeypatch):
+    monkeypatch.setattr(changes, "STRETCH", 3)
+    g = random.Random(7)
+    rows = [(p, b * 5 + 2, g.choice([None, "1", "1", "2"]), g.choice(["a", "A", "b", "c"])) for p in "pqr" for b in range(40)] + [("s", 2**50, None, "x"), ("s", 2**50 + 1, "9", "X"), ("s", 2**51, "9", "y"), ("s", 2**51 + 1, None, "y")]
+    bound = [("q", None, "b"), ("r", "1", "z")]
+
+    def stands(i, h, old_i, old_h):
+        if i and old_i:
+            return "different" if i != old_i else "same" if h.lower() == old_h.lower() else "renamed"
+        return ("upgraded" if i and not old_i else "same") if h.lower() == old_h.lower() else "different"
+
+    wanted, own = {}, {p: [i, h] for p, i, h in bound}
+    for p, b, i, h in sorted(rows, key=lambda r: r[:2]):
+        mine = own.setdefault(p, [i, h])
+        wanted[p, b] = told = stands(i, h, *mine)
+        if told in ("renamed", "upgraded") or told == "same" and i and i == mine[0]:
+            own[p] = [i or mine[0], h]
+    made = changes.bind_accounts(spark.createDataFrame(rows, "platform string, batch_id long, id string, handle string"), spark.createDataFrame(bound, "platform string, id string, handle string"), query.match_account)
+    assert {(r["platform"], r["batch_id"]): r["match"] for r in made.collect()} == wanted
+    # no task reads all batches of a platform in order
+    windows = re.findall(r"Window \[last\(_mine#\d+[^\n]*", made._jdf.queryExecution().optimizedPlan().toString())
+    assert windows and all(re.search(r"\[platform#\d+, _stretch#\d+L?\], \[batch_id", w) for w in windows)
