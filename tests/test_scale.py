@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 
 import pandas as pd
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.functions import text
-from larder.operators import bitmaps, impacts, index, phrases, rank
+from larder.operators import bitmaps, impacts, index, match, phrases, rank
 from larder.sources import payloads
 from larder.sources.snapshots import scratch
 
@@ -133,3 +134,14 @@ def test_blocks_are_numbered_over_ranges_and_leave_no_copy(spark, monkeypatch):
         assert all(r["level"] == impacts._level(r["blk"]) for r in blocks[t])
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/ranges")
     assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_a_prefix_is_looked_up_once_for_all_its_chips(spark):
+    docs = [(1, "abcd abce x"), (2, "abce abce"), (3, "abd xyz"), (4, "ab")]
+    idx = index.build(spark.createDataFrame(docs, "external_id long, caption string"), {"caption": "caption"}, scratch(spark, "index"), words=text.folded_words)
+    chips = [(q, c, w) for q in (1, 2) for c, w in enumerate(["abc", "abce", "xyz", "ab"])]
+    hits = match.prefix_hits(spark.createDataFrame(chips, "query_id long, chip int, term string"), idx)
+    plain = sorted((q, c, i) for q, c, w in chips if len(w) >= 3 for i, t in docs if any(x.startswith(w) for x in t.split()))
+    assert sorted(tuple(r) for r in hits.collect()) == plain
+    # what is dealt out to be told apart has no query yet
+    assert all("query_id" not in x and "chip" not in x for x in re.findall(r"Exchange hashpartitioning\(prefix[^\n]*", plan_of(hits))) and not re.search(r"Exchange hashpartitioning\(query_id#\d+L?, chip#\d+, id", plan_of(hits))
